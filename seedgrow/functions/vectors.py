@@ -33,7 +33,8 @@ def dense(c: str | Column) -> Column:
 
 
 def vector_size(c: str | Column) -> Column:
-    return F.size(vector_to_array(_col(c)))
+    """Dimension of a vector (``bigint``)."""
+    return F.size(vector_to_array(_col(c))).cast("long")
 
 
 def slice_vector(c: str | Column, indices: Sequence[int]) -> Column:

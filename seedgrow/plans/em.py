@@ -112,8 +112,12 @@ class HardEM(Estimator, _LoopParams, SemiSupervisedMarker):
                                     n_labeled=prep.n_seed, n_unlabeled=n_pool, estep_s=estep_s, mstep_s=clock.lap()))
                 if it > 1:
                     ws.delete(f"em/{IT}={it - 1}")
+            last = model
             pool, _ = estep(model, pool, it + 1)
             final = fit_learner(self.base, seed.unionByName(pool.select(FEAT, F.col(PREV).alias(Y))))
         finally:
             ws.close()
-        return make_model(self, final, prep, history, HISTORY_SCHEMA)
+        out = make_model(self, final, prep, history, HISTORY_SCHEMA)
+        # The model whose E-step produced the final training set's pseudo-labels.
+        out.loopModel = last
+        return out

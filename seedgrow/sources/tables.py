@@ -94,27 +94,30 @@ def with_seed_split(df: DataFrame, fraction: float, seed: int, id_col: str = "ro
 
 def part_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text lines ``label,f1 f2 f3`` built from integer ``part`` columns,
-    with malformed lines injected by a rule on ``p_type``.
+    with malformed lines injected by a rule on ``p_type`` and the last word
+    of ``p_name``.
 
     Features are ``p_size``, ``length(p_name)`` and ``p_partkey``; the label
     is 1 when ``p_size > 25`` else -1. Injected faults (whole-table rules,
-    no row is dropped): ``ECONOMY ... TIN`` loses its comma, ``ECONOMY ...
-    BRASS`` gets a blank field, ``PROMO ... COPPER`` gets letters in a
-    number, ``SMALL ... NICKEL`` gets a trailing space (accepted), ``LARGE
-    ... STEEL`` gets a letter label.
+    no row is dropped): ECONOMY gear loses its comma, ECONOMY bolt gets a
+    blank field, PROMO ring gets letters in a number, SMALL rod gets a
+    trailing space (accepted), LARGE bolt gets a letter label, STANDARD
+    anvil has nothing after the comma.
     """
     p = read_table(spark, sf_dir, "part")
     lab = F.when(F.col("p_size") > 25, F.lit("1")).otherwise(F.lit("-1"))
     f1 = F.col("p_size").cast("string")
     f2 = F.length("p_name").cast("string")
     f3 = F.col("p_partkey").cast("string")
-    t = F.col("p_type")
+    t, n = F.col("p_type"), F.col("p_name")
+    sp, cm = F.lit(" "), F.lit(",")
     line = (
-        F.when(t.like("ECONOMY%TIN"), F.concat_ws(" ", lab, f1, f2, f3))
-        .when(t.like("ECONOMY%BRASS"), F.concat(lab, F.lit(","), f1, F.lit("  "), f2, F.lit(" "), f3))
-        .when(t.like("PROMO%COPPER"), F.concat(lab, F.lit(","), F.lit("x"), f1, F.lit(" "), f2, F.lit(" "), f3))
-        .when(t.like("SMALL%NICKEL"), F.concat(lab, F.lit(","), f1, F.lit(" "), f2, F.lit(" "), f3, F.lit(" ")))
-        .when(t.like("LARGE%STEEL"), F.concat(F.lit("y"), F.lit(","), f1, F.lit(" "), f2, F.lit(" "), f3))
-        .otherwise(F.concat(lab, F.lit(","), f1, F.lit(" "), f2, F.lit(" "), f3))
+        F.when((t == "ECONOMY") & n.like("%gear"), F.concat_ws(" ", lab, f1, f2, f3))
+        .when((t == "ECONOMY") & n.like("%bolt"), F.concat(lab, cm, f1, F.lit("  "), f2, sp, f3))
+        .when((t == "PROMO") & n.like("%ring"), F.concat(lab, cm, F.lit("x"), f1, sp, f2, sp, f3))
+        .when((t == "SMALL") & n.like("%rod"), F.concat(lab, cm, f1, sp, f2, sp, f3, sp))
+        .when((t == "LARGE") & n.like("%bolt"), F.concat(F.lit("y"), cm, f1, sp, f2, sp, f3))
+        .when((t == "STANDARD") & n.like("%anvil"), F.concat(lab, cm))
+        .otherwise(F.concat(lab, cm, f1, sp, f2, sp, f3))
     )
     return p.select(line.alias("value"))
