@@ -98,8 +98,11 @@ def score_prefix_counts(
     smaller score."""
     g = _score_groups(df, label_col, score_col, positive)
     bounds = _bucket_bounds(g, buckets)
-    splits = [float("-inf")] + bounds + [float("inf")]
-    g = Bucketizer(splits=splits, inputCol="score", outputCol="bucket").transform(g)
+    if bounds:
+        splits = [float("-inf")] + bounds + [float("inf")]
+        g = Bucketizer(splits=splits, inputCol="score", outputCol="bucket").transform(g)
+    else:
+        g = g.withColumn("bucket", F.lit(0.0))
     totals = g.groupBy("bucket").agg(F.sum("pos").alias("bp"), F.sum("neg").alias("bn"))
     wb = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     wall = Window.partitionBy()
