@@ -25,6 +25,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan over the cluster before CPU-heavy per-row work, but
+    only when it has fewer partitions than the cluster has task slots (a
+    small file stored as one row group). A large input already arrives in
+    many splits and is returned unchanged: no shuffle is added at scale.
+    Checking the partition count plans the query; it runs no job."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < slots:
+        return df.repartition(slots)
+    return df
+
+
 def letter_frequencies(text: str | Column) -> Column:
     """26 letter frequencies of ``lower(text)`` over the whole text.
 
@@ -59,7 +71,7 @@ def binary_embedding_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 def document_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` with letter-frequency features; ``label`` keeps ``lang``
     as a string (index it with ``operators.indexing.label_index``)."""
-    d = read_table(spark, sf_dir, "documents")
+    d = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return d.select(
         F.col("doc_id").alias("row_id"),
         letter_frequencies("text").alias("features"),
@@ -77,7 +89,7 @@ def quality_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     lab = read_table(spark, sf_dir, "labels").select("doc_id", "quality")
-    j = d.join(lab, "doc_id", "left")
+    j = spread(d.join(lab, "doc_id", "left"))
     return j.select(
         F.col("doc_id").alias("row_id"),
         letter_frequencies("text").alias("features"),

@@ -364,7 +364,8 @@ def _history(model, cols):
 
 
 ST_COLS = ["iteration", "n_labeled", "n_unlabeled", "n_new"]
-EM_COLS = ["iteration", F.round("residual_pct", R6).alias("residual_pct"), "n_changed", "n_labeled", "n_unlabeled"]
+def em_cols():
+    return ["iteration", F.round("residual_pct", R6).alias("residual_pct"), "n_changed", "n_labeled", "n_unlabeled"]
 CT_COLS = ["iteration", "n_new1", "n_new2", "n_labeled1", "n_labeled2", "n_unlabeled1", "n_unlabeled2", "n_agreement"]
 
 
@@ -390,7 +391,7 @@ def q_selftraining_predict(spark, sf):
 
 
 def q_em_history(spark, sf):
-    return _history(fit_em(spark, sf), EM_COLS)
+    return _history(fit_em(spark, sf), em_cols())
 
 
 def q_em_predict(spark, sf):
