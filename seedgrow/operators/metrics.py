@@ -40,22 +40,37 @@ def confusion_counts(df: DataFrame, label_col: str = "label", prediction_col: st
 
 
 def per_class_counts(df: DataFrame, label_col: str = "label", prediction_col: str = "prediction") -> DataFrame:
-    """``(label, n_true, tp, n_pred)`` per true class."""
+    """``(label, n_true, tp, n_pred)`` per class seen as a label or a prediction.
+
+    Each confusion cell feeds two classes (its label and its prediction), so
+    one ``explode`` + ``groupBy`` over the k^2 cells gives every count — no
+    join, hence no filter the optimizer could infer and push below the
+    (possibly expensive) prediction column.
+    """
     cm = confusion_counts(df, label_col, prediction_col)
-    truth = cm.groupBy("label").agg(
-        F.sum("n").alias("n_true"),
-        F.sum(F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(F.lit(0))).alias("tp"),
+    hit = F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(F.lit(0))
+    roles = F.explode(
+        F.array(
+            F.struct(F.col("label").alias("cls"), F.col("n").alias("t"), hit.alias("tp"), F.lit(0).cast("long").alias("p")),
+            F.struct(F.col("prediction").alias("cls"), F.lit(0).cast("long").alias("t"), F.lit(0).cast("long").alias("tp"), F.col("n").alias("p")),
+        )
+    ).alias("r")
+    return (
+        cm.select(roles)
+        .groupBy(F.col("r.cls").alias("label"))
+        .agg(F.sum("r.t").alias("n_true"), F.sum("r.tp").alias("tp"), F.sum("r.p").alias("n_pred"))
     )
-    predicted = cm.groupBy(F.col("prediction").alias("label")).agg(F.sum("n").alias("n_pred"))
-    # Both sides have one row per class: a tiny join.
-    return truth.join(predicted, "label", "left").fillna(0, ["n_pred"])
 
 
 def weighted_metrics(df: DataFrame, label_col: str = "label", prediction_col: str = "prediction") -> DataFrame:
-    """One row: ``weighted_precision, weighted_recall, weighted_f1, accuracy, n``."""
+    """One row: ``weighted_precision, weighted_recall, weighted_f1, accuracy, n``.
+
+    Classes are the true labels (a class only ever predicted has weight 0);
+    the precision of a class never predicted is 0.
+    """
     pc = per_class_counts(df, label_col, prediction_col)
     precision = F.when(F.col("n_pred") > 0, F.col("tp") / F.col("n_pred")).otherwise(F.lit(0.0))
-    recall = F.col("tp") / F.col("n_true")
+    recall = F.when(F.col("n_true") > 0, F.col("tp") / F.col("n_true")).otherwise(F.lit(0.0))
     pc = pc.select("n_true", "tp", precision.alias("p"), recall.alias("r"))
     f1 = F.when(F.col("p") + F.col("r") > 0, 2 * F.col("p") * F.col("r") / (F.col("p") + F.col("r"))).otherwise(F.lit(0.0))
     total = F.sum("n_true")
@@ -69,11 +84,14 @@ def weighted_metrics(df: DataFrame, label_col: str = "label", prediction_col: st
 
 
 def _score_groups(df: DataFrame, label_col: str, score_col: str, positive) -> DataFrame:
-    is_pos = (F.col(label_col) == F.lit(positive)).cast("long")
-    return (
-        df.where(F.col(score_col).isNotNull() & F.col(label_col).isNotNull())
-        .groupBy(F.col(score_col).cast("double").alias("score"))
-        .agg(F.sum(is_pos).alias("pos"), F.sum(F.lit(1) - is_pos).alias("neg"))
+    """``(score, pos, neg)`` per distinct score. Rows with a null label or
+    score count as neither (conditional sums rather than a filter, which
+    the optimizer would push below the scoring projection)."""
+    valid = F.col(score_col).isNotNull() & F.col(label_col).isNotNull()
+    is_pos = F.col(label_col) == F.lit(positive)
+    return df.groupBy(F.col(score_col).cast("double").alias("score")).agg(
+        F.sum(F.when(valid & is_pos, 1).otherwise(0)).cast("long").alias("pos"),
+        F.sum(F.when(valid & ~is_pos, 1).otherwise(0)).cast("long").alias("neg"),
     )
 
 
@@ -113,8 +131,9 @@ def score_prefix_counts(
         F.sum("bp").over(wall).alias("pos_total"),
         F.sum("bn").over(wall).alias("neg_total"),
     )
-    # ``offsets`` has at most len(splits) - 1 rows: a bounded broadcast.
-    g = g.join(F.broadcast(offsets), "bucket")
+    # ``offsets`` has at most len(splits) rows: a bounded broadcast. A left
+    # join keeps the optimizer from inferring a not-null filter on ``g``.
+    g = g.join(F.broadcast(offsets), "bucket", "left")
     wi = Window.partitionBy("bucket").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
     return g.select(
         "score",
@@ -155,6 +174,8 @@ def roc_curve(
     with score >= threshold predicted positive), plus the end points (0, 0)
     and (1, 1) with a null threshold."""
     c = score_prefix_counts(df, label_col, score_col, positive, buckets)
+    # Above the windows, so this filter stays where it is.
+    c = c.where(F.col("pos") + F.col("neg") > 0)
     pts = c.select(
         F.col("score").alias("threshold"),
         ((F.col("neg_total") - F.col("neg_below")) / F.col("neg_total")).alias("fpr"),

@@ -9,8 +9,8 @@ Each estimator is a ``pyspark.ml.Estimator`` (so it composes in a
 Loop state lives in columns of a few parquet tables (see ``lineage``):
 ``__id, __f`` (dense features), ``__y`` (class index of a labelled row),
 ``__first`` (first copy of its vector in the pool) and per-iteration
-``__ps`` (pseudo-label index) partitioned by ``acc`` (accepted) and
-``it`` (iteration). A pool shrink is a directory filter, a labelled-set
+``__ps`` (pseudo-label index) partitioned by ``state`` (accepted, still
+in the pool, or a dropped duplicate) and ``it`` (iteration). A pool shrink is a directory filter, a labelled-set
 growth is a union of directories — no set operation over vectors and no
 shuffle besides the learner's own.
 """
@@ -42,7 +42,8 @@ from seedgrow.operators.dedup import mark_first_copies
 from seedgrow.operators.indexing import DEFAULT_MAX_CLASSES, resolve_labels
 from seedgrow.plans.lineage import Workspace
 
-ID, FEAT, Y, FIRST, POOL, PS, ACC, IT = "__id", "__f", "__y", "__first", "__pool", "__ps", "acc", "it"
+ID, FEAT, Y, FIRST, POOL, PS, IT, STATE = "__id", "__f", "__y", "__first", "__pool", "__ps", "it", "state"
+ACCEPTED, IN_POOL, GONE = "acc", "pool", "gone"
 PRED, PROB, RAW, CONF = "__pred", "__prob", "__raw", "__conf"
 
 MATCH_MODES = ("features", "id")
@@ -113,6 +114,26 @@ def score(model, df: DataFrame, features_col: str = FEAT) -> DataFrame:
     return out.withColumn(CONF, max_probability(PROB))
 
 
+def outcome(accept, dedup: bool):
+    """Per-row outcome of one pool pass, written as the partition column.
+
+    ``acc``: pseudo-labelled now; ``pool``: stays unlabelled; ``gone``: a
+    later copy of a vector whose first copy stays (``features`` mode: the
+    set difference keeps one copy). Rows are tagged, never filtered: a
+    filter on a model-derived column would be pushed below the scoring
+    projection by the optimizer and evaluate the model twice per row.
+    """
+    stay = F.lit(IN_POOL) if not dedup else F.when(F.col(FIRST), F.lit(IN_POOL)).otherwise(F.lit(GONE))
+    return F.when(accept, F.lit(ACCEPTED)).otherwise(stay)
+
+
+def outcome_metrics():
+    return [
+        F.sum((F.col(STATE) == ACCEPTED).cast("long")).alias("n_new"),
+        F.sum((F.col(STATE) == IN_POOL).cast("long")).alias("n_left"),
+    ]
+
+
 def run_parallel(fns: Sequence[Callable[[], object]], parallelism: int) -> list:
     """Run independent Spark jobs from driver threads (as ``CrossValidator``
     does with ``parallelism``); results in input order."""

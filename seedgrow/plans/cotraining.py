@@ -31,14 +31,16 @@ from pyspark.sql import functions as F
 from seedgrow.functions.vectors import slice_vector
 from seedgrow.operators.setops import agreement
 from seedgrow.plans.base import (
-    ACC,
+    ACCEPTED,
     CONF,
     FEAT,
     FIRST,
     ID,
+    IN_POOL,
     IT,
     PRED,
     PS,
+    STATE,
     Y,
     SemiSupervisedMarker,
     Timer,
@@ -47,6 +49,8 @@ from seedgrow.plans.base import (
     fit_learner,
     iteration_schema,
     make_model,
+    outcome,
+    outcome_metrics,
     prepare,
     run_parallel,
     score,
@@ -137,11 +141,11 @@ class CoTraining(Estimator, _LoopParams, SemiSupervisedMarker):
             prep = prepare(self, dataset, ws, dedup)
             v1, v2 = self._views(int(prep.max_dim or 0))
             seed = prep.seed
-            schema = iteration_schema(prep.table.schema, [(PS, "double"), (LEARNER, "int"), (IT, "int"), (ACC, "boolean")])
+            schema = iteration_schema(prep.table.schema, [(PS, "double"), (LEARNER, "int"), (IT, "int"), (STATE, "string")])
 
             def accepted(learner: int):
                 r = ws.read("ct", schema)
-                return r.where((F.col(LEARNER) == learner) & F.col(ACC))
+                return r.where((F.col(LEARNER) == learner) & (F.col(STATE) == ACCEPTED))
 
             def labeled(k: int, it_done: int):
                 """L_k: seed plus the rows the *other* learner accepted."""
@@ -161,20 +165,13 @@ class CoTraining(Estimator, _LoopParams, SemiSupervisedMarker):
                 model = fit_learner(learner, train.withColumn(VIEW, slice_vector(FEAT, view)), VIEW, Y)
                 scored = score(model, pool.withColumn(VIEW, slice_vector(FEAT, view)), VIEW)
                 acc = F.col(CONF) > F.lit(float(t))
-                out = scored.select(ID, FEAT, FIRST, F.col(PRED).alias(PS), acc.alias(ACC))
-                if dedup:
-                    out = out.where(F.col(ACC) | F.col(FIRST))
-                m = ws.write(
-                    out,
-                    f"ct/{LEARNER}={k}/{IT}={it}",
-                    partition_by=[ACC],
-                    metrics=[F.sum(F.col(ACC).cast("long")).alias("n_new"), F.sum((~F.col(ACC)).cast("long")).alias("n_left")],
-                )
+                out = scored.select(ID, FEAT, FIRST, F.col(PRED).alias(PS), outcome(acc, dedup).alias(STATE))
+                m = ws.write(out, f"ct/{LEARNER}={k}/{IT}={it}", partition_by=[STATE], metrics=outcome_metrics())
                 return int(m.get("n_new") or 0), int(m.get("n_left") or 0)
 
             def pool_of(k: int, it: int):
                 r = ws.read("ct", schema)
-                return r.where((F.col(LEARNER) == k) & (F.col(IT) == it) & ~F.col(ACC)).select(ID, FEAT, FIRST)
+                return r.where((F.col(LEARNER) == k) & (F.col(IT) == it) & (F.col(STATE) == IN_POOL)).select(ID, FEAT, FIRST)
 
             n1 = n2 = prep.n_pool
             lab1 = lab2 = prep.n_seed

@@ -17,8 +17,9 @@ scoring is a pure function of the vector, so all copies are accepted
 together in iteration 1.
 
 Per iteration: one distributed fit, then one map-only pass over the pool
-(score, threshold) that writes the pool back partitioned by ``acc`` and
-returns the counts through an observation.
+(score, threshold) that writes the pool back partitioned by its outcome
+(``state`` = acc / pool / gone) and returns the counts through an
+observation.
 """
 
 from __future__ import annotations
@@ -28,14 +29,16 @@ from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.sql import functions as F
 
 from seedgrow.plans.base import (
-    ACC,
+    ACCEPTED,
     CONF,
     FEAT,
     FIRST,
     ID,
+    IN_POOL,
     IT,
     PRED,
     PS,
+    STATE,
     Y,
     SemiSupervisedMarker,
     Timer,
@@ -44,6 +47,8 @@ from seedgrow.plans.base import (
     fit_learner,
     iteration_schema,
     make_model,
+    outcome,
+    outcome_metrics,
     prepare,
     score,
 )
@@ -85,11 +90,14 @@ class SelfTraining(Estimator, _LoopParams, SemiSupervisedMarker):
         try:
             prep = prepare(self, dataset, ws, dedup)
             seed = prep.seed
-            schema = iteration_schema(prep.table.schema, [(PS, "double"), (IT, "int"), (ACC, "boolean")])
+            schema = iteration_schema(prep.table.schema, [(PS, "double"), (IT, "int"), (STATE, "string")])
 
             def iterations():
                 return ws.read("st", schema)
 
+            def accepted():
+                return iterations().where(F.col(STATE) == ACCEPTED)
+
             n_lab, n_pool = prep.n_seed, prep.n_pool
             history: list[dict] = []
             pool = prep.pool
@@ -99,32 +107,22 @@ class SelfTraining(Estimator, _LoopParams, SemiSupervisedMarker):
                 clock = Timer()
                 train = seed
                 if it > 1:
-                    train = seed.unionByName(iterations().where(F.col(ACC)).select(FEAT, F.col(PS).alias(Y)))
+                    train = seed.unionByName(accepted().select(FEAT, F.col(PS).alias(Y)))
                 model = fit_learner(self.base, train)
                 fit_s = clock.lap()
                 scored = score(model, pool)
                 accept = F.col(CONF) > F.lit(float(t))
-                out = scored.select(ID, FEAT, FIRST, F.col(PRED).alias(PS), accept.alias(ACC))
-                if dedup:
-                    # U EXCEPT N keeps one copy of every surviving vector.
-                    out = out.where(F.col(ACC) | F.col(FIRST))
-                m = ws.write(
-                    out,
-                    f"st/{IT}={it}",
-                    partition_by=[ACC],
-                    metrics=[
-                        F.sum(F.col(ACC).cast("long")).alias("n_new"),
-                        F.sum((~F.col(ACC)).cast("long")).alias("n_left"),
-                    ],
-                )
+                # U EXCEPT N keeps one copy of every surviving vector (features mode).
+                out = scored.select(ID, FEAT, FIRST, F.col(PRED).alias(PS), outcome(accept, dedup).alias(STATE))
+                m = ws.write(out, f"st/{IT}={it}", partition_by=[STATE], metrics=outcome_metrics())
                 new, n_pool = int(m.get("n_new") or 0), int(m.get("n_left") or 0)
                 n_lab += new
                 history.append(dict(iteration=it, n_labeled=n_lab, n_unlabeled=n_pool, n_new=new,
                                     fit_s=fit_s, score_s=clock.lap()))
-                pool = iterations().where((F.col(IT) == it) & ~F.col(ACC)).select(ID, FEAT, FIRST)
+                pool = iterations().where((F.col(IT) == it) & (F.col(STATE) == IN_POOL)).select(ID, FEAT, FIRST)
             final_train = seed
             if it > 0:
-                final_train = seed.unionByName(iterations().where(F.col(ACC)).select(FEAT, F.col(PS).alias(Y)))
+                final_train = seed.unionByName(accepted().select(FEAT, F.col(PS).alias(Y)))
             final = fit_learner(self.base, final_train)
         finally:
             ws.close()

@@ -30,7 +30,8 @@ def spread(df: DataFrame) -> DataFrame:
     only when it has fewer partitions than the cluster has task slots (a
     small file stored as one row group). A large input already arrives in
     many splits and is returned unchanged: no shuffle is added at scale.
-    Checking the partition count plans the query; it runs no job."""
+    Apply it to a bare scan: counting the partitions of a scan only lists
+    files, while on a plan with exchanges it would run those stages."""
     slots = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < slots:
         return df.repartition(slots)
@@ -87,9 +88,9 @@ def quality_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     skew; AQE turns it into a broadcast only if the label side proves small
     at runtime.
     """
-    d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     lab = read_table(spark, sf_dir, "labels").select("doc_id", "quality")
-    j = spread(d.join(lab, "doc_id", "left"))
+    j = d.join(lab, "doc_id", "left")
     return j.select(
         F.col("doc_id").alias("row_id"),
         letter_frequencies("text").alias("features"),
