@@ -17,6 +17,7 @@ shuffle besides the learner's own.
 
 from __future__ import annotations
 
+import importlib
 import time
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -24,6 +25,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import ProbabilisticClassifier
 from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
 from pyspark.ml.param.shared import (
     HasFeaturesCol,
     HasLabelCol,
@@ -225,12 +227,13 @@ def iteration_schema(prepared_schema: StructType, extra: Sequence[tuple[str, str
     return s
 
 
-class SemiSupervisedModel(Model, _SharedParams):
+class SemiSupervisedModel(Model, _SharedParams, MLWritable, MLReadable):
     """A fitted base model plus the label list and the loop history.
 
     ``transform`` appends the base model's ``rawPrediction`` and
     ``probability`` (class positions follow ``labels``) and ``prediction``
-    in the caller's label values.
+    in the caller's label values. Saved and loaded with ``save``/``load``,
+    also as a stage of a saved ``PipelineModel``.
     """
 
     def __init__(self, base_model=None, labels: Sequence | None = None, identity: bool = True,
@@ -278,6 +281,47 @@ class SemiSupervisedModel(Model, _SharedParams):
         that.baseModel = self.baseModel.copy() if self.baseModel is not None else None
         return that
 
+    def write(self) -> MLWriter:
+        return _ModelWriter(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _ModelReader(cls)
+
+
+class _ModelWriter(MLWriter):
+    def __init__(self, instance: SemiSupervisedModel):
+        super().__init__()
+        self.instance = instance
+
+    def saveImpl(self, path: str) -> None:
+        inst = self.instance
+        base = inst.baseModel
+        extra = {
+            "labels": inst.labels,
+            "identity": inst.identity,
+            "historyRows": inst._history_rows,
+            "historySchema": inst._history_schema,
+            "baseClass": f"{type(base).__module__}.{type(base).__name__}",
+        }
+        DefaultParamsWriter.saveMetadata(inst, path, self.sparkSession, extraMetadata=extra)
+        base.write().overwrite().save(f"{path.rstrip('/')}/base")
+
+
+class _ModelReader(MLReader):
+    def __init__(self, cls):
+        super().__init__()
+        self.cls = cls
+
+    def load(self, path: str) -> SemiSupervisedModel:
+        meta = DefaultParamsReader.loadMetadata(path, self.sparkSession)
+        module, name = meta["baseClass"].rsplit(".", 1)
+        base = getattr(importlib.import_module(module), name).load(f"{path.rstrip('/')}/base")
+        m = self.cls(base, meta["labels"], meta["identity"], meta["historyRows"], meta["historySchema"])
+        m._resetUid(meta["uid"])
+        DefaultParamsReader.getAndSetParams(m, meta)
+        return m
+
 
 def make_model(est, base_model, prepared: Prepared, history: list[dict], schema: str) -> SemiSupervisedModel:
     m = SemiSupervisedModel(base_model, prepared.labels, prepared.identity, history, schema)

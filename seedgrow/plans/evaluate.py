@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from seedgrow.functions.vectors import probability_at
 from seedgrow.operators.metrics import auc, roc_curve, weighted_metrics
 from seedgrow.operators.splits import labeled_flag
-from seedgrow.plans.base import SemiSupervisedMarker
+from seedgrow.plans.base import SemiSupervisedMarker, run_parallel
 
 METRICS = ["weighted_precision", "weighted_recall", "weighted_f1", "auc", "auc_folded"]
 
@@ -62,41 +62,46 @@ def evaluate_all(
     id_col: str = "row_id",
     label_col: str = "label",
     with_timing: bool = False,
+    parallelism: int = 1,
 ) -> DataFrame:
     """Mean metrics over folds per (algorithm, labelled fraction).
 
     Columns: ``name, label_fraction, weighted_precision, weighted_recall,
-    weighted_f1, auc, auc_folded`` (+ ``learning_time_s``).
+    weighted_f1, auc, auc_folded`` (+ ``learning_time_s``). With
+    ``parallelism > 1`` independent fits are submitted from that many
+    driver threads (timings then include the contention).
     """
     spark = df.sparkSession
-    parts: list[DataFrame] = []
-    timings: list[tuple] = []
-    for fraction in fractions:
-        for seed in fold_seeds:
-            flag = labeled_flag(id_col, fraction, seed)
-            labeled = df.where(flag)
-            pool = df.where(~flag)
-            ssl_input = df.withColumn(label_col, F.when(flag, F.col(label_col)))
-            for est, name in algorithms:
-                t0 = time.perf_counter()
-                train = ssl_input if isinstance(est, SemiSupervisedMarker) else labeled
-                model = est.fit(train)
-                pred = model.transform(pool)
-                if with_timing:
-                    pred.write.format("noop").mode("overwrite").save()
-                    timings.append((name, float(fraction), int(seed), "learning_time_s", time.perf_counter() - t0))
-                m = run_metrics(pred, label_col, score_column(model, positive), positive)
-                parts.append(
-                    m.select(
-                        F.lit(name).alias("name"),
-                        F.lit(float(fraction)).alias("label_fraction"),
-                        F.lit(int(seed)).alias("fold_seed"),
-                        "metric",
-                        "value",
-                    )
-                )
+    runs = [(f, s, est, name) for f in fractions for s in fold_seeds for est, name in algorithms]
+
+    def one(fraction, seed, est, name):
+        flag = labeled_flag(id_col, fraction, seed)
+        t0 = time.perf_counter()
+        if isinstance(est, SemiSupervisedMarker):
+            train = df.withColumn(label_col, F.when(flag, F.col(label_col)))
+        else:
+            train = df.where(flag)
+        model = est.fit(train)
+        pred = model.transform(df.where(~flag))
+        timing = None
+        if with_timing:
+            pred.write.format("noop").mode("overwrite").save()
+            timing = (name, float(fraction), int(seed), "learning_time_s", time.perf_counter() - t0)
+        m = run_metrics(pred, label_col, score_column(model, positive), positive)
+        part = m.select(
+            F.lit(name).alias("name"),
+            F.lit(float(fraction)).alias("label_fraction"),
+            F.lit(int(seed)).alias("fold_seed"),
+            "metric",
+            "value",
+        )
+        return part, timing
+
+    results = run_parallel([lambda r=r: one(*r) for r in runs], parallelism)
+    parts = [p for p, _ in results]
     metrics = list(METRICS)
     if with_timing:
+        timings = [t for _, t in results]
         parts.append(spark.createDataFrame(timings, "name string, label_fraction double, fold_seed int, metric string, value double"))
         metrics.append("learning_time_s")
     allrows = parts[0]

@@ -482,12 +482,12 @@ def _round_results(df: DataFrame) -> DataFrame:
 
 def q_evaluate_all_metrics(spark, sf):
     b = tables.binary_embedding_samples(spark, sf)
-    return _round_results(evaluate_all(_harness_algorithms(), b, [HARNESS_FRACTION], HARNESS_FOLDS, 1.0))
+    return _round_results(evaluate_all(_harness_algorithms(), b, [HARNESS_FRACTION], HARNESS_FOLDS, 1.0, parallelism=4))
 
 
 def q_fraction_sweep(spark, sf):
     b = tables.binary_embedding_samples(spark, sf)
-    return _round_results(evaluate_all(_harness_algorithms(), b, SWEEP_FRACTIONS, [SEED], 1.0))
+    return _round_results(evaluate_all(_harness_algorithms(), b, SWEEP_FRACTIONS, [SEED], 1.0, parallelism=4))
 
 
 def q_roc_evaluation(spark, sf):

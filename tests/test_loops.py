@@ -160,3 +160,24 @@ def test_history_is_a_dataframe(spark):
     h = m.history
     assert h.columns[:4] == ["iteration", "n_labeled", "n_unlabeled", "n_new"]
     assert h.count() == len(m.history_rows)
+
+
+def test_model_save_load(spark, tmp_path):
+    from pyspark.ml import PipelineModel
+
+    from seedgrow import SemiSupervisedModel
+
+    df = embedding_samples(spark, SF_SMALL).withColumn(
+        "label", F.when(F.col("row_id") % 10 == 0, F.when(F.col("label") % 2 == 0, 1.0).otherwise(-1.0))
+    )
+    m = SelfTraining(nb(), threshold=0.9, maxIter=2).fit(df)
+    m.write().overwrite().save(str(tmp_path / "m"))
+    back = SemiSupervisedModel.load(str(tmp_path / "m"))
+    assert back.labels == m.labels and back.history_rows == m.history_rows and back.identity == m.identity
+    a = m.transform(df).select("row_id", "prediction").orderBy("row_id").collect()
+    b = back.transform(df).select("row_id", "prediction").orderBy("row_id").collect()
+    assert a == b
+    pm = Pipeline(stages=[SelfTraining(nb(), threshold=0.9, maxIter=1)]).fit(df)
+    pm.write().overwrite().save(str(tmp_path / "p"))
+    pb = PipelineModel.load(str(tmp_path / "p"))
+    assert pb.transform(df).count() == df.count()
