@@ -7,9 +7,9 @@ is collected and re-parallelised.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seedgrow.functions.labels import label_of_index
@@ -61,7 +61,14 @@ def with_confidence(scored: DataFrame, probability_col: str = "probability", out
 
 
 def confidence_filter(scored: DataFrame, threshold: float, probability_col: str = "probability") -> DataFrame:
-    """Rows whose largest class probability is strictly above ``threshold``."""
+    """Rows whose largest class probability is strictly above ``threshold``.
+
+    As a plain filter it lets Catalyst push the condition below the scoring
+    projection, which then evaluates the model in the filter and again for
+    the kept rows. That is fine for a one-off selection; the loops, which
+    score the whole pool every iteration, tag rows instead
+    (``plans.base.outcome``) and never filter on model output.
+    """
     return scored.where(max_probability(probability_col) > F.lit(float(threshold)))
 
 
@@ -74,13 +81,20 @@ def reliable_pseudo_labels(
     features_col: str = "features",
     label_col: str = "label",
     scoring_features_col: str | None = None,
+    transform: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """Score the pool, keep confident rows, emit ``(id, label, features)``.
 
-    ``scoring_features_col`` lets the model score a derived column (a
-    feature view) while the output keeps the full ``features_col``.
+    The model may score something other than ``features_col`` while the
+    output keeps the full vector: either an existing column
+    (``scoring_features_col``) or a ``Column -> Column`` ``transform`` of
+    the features (e.g. ``lambda c: slice_vector(c, view)``), evaluated as an
+    expression during the scan.
     """
     fcol = scoring_features_col or features_col
+    if transform is not None:
+        pool = pool.withColumn("__scored_features", transform(F.col(features_col)))
+        fcol = "__scored_features"
     scored = model.transform(
         pool,
         {

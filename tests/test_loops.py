@@ -181,3 +181,48 @@ def test_model_save_load(spark, tmp_path):
     pm.write().overwrite().save(str(tmp_path / "p"))
     pb = PipelineModel.load(str(tmp_path / "p"))
     assert pb.transform(df).count() == df.count()
+
+
+def test_order_and_partitioning_do_not_matter(spark):
+    df = every_tenth(spark, SF_SMALL)
+    a = SelfTraining(nb(), threshold=0.95, maxIter=3).fit(df)
+    b = SelfTraining(nb(), threshold=0.95, maxIter=3).fit(df.orderBy(F.col("row_id").desc()).repartition(5))
+    assert a.history_rows and [r["n_new"] for r in a.history_rows] == [r["n_new"] for r in b.history_rows]
+    pa = a.transform(df).select("row_id", "prediction").orderBy("row_id").collect()
+    pb = b.transform(df).select("row_id", "prediction").orderBy("row_id").collect()
+    assert pa == pb
+
+
+def test_hot_vector_holding_a_third_of_the_pool(spark):
+    """One vector repeated across a third of the pool: the first-copy flag
+    keeps exactly one copy, and features mode removes the rest of the copies
+    after the first shrink."""
+    from seedgrow.operators.dedup import duplicate_summary
+
+    n = 300
+    rows = []
+    for i in range(n):
+        vec = Vectors.dense([1.0, 2.0]) if i % 3 == 0 else Vectors.dense([float(i), float(i % 7)])
+        lab = float(i % 2) if i % 10 in (1, 2) else None
+        rows.append((i, vec, lab))
+    df = vec_df(spark, rows, "row_id long, features vector, label double")
+    pool = df.where("label IS NULL")
+    s = duplicate_summary(pool).first()
+    n_hot = pool.where(F.col("row_id") % 3 == 0).count()
+    assert s["n_rows"] - s["n_distinct"] == n_hot - 1
+    m = SelfTraining(nb(), threshold=1.0, maxIter=1, matchMode="features").fit(df)
+    assert m.history_rows[0]["n_unlabeled"] == s["n_distinct"]
+
+
+def test_reliable_with_transform(spark):
+    from seedgrow.functions import slice_vector
+    from seedgrow.operators.pseudo import reliable_pseudo_labels
+    from seedgrow import workloads as W
+
+    seed, pool = W.seed_and_pool(spark, SF_SMALL)
+    view = list(range(32))
+    m = nb().setFeaturesCol("v").fit(seed.withColumn("v", slice_vector("features", view)))
+    a = reliable_pseudo_labels(m, pool.withColumn("v", slice_vector("features", view)), 0.9, list(range(10)),
+                               scoring_features_col="v").select("row_id", "label")
+    b = reliable_pseudo_labels(m, pool, 0.9, list(range(10)), transform=lambda c: slice_vector(c, view)).select("row_id", "label")
+    assert sorted(a.collect()) == sorted(b.collect())
