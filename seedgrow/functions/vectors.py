@@ -18,9 +18,14 @@ def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _to_array(c: Column) -> Column:
+    # ``vector_to_array`` raises on a null vector; keep nulls null.
+    return F.when(c.isNotNull(), vector_to_array(c))
+
+
 def as_array(c: str | Column) -> Column:
     """Vector -> ``array<double>`` (dense values, whatever the storage)."""
-    return vector_to_array(_col(c))
+    return _to_array(_col(c))
 
 
 def dense(c: str | Column) -> Column:
@@ -29,12 +34,12 @@ def dense(c: str | Column) -> Column:
     Set operations compare the stored form, so a sparse and a dense vector
     with equal values would otherwise be different keys.
     """
-    return array_to_vector(vector_to_array(_col(c)))
+    return array_to_vector(_to_array(_col(c)))
 
 
 def vector_size(c: str | Column) -> Column:
     """Dimension of a vector (``bigint``)."""
-    return F.size(vector_to_array(_col(c))).cast("long")
+    return F.size(_to_array(_col(c))).cast("long")
 
 
 def slice_vector(c: str | Column, indices: Sequence[int]) -> Column:
@@ -49,15 +54,16 @@ def slice_vector(c: str | Column, indices: Sequence[int]) -> Column:
         raise ValueError("a feature view needs at least one index")
     if min(idx) < 0:
         raise ValueError(f"negative feature index in view {idx}")
-    arr = vector_to_array(_col(c))
-    return array_to_vector(F.array(*[arr.getItem(i) for i in idx]))
+    c = _col(c)
+    arr = vector_to_array(c)
+    return F.when(c.isNotNull(), array_to_vector(F.array(*[arr.getItem(i) for i in idx])))
 
 
 def max_probability(c: str | Column) -> Column:
     """Confidence of a scored row: the largest class probability."""
-    return F.array_max(vector_to_array(_col(c)))
+    return F.array_max(_to_array(_col(c)))
 
 
 def probability_at(c: str | Column, index: int) -> Column:
     """Probability of the class with internal index ``index``."""
-    return vector_to_array(_col(c)).getItem(int(index))
+    return _to_array(_col(c)).getItem(int(index))
