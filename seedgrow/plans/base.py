@@ -7,7 +7,8 @@ Each estimator is a ``pyspark.ml.Estimator`` (so it composes in a
 :class:`SemiSupervisedModel` wrapping an ordinary fitted base model.
 
 Loop state lives in columns of a few parquet tables (see ``lineage``):
-``__id, __f`` (dense features), ``__y`` (class index of a labelled row),
+``__id, __f`` (dense features), ``__label`` (the caller's label, mapped to
+the class index ``__y`` when read),
 ``__first`` (first copy of its vector in the pool) and per-iteration
 ``__ps`` (pseudo-label index) partitioned by ``state`` (accepted, still
 in the pool, or a dropped duplicate) and ``it`` (iteration). A pool shrink is a directory filter, a labelled-set
@@ -46,6 +47,7 @@ from seedgrow.plans.lineage import Workspace
 
 ID, FEAT, Y, FIRST, POOL, PS, IT, STATE = "__id", "__f", "__y", "__first", "__pool", "__ps", "it", "state"
 ACCEPTED, IN_POOL, GONE = "acc", "pool", "gone"
+LABEL = "__label"
 PRED, PROB, RAW, CONF = "__pred", "__prob", "__raw", "__conf"
 
 MATCH_MODES = ("features", "id")
@@ -103,7 +105,18 @@ def check_base(learner) -> None:
         )
 
 
-def fit_learner(learner, df: DataFrame, features_col: str = FEAT, label_col: str = Y):
+def with_class_count(df: DataFrame, label_col: str, num_classes: int) -> DataFrame:
+    """Attach nominal-attribute metadata (``num_vals``) to the label, the
+    way ``StringIndexer`` output carries it: learners then know the class
+    count without a job over the data, and it cannot shrink when a training
+    set happens to lack the highest class."""
+    meta = {"ml_attr": {"type": "nominal", "num_vals": int(num_classes), "name": label_col}}
+    return df.withColumn(label_col, F.col(label_col).alias(label_col, metadata=meta))
+
+
+def fit_learner(learner, df: DataFrame, features_col: str = FEAT, label_col: str = Y, num_classes: int | None = None):
+    if num_classes is not None:
+        df = with_class_count(df, label_col, num_classes)
     return learner.fit(df, {learner.featuresCol: features_col, learner.labelCol: label_col})
 
 
@@ -147,7 +160,8 @@ def run_parallel(fns: Sequence[Callable[[], object]], parallelism: int) -> list:
 
 
 class Prepared:
-    """Result of :func:`prepare`: the state table and its numbers."""
+    """Result of :func:`prepare`: the base table, the label domain and the
+    observed counts."""
 
     def __init__(self, table: DataFrame, labels: list, identity: bool, stats: dict):
         self.table = table
@@ -159,9 +173,21 @@ class Prepared:
         self.min_dim = stats.get("min_dim")
         self.max_dim = stats.get("max_dim")
 
+    @property
+    def num_classes(self) -> int:
+        return len(self.labels)
+
+    def _y(self):
+        lab = F.col(LABEL)
+        return (lab if self.identity else index_of_label(lab, self.labels)).alias(Y)
+
     @property
     def seed(self) -> DataFrame:
-        return self.table.where(~F.col(POOL)).select(FEAT, Y)
+        return self.table.where(~F.col(POOL)).select(FEAT, self._y())
+
+    @property
+    def seed_with_ids(self) -> DataFrame:
+        return self.table.where(~F.col(POOL)).select(ID, FEAT, self._y())
 
     @property
     def pool(self) -> DataFrame:
@@ -171,9 +197,11 @@ class Prepared:
 def prepare(est: _LoopParams, dataset: DataFrame, ws: Workspace, dedup: bool) -> Prepared:
     """Normalise the input once and write it as the loop's base table.
 
-    One aggregate finds the label domain (reads only the label column); one
-    pass writes ``(__id, __f, __y, __first)`` partitioned by ``__pool`` and
-    observes the counts and the vector dimension range.
+    One pass over the caller's input writes ``(__id, __f, __label,
+    __first)`` partitioned by ``__pool`` and observes the counts and the
+    vector dimension range; the label domain is then read from the written
+    seed partition (one small aggregate over the label column only), so
+    the caller's pipeline is evaluated exactly once.
     """
     fcol, lcol, icol = est.getFeaturesCol(), est.getLabelCol(), est.getIdCol()
     for c in (fcol, lcol):
@@ -185,12 +213,12 @@ def prepare(est: _LoopParams, dataset: DataFrame, ws: Workspace, dedup: bool) ->
     if icol not in df.columns:
         # Non-deterministic on recomputation, hence materialised right below.
         df = df.withColumn(icol, F.monotonically_increasing_id())
-    base = df.select(F.col(icol).alias(ID), dense(fcol).alias(FEAT), F.col(lcol).cast("double").alias("__label"))
-    labels, identity = resolve_labels(base, "__label", est.getOrDefault(est.maxClasses))
-    if len(labels) < 2:
-        raise ValueError(f"the labelled rows must cover at least two classes, found {labels}")
-    y = F.col("__label") if identity else index_of_label("__label", labels)
-    state = base.select(ID, FEAT, y.alias(Y), F.col("__label").isNull().alias(POOL))
+    state = df.select(
+        F.col(icol).alias(ID),
+        dense(fcol).alias(FEAT),
+        F.col(lcol).cast("double").alias(LABEL),
+        F.col(lcol).isNull().alias(POOL),
+    )
     if dedup:
         pool = mark_first_copies(state.where(F.col(POOL)), ID, FEAT, FIRST)
         seed = state.where(~F.col(POOL)).withColumn(FIRST, F.lit(True))
@@ -213,7 +241,11 @@ def prepare(est: _LoopParams, dataset: DataFrame, ws: Workspace, dedup: bool) ->
     )
     if stats.get("min_dim") is not None and stats["min_dim"] != stats["max_dim"]:
         raise ValueError(f"feature vectors have different sizes ({stats['min_dim']}..{stats['max_dim']})")
-    return Prepared(ws.read("prep", state.schema), labels, identity, stats)
+    table = ws.read("prep", state.schema)
+    labels, identity = resolve_labels(table.where(~F.col(POOL)), LABEL, est.getOrDefault(est.maxClasses))
+    if len(labels) < 2:
+        raise ValueError(f"the labelled rows must cover at least two classes, found {labels}")
+    return Prepared(table, labels, identity, stats)
 
 
 def iteration_schema(prepared_schema: StructType, extra: Sequence[tuple[str, str]]) -> StructType:

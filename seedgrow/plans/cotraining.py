@@ -155,14 +155,14 @@ class CoTraining(Estimator, _LoopParams, SemiSupervisedMarker):
                 return seed.unionByName(accepted(other).select(FEAT, F.col(PS).alias(Y)))
 
             def labeled_with_ids(k: int, it_done: int):
-                s = prep.table.where(~F.col("__pool")).select(ID, FEAT, Y)
+                s = prep.seed_with_ids
                 if it_done == 0:
                     return s
                 other = 2 if k == 1 else 1
                 return s.unionByName(accepted(other).select(ID, FEAT, F.col(PS).alias(Y)))
 
             def step(k: int, learner, view, pool, train, it):
-                model = fit_learner(learner, train.withColumn(VIEW, slice_vector(FEAT, view)), VIEW, Y)
+                model = fit_learner(learner, train.withColumn(VIEW, slice_vector(FEAT, view)), VIEW, Y, prep.num_classes)
                 scored = score(model, pool.withColumn(VIEW, slice_vector(FEAT, view)), VIEW)
                 acc = F.col(CONF) > F.lit(float(t))
                 out = scored.select(ID, FEAT, FIRST, F.col(PRED).alias(PS), outcome(acc, dedup).alias(STATE))
@@ -202,7 +202,7 @@ class CoTraining(Estimator, _LoopParams, SemiSupervisedMarker):
                 it += 1
             done = it - 1
             agree = agreement(labeled_with_ids(1, done), labeled_with_ids(2, done), ID, FEAT, Y, mode)
-            final = fit_learner(self.final, agree.select(FEAT, Y))
+            final = fit_learner(self.final, agree.select(FEAT, Y), num_classes=prep.num_classes)
         finally:
             ws.close()
         model = make_model(self, final, prep, history, HISTORY_SCHEMA)

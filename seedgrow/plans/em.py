@@ -94,17 +94,17 @@ class HardEM(Estimator, _LoopParams, SemiSupervisedMarker):
                 return nxt, int(m.get("n_changed") or 0)
 
             if n_pool == 0:
-                final = fit_learner(self.base, seed)
+                final = fit_learner(self.base, seed, num_classes=prep.num_classes)
                 return make_model(self, final, prep, history, HISTORY_SCHEMA)
 
-            model = fit_learner(self.base, seed)
+            model = fit_learner(self.base, seed, num_classes=prep.num_classes)
             pool = prep.pool.withColumn(PREV, F.lit(None).cast("double"))
             it, residual = 0, 100.0
             while it < self.getMaxIter() and n_pool > 0 and residual > tol:
                 clock = Timer()
                 pool, n_changed = estep(model, pool, it + 1)
                 estep_s = clock.lap()
-                model = fit_learner(self.base, seed.unionByName(pool.select(FEAT, F.col(PREV).alias(Y))))
+                model = fit_learner(self.base, seed.unionByName(pool.select(FEAT, F.col(PREV).alias(Y))), num_classes=prep.num_classes)
                 missed = n_pool if it == 0 else n_changed
                 residual = 100.0 * missed / n_pool
                 it += 1
@@ -114,7 +114,7 @@ class HardEM(Estimator, _LoopParams, SemiSupervisedMarker):
                     ws.delete(f"em/{IT}={it - 1}")
             last = model
             pool, _ = estep(model, pool, it + 1)
-            final = fit_learner(self.base, seed.unionByName(pool.select(FEAT, F.col(PREV).alias(Y))))
+            final = fit_learner(self.base, seed.unionByName(pool.select(FEAT, F.col(PREV).alias(Y))), num_classes=prep.num_classes)
         finally:
             ws.close()
         out = make_model(self, final, prep, history, HISTORY_SCHEMA)

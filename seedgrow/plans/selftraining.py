@@ -108,7 +108,7 @@ class SelfTraining(Estimator, _LoopParams, SemiSupervisedMarker):
                 train = seed
                 if it > 1:
                     train = seed.unionByName(accepted().select(FEAT, F.col(PS).alias(Y)))
-                model = fit_learner(self.base, train)
+                model = fit_learner(self.base, train, num_classes=prep.num_classes)
                 fit_s = clock.lap()
                 scored = score(model, pool)
                 accept = F.col(CONF) > F.lit(float(t))
@@ -123,7 +123,7 @@ class SelfTraining(Estimator, _LoopParams, SemiSupervisedMarker):
             final_train = seed
             if it > 0:
                 final_train = seed.unionByName(accepted().select(FEAT, F.col(PS).alias(Y)))
-            final = fit_learner(self.base, final_train)
+            final = fit_learner(self.base, final_train, num_classes=prep.num_classes)
         finally:
             ws.close()
         return make_model(self, final, prep, history, HISTORY_SCHEMA)

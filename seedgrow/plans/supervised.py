@@ -43,7 +43,7 @@ class Supervised(Estimator, _SharedParams):
         if len(labels) < 2:
             raise ValueError(f"the labelled rows must cover at least two classes, found {labels}")
         y = F.col("__label") if identity else index_of_label("__label", labels)
-        model = fit_learner(self.base, lab.select(FEAT, y.alias(Y)))
+        model = fit_learner(self.base, lab.select(FEAT, y.alias(Y)), num_classes=len(labels))
         m = SemiSupervisedModel(model, labels, identity, [], HISTORY_SCHEMA)
         self._copyValues(m)
         return m
