@@ -51,12 +51,13 @@ def resolve_labels(df: DataFrame, label_col: str, max_classes: int = DEFAULT_MAX
     return labels, False
 
 
-def label_index_table(df: DataFrame, label_col: str) -> DataFrame:
+def label_index_table(df: DataFrame, label_col: str, max_classes: int = DEFAULT_MAX_CLASSES) -> DataFrame:
     """``(label, label_index, n)``: the fitted index as a table.
 
-    The window runs over the per-class aggregate (one row per class), not
-    over the data.
+    The window runs over the per-class aggregate (one row per class, at most
+    ``max_classes`` — checked first), not over the data.
     """
+    frequency_labels(df, label_col, max_classes)
     lab = F.col(label_col)
     counts = df.where(lab.isNotNull()).groupBy(lab.alias("label")).agg(F.count(F.lit(1)).alias("n"))
     w = Window.orderBy(F.col("n").desc(), F.col("label").cast("string").asc())

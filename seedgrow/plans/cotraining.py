@@ -202,7 +202,10 @@ class CoTraining(Estimator, _LoopParams, SemiSupervisedMarker):
                 it += 1
             done = it - 1
             agree = agreement(labeled_with_ids(1, done), labeled_with_ids(2, done), ID, FEAT, Y, mode)
-            final = fit_learner(self.final, agree.select(FEAT, Y), num_classes=prep.num_classes)
+            # Written once: the set involves shuffles, and learners make
+            # several passes over their input before caching it.
+            ws.write(agree.select(FEAT, Y), "agree")
+            final = fit_learner(self.final, ws.read("agree"), num_classes=prep.num_classes)
         finally:
             ws.close()
         model = make_model(self, final, prep, history, HISTORY_SCHEMA)

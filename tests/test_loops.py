@@ -226,3 +226,18 @@ def test_reliable_with_transform(spark):
                                scoring_features_col="v").select("row_id", "label")
     b = reliable_pseudo_labels(m, pool, 0.9, list(range(10)), transform=lambda c: slice_vector(c, view)).select("row_id", "label")
     assert sorted(a.collect()) == sorted(b.collect())
+
+
+def test_cross_validator_mechanics(spark):
+    """Param maps and copies work under CrossValidator (fully labelled data:
+    MLlib evaluators cannot score null labels)."""
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+
+    df = embedding_samples(spark, SF_SMALL)
+    st = SelfTraining(nb(), maxIter=1)
+    grid = ParamGridBuilder().addGrid(st.threshold, [0.9, 0.99]).build()
+    cv = CrossValidator(estimator=st, estimatorParamMaps=grid, numFolds=2, seed=1,
+                        evaluator=MulticlassClassificationEvaluator(metricName="accuracy"))
+    m = cv.fit(df)
+    assert len(m.avgMetrics) == 2
