@@ -125,3 +125,25 @@ def test_sinks_round_trip(spark, tmp_path):
     roc = spark.createDataFrame([(None, 0.0, 0.0), (0.5, 0.5, 1.0)], "threshold double, fpr double, tpr double")
     write_roc(roc, str(tmp_path / "roc"), fmt="csv")
     assert spark.read.option("header", True).csv(str(tmp_path / "roc")).count() == 2
+
+
+def test_sweep_end_to_end(spark, tmp_path):
+    from pyspark.ml.classification import NaiveBayes
+
+    from seedgrow.plans.selftraining import SelfTraining
+    from seedgrow.plans.sweep import run_sweep
+    from seedgrow.plans.supervised import Supervised
+    from seedgrow.sources import binary_embedding_samples
+
+    b = binary_embedding_samples(spark, "/root/testdata/sf0.001")
+    lines = b.select(
+        F.concat(F.col("label").cast("int").cast("string"), F.lit(","),
+                 F.array_join(as_array("features").cast("array<string>"), " ")).alias("value")
+    )
+    lines.write.text(str(tmp_path / "in"))
+    algos = [(Supervised(NaiveBayes(modelType="gaussian")), "NB"),
+             (SelfTraining(NaiveBayes(modelType="gaussian"), maxIter=1), "ST")]
+    out = run_sweep(spark, str(tmp_path / "in"), str(tmp_path / "out"), [0.2, 0.3], [42], 1.0, algos)
+    rows = out.collect()
+    assert len(rows) == 4 and {r["name"] for r in rows} == {"NB", "ST"}
+    assert all(0.0 <= r["weighted_f1"] <= 1.0 and r["learning_time_s"] > 0 for r in rows)
