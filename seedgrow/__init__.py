@@ -6,5 +6,6 @@ built from, and an evaluation layer whose every table stays distributed.
 """
 
 from seedgrow.plans import CoTraining, HardEM, SelfTraining, SemiSupervisedModel
+from seedgrow.plans.supervised import Supervised
 
-__all__ = ["CoTraining", "HardEM", "SelfTraining", "SemiSupervisedModel"]
+__all__ = ["CoTraining", "HardEM", "SelfTraining", "SemiSupervisedModel", "Supervised"]

@@ -117,8 +117,9 @@ def quality_scored(spark: SparkSession, sf: str) -> DataFrame:
     return pred.select("label", "prediction", F.round(score_column(model, 1.0), 12).alias("score"))
 
 
-def _scored_rows(model, df: DataFrame, features: str = "features") -> DataFrame:
-    p = model.transform(df.withColumnRenamed(features, "features") if features != "features" else df)
+def _scored_rows(model, df: DataFrame) -> DataFrame:
+    """``(row_id, prediction, confidence)`` of every row of ``df``."""
+    p = model.transform(df)
     return p.select(
         "row_id",
         F.col("prediction").cast("double").alias("prediction"),
