@@ -37,7 +37,7 @@ from pyspark.ml.param.shared import (
 )
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType, StructType
+from pyspark.sql.types import NumericType
 
 from seedgrow.functions.labels import index_of_label, label_of_index
 from seedgrow.functions.vectors import dense, max_probability, vector_size
@@ -120,33 +120,62 @@ def fit_learner(learner, df: DataFrame, features_col: str = FEAT, label_col: str
     return learner.fit(df, {learner.featuresCol: features_col, learner.labelCol: label_col})
 
 
-def score(model, df: DataFrame, features_col: str = FEAT) -> DataFrame:
-    """``model.transform`` into private columns plus ``__conf``."""
-    out = model.transform(
-        df,
-        {model.featuresCol: features_col, model.predictionCol: PRED, model.probabilityCol: PROB, model.rawPredictionCol: RAW},
-    )
-    return out.withColumn(CONF, max_probability(PROB))
+def outcome_metrics():
+    return [
+        F.sum((F.col(STATE) == ACCEPTED).cast("long")).alias("n_new"),
+        F.sum((F.col(STATE) == IN_POOL).cast("long")).alias("n_left"),
+    ]
+
 
+def replay(pool: DataFrame, models: Sequence, threshold: float, dedup: bool, features_col: str = FEAT):
+    """Apply the models of iterations 1..k, in order, to the original pool.
 
-def outcome(accept, dedup: bool):
-    """Per-row outcome of one pool pass, written as the partition column.
+    Pool membership is a pure function of the row and the models so far: a
+    row is still in the pool at iteration k if no earlier model accepted it
+    (and, in ``features`` mode, it is the first copy of its vector once the
+    first shrink has happened). Re-evaluating the earlier models costs k
+    model evaluations per row, but spares rewriting the pool — vectors and
+    all — to shared storage every iteration.
 
-    ``acc``: pseudo-labelled now; ``pool``: stays unlabelled; ``gone``: a
-    later copy of a vector whose first copy stays (``features`` mode: the
-    set difference keeps one copy). Rows are tagged, never filtered: a
-    filter on a model-derived column would be pushed below the scoring
-    projection by the optimizer and evaluate the model twice per row.
+    Returns ``(df, in_pool, accept, prediction)`` as columns of ``df``:
+    membership at iteration k, acceptance by model k, model k's prediction.
     """
-    stay = F.lit(IN_POOL) if not dedup else F.when(F.col(FIRST), F.lit(IN_POOL)).otherwise(F.lit(GONE))
-    return F.when(accept, F.lit(ACCEPTED)).otherwise(stay)
+    if not models:
+        raise ValueError("replay needs at least one model")
+    keep = F.col(FIRST) if dedup else F.lit(True)
+    df, in_pool = pool, F.lit(True)
+    last = len(models) - 1
+    for j, m in enumerate(models):
+        df = m.transform(
+            df,
+            {
+                m.featuresCol: features_col,
+                m.predictionCol: f"__pred{j}",
+                m.probabilityCol: f"__prob{j}",
+                m.rawPredictionCol: f"__raw{j}",
+            },
+        )
+        confident = max_probability(f"__prob{j}") > F.lit(float(threshold))
+        if j == last:
+            return df, in_pool, in_pool & confident, F.col(f"__pred{j}")
+        in_pool = in_pool & ~confident & keep
 
 
-def outcome_metrics():
-    return [
-        F.sum((F.col(STATE) == ACCEPTED).cast("long")).alias("n_new"),
-        F.sum((F.col(STATE) == IN_POOL).cast("long")).alias("n_left"),
-    ]
+def accepted_rows(df: DataFrame, in_pool, accept, prediction, dedup: bool):
+    """Tag every pool row, count the tags with an observation, and keep only
+    the accepted rows ``(__id, __f, __ps)``.
+
+    The observation sits between the scoring projection and the filter;
+    Catalyst does not push filters through it, so the models run once per
+    row and the counts cover the whole pool."""
+    from pyspark.sql import Observation
+
+    keep = F.col(FIRST) if dedup else F.lit(True)
+    state = F.when(accept, F.lit(ACCEPTED)).when(in_pool & keep, F.lit(IN_POOL)).otherwise(F.lit(GONE))
+    tagged = df.select(ID, FEAT, prediction.alias(PS), state.alias(STATE))
+    obs = Observation()
+    observed = tagged.observe(obs, *outcome_metrics())
+    return observed.where(F.col(STATE) == ACCEPTED).drop(STATE), obs
 
 
 def run_parallel(fns: Sequence[Callable[[], object]], parallelism: int) -> list:
@@ -248,17 +277,6 @@ def prepare(est: _LoopParams, dataset: DataFrame, ws: Workspace, dedup: bool) ->
     return Prepared(table, labels, identity, stats)
 
 
-def iteration_schema(prepared_schema: StructType, extra: Sequence[tuple[str, str]]) -> StructType:
-    """Schema of an iteration table read back with its partition columns
-    (given explicitly so that a still-empty table reads as empty)."""
-    s = StructType([prepared_schema[ID], prepared_schema[FEAT], prepared_schema[FIRST]])
-    from pyspark.sql.types import _parse_datatype_string
-
-    for name, typ in extra:
-        s = s.add(name, _parse_datatype_string(typ))
-    return s
-
-
 class SemiSupervisedModel(Model, _SharedParams, MLWritable, MLReadable):
     """A fitted base model plus the label list and the loop history.
 

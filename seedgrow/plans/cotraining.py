@@ -15,10 +15,11 @@
 The agreement set holds the distinct original rows plus the rows both
 learners accepted with the same label (maybe in different iterations).
 
-Each learner's state is a directory tree ``learner=k/it=i/acc=...``: L1 is
-the seed plus learner 2's accepted directories, U1 is learner 1's last
-``acc=false`` directory. Views are column expressions evaluated during the
-scan, never stored. The two learners' fits and scoring passes are
+Each learner writes only the rows it accepts, under ``learner=k/it=i``:
+L1 is the seed plus learner 2's directories. Learner k's pool is the
+original pool with learner k's earlier models replayed (``base.replay``),
+so no pool is ever rewritten. Views are column expressions evaluated during
+the scan, never stored. The two learners' fits and scoring passes are
 independent jobs and run concurrently from two driver threads.
 """
 
@@ -27,33 +28,26 @@ from __future__ import annotations
 from pyspark.ml import Estimator
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType
 
 from seedgrow.functions.vectors import slice_vector
 from seedgrow.operators.setops import agreement
 from seedgrow.plans.base import (
-    ACCEPTED,
-    CONF,
     FEAT,
-    FIRST,
     ID,
-    IN_POOL,
     IT,
-    PRED,
     PS,
-    STATE,
     Y,
     SemiSupervisedMarker,
     Timer,
     _LoopParams,
+    accepted_rows,
     check_base,
     fit_learner,
-    iteration_schema,
     make_model,
-    outcome,
-    outcome_metrics,
     prepare,
+    replay,
     run_parallel,
-    score,
 )
 from seedgrow.plans.lineage import Workspace
 
@@ -140,72 +134,59 @@ class CoTraining(Estimator, _LoopParams, SemiSupervisedMarker):
         try:
             prep = prepare(self, dataset, ws, dedup)
             v1, v2 = self._views(int(prep.max_dim or 0))
-            seed = prep.seed
-            schema = iteration_schema(prep.table.schema, [(PS, "double"), (LEARNER, "int"), (IT, "int"), (STATE, "string")])
-
-            def accepted(learner: int):
-                r = ws.read("ct", schema)
-                return r.where((F.col(LEARNER) == learner) & (F.col(STATE) == ACCEPTED))
-
-            def labeled(k: int, it_done: int):
-                """L_k: seed plus the rows the *other* learner accepted."""
-                if it_done == 0:
-                    return seed
-                other = 2 if k == 1 else 1
-                return seed.unionByName(accepted(other).select(FEAT, F.col(PS).alias(Y)))
-
-            def labeled_with_ids(k: int, it_done: int):
-                s = prep.seed_with_ids
-                if it_done == 0:
-                    return s
-                other = 2 if k == 1 else 1
-                return s.unionByName(accepted(other).select(ID, FEAT, F.col(PS).alias(Y)))
-
-            def step(k: int, learner, view, pool, train, it):
-                model = fit_learner(learner, train.withColumn(VIEW, slice_vector(FEAT, view)), VIEW, Y, prep.num_classes)
-                scored = score(model, pool.withColumn(VIEW, slice_vector(FEAT, view)), VIEW)
-                acc = F.col(CONF) > F.lit(float(t))
-                out = scored.select(ID, FEAT, FIRST, F.col(PRED).alias(PS), outcome(acc, dedup).alias(STATE))
-                m = ws.write(out, f"ct/{LEARNER}={k}/{IT}={it}", partition_by=[STATE], metrics=outcome_metrics())
+            views = {1: v1, 2: v2}
+            learners = {1: self.base1, 2: self.base2}
+            seed, pool = prep.seed, prep.pool
+            k_classes = prep.num_classes
+            schema = (
+                prep.table.select(ID, FEAT).schema.add(PS, DoubleType()).add(LEARNER, IntegerType()).add(IT, IntegerType())
+            )
+
+            def accepted_by(learner: int, with_ids: bool = False):
+                r = ws.read("ct", schema).where(F.col(LEARNER) == learner)
+                cols = [ID, FEAT] if with_ids else [FEAT]
+                return r.select(*cols, F.col(PS).alias(Y))
+
+            def labeled(k: int, it_done: int, with_ids: bool = False):
+                """L_k: the seed plus the rows the *other* learner accepted."""
+                s = prep.seed_with_ids if with_ids else seed
+                return s if it_done == 0 else s.unionByName(accepted_by(2 if k == 1 else 1, with_ids))
+
+            models: dict[int, list] = {1: [], 2: []}
+
+            def step(k: int, it: int):
+                view = views[k]
+                train = labeled(k, it - 1).withColumn(VIEW, slice_vector(FEAT, view))
+                models[k].append(fit_learner(learners[k], train, VIEW, Y, k_classes))
+                scored_pool = pool.withColumn(VIEW, slice_vector(FEAT, view))
+                df, in_pool, accept, pred = replay(scored_pool, models[k], t, dedup, VIEW)
+                rows, obs = accepted_rows(df, in_pool, accept, pred, dedup)
+                ws.write(rows, f"ct/{LEARNER}={k}/{IT}={it}")
+                m = obs.get
                 return int(m.get("n_new") or 0), int(m.get("n_left") or 0)
 
-            def pool_of(k: int, it: int):
-                r = ws.read("ct", schema)
-                return r.where((F.col(LEARNER) == k) & (F.col(IT) == it) & (F.col(STATE) == IN_POOL)).select(ID, FEAT, FIRST)
-
             n1 = n2 = prep.n_pool
             lab1 = lab2 = prep.n_seed
-            pool1 = pool2 = prep.pool
             history: list[dict] = []
             it, new = 1, 1
             while it <= self.getMaxIter() and n1 > 0 and n2 > 0 and new > 0:
                 clock = Timer()
-                l1, l2 = labeled(1, it - 1), labeled(2, it - 1)
-                (a1, left1), (a2, left2) = run_parallel(
-                    [
-                        lambda: step(1, self.base1, v1, pool1, l1, it),
-                        lambda: step(2, self.base2, v2, pool2, l2, it),
-                    ],
-                    par,
-                )
+                (a1, left1), (a2, left2) = run_parallel([lambda: step(1, it), lambda: step(2, it)], par)
                 new = a1 + a2
                 n1, n2 = left1, left2
                 lab1, lab2 = lab1 + a2, lab2 + a1
                 n_agree = None
                 if track:
-                    n_agree = agreement(
-                        labeled_with_ids(1, it), labeled_with_ids(2, it), ID, FEAT, Y, mode
-                    ).count()
+                    n_agree = agreement(labeled(1, it, True), labeled(2, it, True), ID, FEAT, Y, mode).count()
                 history.append(dict(iteration=it, n_new1=a1, n_new2=a2, n_labeled1=lab1, n_labeled2=lab2,
                                     n_unlabeled1=n1, n_unlabeled2=n2, n_agreement=n_agree, step_s=clock.lap()))
-                pool1, pool2 = pool_of(1, it), pool_of(2, it)
                 it += 1
             done = it - 1
-            agree = agreement(labeled_with_ids(1, done), labeled_with_ids(2, done), ID, FEAT, Y, mode)
+            agree = agreement(labeled(1, done, True), labeled(2, done, True), ID, FEAT, Y, mode)
             # Written once: the set involves shuffles, and learners make
             # several passes over their input before caching it.
             ws.write(agree.select(FEAT, Y), "agree")
-            final = fit_learner(self.final, ws.read("agree"), num_classes=prep.num_classes)
+            final = fit_learner(self.final, ws.read("agree"), num_classes=k_classes)
         finally:
             ws.close()
         model = make_model(self, final, prep, history, HISTORY_SCHEMA)

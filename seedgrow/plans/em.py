@@ -12,10 +12,13 @@
     P = predict U with the last model ; final = base.fit(L UNION ALL P)
 
 Hard assignments, no weights, no threshold; ``L`` stays the original
-labelled rows and every E-step relabels the whole pool. The previous label
-of a row is a column of the pool table written by the previous E-step, so
-the change count is an in-row comparison (no join, no driver arrays) that
-comes back with the write.
+labelled rows and every E-step relabels the whole pool.
+
+Nothing is written per iteration: the E-step labels are a projection of the
+written base table (the current model applied on the fly inside the M-step
+fit), and the change count is one aggregate pass that evaluates the
+previous and the current model side by side in each row — no join, no
+driver arrays, no positional matching.
 """
 
 from __future__ import annotations
@@ -26,30 +29,31 @@ from pyspark.sql import functions as F
 
 from seedgrow.plans.base import (
     FEAT,
-    FIRST,
-    ID,
-    IT,
-    PRED,
     Y,
     SemiSupervisedMarker,
     Timer,
     _LoopParams,
     check_base,
     fit_learner,
-    iteration_schema,
     make_model,
     prepare,
-    score,
 )
 from seedgrow.plans.lineage import Workspace
 
-PREV, CHG = "__prev", "__chg"
 HISTORY_SCHEMA = (
     "iteration int, residual_pct double, n_changed long, n_labeled long, n_unlabeled long, "
     "estep_s double, mstep_s double"
 )
 
 
+def _predict(model, df, out: str):
+    return model.transform(
+        df,
+        {model.featuresCol: FEAT, model.predictionCol: out, model.probabilityCol: f"{out}_p",
+         model.rawPredictionCol: f"{out}_r"},
+    )
+
+
 class HardEM(Estimator, _LoopParams, SemiSupervisedMarker):
     tolPercent = Param(
         Params._dummy(), "tolPercent", "stop when at most this percent of pool labels changed",
@@ -80,44 +84,40 @@ class HardEM(Estimator, _LoopParams, SemiSupervisedMarker):
         ws = Workspace(spark, "em", self.getOrDefault(self.keepCheckpoints))
         try:
             prep = prepare(self, dataset, ws, dedup=False)
-            seed = prep.seed
-            schema = iteration_schema(prep.table.schema, [(PREV, "double"), (CHG, "boolean"), (IT, "int")])
+            seed, pool = prep.seed, prep.pool.select(FEAT)
+            k = prep.num_classes
             n_pool = prep.n_pool
             history: list[dict] = []
 
-            def estep(model, pool, it):
-                scored = score(model, pool)
-                changed = F.coalesce(F.abs(F.col(PRED) - F.col(PREV)) > F.lit(0.01), F.lit(False))
-                out = scored.select(ID, FEAT, FIRST, F.col(PRED).alias(PREV), changed.alias(CHG))
-                m = ws.write(out, f"em/{IT}={it}", metrics=[F.sum(F.col(CHG).cast("long")).alias("n_changed")])
-                nxt = ws.read("em", schema).where(F.col(IT) == it).select(ID, FEAT, FIRST, PREV)
-                return nxt, int(m.get("n_changed") or 0)
-
-            if n_pool == 0:
-                final = fit_learner(self.base, seed, num_classes=prep.num_classes)
-                return make_model(self, final, prep, history, HISTORY_SCHEMA)
-
-            model = fit_learner(self.base, seed, num_classes=prep.num_classes)
-            pool = prep.pool.withColumn(PREV, F.lit(None).cast("double"))
-            it, residual = 0, 100.0
-            while it < self.getMaxIter() and n_pool > 0 and residual > tol:
-                clock = Timer()
-                pool, n_changed = estep(model, pool, it + 1)
-                estep_s = clock.lap()
-                model = fit_learner(self.base, seed.unionByName(pool.select(FEAT, F.col(PREV).alias(Y))), num_classes=prep.num_classes)
-                missed = n_pool if it == 0 else n_changed
-                residual = 100.0 * missed / n_pool
-                it += 1
-                history.append(dict(iteration=it, residual_pct=residual, n_changed=n_changed,
-                                    n_labeled=prep.n_seed, n_unlabeled=n_pool, estep_s=estep_s, mstep_s=clock.lap()))
-                if it > 1:
-                    ws.delete(f"em/{IT}={it - 1}")
+            def with_labels(model):
+                """L UNION ALL (pool labelled by ``model``), evaluated lazily."""
+                return seed.unionByName(_predict(model, pool, "__cur").select(FEAT, F.col("__cur").alias(Y)))
+
+            model = fit_learner(self.base, seed, num_classes=k)
             last = model
-            pool, _ = estep(model, pool, it + 1)
-            final = fit_learner(self.base, seed.unionByName(pool.select(FEAT, F.col(PREV).alias(Y))), num_classes=prep.num_classes)
+            if n_pool > 0:
+                prev = None
+                it, residual = 0, 100.0
+                while it < self.getMaxIter() and residual > tol:
+                    clock = Timer()
+                    n_changed = 0
+                    if prev is not None:
+                        both = _predict(model, _predict(prev, pool, "__old"), "__cur")
+                        changed = (F.abs(F.col("__cur") - F.col("__old")) > F.lit(0.01)).cast("long")
+                        n_changed = int(both.agg(F.sum(changed).alias("n")).first()["n"] or 0)
+                    estep_s = clock.lap()
+                    prev, model = model, fit_learner(self.base, with_labels(model), num_classes=k)
+                    missed = n_pool if it == 0 else n_changed
+                    residual = 100.0 * missed / n_pool
+                    it += 1
+                    history.append(dict(iteration=it, residual_pct=residual, n_changed=n_changed,
+                                        n_labeled=prep.n_seed, n_unlabeled=n_pool, estep_s=estep_s,
+                                        mstep_s=clock.lap()))
+                last = model
+                model = fit_learner(self.base, with_labels(model), num_classes=k)
         finally:
             ws.close()
-        out = make_model(self, final, prep, history, HISTORY_SCHEMA)
+        out = make_model(self, model, prep, history, HISTORY_SCHEMA)
         # The model whose E-step produced the final training set's pseudo-labels.
         out.loopModel = last
         return out

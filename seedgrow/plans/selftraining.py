@@ -16,10 +16,11 @@ iteration 2 on only the first copy of each vector is still in the pool;
 scoring is a pure function of the vector, so all copies are accepted
 together in iteration 1.
 
-Per iteration: one distributed fit, then one map-only pass over the pool
-(score, threshold) that writes the pool back partitioned by its outcome
-(``state`` = acc / pool / gone) and returns the counts through an
-observation.
+Per iteration: one distributed fit on the seed plus the accepted rows so
+far, then one map-only pass over the original pool that replays the
+earlier models to know which rows are still in the pool (``base.replay``),
+counts the outcome through an observation and writes only the newly
+accepted rows. Every pool row is written at most once over the whole fit.
 """
 
 from __future__ import annotations
@@ -27,30 +28,23 @@ from __future__ import annotations
 from pyspark.ml import Estimator
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType
 
 from seedgrow.plans.base import (
-    ACCEPTED,
-    CONF,
     FEAT,
-    FIRST,
     ID,
-    IN_POOL,
     IT,
-    PRED,
     PS,
-    STATE,
     Y,
     SemiSupervisedMarker,
     Timer,
     _LoopParams,
+    accepted_rows,
     check_base,
     fit_learner,
-    iteration_schema,
     make_model,
-    outcome,
-    outcome_metrics,
     prepare,
-    score,
+    replay,
 )
 from seedgrow.plans.lineage import Workspace
 
@@ -89,40 +83,31 @@ class SelfTraining(Estimator, _LoopParams, SemiSupervisedMarker):
         ws = Workspace(spark, "selftraining", self.getOrDefault(self.keepCheckpoints))
         try:
             prep = prepare(self, dataset, ws, dedup)
-            seed = prep.seed
-            schema = iteration_schema(prep.table.schema, [(PS, "double"), (IT, "int"), (STATE, "string")])
-
-            def iterations():
-                return ws.read("st", schema)
+            seed, pool = prep.seed, prep.pool
+            schema = prep.table.select(ID, FEAT).schema.add(PS, DoubleType()).add(IT, IntegerType())
 
             def accepted():
-                return iterations().where(F.col(STATE) == ACCEPTED)
+                return ws.read("st", schema).select(FEAT, F.col(PS).alias(Y))
 
             n_lab, n_pool = prep.n_seed, prep.n_pool
             history: list[dict] = []
-            pool = prep.pool
+            models = []
             it, new = 0, 1
             while it < self.getMaxIter() and n_pool > 0 and new > 0:
                 it += 1
                 clock = Timer()
-                train = seed
-                if it > 1:
-                    train = seed.unionByName(accepted().select(FEAT, F.col(PS).alias(Y)))
-                model = fit_learner(self.base, train, num_classes=prep.num_classes)
+                train = seed if it == 1 else seed.unionByName(accepted())
+                models.append(fit_learner(self.base, train, num_classes=prep.num_classes))
                 fit_s = clock.lap()
-                scored = score(model, pool)
-                accept = F.col(CONF) > F.lit(float(t))
-                # U EXCEPT N keeps one copy of every surviving vector (features mode).
-                out = scored.select(ID, FEAT, FIRST, F.col(PRED).alias(PS), outcome(accept, dedup).alias(STATE))
-                m = ws.write(out, f"st/{IT}={it}", partition_by=[STATE], metrics=outcome_metrics())
+                df, in_pool, accept, pred = replay(pool, models, t, dedup)
+                rows, obs = accepted_rows(df, in_pool, accept, pred, dedup)
+                ws.write(rows, f"st/{IT}={it}")
+                m = obs.get
                 new, n_pool = int(m.get("n_new") or 0), int(m.get("n_left") or 0)
                 n_lab += new
                 history.append(dict(iteration=it, n_labeled=n_lab, n_unlabeled=n_pool, n_new=new,
                                     fit_s=fit_s, score_s=clock.lap()))
-                pool = iterations().where((F.col(IT) == it) & (F.col(STATE) == IN_POOL)).select(ID, FEAT, FIRST)
-            final_train = seed
-            if it > 0:
-                final_train = seed.unionByName(accepted().select(FEAT, F.col(PS).alias(Y)))
+            final_train = seed if it == 0 else seed.unionByName(accepted())
             final = fit_learner(self.base, final_train, num_classes=prep.num_classes)
         finally:
             ws.close()

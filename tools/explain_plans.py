@@ -14,8 +14,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from seedgrow import workloads as W  # noqa: E402
 from seedgrow.operators import dedup, metrics, pseudo, setops  # noqa: E402
-from seedgrow.plans.base import FEAT, FIRST, ID, IN_POOL, IT, PS, STATE  # noqa: E402
-from seedgrow.plans.lineage import Workspace  # noqa: E402
+from seedgrow.plans.base import FEAT, FIRST, ID, accepted_rows, replay  # noqa: E402
 from seedgrow.session import local_session  # noqa: E402
 from seedgrow.sources import tables  # noqa: E402
 
@@ -38,15 +37,12 @@ def main():
     show("pool_except: distinct both sides (partial agg) then anti join", setops.pool_except(dpool, acc))
     show("weighted metrics: no join, one explode + groupBy", metrics.weighted_metrics(W.quality_scored(spark, sf)))
     show("auc: groupBy(score), bucketed prefix sums, bounded broadcast", metrics.auc(W.quality_scored(spark, sf), "label", "score"))
-    ws = Workspace(spark, "explain")
-    try:
-        st = pool.select(F.col("row_id").alias(ID), F.col("features").alias(FEAT), F.lit(True).alias(FIRST),
-                         F.col("label").alias(PS), F.lit(1).alias(IT), F.lit(IN_POOL).alias(STATE))
-        st.write.partitionBy(IT, STATE).parquet(ws.path("st"))
-        r = spark.read.schema(st.schema).parquet(ws.path("st"))
-        show("loop pool read: partition pruning on it/state", r.where((F.col(IT) == 1) & (F.col(STATE) == IN_POOL)).select(ID, FEAT))
-    finally:
-        ws.close()
+    dup_seed, _ = W.duplicated_pool(spark, sf)
+    m2 = W.nb().fit(dup_seed)
+    p = dpool.select(F.col("row_id").alias(ID), F.col("features").alias(FEAT), F.lit(True).alias(FIRST))
+    df, in_pool, accept, pred = replay(p, [model, m2], 0.95, True)
+    rows, _ = accepted_rows(df, in_pool, accept, pred, True)
+    show("loop pass: two models replayed, observation barrier, only accepted rows kept", rows)
     show("quality fixture: spread scan, join labels (AQE may broadcast)", tables.quality_samples(spark, sf))
 
 
