@@ -2,12 +2,12 @@
 
 For every (labelled fraction, fold seed, algorithm) the harness fits on the
 labelled part (semi-supervised estimators also get the pool, labels
-hidden), scores the pool (transductive evaluation, as the original) and
-builds the metrics as DataFrame aggregates. The per-run metric rows are
-kept in long form ``(name, label_fraction, fold_seed, metric, value)``,
-unioned, and pivoted once — so the whole result is one distributed plan
-and nothing but loop-control numbers goes through the driver. Only the
-optional learning time is measured on the driver.
+hidden), scores the pool once (transductive evaluation, as the original)
+and builds the metrics as DataFrame aggregates over the written scores.
+The per-run metric rows are kept in long form ``(name, label_fraction,
+fold_seed, metric, value)``, unioned and pivoted once; only that bounded
+result table (one row per algorithm and fraction) and the learning times
+reach the driver.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from seedgrow.functions.vectors import probability_at
 from seedgrow.operators.metrics import auc, roc_curve, weighted_metrics
 from seedgrow.operators.splits import labeled_flag
 from seedgrow.plans.base import SemiSupervisedMarker, run_parallel
+from seedgrow.plans.lineage import Workspace
 
 METRICS = ["weighted_precision", "weighted_recall", "weighted_f1", "auc", "auc_folded"]
 
@@ -48,6 +49,11 @@ def run_metrics(
     s = predictions.select(F.col(label_col).alias("label"), F.col("prediction"), score.alias("score"))
     if score_digits is not None:
         s = s.withColumn("score", F.round("score", score_digits))
+    return metrics_of_scored(s, positive)
+
+
+def metrics_of_scored(s: DataFrame, positive) -> DataFrame:
+    """Long-form metric rows of a ``(label, prediction, score)`` table."""
     wm = _long(weighted_metrics(s, "label", "prediction"), ["weighted_precision", "weighted_recall", "weighted_f1"])
     au = _long(auc(s, "label", "score", positive), ["auc", "auc_folded"])
     return wm.unionByName(au)
@@ -67,47 +73,64 @@ def evaluate_all(
     """Mean metrics over folds per (algorithm, labelled fraction).
 
     Columns: ``name, label_fraction, weighted_precision, weighted_recall,
-    weighted_f1, auc, auc_folded`` (+ ``learning_time_s``). With
-    ``parallelism > 1`` independent fits are submitted from that many
-    driver threads (timings then include the contention).
+    weighted_f1, auc, auc_folded`` (+ ``learning_time_s``).
+
+    Each run scores its pool once and writes the narrow ``(label,
+    prediction, score)`` table to the workspace; every metric then reads
+    those 24 bytes per row instead of re-scoring the vectors. The result
+    (one row per algorithm and fraction) is small and bounded, so it is
+    collected before the workspace is removed, the form of the original's
+    result table. With ``parallelism > 1`` independent runs are submitted
+    from that many driver threads (timings then include the contention).
     """
     spark = df.sparkSession
     runs = [(f, s, est, name) for f in fractions for s in fold_seeds for est, name in algorithms]
-
-    def one(fraction, seed, est, name):
-        flag = labeled_flag(id_col, fraction, seed)
-        t0 = time.perf_counter()
-        if isinstance(est, SemiSupervisedMarker):
-            train = df.withColumn(label_col, F.when(flag, F.col(label_col)))
-        else:
-            train = df.where(flag)
-        model = est.fit(train)
-        pred = model.transform(df.where(~flag))
-        timing = None
-        if with_timing:
-            pred.write.format("noop").mode("overwrite").save()
+    ws = Workspace(spark, "evaluate")
+    try:
+
+        def one(i, fraction, seed, est, name):
+            flag = labeled_flag(id_col, fraction, seed)
+            t0 = time.perf_counter()
+            if isinstance(est, SemiSupervisedMarker):
+                train = df.withColumn(label_col, F.when(flag, F.col(label_col)))
+            else:
+                train = df.where(flag)
+            model = est.fit(train)
+            pred = model.transform(df.where(~flag))
+            scored = pred.select(
+                F.col(label_col).cast("double").alias("label"),
+                F.col("prediction").cast("double").alias("prediction"),
+                F.round(score_column(model, positive), 12).alias("score"),
+            )
+            # The write is the full pass of the learning time (fit + transform + pass).
+            ws.write(scored, f"runs/r={i}")
             timing = (name, float(fraction), int(seed), "learning_time_s", time.perf_counter() - t0)
-        m = run_metrics(pred, label_col, score_column(model, positive), positive)
-        part = m.select(
-            F.lit(name).alias("name"),
-            F.lit(float(fraction)).alias("label_fraction"),
-            F.lit(int(seed)).alias("fold_seed"),
-            "metric",
-            "value",
-        )
-        return part, timing
-
-    results = run_parallel([lambda r=r: one(*r) for r in runs], parallelism)
-    parts = [p for p, _ in results]
-    metrics = list(METRICS)
-    if with_timing:
-        timings = [t for _, t in results]
-        parts.append(spark.createDataFrame(timings, "name string, label_fraction double, fold_seed int, metric string, value double"))
-        metrics.append("learning_time_s")
-    allrows = parts[0]
-    for p in parts[1:]:
-        allrows = allrows.unionByName(p)
-    return allrows.groupBy("name", "label_fraction").pivot("metric", metrics).agg(F.avg("value"))
+            m = metrics_of_scored(ws.read(f"runs/r={i}"), positive)
+            part = m.select(
+                F.lit(name).alias("name"),
+                F.lit(float(fraction)).alias("label_fraction"),
+                F.lit(int(seed)).alias("fold_seed"),
+                "metric",
+                "value",
+            )
+            return part, timing
+
+        results = run_parallel([lambda i=i, r=r: one(i, *r) for i, r in enumerate(runs)], parallelism)
+        parts = [p for p, _ in results]
+        names = list(METRICS)
+        if with_timing:
+            timings = [t for _, t in results]
+            parts.append(spark.createDataFrame(timings, "name string, label_fraction double, fold_seed int, metric string, value double"))
+            names.append("learning_time_s")
+        allrows = parts[0]
+        for p in parts[1:]:
+            allrows = allrows.unionByName(p)
+        table = allrows.groupBy("name", "label_fraction").pivot("metric", names).agg(F.avg("value"))
+        rows = table.collect()
+        schema = table.schema
+    finally:
+        ws.close()
+    return spark.createDataFrame(rows, schema)
 
 
 def roc_for(
