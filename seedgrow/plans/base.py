@@ -298,7 +298,8 @@ class SemiSupervisedModel(Model, _SharedParams, MLWritable, MLReadable):
     @property
     def history(self) -> DataFrame:
         """One row per loop iteration (loop-control numbers only)."""
-        spark = SparkSession.getActiveSession()
+        # The active session is thread-local; fall back to the process's one.
+        spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
         return spark.createDataFrame(self._history_rows, self._history_schema)
 
     @property

@@ -43,11 +43,23 @@ def test_every_query_has_a_callable_and_sql_keys_are_a_subset():
     assert len(qs) >= 50
 
 
+SPARK_TO_DUCK = {
+    "IntegerType": "INTEGER",
+    "LongType": "BIGINT",
+    "DoubleType": "DOUBLE",
+    "StringType": "VARCHAR",
+    "BooleanType": "BOOLEAN",
+}
+
+
 @pytest.mark.parametrize("key", sorted(SQL))
 def test_matches_duckdb(spark, duck, key):
     df = E.queries()[key](spark, SF_SMALL)
     rel = duck.sql(SQL[key])
     assert sorted(df.columns) == sorted(rel.columns)
+    spark_types = {f.name: SPARK_TO_DUCK.get(type(f.dataType).__name__) for f in df.schema.fields}
+    duck_types = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    assert spark_types == duck_types
     assert _rows(df.columns, [tuple(r) for r in df.collect()]) == _rows(rel.columns, rel.fetchall())
 
 
