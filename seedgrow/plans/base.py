@@ -266,10 +266,15 @@ def prepare(est: _LoopParams, dataset: DataFrame, ws: Workspace, dedup: bool) ->
             F.sum(F.when(F.col(POOL) & F.col(FIRST), 1).otherwise(0)).alias("n_pool_first"),
             F.min(dim).alias("min_dim"),
             F.max(dim).alias("max_dim"),
+            # HyperLogLog sketch: mergeable, no shuffle, ~1 % relative error.
+            F.approx_count_distinct(ID, 0.01).alias("ids_est"),
         ],
     )
     if stats.get("min_dim") is not None and stats["min_dim"] != stats["max_dim"]:
         raise ValueError(f"feature vectors have different sizes ({stats['min_dim']}..{stats['max_dim']})")
+    n_rows = int(stats.get("n_seed") or 0) + int(stats.get("n_pool") or 0)
+    if n_rows and int(stats.get("ids_est") or 0) < 0.95 * n_rows:
+        raise ValueError(f"{icol!r} is not a unique row id (about {stats['ids_est']} distinct of {n_rows} rows)")
     table = ws.read("prep", state.schema)
     labels, identity = resolve_labels(table.where(~F.col(POOL)), LABEL, est.getOrDefault(est.maxClasses))
     if len(labels) < 2:

@@ -241,3 +241,10 @@ def test_cross_validator_mechanics(spark):
                         evaluator=MulticlassClassificationEvaluator(metricName="accuracy"))
     m = cv.fit(df)
     assert len(m.avgMetrics) == 2
+
+
+def test_duplicate_ids_are_rejected(spark):
+    df = every_tenth(spark, SF_SMALL)
+    dup = df.unionByName(df.where("label IS NULL"))
+    with pytest.raises(ValueError, match="not a unique row id"):
+        SelfTraining(nb(), maxIter=1).fit(dup)
