@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from seedgrow.functions.labels import label_of_index
@@ -60,16 +60,22 @@ def with_confidence(scored: DataFrame, probability_col: str = "probability", out
     return scored.withColumn(out_col, max_probability(probability_col))
 
 
-def confidence_filter(scored: DataFrame, threshold: float, probability_col: str = "probability") -> DataFrame:
-    """Rows whose largest class probability is strictly above ``threshold``.
+def no_pushdown(df: DataFrame) -> DataFrame:
+    """Keep later filters above this point.
 
-    As a plain filter it lets Catalyst push the condition below the scoring
-    projection, which then evaluates the model in the filter and again for
-    the kept rows. That is fine for a one-off selection; the loops, which
-    score the whole pool every iteration, tag rows instead
-    (``plans.base.outcome``) and never filter on model output.
+    Catalyst pushes a filter on a model-derived column below the projection
+    that computes it, so the model would run once in the filter and again for
+    the kept rows. An observation node is not crossed by filter pushdown;
+    placed right after scoring, it keeps the model to one evaluation per row.
+    (It also counts the rows it sees, at the cost of a per-task counter.)
     """
-    return scored.where(max_probability(probability_col) > F.lit(float(threshold)))
+    return df.observe(Observation(), F.count(F.lit(1)).alias("rows_scored"))
+
+
+def confidence_filter(scored: DataFrame, threshold: float, probability_col: str = "probability") -> DataFrame:
+    """Rows whose largest class probability is strictly above ``threshold``
+    (the model behind ``scored`` is evaluated once per row)."""
+    return no_pushdown(scored).where(max_probability(probability_col) > F.lit(float(threshold)))
 
 
 def reliable_pseudo_labels(
