@@ -19,6 +19,7 @@ shuffle besides the learner's own.
 from __future__ import annotations
 
 import importlib
+import logging
 import time
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -51,6 +52,7 @@ LABEL = "__label"
 PRED, PROB, RAW, CONF = "__pred", "__prob", "__raw", "__conf"
 
 MATCH_MODES = ("features", "id")
+_log = logging.getLogger("seedgrow")
 
 
 class SemiSupervisedMarker:
@@ -73,6 +75,24 @@ class _SharedParams(HasFeaturesCol, HasLabelCol, HasPredictionCol, HasProbabilit
     def getIdCol(self) -> str:
         return self.getOrDefault(self.idCol)
 
+    def setIdCol(self, value: str):
+        return self._set(idCol=value)
+
+    def setFeaturesCol(self, value: str):
+        return self._set(featuresCol=value)
+
+    def setLabelCol(self, value: str):
+        return self._set(labelCol=value)
+
+    def setPredictionCol(self, value: str):
+        return self._set(predictionCol=value)
+
+    def setProbabilityCol(self, value: str):
+        return self._set(probabilityCol=value)
+
+    def setRawPredictionCol(self, value: str):
+        return self._set(rawPredictionCol=value)
+
 
 class _LoopParams(_SharedParams, HasMaxIter):
     matchMode = Param(
@@ -85,10 +105,31 @@ class _LoopParams(_SharedParams, HasMaxIter):
     keepCheckpoints = Param(
         Params._dummy(), "keepCheckpoints", "keep the per-iteration tables after fit", typeConverter=TypeConverters.toBoolean
     )
+    verbose = Param(Params._dummy(), "verbose", "log each iteration's counts", typeConverter=TypeConverters.toBoolean)
 
     def __init__(self) -> None:
         super().__init__()
-        self._setDefault(maxIter=10, matchMode="features", maxClasses=DEFAULT_MAX_CLASSES, keepCheckpoints=False)
+        self._setDefault(maxIter=10, matchMode="features", maxClasses=DEFAULT_MAX_CLASSES, keepCheckpoints=False,
+                         verbose=False)
+
+    def setMaxIter(self, value: int):
+        return self._set(maxIter=value)
+
+    def setMatchMode(self, value: str):
+        return self._set(matchMode=value)
+
+    def setMaxClasses(self, value: int):
+        return self._set(maxClasses=value)
+
+    def setKeepCheckpoints(self, value: bool):
+        return self._set(keepCheckpoints=value)
+
+    def setVerbose(self, value: bool):
+        return self._set(verbose=value)
+
+    def log_iteration(self, row: dict) -> None:
+        if self.getOrDefault(self.verbose):
+            _log.info("%s %s", type(self).__name__, " ".join(f"{k}={v}" for k, v in row.items()))
 
     def getMatchMode(self) -> str:
         m = self.getOrDefault(self.matchMode)

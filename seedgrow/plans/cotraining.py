@@ -109,6 +109,24 @@ class CoTraining(Estimator, _LoopParams, SemiSupervisedMarker):
     def setViews(self, view1, view2):
         return self._set(view1Indices=view1, view2Indices=view2)
 
+    def setView1Indices(self, value):
+        return self._set(view1Indices=value)
+
+    def setView2Indices(self, value):
+        return self._set(view2Indices=value)
+
+    def setThreshold(self, value: float):
+        return self._set(threshold=value)
+
+    def getThreshold(self) -> float:
+        return self.getOrDefault(self.threshold)
+
+    def setParallelism(self, value: int):
+        return self._set(parallelism=value)
+
+    def setTrackAgreement(self, value: bool):
+        return self._set(trackAgreement=value)
+
     def copy(self, extra=None):
         that = super().copy(extra)
         that.base1, that.base2, that.final = self.base1.copy(), self.base2.copy(), self.final.copy()
@@ -180,6 +198,7 @@ class CoTraining(Estimator, _LoopParams, SemiSupervisedMarker):
                     n_agree = agreement(labeled(1, it, True), labeled(2, it, True), ID, FEAT, Y, mode).count()
                 history.append(dict(iteration=it, n_new1=a1, n_new2=a2, n_labeled1=lab1, n_labeled2=lab2,
                                     n_unlabeled1=n1, n_unlabeled2=n2, n_agreement=n_agree, step_s=clock.lap()))
+                self.log_iteration(history[-1])
                 it += 1
             done = it - 1
             agree = agreement(labeled(1, done, True), labeled(2, done, True), ID, FEAT, Y, mode)

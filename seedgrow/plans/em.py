@@ -73,6 +73,9 @@ class HardEM(Estimator, _LoopParams, SemiSupervisedMarker):
     def getTolPercent(self) -> float:
         return self.getOrDefault(self.tolPercent)
 
+    def setTolPercent(self, value: float):
+        return self._set(tolPercent=value)
+
     def copy(self, extra=None):
         that = super().copy(extra)
         that.base = self.base.copy()
@@ -113,6 +116,7 @@ class HardEM(Estimator, _LoopParams, SemiSupervisedMarker):
                     history.append(dict(iteration=it, residual_pct=residual, n_changed=n_changed,
                                         n_labeled=prep.n_seed, n_unlabeled=n_pool, estep_s=estep_s,
                                         mstep_s=clock.lap()))
+                    self.log_iteration(history[-1])
                 last = model
                 model = fit_learner(self.base, with_labels(model), num_classes=k)
         finally:

@@ -69,6 +69,9 @@ class SelfTraining(Estimator, _LoopParams, SemiSupervisedMarker):
     def getThreshold(self) -> float:
         return self.getOrDefault(self.threshold)
 
+    def setThreshold(self, value: float):
+        return self._set(threshold=value)
+
     def copy(self, extra=None):
         that = super().copy(extra)
         that.base = self.base.copy()
@@ -107,6 +110,7 @@ class SelfTraining(Estimator, _LoopParams, SemiSupervisedMarker):
                 n_lab += new
                 history.append(dict(iteration=it, n_labeled=n_lab, n_unlabeled=n_pool, n_new=new,
                                     fit_s=fit_s, score_s=clock.lap()))
+                self.log_iteration(history[-1])
             final_train = seed if it == 0 else seed.unionByName(accepted())
             final = fit_learner(self.base, final_train, num_classes=prep.num_classes)
         finally:

@@ -248,3 +248,14 @@ def test_duplicate_ids_are_rejected(spark):
     dup = df.unionByName(df.where("label IS NULL"))
     with pytest.raises(ValueError, match="not a unique row id"):
         SelfTraining(nb(), maxIter=1).fit(dup)
+
+
+def test_setters_chain_like_spark(spark):
+    st = SelfTraining(nb()).setThreshold(0.9).setMaxIter(2).setFeaturesCol("features").setLabelCol("label")
+    assert (st.getThreshold(), st.getMaxIter()) == (0.9, 2)
+    em = HardEM(nb()).setTolPercent(3.0).setMaxIter(7).setVerbose(True)
+    assert (em.getTolPercent(), em.getMaxIter()) == (3.0, 7)
+    ct = CoTraining(nb()).setThreshold(0.8).setViews([0, 1], [2, 3]).setParallelism(1)
+    assert ct.getThreshold() == 0.8 and ct.getOrDefault(ct.view2Indices) == [2, 3]
+    m = em.fit(every_tenth(spark, SF_SMALL))
+    assert m.history_rows
