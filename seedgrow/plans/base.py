@@ -106,11 +106,18 @@ class _LoopParams(_SharedParams, HasMaxIter):
         Params._dummy(), "keepCheckpoints", "keep the per-iteration tables after fit", typeConverter=TypeConverters.toBoolean
     )
     verbose = Param(Params._dummy(), "verbose", "log each iteration's counts", typeConverter=TypeConverters.toBoolean)
+    compactRatio = Param(
+        Params._dummy(), "compactRatio",
+        "rewrite the remaining pool as a new base once it is smaller than this share of the current base",
+        typeConverter=TypeConverters.toFloat,
+    )
+    maxChain = Param(Params._dummy(), "maxChain", "most models replayed over one base before compaction",
+                     typeConverter=TypeConverters.toInt)
 
     def __init__(self) -> None:
         super().__init__()
         self._setDefault(maxIter=10, matchMode="features", maxClasses=DEFAULT_MAX_CLASSES, keepCheckpoints=False,
-                         verbose=False)
+                         verbose=False, compactRatio=0.5, maxChain=8)
 
     def setMaxIter(self, value: int):
         return self._set(maxIter=value)
@@ -127,6 +134,12 @@ class _LoopParams(_SharedParams, HasMaxIter):
     def setVerbose(self, value: bool):
         return self._set(verbose=value)
 
+    def setCompactRatio(self, value: float):
+        return self._set(compactRatio=value)
+
+    def setMaxChain(self, value: int):
+        return self._set(maxChain=value)
+
     def log_iteration(self, row: dict) -> None:
         if self.getOrDefault(self.verbose):
             _log.info("%s %s", type(self).__name__, " ".join(f"{k}={v}" for k, v in row.items()))
@@ -202,9 +215,10 @@ def replay(pool: DataFrame, models: Sequence, threshold: float, dedup: bool, fea
         in_pool = in_pool & ~confident & keep
 
 
-def accepted_rows(df: DataFrame, in_pool, accept, prediction, dedup: bool):
-    """Tag every pool row, count the tags with an observation, and keep only
-    the accepted rows ``(__id, __f, __ps)``.
+def tagged_rows(df: DataFrame, in_pool, accept, prediction, dedup: bool, keep_pool: bool):
+    """Tag every pool row (``acc`` / ``pool`` / ``gone``), count the tags
+    with an observation, and keep the accepted rows — plus, when compacting,
+    the rows still in the pool — as ``(__id, __f, __first, __ps, state)``.
 
     The observation sits between the scoring projection and the filter;
     Catalyst does not push filters through it, so the models run once per
@@ -213,10 +227,51 @@ def accepted_rows(df: DataFrame, in_pool, accept, prediction, dedup: bool):
 
     keep = F.col(FIRST) if dedup else F.lit(True)
     state = F.when(accept, F.lit(ACCEPTED)).when(in_pool & keep, F.lit(IN_POOL)).otherwise(F.lit(GONE))
-    tagged = df.select(ID, FEAT, prediction.alias(PS), state.alias(STATE))
+    tagged = df.select(ID, FEAT, FIRST, prediction.alias(PS), state.alias(STATE))
     obs = Observation()
     observed = tagged.observe(obs, *outcome_metrics())
-    return observed.where(F.col(STATE) == ACCEPTED).drop(STATE), obs
+    wanted = F.col(STATE) == ACCEPTED
+    if keep_pool:
+        wanted = wanted | (F.col(STATE) == IN_POOL)
+    return observed.where(wanted), obs
+
+
+class ReplayPool:
+    """The pool of one learner: a base table plus the chain of models to
+    replay over it.
+
+    Each pass replays the chain and writes the newly accepted rows. When the
+    pool has shrunk below ``ratio`` of the base, or the chain reaches
+    ``max_chain`` models, the same pass also writes the rows still in the
+    pool, which become the new base, and the chain restarts (compaction, as
+    in log-structured storage). So a pass reads at most ``1/ratio`` times
+    the live pool and evaluates at most ``max_chain`` models per row.
+    """
+
+    def __init__(self, base: DataFrame, n: int, threshold: float, dedup: bool, ratio: float, max_chain: int,
+                 features_col: str = FEAT, view=None):
+        self.base, self.base_n, self.n_left = base, n, n
+        self.threshold, self.dedup = threshold, dedup
+        self.ratio, self.max_chain = ratio, max_chain
+        self.features_col, self.view = features_col, view
+        self.chain: list = []
+
+    def step(self, model, ws: Workspace, rel: str, reread) -> int:
+        """Run one pass with ``model`` appended to the chain; write under
+        ``rel`` (partitioned by ``state``); return the number accepted.
+        ``reread(rel)`` must return the written table with ``state``."""
+        self.chain.append(model)
+        compact = self.n_left < self.ratio * self.base_n or len(self.chain) >= self.max_chain
+        base = self.base if self.view is None else self.base.withColumn(self.features_col, self.view(F.col(FEAT)))
+        df, in_pool, accept, pred = replay(base, self.chain, self.threshold, self.dedup, self.features_col)
+        rows, obs = tagged_rows(df, in_pool, accept, pred, self.dedup, compact)
+        ws.write(rows, rel, partition_by=[STATE])
+        m = obs.get
+        new, self.n_left = int(m.get("n_new") or 0), int(m.get("n_left") or 0)
+        if compact:
+            self.base = reread(rel).where(F.col(STATE) == IN_POOL).select(ID, FEAT, FIRST)
+            self.base_n, self.chain = self.n_left, []
+        return new
 
 
 def run_parallel(fns: Sequence[Callable[[], object]], parallelism: int) -> list:

@@ -15,10 +15,10 @@
 The agreement set holds the distinct original rows plus the rows both
 learners accepted with the same label (maybe in different iterations).
 
-Each learner writes only the rows it accepts, under ``learner=k/it=i``:
-L1 is the seed plus learner 2's directories. Learner k's pool is the
-original pool with learner k's earlier models replayed (``base.replay``),
-so no pool is ever rewritten. Views are column expressions evaluated during
+Each learner writes the rows it accepts under ``learner=k/it=i/state=acc``:
+L1 is the seed plus learner 2's directories. Learner k's pool is its base
+table with learner k's earlier models replayed (``base.ReplayPool``); the
+base is rewritten only when the pool has shrunk enough (compaction). Views are column expressions evaluated during
 the scan, never stored. The two learners' fits and scoring passes are
 independent jobs and run concurrently from two driver threads.
 """
@@ -28,25 +28,27 @@ from __future__ import annotations
 from pyspark.ml import Estimator
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType
+from pyspark.sql.types import DoubleType, IntegerType, StringType
 
 from seedgrow.functions.vectors import slice_vector
 from seedgrow.operators.setops import agreement
 from seedgrow.plans.base import (
+    ACCEPTED,
     FEAT,
+    FIRST,
     ID,
     IT,
     PS,
+    STATE,
     Y,
+    ReplayPool,
     SemiSupervisedMarker,
     Timer,
     _LoopParams,
-    accepted_rows,
     check_base,
     fit_learner,
     make_model,
     prepare,
-    replay,
     run_parallel,
 )
 from seedgrow.plans.lineage import Workspace
@@ -154,14 +156,18 @@ class CoTraining(Estimator, _LoopParams, SemiSupervisedMarker):
             v1, v2 = self._views(int(prep.max_dim or 0))
             views = {1: v1, 2: v2}
             learners = {1: self.base1, 2: self.base2}
-            seed, pool = prep.seed, prep.pool
+            seed = prep.seed
             k_classes = prep.num_classes
             schema = (
-                prep.table.select(ID, FEAT).schema.add(PS, DoubleType()).add(LEARNER, IntegerType()).add(IT, IntegerType())
+                prep.table.select(ID, FEAT, FIRST).schema.add(PS, DoubleType()).add(LEARNER, IntegerType())
+                .add(IT, IntegerType()).add(STATE, StringType())
             )
 
+            def written():
+                return ws.read("ct", schema)
+
             def accepted_by(learner: int, with_ids: bool = False):
-                r = ws.read("ct", schema).where(F.col(LEARNER) == learner)
+                r = written().where((F.col(LEARNER) == learner) & (F.col(STATE) == ACCEPTED))
                 cols = [ID, FEAT] if with_ids else [FEAT]
                 return r.select(*cols, F.col(PS).alias(Y))
 
@@ -170,34 +176,35 @@ class CoTraining(Estimator, _LoopParams, SemiSupervisedMarker):
                 s = prep.seed_with_ids if with_ids else seed
                 return s if it_done == 0 else s.unionByName(accepted_by(2 if k == 1 else 1, with_ids))
 
-            models: dict[int, list] = {1: [], 2: []}
-
-            def step(k: int, it: int):
-                view = views[k]
-                train = labeled(k, it - 1).withColumn(VIEW, slice_vector(FEAT, view))
-                models[k].append(fit_learner(learners[k], train, VIEW, Y, k_classes))
-                scored_pool = pool.withColumn(VIEW, slice_vector(FEAT, view))
-                df, in_pool, accept, pred = replay(scored_pool, models[k], t, dedup, VIEW)
-                rows, obs = accepted_rows(df, in_pool, accept, pred, dedup)
-                ws.write(rows, f"ct/{LEARNER}={k}/{IT}={it}")
-                m = obs.get
-                return int(m.get("n_new") or 0), int(m.get("n_left") or 0)
+            ratio, max_chain = self.getOrDefault(self.compactRatio), self.getOrDefault(self.maxChain)
+            pools = {
+                k: ReplayPool(prep.pool, prep.n_pool, t, dedup, ratio, max_chain, VIEW,
+                              view=lambda c, v=views[k]: slice_vector(c, v))
+                for k in (1, 2)
+            }
+
+            def step(k: int, it: int) -> int:
+                train = labeled(k, it - 1).withColumn(VIEW, slice_vector(FEAT, views[k]))
+                model = fit_learner(learners[k], train, VIEW, Y, k_classes)
+                return pools[k].step(
+                    model, ws, f"ct/{LEARNER}={k}/{IT}={it}",
+                    lambda rel: written().where((F.col(LEARNER) == k) & (F.col(IT) == it)),
+                )
 
-            n1 = n2 = prep.n_pool
             lab1 = lab2 = prep.n_seed
             history: list[dict] = []
             it, new = 1, 1
-            while it <= self.getMaxIter() and n1 > 0 and n2 > 0 and new > 0:
+            while it <= self.getMaxIter() and pools[1].n_left > 0 and pools[2].n_left > 0 and new > 0:
                 clock = Timer()
-                (a1, left1), (a2, left2) = run_parallel([lambda: step(1, it), lambda: step(2, it)], par)
+                a1, a2 = run_parallel([lambda: step(1, it), lambda: step(2, it)], par)
                 new = a1 + a2
-                n1, n2 = left1, left2
                 lab1, lab2 = lab1 + a2, lab2 + a1
                 n_agree = None
                 if track:
                     n_agree = agreement(labeled(1, it, True), labeled(2, it, True), ID, FEAT, Y, mode).count()
                 history.append(dict(iteration=it, n_new1=a1, n_new2=a2, n_labeled1=lab1, n_labeled2=lab2,
-                                    n_unlabeled1=n1, n_unlabeled2=n2, n_agreement=n_agree, step_s=clock.lap()))
+                                    n_unlabeled1=pools[1].n_left, n_unlabeled2=pools[2].n_left,
+                                    n_agreement=n_agree, step_s=clock.lap()))
                 self.log_iteration(history[-1])
                 it += 1
             done = it - 1

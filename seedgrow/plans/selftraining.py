@@ -17,10 +17,11 @@ scoring is a pure function of the vector, so all copies are accepted
 together in iteration 1.
 
 Per iteration: one distributed fit on the seed plus the accepted rows so
-far, then one map-only pass over the original pool that replays the
+far, then one map-only pass over the pool's base table that replays the
 earlier models to know which rows are still in the pool (``base.replay``),
-counts the outcome through an observation and writes only the newly
-accepted rows. Every pool row is written at most once over the whole fit.
+counts the outcome through an observation and writes the newly accepted
+rows; when the pool has shrunk enough, the same pass also writes the rows
+still in it as the new base (``base.ReplayPool``).
 """
 
 from __future__ import annotations
@@ -28,23 +29,25 @@ from __future__ import annotations
 from pyspark.ml import Estimator
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType
+from pyspark.sql.types import DoubleType, IntegerType, StringType
 
 from seedgrow.plans.base import (
+    ACCEPTED,
     FEAT,
+    FIRST,
     ID,
     IT,
     PS,
+    STATE,
     Y,
+    ReplayPool,
     SemiSupervisedMarker,
     Timer,
     _LoopParams,
-    accepted_rows,
     check_base,
     fit_learner,
     make_model,
     prepare,
-    replay,
 )
 from seedgrow.plans.lineage import Workspace
 
@@ -86,29 +89,33 @@ class SelfTraining(Estimator, _LoopParams, SemiSupervisedMarker):
         ws = Workspace(spark, "selftraining", self.getOrDefault(self.keepCheckpoints))
         try:
             prep = prepare(self, dataset, ws, dedup)
-            seed, pool = prep.seed, prep.pool
-            schema = prep.table.select(ID, FEAT).schema.add(PS, DoubleType()).add(IT, IntegerType())
+            seed = prep.seed
+            schema = (
+                prep.table.select(ID, FEAT, FIRST).schema.add(PS, DoubleType()).add(IT, IntegerType())
+                .add(STATE, StringType())
+            )
+
+            def written():
+                return ws.read("st", schema)
 
             def accepted():
-                return ws.read("st", schema).select(FEAT, F.col(PS).alias(Y))
+                return written().where(F.col(STATE) == ACCEPTED).select(FEAT, F.col(PS).alias(Y))
 
-            n_lab, n_pool = prep.n_seed, prep.n_pool
+            pool = ReplayPool(prep.pool, prep.n_pool, t, dedup, self.getOrDefault(self.compactRatio),
+                              self.getOrDefault(self.maxChain))
+            n_lab = prep.n_seed
             history: list[dict] = []
-            models = []
             it, new = 0, 1
-            while it < self.getMaxIter() and n_pool > 0 and new > 0:
+            while it < self.getMaxIter() and pool.n_left > 0 and new > 0:
                 it += 1
                 clock = Timer()
                 train = seed if it == 1 else seed.unionByName(accepted())
-                models.append(fit_learner(self.base, train, num_classes=prep.num_classes))
+                model = fit_learner(self.base, train, num_classes=prep.num_classes)
                 fit_s = clock.lap()
-                df, in_pool, accept, pred = replay(pool, models, t, dedup)
-                rows, obs = accepted_rows(df, in_pool, accept, pred, dedup)
-                ws.write(rows, f"st/{IT}={it}")
-                m = obs.get
-                new, n_pool = int(m.get("n_new") or 0), int(m.get("n_left") or 0)
+                k = it
+                new = pool.step(model, ws, f"st/{IT}={it}", lambda rel, k=k: written().where(F.col(IT) == k))
                 n_lab += new
-                history.append(dict(iteration=it, n_labeled=n_lab, n_unlabeled=n_pool, n_new=new,
+                history.append(dict(iteration=it, n_labeled=n_lab, n_unlabeled=pool.n_left, n_new=new,
                                     fit_s=fit_s, score_s=clock.lap()))
                 self.log_iteration(history[-1])
             final_train = seed if it == 0 else seed.unionByName(accepted())

@@ -259,3 +259,24 @@ def test_setters_chain_like_spark(spark):
     assert ct.getThreshold() == 0.8 and ct.getOrDefault(ct.view2Indices) == [2, 3]
     m = em.fit(every_tenth(spark, SF_SMALL))
     assert m.history_rows
+
+
+@pytest.mark.parametrize("mode", ["features", "id"])
+def test_compaction_does_not_change_results(spark, mode):
+    """Replaying every model over the original pool and rewriting the pool
+    every iteration give the same loop."""
+    from seedgrow import workloads as W
+
+    seed, pool = W.duplicated_pool(spark, SF_SMALL)
+    df = seed.unionByName(pool.withColumn("label", F.lit(None).cast("double")))
+    never = SelfTraining(nb(), threshold=0.95, maxIter=3, matchMode=mode).setCompactRatio(0.0).setMaxChain(100).fit(df)
+    always = SelfTraining(nb(), threshold=0.95, maxIter=3, matchMode=mode).setCompactRatio(1.01).setMaxChain(1).fit(df)
+    keys = ("iteration", "n_labeled", "n_unlabeled", "n_new")
+    assert [tuple(r[k] for k in keys) for r in never.history_rows] == [tuple(r[k] for k in keys) for r in always.history_rows]
+    pa = never.transform(df).select("row_id", "prediction").orderBy("row_id").collect()
+    pb = always.transform(df).select("row_id", "prediction").orderBy("row_id").collect()
+    assert pa == pb
+    ct_never = CoTraining(nb(), threshold=0.9, maxIter=3, matchMode=mode).setCompactRatio(0.0).setMaxChain(100).fit(df)
+    ct_always = CoTraining(nb(), threshold=0.9, maxIter=3, matchMode=mode).setCompactRatio(1.01).setMaxChain(1).fit(df)
+    ck = ("n_new1", "n_new2", "n_unlabeled1", "n_unlabeled2")
+    assert [tuple(r[k] for k in ck) for r in ct_never.history_rows] == [tuple(r[k] for k in ck) for r in ct_always.history_rows]

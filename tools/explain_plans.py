@@ -14,7 +14,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from seedgrow import workloads as W  # noqa: E402
 from seedgrow.operators import dedup, metrics, pseudo, setops  # noqa: E402
-from seedgrow.plans.base import FEAT, FIRST, ID, accepted_rows, replay  # noqa: E402
+from seedgrow.plans.base import FEAT, FIRST, ID, replay, tagged_rows  # noqa: E402
 from seedgrow.session import local_session  # noqa: E402
 from seedgrow.sources import tables  # noqa: E402
 
@@ -41,7 +41,7 @@ def main():
     m2 = W.nb().fit(dup_seed)
     p = dpool.select(F.col("row_id").alias(ID), F.col("features").alias(FEAT), F.lit(True).alias(FIRST))
     df, in_pool, accept, pred = replay(p, [model, m2], 0.95, True)
-    rows, _ = accepted_rows(df, in_pool, accept, pred, True)
+    rows, _ = tagged_rows(df, in_pool, accept, pred, True, keep_pool=False)
     show("loop pass: two models replayed, observation barrier, only accepted rows kept", rows)
     show("quality fixture: spread scan, join labels (AQE may broadcast)", tables.quality_samples(spark, sf))
 
