@@ -166,15 +166,20 @@ class CoTraining(Estimator, _LoopParams, SemiSupervisedMarker):
             def written():
                 return ws.read("ct", schema)
 
-            def accepted_by(learner: int, with_ids: bool = False):
-                r = written().where((F.col(LEARNER) == learner) & (F.col(STATE) == ACCEPTED))
+            def accepted_by(learner: int, it_done: int, with_ids: bool = False):
+                # Bounded by iteration: the other learner may be writing the
+                # current iteration concurrently.
+                r = written().where(
+                    (F.col(LEARNER) == learner) & (F.col(IT) <= it_done) & (F.col(STATE) == ACCEPTED)
+                )
                 cols = [ID, FEAT] if with_ids else [FEAT]
                 return r.select(*cols, F.col(PS).alias(Y))
 
             def labeled(k: int, it_done: int, with_ids: bool = False):
-                """L_k: the seed plus the rows the *other* learner accepted."""
+                """L_k: the seed plus the rows the *other* learner accepted
+                in iterations 1..it_done."""
                 s = prep.seed_with_ids if with_ids else seed
-                return s if it_done == 0 else s.unionByName(accepted_by(2 if k == 1 else 1, with_ids))
+                return s if it_done == 0 else s.unionByName(accepted_by(2 if k == 1 else 1, it_done, with_ids))
 
             ratio, max_chain = self.getOrDefault(self.compactRatio), self.getOrDefault(self.maxChain)
             pools = {
