@@ -24,6 +24,7 @@ from seedgrow.operators.metrics import auc, roc_curve, weighted_metrics
 from seedgrow.operators.splits import labeled_flag
 from seedgrow.plans.base import SemiSupervisedMarker, run_parallel
 from seedgrow.plans.lineage import Workspace
+from seedgrow.sources.sinks import write_roc
 
 METRICS = ["weighted_precision", "weighted_recall", "weighted_f1", "auc", "auc_folded"]
 
@@ -141,11 +142,16 @@ def roc_for(
     positive=1.0,
     id_col: str = "row_id",
     label_col: str = "label",
+    path: str | None = None,
 ) -> DataFrame:
-    """ROC curve of one classifier on one holdout (pool scored)."""
+    """ROC curve of one classifier on one holdout (pool scored); written to
+    ``path`` as well when given."""
     flag = labeled_flag(id_col, fraction, seed)
     train = df.withColumn(label_col, F.when(flag, F.col(label_col))) if isinstance(estimator, SemiSupervisedMarker) else df.where(flag)
     model = estimator.fit(train)
     pred = model.transform(df.where(~flag))
     s = pred.select(F.col(label_col).alias("label"), F.round(score_column(model, positive), 12).alias("score"))
-    return roc_curve(s, "label", "score", positive)
+    roc = roc_curve(s, "label", "score", positive)
+    if path is not None:
+        write_roc(roc, path)
+    return roc
