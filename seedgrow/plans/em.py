@@ -18,7 +18,8 @@ Nothing is written per iteration: the E-step labels are a projection of the
 written base table (the current model applied on the fly inside the M-step
 fit), and the change count is one aggregate pass that evaluates the
 previous and the current model side by side in each row — no join, no
-driver arrays, no positional matching.
+driver arrays, no positional matching. The change count and the M-step
+fit only need the current model, so they run concurrently.
 """
 
 from __future__ import annotations
@@ -37,13 +38,11 @@ from seedgrow.plans.base import (
     fit_learner,
     make_model,
     prepare,
+    run_parallel,
 )
 from seedgrow.plans.lineage import Workspace
 
-HISTORY_SCHEMA = (
-    "iteration int, residual_pct double, n_changed long, n_labeled long, n_unlabeled long, "
-    "estep_s double, mstep_s double"
-)
+HISTORY_SCHEMA = "iteration int, residual_pct double, n_changed long, n_labeled long, n_unlabeled long, step_s double"
 
 
 def _predict(model, df, out: str):
@@ -103,19 +102,27 @@ class HardEM(Estimator, _LoopParams, SemiSupervisedMarker):
                 it, residual = 0, 100.0
                 while it < self.getMaxIter() and residual > tol:
                     clock = Timer()
-                    n_changed = 0
-                    if prev is not None:
-                        both = _predict(model, _predict(prev, pool, "__old"), "__cur")
+                    cur, older = model, prev
+
+                    def count_changed() -> int:
+                        # Change count of this E-step (previous vs current model, in-row).
+                        if older is None:
+                            return 0
+                        both = _predict(cur, _predict(older, pool, "__old"), "__cur")
                         changed = (F.abs(F.col("__cur") - F.col("__old")) > F.lit(0.01)).cast("long")
-                        n_changed = int(both.agg(F.sum(changed).alias("n")).first()["n"] or 0)
-                    estep_s = clock.lap()
-                    prev, model = model, fit_learner(self.base, with_labels(model), num_classes=k)
+                        return int(both.agg(F.sum(changed).alias("n")).first()["n"] or 0)
+
+                    def m_step():
+                        return fit_learner(self.base, with_labels(cur), num_classes=k)
+
+                    # Independent jobs: submitted from two driver threads.
+                    n_changed, nxt = run_parallel([count_changed, m_step], 2)
+                    prev, model = cur, nxt
                     missed = n_pool if it == 0 else n_changed
                     residual = 100.0 * missed / n_pool
                     it += 1
                     history.append(dict(iteration=it, residual_pct=residual, n_changed=n_changed,
-                                        n_labeled=prep.n_seed, n_unlabeled=n_pool, estep_s=estep_s,
-                                        mstep_s=clock.lap()))
+                                        n_labeled=prep.n_seed, n_unlabeled=n_pool, step_s=clock.lap()))
                     self.log_iteration(history[-1])
                 last = model
                 model = fit_learner(self.base, with_labels(model), num_classes=k)
