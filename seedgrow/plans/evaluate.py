@@ -19,6 +19,7 @@ from pyspark.ml import Estimator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seedgrow.functions.hashing import unit_hash
 from seedgrow.functions.vectors import probability_at
 from seedgrow.operators.metrics import auc, roc_curve, weighted_metrics
 from seedgrow.operators.splits import labeled_flag
@@ -70,9 +71,15 @@ def evaluate_all(
     label_col: str = "label",
     with_timing: bool = False,
     parallelism: int = 1,
+    test_fraction: float | None = None,
 ) -> DataFrame:
     """Mean metrics over folds per (algorithm, labelled fraction).
 
+    By default the scored rows are the unlabelled pool the semi-supervised
+    learners trained on (transductive, as the original). With
+    ``test_fraction`` a further hash split of the unlabelled part is held
+    out of training altogether and scored instead (inductive).
+
     Columns: ``name, label_fraction, weighted_precision, weighted_recall,
     weighted_f1, auc, auc_folded`` (+ ``learning_time_s``).
 
@@ -92,12 +99,16 @@ def evaluate_all(
         def one(i, fraction, seed, est, name):
             flag = labeled_flag(id_col, fraction, seed)
             t0 = time.perf_counter()
+            data, scored_rows = df, df.where(~flag)
+            if test_fraction is not None:
+                held = ~flag & (unit_hash(id_col, seed + 7919) < F.lit(float(test_fraction)))
+                data, scored_rows = df.where(~held), df.where(held)
             if isinstance(est, SemiSupervisedMarker):
-                train = df.withColumn(label_col, F.when(flag, F.col(label_col)))
+                train = data.withColumn(label_col, F.when(flag, F.col(label_col)))
             else:
-                train = df.where(flag)
+                train = data.where(flag)
             model = est.fit(train)
-            pred = model.transform(df.where(~flag))
+            pred = model.transform(scored_rows)
             scored = pred.select(
                 F.col(label_col).cast("double").alias("label"),
                 F.col("prediction").cast("double").alias("prediction"),

@@ -147,3 +147,17 @@ def test_sweep_end_to_end(spark, tmp_path):
     rows = out.collect()
     assert len(rows) == 4 and {r["name"] for r in rows} == {"NB", "ST"}
     assert all(0.0 <= r["weighted_f1"] <= 1.0 and r["learning_time_s"] > 0 for r in rows)
+
+
+def test_inductive_evaluation(spark):
+    from pyspark.ml.classification import NaiveBayes
+
+    from seedgrow.plans.evaluate import evaluate_all
+    from seedgrow.plans.selftraining import SelfTraining
+    from seedgrow.sources import binary_embedding_samples
+
+    b = binary_embedding_samples(spark, "/root/testdata/sf0.001")
+    algos = [(SelfTraining(NaiveBayes(modelType="gaussian"), maxIter=1), "ST")]
+    trans = evaluate_all(algos, b, [0.2], [42]).first()
+    induc = evaluate_all(algos, b, [0.2], [42], test_fraction=0.3).first()
+    assert 0.0 <= induc["weighted_f1"] <= 1.0 and 0.0 <= trans["weighted_f1"] <= 1.0
