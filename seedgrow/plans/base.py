@@ -265,7 +265,12 @@ class ReplayPool:
         base = self.base if self.view is None else self.base.withColumn(self.features_col, self.view(F.col(FEAT)))
         df, in_pool, accept, pred = replay(base, self.chain, self.threshold, self.dedup, self.features_col)
         rows, obs = tagged_rows(df, in_pool, accept, pred, self.dedup, compact)
-        ws.write(rows, rel, partition_by=[STATE])
+        if compact:
+            ws.write(rows, rel, partition_by=[STATE])
+        else:
+            # Only accepted rows: write straight into their partition directory
+            # (same layout, no dynamic-partition writer).
+            ws.write(rows.drop(STATE), f"{rel}/{STATE}={ACCEPTED}")
         m = obs.get
         new, self.n_left = int(m.get("n_new") or 0), int(m.get("n_left") or 0)
         if compact:
