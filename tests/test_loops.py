@@ -151,6 +151,7 @@ def test_no_state_left_after_fit(spark):
     before = set(glob.glob(os.path.join(root, "seedgrow-*")))
     SelfTraining(nb(), maxIter=2).fit(every_tenth(spark, SF_SMALL))
     HardEM(nb(), maxIter=2).fit(every_tenth(spark, SF_SMALL))
+    CoTraining(nb(), maxIter=2).fit(every_tenth(spark, SF_SMALL))
     after = set(glob.glob(os.path.join(root, "seedgrow-*")))
     assert after == before
 
