@@ -30,7 +30,7 @@ def main():
     seed, pool = W.seed_and_pool(spark, sf)
     show("hide_labels: column pruning + hash-split filter at the scan", pseudo.hide_labels(pool).select("row_id", "label"))
     model = W.nb().fit(seed)
-    show("reliable_pseudo_labels: score + filter, one codegen stage", pseudo.reliable_pseudo_labels(model, pool, 0.95, list(range(10))))
+    show("reliable_pseudo_labels: score once, observation barrier, then filter", pseudo.reliable_pseudo_labels(model, pool, 0.95, list(range(10))))
     _, dpool = W.duplicated_pool(spark, sf)
     show("first-copy flag: partial aggregate by vector, join on unique id", dedup.mark_first_copies(dpool))
     acc = pseudo.reliable_pseudo_labels(model, dpool, 0.95, list(range(10)))
