@@ -281,3 +281,23 @@ def test_compaction_does_not_change_results(spark, mode):
     ct_always = CoTraining(nb(), threshold=0.9, maxIter=3, matchMode=mode).setCompactRatio(1.01).setMaxChain(1).fit(df)
     ck = ("n_new1", "n_new2", "n_unlabeled1", "n_unlabeled2")
     assert [tuple(r[k] for k in ck) for r in ct_never.history_rows] == [tuple(r[k] for k in ck) for r in ct_always.history_rows]
+
+
+def test_filter_stays_above_the_observation(spark):
+    """The accepted-only filter must not be pushed below the scoring
+    projection (that would evaluate the models twice per row)."""
+    from seedgrow import workloads as W
+    from seedgrow.operators.pseudo import confidence_filter
+    from seedgrow.plans.base import FEAT, FIRST, ID, replay, tagged_rows
+
+    seed, pool = W.seed_and_pool(spark, SF_SMALL)
+    m = nb().fit(seed)
+    p = pool.select(F.col("row_id").alias(ID), F.col("features").alias(FEAT), F.lit(True).alias(FIRST))
+    df, in_pool, accept, pred = replay(p, [m, m], 0.95, True)
+    rows, _ = tagged_rows(df, in_pool, accept, pred, True, keep_pool=False)
+    for frame in (rows, confidence_filter(m.transform(pool), 0.95)):
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        lines = plan.splitlines()
+        obs_at = next(i for i, line in enumerate(lines) if "CollectMetrics" in line)
+        below = "\n".join(lines[obs_at + 1:])
+        assert "UDF" not in "".join(line for line in below.splitlines() if "Filter" in line)
