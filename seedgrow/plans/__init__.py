@@ -5,7 +5,10 @@ from seedgrow.plans.base import SemiSupervisedMarker, SemiSupervisedModel
 from seedgrow.plans.cotraining import CoTraining, default_views
 from seedgrow.plans.em import HardEM
 from seedgrow.plans.lineage import Workspace, checkpoint_root, ensure_checkpoint_dir
+from seedgrow.plans.evaluate import evaluate_all, roc_for
 from seedgrow.plans.selftraining import SelfTraining
+from seedgrow.plans.supervised import Supervised
+from seedgrow.plans.sweep import run_sweep
 
 __all__ = [
     "SemiSupervisedMarker",
@@ -14,6 +17,10 @@ __all__ = [
     "default_views",
     "HardEM",
     "SelfTraining",
+    "Supervised",
+    "evaluate_all",
+    "roc_for",
+    "run_sweep",
     "Workspace",
     "checkpoint_root",
     "ensure_checkpoint_dir",
