@@ -43,20 +43,26 @@ def words(text: Column) -> Column:
 
 
 def shingle_hashes(w: Column) -> Column:
-    """Hash of every shingle of a word array."""
+    """md5 of every shingle of a word array, in order."""
     every = F.transform(
-        F.sequence(F.lit(1), F.size(w) - (WORDS - 1)),
-        lambda i: F.substring(F.md5(F.concat_ws(" ", *[F.element_at(w, i + k) for k in range(WORDS)])), 1, DIGITS),
+        F.sequence(F.lit(1), F.greatest(F.size(w) - (WORDS - 1), F.lit(1))),
+        lambda i: F.md5(F.array_join(F.slice(w, i, WORDS), " ")),
     )
-    short = F.array(F.substring(F.md5(F.concat_ws(" ", w)), 1, DIGITS))
-    return F.when(F.size(w) >= WORDS, every).when(F.size(w) > 0, short).otherwise(F.array().cast("array<string>"))
+    return F.when(F.size(w) > 0, every).otherwise(F.array().cast("array<string>"))
+
+
+def below(hashes: Column) -> Column:
+    """The hashes below the threshold, in order, cut to their digits."""
+    return F.transform(F.filter(hashes, lambda h: h < BELOW), lambda h: F.substring(h, 1, DIGITS))
 
 
 def retain(hashes: Column) -> Column:
     """Hashes below the threshold, or else the smallest; sorted, distinct."""
-    low = F.filter(hashes, lambda h: h < BELOW)
-    least = F.filter(F.array(F.array_min(hashes)), lambda h: h.isNotNull())
-    return F.array_sort(F.array_distinct(F.when(F.size(low) > 0, low).otherwise(least)))
+    low = below(hashes)
+    least = F.transform(
+        F.filter(F.array(F.array_min(hashes)), lambda h: h.isNotNull()), lambda h: F.substring(h, 1, DIGITS)
+    )
+    return F.sort_array(F.array_distinct(F.when(F.size(low) > 0, low).otherwise(least)))
 
 
 def merge(a: Column, b: Column) -> Column:
@@ -111,39 +117,90 @@ def previous_ids(ids: DataFrame, scratch: Scratch) -> DataFrame:
     return chain.select("id", "canon", prev["id"].alias("prev_id"), prev["need"].alias("prev_need"))
 
 
+def kept_part(docs: DataFrame) -> DataFrame:
+    """``doc_id, text, kept`` plus what a later replacement of the last third
+    needs: the sketch is mergeable, so the part of the text that stays need
+    not be hashed again.
+
+    ``kept``: the hashes below the threshold in text order (or the smallest);
+    ``n_kept``: how many of them lie wholly in the complete words of the part
+    that stays; ``joint``: the end of that part, from its last four complete
+    words on; ``n_low``: how many of ``kept`` are below the threshold.
+    """
+    stays = F.expr("left(text, cast(length(text) - floor(length(text) / 3) as int))")
+    d = docs.select("doc_id", "text", words(F.col("text")).alias("w"), stays.alias("stays"))
+    d = d.withColumn("hashes", shingle_hashes(F.col("w"))).withColumn("sw", words(F.col("stays")))
+    open_end = F.col("stays").rlike(r"[^\x20\x09-\x0D]\z")
+    d = d.withColumns({
+        "complete": F.size("sw") - F.when(open_end, F.lit(1)).otherwise(F.lit(0)),
+        "low": below(F.col("hashes")),
+        "gap": F.when(open_end, F.lit("")).otherwise(F.lit(" ")),
+    })
+    valid = F.greatest(F.col("complete") - (WORDS - 1), F.lit(0))
+    in_valid = F.when(
+        valid > 0, F.size(F.filter(F.slice("hashes", F.lit(1), F.greatest(valid, F.lit(1))), lambda h: h < BELOW))
+    ).otherwise(F.lit(0))
+    first = F.greatest(F.col("complete") - (WORDS - 2), F.lit(1))
+    joint = F.concat(F.array_join(F.slice("sw", first, F.lit(WORDS)), " "), F.col("gap"))
+    return d.select(
+        "doc_id", "text",
+        F.when(F.size("low") > 0, F.col("low")).otherwise(retain(F.col("hashes"))).alias("kept"),
+        F.size("low").alias("n_low"), in_valid.alias("n_kept"), joint.alias("joint"),
+        (F.col("complete") >= WORDS).alias("mergeable"),
+    )
+
+
 def with_next(docs: DataFrame) -> DataFrame:
-    """``doc_id, text, sketch`` plus ``head`` (the first third's worth of the
-    next document's text, as many code points as this text needs) and
-    ``next_sketch``."""
+    """``doc_id, text, sketch``, the columns of ``kept_part``, ``head`` (of the
+    next document's text, as many code points as the last third of this text
+    has) and ``next_sketch``."""
     scratch = Scratch(docs.sparkSession, "fingerprint")
-    base = fingerprint(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")), out="sketch")
-    base = base.withColumn("digest", F.md5("text"))
-    small = docs.select(F.col("doc_id").cast("long").alias("id"), text_or_empty().alias("text"))
-    ids = small.groupBy("id").agg(
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    ids = whole.groupBy(F.col("doc_id").alias("id")).agg(
         F.max(F.floor(F.length("text") / 3)).alias("need"), F.min(F.md5("text")).alias("canon")
     )
     prev = scratch.keep(previous_ids(ids, scratch), "previous")
-    sent = base.join(prev, base["doc_id"].eqNullSafe(prev["id"]) & (base["digest"] == prev["canon"]))
-    sent = sent.groupBy("prev_id").agg(
-        F.first(F.struct(F.expr("left(text, cast(prev_need as int))").alias("head"), F.col("sketch"))).alias("next")
-    )
+    base = kept_part(whole)
+    sent = base.join(prev, base["doc_id"].eqNullSafe(prev["id"]))
+    # Not a join key: both uses of ``base`` shall share one exchange by id.
+    sent = sent.where(F.coalesce(F.md5("text") == F.col("canon"), F.lit(False)))
+    sent = sent.select(
+        "prev_id", F.struct(F.expr("left(text, cast(prev_need as int))").alias("head"), F.col("kept")).alias("next")
+    ).groupBy("prev_id").agg(F.first("next").alias("next"))
     out = base.join(sent, base["doc_id"].eqNullSafe(sent["prev_id"]), "left")
+    tidy = lambda c: F.sort_array(F.array_distinct(c))
     return out.select(
-        "doc_id", "text", "sketch",
+        "doc_id", "text", "kept", "n_low", "n_kept", "joint", "mergeable", tidy("kept").alias("sketch"),
         F.expr("left(next.head, cast(floor(length(text) / 3) as int))").alias("head"),
-        F.col("next.sketch").alias("next_sketch"),
+        tidy("next.kept").alias("next_sketch"),
     )
 
 
+def edited_sketch(d: DataFrame) -> DataFrame:
+    """``d`` (of ``with_next``) plus the edited text and its sketch: what stays
+    is merged with the hashes of the words from ``joint`` on. Only a text too
+    short, or with no hash below the threshold, is hashed anew."""
+    none = F.array().cast("array<string>")
+    d = d.withColumn("edited", F.expr(
+        "concat(left(text, cast(length(text) - floor(length(text) / 3) as int)), head)"))
+    # Word arrays are columns of their own: inside a lambda they would be
+    # computed again for every shingle.
+    d = d.withColumn("tail_words", F.when(F.col("mergeable"), words(F.concat("joint", "head"))).otherwise(none))
+    d = d.withColumn("tail_low", below(shingle_hashes(F.col("tail_words"))))
+    stays = F.when(F.col("n_kept") > 0, F.slice("kept", F.lit(1), F.greatest("n_kept", F.lit(1)))).otherwise(none)
+    d = d.withColumn("merged", F.when(F.col("mergeable"), F.concat(stays, "tail_low")).otherwise(none))
+    d = d.withColumn("new_words", F.when(F.size("merged") == 0, words(F.col("edited"))).otherwise(none))
+    d = d.withColumn("new_hashes", shingle_hashes(F.col("new_words")))
+    merged = F.sort_array(F.array_distinct("merged"))
+    d = d.withColumn("edited_sketch", F.when(F.size("merged") > 0, merged).otherwise(retain(F.col("new_hashes"))))
+    return d.drop("tail_words", "tail_low", "merged", "new_words", "new_hashes")
+
+
 def op8_fingerprint(spark, sf_dir: str) -> DataFrame:
-    d = with_next(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    n = F.length("text")
-    d = d.withColumns({"n_chars": n.cast("long"), "edited": F.expr(
-        "concat(left(text, cast(length(text) - floor(length(text) / 3) as int)), head)")})
-    d = fingerprint(d, "edited", "edited_sketch")
+    d = edited_sketch(with_next(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
     a, e, x = F.col("sketch"), F.col("edited_sketch"), F.col("next_sketch")
     return d.select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
         F.array_join(a, "").alias("fingerprint"), F.array_join(e, "").alias("edited_fingerprint"),
         likeness(a, e).alias("near_edited"), likeness(a, x).alias("near_next"),
         containment(a, e).alias("contained_edited"), containment(a, x).alias("contained_next"),

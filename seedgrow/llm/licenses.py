@@ -157,7 +157,7 @@ def scan(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("__sg_found", found)
     return rows.withColumns(
         {
-            "line_licenses": F.array_join(F.array_sort(F.array_distinct("__sg_found")), ","),
+            "line_licenses": F.array_join(F.sort_array(F.array_distinct("__sg_found")), ","),
             "n_license_lines": F.size("__sg_found").cast("long"),
         }
     ).drop("__sg_digest", "__sg_known", "__sg_found")
