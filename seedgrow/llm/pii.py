@@ -67,6 +67,17 @@ LOOSE = {
     "phone": r"(?<![0-9+().-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9])",
 }
 _LOOSE_GUARD = {"email": r"[(\[{]at[)\]}]", "ip": LOOSE["ip"], "card": LOOSE["card"], "phone": LOOSE["phone"]}
+# Four digits close together: in every address, card and national number.
+_DIGITS = r"[0-9](?:[\x20().-]{0,3}[0-9]){3}"
+
+
+def _needs(text: Column, digits: Column) -> dict[str, Column]:
+    """Cheap necessary conditions, so that most texts meet one pattern only."""
+    return {
+        "b_email": text.contains("@"), "b_ip": digits, "b_card": digits, "b_phone": text.contains("+"),
+        "l_email": text.contains("at)") | text.contains("at]") | text.contains("at}"),
+        "l_ip": text.contains(":"), "l_card": digits, "l_phone": digits,
+    }
 
 # Gazetteer of each kind, as a pattern over the span.
 _GAZETTEER = {
@@ -117,7 +128,7 @@ def _valid(kind: str, m: Column) -> Column:
 _SPAN = "array<struct<s:int,e:int,m:string>>"
 
 
-def _found(text: Column, pattern: str, guard: str) -> Column:
+def _found(text: Column, pattern: str, guard: Column) -> Column:
     """All matches with their code point positions, in order."""
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), lambda p: F.length(p))
@@ -130,7 +141,7 @@ def _found(text: Column, pattern: str, guard: str) -> Column:
         return F.struct(e.alias("p"), F.concat(acc["a"], F.array(F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m")))).alias("a"))
 
     whole = F.aggregate(F.filter(pairs, lambda x: x["m"].isNotNull()), start, step)["a"]
-    return F.when(text.rlike(guard), whole).otherwise(F.array().cast(_SPAN))
+    return F.when(guard, whole).otherwise(F.array().cast(_SPAN))
 
 
 def _char_class(c: Column) -> Column:
@@ -169,8 +180,13 @@ def candidates(docs: DataFrame) -> DataFrame:
     """``docs`` plus ``__sg_base`` and ``__sg_loose``, the described spans."""
     d = docs.withColumn("__sg_text", text_or_empty())
     t = F.col("__sg_text")
+    d = d.withColumn("__sg_digits", t.rlike(_DIGITS))
+    needs = _needs(t, F.col("__sg_digits"))
     for k in KINDS:
-        d = d.withColumns({f"__sg_b_{k}": _found(t, BASE[k], _GUARD[k]), f"__sg_l_{k}": _found(t, LOOSE[k], _LOOSE_GUARD[k])})
+        d = d.withColumns({
+            f"__sg_b_{k}": _found(t, BASE[k], needs[f"b_{k}"] & t.rlike(_GUARD[k])),
+            f"__sg_l_{k}": _found(t, LOOSE[k], needs[f"l_{k}"] & t.rlike(_LOOSE_GUARD[k])),
+        })
 
     def every(prefix, strict):
         parts = []
@@ -186,7 +202,7 @@ def candidates(docs: DataFrame) -> DataFrame:
         "__sg_loose",
         lambda x: ~F.exists("__sg_base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])),
     )
-    return d.withColumn("__sg_loose", apart).drop("__sg_text", *[f"__sg_{p}_{k}" for k in KINDS for p in "bl"])
+    return d.withColumn("__sg_loose", apart).drop("__sg_text", "__sg_digits", *[f"__sg_{p}_{k}" for k in KINDS for p in "bl"])
 
 
 def _em(counts: list[tuple]) -> dict[tuple, float]:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from seedgrow.llm import fracminhash, licenses, mixing, sharding
+from seedgrow.llm import fracminhash, licenses, mixing, pii, sharding
 
 QUERIES = {
     "op2_mix": mixing.op2_mix,
     "op3_shard": sharding.op3_shard,
     "op6_license": licenses.op6_license,
     "op8_fingerprint": fracminhash.op8_fingerprint,
+    "op9_pii": pii.op9_pii,
 }
 
 
