@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from seedgrow.llm import fracminhash, licenses, mixing, pii, sharding
+from seedgrow.llm import bpe, fracminhash, licenses, mixing, pii, sharding
 
 QUERIES = {
     "op2_mix": mixing.op2_mix,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_license": licenses.op6_license,
     "op8_fingerprint": fracminhash.op8_fingerprint,
     "op9_pii": pii.op9_pii,
+    "op10_bpe": bpe.op10_bpe,
 }
 
 
