@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from seedgrow.llm import bpe, fracminhash, licenses, mixing, pii, sharding
+from seedgrow.llm import bpe, fracminhash, langid, licenses, mixing, pii, sharding
 
 QUERIES = {
     "op2_mix": mixing.op2_mix,
     "op3_shard": sharding.op3_shard,
     "op6_license": licenses.op6_license,
+    "op7_langid": langid.op7_langid,
     "op8_fingerprint": fracminhash.op8_fingerprint,
     "op9_pii": pii.op9_pii,
     "op10_bpe": bpe.op10_bpe,
