@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from seedgrow.llm import bpe, fracminhash, jaccard_join, langid, licenses, mixing, pii, sharding
+from seedgrow.llm import bpe, embedding_dedup, fracminhash, jaccard_join, langid, licenses, mixing, pii, sharding
 
 QUERIES = {
     "op2_mix": mixing.op2_mix,
     "op3_shard": sharding.op3_shard,
     "op4_jaccard": jaccard_join.op4_jaccard,
+    "op5_embeddings": embedding_dedup.op5_embeddings,
     "op6_license": licenses.op6_license,
     "op7_langid": langid.op7_langid,
     "op8_fingerprint": fracminhash.op8_fingerprint,
