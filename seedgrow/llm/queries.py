@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from seedgrow.llm import bpe, embedding_dedup, fracminhash, jaccard_join, langid, licenses, mixing, pii, sharding
+from seedgrow.llm import bpe, embedding_dedup, fracminhash, html_wrappers, jaccard_join, langid, licenses, mixing, pii, sharding
 
 QUERIES = {
+    "op1_html": html_wrappers.op1_html,
     "op2_mix": mixing.op2_mix,
     "op3_shard": sharding.op3_shard,
     "op4_jaccard": jaccard_join.op4_jaccard,
