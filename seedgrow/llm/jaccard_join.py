@@ -367,8 +367,10 @@ def _needed_sets(docs: DataFrame, classes: DataFrame, members: DataFrame) -> Dat
     return found.groupBy("sig").agg(F.first("n").alias("n"), F.first("items").alias("items"))
 
 
-def join_classes(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of every row of ``docs``."""
+def _joined(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows ``doc_id, n, sig`` of all documents, and ``sig, first_sig,
+    component_id`` of all classes; ``first_sig`` is the class that holds the
+    component's smallest id."""
     scratch = Scratch(docs.sparkSession, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     kept = scratch.keep(
@@ -384,13 +386,75 @@ def join_classes(docs: DataFrame) -> DataFrame:
     links = class_links(docs, classes, repeats, scratch)
     roots = components(links, scratch)
     linked = roots.join(classes, F.col("node") == F.col("sig")).select("sig", "root", "first_id")
-    least = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of = classes.join(linked.select("sig", "root"), "sig", "left").join(least, "root", "left")
-    of = scratch.keep(of.select("sig", F.coalesce("component_id", "first_id").alias("component_id")), "components")
-    some = rows.where(F.col("n") > 0).join(of, "sig").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
-    none = rows.where(F.col("n") == 0).select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    order = F.struct(F.col("first_id").isNull(), "first_id", "sig")
+    first = linked.groupBy("root").agg(F.min(order).alias("f")).select("root", "f.first_id", F.col("f.sig").alias("first_sig"))
+    linked = linked.select("sig", "root").join(first, "root").select("sig", "first_sig", F.col("first_id").alias("component_id"))
+    of = classes.join(linked, "sig", "left").select(
+        "sig", F.coalesce("first_sig", "sig").alias("first_sig"),
+        F.when(F.col("first_sig").isNull(), F.col("first_id")).otherwise(F.col("component_id")).alias("component_id"),
+    )
+    return rows, scratch.keep(of, "components")
+
+
+def join_classes(docs: DataFrame) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` of every row of ``docs``."""
+    rows, of = _joined(docs)
+    n = F.col("n").cast("long").alias("n_shingles")
+    some = rows.where(F.col("n") > 0).join(of, "sig").select("doc_id", n, "component_id")
+    none = rows.where(F.col("n") == 0).select("doc_id", n, F.col("doc_id").alias("component_id"))
     return some.unionByName(none)
 
 
+def _with_sig(names: list[str]):
+    """Map function: the rows, with the hash of their class."""
+    at = names.index("text")
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            sigs = []
+            for k in range(0, b.num_rows, ROWS):
+                for t in b.column(at).slice(k, ROWS).to_pylist():
+                    s = shingle_set(t)
+                    sigs.append(class_hash(s) if len(s) else None)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sigs, pa.int64())], [*names, "__sg_sig"])
+
+    return run
+
+
+def first_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each component the
+    row with the smallest id; rows without words all stay.
+
+    Ids that occur once (the rule) are kept by a semi join on the id. Rows
+    whose id is null or repeated are told apart by their class as well, and
+    one row of the kept class stays.
+    """
+    rows, of = _joined(docs)
+    times = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("times"))
+    best = rows.where(F.col("n") > 0).join(of, "sig")
+    best = best.where((F.col("sig") == F.col("first_sig")) & F.col("doc_id").eqNullSafe(F.col("component_id")))
+    stay = best.select("doc_id").unionByName(rows.where(F.col("n") == 0).select("doc_id"))
+    once = times.where((F.col("times") == 1) & F.col("doc_id").isNotNull()).select("doc_id")
+    scratch = Scratch(docs.sparkSession, "jaccard")
+    ids = scratch.keep(stay.join(once, "doc_id", "left_semi"), "stay").select(F.col("doc_id").alias("__sg_id"))
+    out = docs.join(ids, docs["doc_id"] == ids["__sg_id"], "left_semi")
+    odd = scratch.keep(
+        times.where((F.col("times") > 1) | F.col("doc_id").isNull()).select(F.col("doc_id").alias("__sg_id")), "odd"
+    )
+    if odd.isEmpty():
+        return out
+    names = docs.columns
+    odd = docs.join(odd, docs["doc_id"].cast("long").eqNullSafe(odd["__sg_id"]), "left_semi")
+    schema = type(docs.schema)([*docs.schema.fields]).add("__sg_sig", "long")
+    odd = scratch.keep(odd.mapInArrow(_with_sig(names), schema), "odd")
+    best = best.select(F.col("sig").alias("__sg_best"), F.col("doc_id").alias("__sg_id")).distinct()
+    one = odd.join(best, (odd["__sg_sig"] == best["__sg_best"]) & odd["doc_id"].cast("long").eqNullSafe(best["__sg_id"]))
+    one = one.groupBy("__sg_sig").agg(F.first(F.struct(*[F.col(f"`{c}`") for c in names])).alias("row")).select("row.*")
+    empty = odd.where(F.col("__sg_sig").isNull()).select(*[F.col(f"`{c}`") for c in names])
+    return out.unionByName(one).unionByName(empty)
+
+
 def op4_jaccard(spark, sf_dir: str) -> DataFrame:
     return join_classes(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
