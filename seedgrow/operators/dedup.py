@@ -7,8 +7,8 @@ one row per vector by flagging, once, the copy with the smallest id:
    so a vector repeated across a third of the table costs one row per map
    task, not one task holding a third of the rows (a window partitioned by
    the vector would);
-2. left join of the rows with those representatives on the unique id —
-   an equi-join on a unique key, never skewed.
+2. left join of the rows with those representatives on (id, vector), so
+   that rows sharing an id by mistake neither multiply nor flag each other.
 """
 
 from __future__ import annotations
@@ -25,10 +25,12 @@ def mark_first_copies(
     reps = (
         df.groupBy(as_array(features_col).alias("__vec"))
         .agg(F.min(id_col).alias("__rep"))
-        .select(F.col("__rep"), F.lit(True).alias(out_col))
+        .select("__vec", "__rep", F.lit(True).alias("__is_rep"))
     )
-    joined = df.join(reps, df[id_col] == reps["__rep"], "left")
-    return joined.withColumn(out_col, F.coalesce(F.col(out_col), F.lit(False))).drop("__rep")
+    own = df.withColumn("__own", as_array(features_col))
+    joined = own.join(reps, own[id_col].eqNullSafe(reps["__rep"]) & (own["__own"] == reps["__vec"]), "left")
+    flag = F.coalesce(F.col("__is_rep"), F.lit(False))
+    return joined.withColumn(out_col, flag).drop("__rep", "__vec", "__own", "__is_rep")
 
 
 def duplicate_summary(df: DataFrame, id_col: str = "row_id", features_col: str = "features") -> DataFrame:

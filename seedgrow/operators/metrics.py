@@ -12,11 +12,11 @@ negatives with a smaller score. A window ordered over the whole table would
 put every row in one task, so the prefix sums are computed in two levels:
 
 1. ``groupBy(score)`` collapses ties (partial aggregation);
-2. the distinct scores are cut into at most ``buckets`` ranges at approximate
-   quantiles (a bounded list of cut points computed by one aggregate);
-3. per-bucket totals (at most ``buckets`` rows) get their prefix sums by a
-   window over that small table, and are broadcast back — their size is
-   bounded by ``buckets``, not by the data;
+2. the distinct scores, written once, are cut into ranges of about
+   ``SCORES_PER_BUCKET`` at approximate quantiles;
+3. per-range totals (one row per range) get their prefix sums by a window
+   over that small table, and are broadcast back: a row of five numbers per
+   million distinct scores;
 4. within a bucket a window partitioned by bucket adds the rest.
 
 Every step is distributed; the result is exact whatever the quantile error
@@ -29,8 +29,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKETS = 256
-_MAX_BUCKETS = 4096
+# Distinct scores that one window task takes, about.
+SCORES_PER_BUCKET = 1_000_000
 
 
 def confusion_counts(df: DataFrame, label_col: str = "label", prediction_col: str = "prediction") -> DataFrame:
@@ -84,20 +84,26 @@ def weighted_metrics(df: DataFrame, label_col: str = "label", prediction_col: st
 
 
 def _score_groups(df: DataFrame, label_col: str, score_col: str, positive) -> DataFrame:
-    """``(score, pos, neg)`` per distinct score. Rows with a null label or
-    score count as neither (conditional sums rather than a filter, which
-    the optimizer would push below the scoring projection)."""
-    valid = F.col(score_col).isNotNull() & F.col(label_col).isNotNull()
+    """``(score, pos, neg)`` per distinct score. Rows with a null label or a
+    null or NaN score count as neither (conditional sums rather than a
+    filter, which the optimizer would push below the scoring projection)."""
+    score = F.col(score_col).cast("double")
+    score = F.when(~F.isnan(score), score)
+    valid = score.isNotNull() & F.col(label_col).isNotNull()
     is_pos = F.col(label_col) == F.lit(positive)
-    return df.groupBy(F.col(score_col).cast("double").alias("score")).agg(
+    return df.groupBy(score.alias("score")).agg(
         F.sum(F.when(valid & is_pos, 1).otherwise(0)).cast("long").alias("pos"),
         F.sum(F.when(valid & ~is_pos, 1).otherwise(0)).cast("long").alias("neg"),
     )
 
 
-def _bucket_bounds(groups: DataFrame, buckets: int) -> list[float]:
-    buckets = max(1, min(int(buckets), _MAX_BUCKETS))
-    if buckets == 1:
+def _bucket_bounds(groups: DataFrame, buckets: int | None) -> list[float]:
+    """Cut points of the ranges, from the written groups. Their number
+    follows the data unless given; the result does not depend on it."""
+    if buckets is None:
+        buckets = max(int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions")),
+                      -(-groups.count() // SCORES_PER_BUCKET))
+    if buckets <= 1:
         return []
     probs = [i / buckets for i in range(1, buckets)]
     qs = groups.approxQuantile("score", probs, 1.0 / (4 * buckets))
@@ -109,12 +115,22 @@ def score_prefix_counts(
     label_col: str = "label",
     score_col: str = "score",
     positive=1.0,
-    buckets: int = DEFAULT_BUCKETS,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Per distinct score: ``score, pos, neg, pos_below, neg_below,
     pos_total, neg_total`` where ``*_below`` count rows with a strictly
-    smaller score."""
+    smaller score.
+
+    The groups are written under ``spark.checkpoint.dir`` once, so the
+    caller's rows are evaluated once; the files are read again by the cut
+    points and by the result, and stay with the checkpoint folder.
+    """
+    from seedgrow.plans.lineage import Workspace  # plans import this module
+
     g = _score_groups(df, label_col, score_col, positive)
+    ws = Workspace(df.sparkSession, "scores", keep=True)
+    ws.write(g, "groups")
+    g = ws.read("groups", g.schema)
     bounds = _bucket_bounds(g, buckets)
     if bounds:
         splits = [float("-inf")] + bounds + [float("inf")]
@@ -131,7 +147,7 @@ def score_prefix_counts(
         F.sum("bp").over(wall).alias("pos_total"),
         F.sum("bn").over(wall).alias("neg_total"),
     )
-    # ``offsets`` has at most len(splits) rows: a bounded broadcast. A left
+    # ``offsets`` has one row per range: a few bytes per million scores. A left
     # join keeps the optimizer from inferring a not-null filter on ``g``.
     g = g.join(F.broadcast(offsets), "bucket", "left")
     wi = Window.partitionBy("bucket").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
@@ -147,7 +163,7 @@ def score_prefix_counts(
 
 
 def auc(
-    df: DataFrame, label_col: str = "label", score_col: str = "score", positive=1.0, buckets: int = DEFAULT_BUCKETS
+    df: DataFrame, label_col: str = "label", score_col: str = "score", positive=1.0, buckets: int | None = None
 ) -> DataFrame:
     """One row ``(auc, auc_folded, n_pos, n_neg)``; ``auc`` is null when a
     class is missing. ``auc_folded = max(auc, 1 - auc)`` is the original's
@@ -168,18 +184,18 @@ def auc(
 
 
 def roc_curve(
-    df: DataFrame, label_col: str = "label", score_col: str = "score", positive=1.0, buckets: int = DEFAULT_BUCKETS
+    df: DataFrame, label_col: str = "label", score_col: str = "score", positive=1.0, buckets: int | None = None
 ) -> DataFrame:
     """ROC points ``(threshold, fpr, tpr)``: one per distinct score (rows
     with score >= threshold predicted positive), plus the end points (0, 0)
-    and (1, 1) with a null threshold."""
+    and (1, 1) with a null threshold. The rate over an absent class is null."""
     c = score_prefix_counts(df, label_col, score_col, positive, buckets)
     # Above the windows, so this filter stays where it is.
     c = c.where(F.col("pos") + F.col("neg") > 0)
     pts = c.select(
         F.col("score").alias("threshold"),
-        ((F.col("neg_total") - F.col("neg_below")) / F.col("neg_total")).alias("fpr"),
-        ((F.col("pos_total") - F.col("pos_below")) / F.col("pos_total")).alias("tpr"),
+        F.try_divide(F.col("neg_total") - F.col("neg_below"), F.col("neg_total")).alias("fpr"),
+        F.try_divide(F.col("pos_total") - F.col("pos_below"), F.col("pos_total")).alias("tpr"),
     )
     # The two constant end points (a 2-row range, not a pass over the data).
     ends = df.sparkSession.range(2).select(
@@ -190,7 +206,7 @@ def roc_curve(
     return pts.unionByName(ends)
 
 
-def label_residual(prev_col: str, cur_col: str, tol: float = 0.01):
+def label_residual(prev_col: str, cur_col: str):
     """Aggregate expression: percent of rows whose label changed."""
-    changed = (F.abs(F.col(prev_col) - F.col(cur_col)) > F.lit(tol)).cast("double")
+    changed = (F.col(prev_col) != F.col(cur_col)).cast("double")
     return (F.avg(changed) * 100.0).alias("residual_pct")

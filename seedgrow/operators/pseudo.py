@@ -56,10 +56,6 @@ def feature_count(df: DataFrame, features_col: str = "features") -> int:
     return int(r["max_dim"])
 
 
-def with_confidence(scored: DataFrame, probability_col: str = "probability", out_col: str = "confidence") -> DataFrame:
-    return scored.withColumn(out_col, max_probability(probability_col))
-
-
 def no_pushdown(df: DataFrame) -> DataFrame:
     """Keep later filters above this point.
 

@@ -62,17 +62,10 @@ def holdout_counts(
     return x.groupBy("fold_seed", "label", "is_labeled").agg(F.count(F.lit(1)).alias("n"))
 
 
-def sweep_fractions(
-    start: float = 0.120, end: float = 0.205, jump: float = 0.135, step: float = 0.005, step_after: float = 0.01
-) -> list[float]:
-    """Labelled fractions of the original sweep: ``start`` in ``step``
-    increments up to ``jump``, then ``step_after`` increments, stopping
-    before ``end`` (.120 .125 .130 .135 .145 ... .195 by default)."""
-    out: list[float] = []
-    cur, st = start, step
-    while abs(cur - end) > st / 100 and cur < end + st:
-        out.append(round(cur, 6))
-        if abs(cur - jump) < 1e-4:
-            st = step_after
-        cur += st
-    return out
+# The labelled fractions of the original tool's sweep.
+SWEEP_FRACTIONS = (0.120, 0.125, 0.130, 0.135, 0.145, 0.155, 0.165, 0.175, 0.185, 0.195)
+
+
+def sweep_fractions() -> list[float]:
+    """Labelled fractions of the original sweep."""
+    return list(SWEEP_FRACTIONS)

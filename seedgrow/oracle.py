@@ -92,23 +92,6 @@ def embeddings_rows(fraction: float, seed: int, binary: bool = False) -> str:
     )
 
 
-def letter_features_sql(text: str) -> str:
-    t = f"lower({text})"
-    parts = [
-        f"CASE WHEN length({t}) > 0 THEN (length({t}) - length(replace({t}, '{c}', ''))) / length({t}) ELSE 0.0 END"
-        for c in "abcdefghijklmnopqrstuvwxyz"
-    ]
-    return "[" + ", ".join(parts) + "]::DOUBLE[]"
-
-
-def quality_rows() -> str:
-    """``(id, t, v)`` for documents with a quality label."""
-    return (
-        f"SELECT d.doc_id AS id, CAST(l.quality AS DOUBLE) AS t, {letter_features_sql('d.text')} AS v "
-        f"FROM documents d JOIN labels l ON l.doc_id = d.doc_id"
-    )
-
-
 # ---------------------------------------------------------------- loops
 
 def add_source(w: With, rows_sql: str, dedup: bool, p: str = "") -> None:
@@ -157,9 +140,10 @@ def selftraining(w: With, threshold: float, iterations: int, dedup: bool, p: str
     return f"{p}st_hist", final
 
 
-def hard_em(w: With, iterations: int, p: str = "") -> tuple[str, str, str]:
+def hard_em(w: With, iterations: int, p: str = "", tol: float | None = None) -> tuple[str, str, str]:
     """Unrolled hard EM; returns (history, final model, final training set)
-    and leaves the last loop model as ``{p}em{iterations}``."""
+    and leaves the last loop model as ``{p}em{iterations}``. With ``tol`` the
+    loop ends after the first iteration whose residual is at most that."""
     model = gnb_fit(w, f"{p}em0", f"(SELECT y, v FROM {p}seed)")
     prev = None
     hist = []
@@ -167,7 +151,7 @@ def hard_em(w: With, iterations: int, p: str = "") -> tuple[str, str, str]:
     for k in range(1, iterations + 1):
         s = gnb_score(w, f"{p}em{k}_s", model, f"{p}pool0")
         chg = "0" if prev is None else (
-            f"(SELECT count(*) FROM {s} a JOIN {prev} b ON a.id = b.id WHERE abs(a.pred - b.pred) > 0.01)"
+            f"(SELECT count(*) FROM {s} a JOIN {prev} b ON a.id = b.id WHERE a.pred <> b.pred)"
         )
         model = gnb_fit(
             w, f"{p}em{k}",
@@ -183,12 +167,22 @@ def hard_em(w: With, iterations: int, p: str = "") -> tuple[str, str, str]:
         prev = s
     w.add(f"{p}em_hist", " UNION ALL ".join(f"SELECT * FROM {h}" for h in hist))
     sf = gnb_score(w, f"{p}emf_s", model, f"{p}pool0")
+    if tol is not None:
+        w.add(f"{p}em_stop", f"SELECT coalesce(min(iteration) FILTER (residual_pct <= {tol}), {iterations}) AS k FROM {p}em_hist")
+        w.add(f"{p}em_hist_tol", f"SELECT h.* FROM {p}em_hist h, {p}em_stop WHERE h.iteration <= k")
+        after = [f"{p}em{k + 1}_s" for k in range(1, iterations)] + [sf]
+        sf = w.add(
+            f"{p}em_last_s",
+            " UNION ALL ".join(
+                f"SELECT s.id, s.pred FROM {a} s, {p}em_stop WHERE k = {k}" for k, a in enumerate(after, 1)
+            ),
+        )
     w.add(
         f"{p}em_final_train",
         f"SELECT id, y, v FROM {p}seed UNION ALL SELECT q.id, s.pred AS y, q.v FROM {p}pool0 q JOIN {sf} s ON s.id = q.id",
     )
     final = gnb_fit(w, f"{p}emf", f"(SELECT y, v FROM {p}em_final_train)")
-    return f"{p}em_hist", final, f"{p}em_final_train"
+    return f"{p}em_hist" if tol is None else f"{p}em_hist_tol", final, f"{p}em_final_train"
 
 
 def cotraining(
@@ -234,14 +228,3 @@ def cotraining(
     )
     final = gnb_fit(w, f"{p}ctf", f"(SELECT y, v FROM {p}c{iterations}_agree)")
     return f"{p}ct_hist", final
-
-
-def predict_rel(w: With, model: str, rel: str, name: str, pos: float | None = None) -> str:
-    """Score ``rel(id, v)``: ``name(id, pred, conf[, ppos])``."""
-    return gnb_score(w, name, model, rel, pos)
-
-
-def predict_all_select(w: With, model: str, p: str = "", name: str = "pred_all") -> str:
-    """Final SELECT scoring every source row: ``(row_id, prediction, confidence)``."""
-    gnb_score(w, f"{p}{name}", model, f"(SELECT id, v FROM {p}src)")
-    return f"SELECT id AS row_id, CAST(pred AS DOUBLE) AS prediction, round(conf, 6) AS confidence FROM {p}{name}"

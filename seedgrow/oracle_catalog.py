@@ -343,6 +343,13 @@ def em_history() -> str:
     return w.sql(f"SELECT iteration, round(residual_pct, 6) AS residual_pct, n_changed, n_labeled, n_unlabeled FROM {h}")
 
 
+def em_tolerance_history() -> str:
+    w = O.With()
+    O.add_source(w, ROWS, False)
+    h, _, _ = O.hard_em(w, W.HARNESS_EM_ITERS, "", W.HARNESS_EM_TOL)
+    return w.sql(f"SELECT iteration, round(residual_pct, 6) AS residual_pct, n_changed, n_labeled, n_unlabeled FROM {h}")
+
+
 def em_predict() -> str:
     w, _, f, _ = _em()
     return w.sql(_scored(w, f, "(SELECT id, v FROM src)", "fin"))
@@ -361,8 +368,8 @@ def label_residual() -> str:
     m1 = O.gnb_fit(w, "m1", "(SELECT y, v FROM seed UNION ALL SELECT s.pred AS y, p.v FROM pool0 p JOIN s0 s ON s.id = p.id)")
     O.gnb_score(w, "s1", m1, "pool0")
     return w.sql(
-        "SELECT round(100.0 * avg(CASE WHEN abs(a.pred - b.pred) > 0.01 THEN 1.0 ELSE 0.0 END), 6) AS residual_pct, "
-        "CAST(sum(CASE WHEN abs(a.pred - b.pred) > 0.01 THEN 1 ELSE 0 END) AS BIGINT) AS n_changed, count(*) AS n "
+        "SELECT round(100.0 * avg(CASE WHEN a.pred <> b.pred THEN 1.0 ELSE 0.0 END), 6) AS residual_pct, "
+        "CAST(sum(CASE WHEN a.pred <> b.pred THEN 1 ELSE 0 END) AS BIGINT) AS n_changed, count(*) AS n "
         "FROM s0 a JOIN s1 b ON a.id = b.id"
     )
 
@@ -473,7 +480,7 @@ def _binary_rows(fraction: float, seed: int) -> str:
     return O.embeddings_rows(fraction, seed, binary=True)
 
 
-def _harness(fractions, seeds) -> str:
+def _harness(fractions, seeds, every: bool = False) -> str:
     w = O.With()
     longs = []
     for fi, frac in enumerate(fractions):
@@ -482,7 +489,11 @@ def _harness(fractions, seeds) -> str:
             O.add_source(w, _binary_rows(frac, seed), True, p)
             sup = O.gnb_fit(w, f"{p}nb", f"(SELECT y, v FROM {p}seed)")
             _, stf = O.selftraining(w, W.ST_THRESHOLD, W.HARNESS_ST_ITERS, True, p)
-            for model, name in ((sup, "NaiveBayes"), (stf, "SelfTraining")):
+            models = [(sup, "NaiveBayes"), (stf, "SelfTraining")]
+            if every:
+                models.append((O.hard_em(w, W.HARNESS_EM_ITERS, p, W.HARNESS_EM_TOL)[1], "EM"))
+                models.append((O.cotraining(w, W.CT_THRESHOLD, W.CT_ITERS, V1, V2, True, p)[1], "CoTraining"))
+            for model, name in models:
                 s = O.gnb_score(w, f"{p}{name}_s", model, f"{p}pool0", pos=1.0)
                 r = w.add(
                     f"{p}{name}_r",
@@ -507,7 +518,7 @@ def _harness(fractions, seeds) -> str:
 
 
 def evaluate_all_metrics() -> str:
-    return _harness([W.HARNESS_FRACTION], W.HARNESS_FOLDS)
+    return _harness([W.HARNESS_FRACTION], W.HARNESS_FOLDS, True)
 
 
 def fraction_sweep() -> str:
@@ -537,7 +548,36 @@ def pipeline_compose() -> str:
     return w.sql("SELECT id AS row_id, pred AS predicted_lang FROM fin")
 
 
+def custom_columns() -> str:
+    return selftraining_predict()
+
+
+def roc_one_class() -> str:
+    return """
+    SELECT round(CAST(quality AS DOUBLE) / 2, 6) AS threshold, NULL::DOUBLE AS fpr,
+      round(sum(count(*)) OVER (ORDER BY quality DESC) / sum(count(*)) OVER (), 9) AS tpr
+    FROM labels WHERE quality IS NOT NULL GROUP BY quality
+    UNION ALL SELECT NULL, 0.0, 0.0 UNION ALL SELECT NULL, 1.0, 1.0"""
+
+
+def text_file_round_trip() -> str:
+    return labeled_text_parse()
+
+
+def results_read_back() -> str:
+    return _harness([W.HARNESS_FRACTION], [W.SEED])
+
+
+def roc_read_back() -> str:
+    return roc_curve()
+
+
 SQL = {
+    "roc_one_class": roc_one_class,
+    "text_file_round_trip": text_file_round_trip,
+    "results_read_back": results_read_back,
+    "roc_read_back": roc_read_back,
+    "custom_columns": custom_columns,
     "labeled_text_parse": labeled_text_parse,
     "labeled_text_rejects": labeled_text_rejects,
     "hide_labels": hide_labels,
@@ -570,6 +610,7 @@ SQL = {
     "selftraining_dedup_history": selftraining_dedup_history,
     "selftraining_id_history": selftraining_id_history,
     "em_history": em_history,
+    "em_tolerance_history": em_tolerance_history,
     "em_predict": em_predict,
     "em_final_training_set": em_final_training_set,
     "label_residual": label_residual,

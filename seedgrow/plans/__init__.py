@@ -4,7 +4,7 @@ evaluation harness."""
 from seedgrow.plans.base import SemiSupervisedMarker, SemiSupervisedModel
 from seedgrow.plans.cotraining import CoTraining, default_views
 from seedgrow.plans.em import HardEM
-from seedgrow.plans.lineage import Workspace, checkpoint_root, ensure_checkpoint_dir
+from seedgrow.plans.lineage import Workspace, checkpoint_root
 from seedgrow.plans.evaluate import evaluate_all, roc_for
 from seedgrow.plans.selftraining import SelfTraining
 from seedgrow.plans.supervised import Supervised
@@ -23,5 +23,4 @@ __all__ = [
     "run_sweep",
     "Workspace",
     "checkpoint_root",
-    "ensure_checkpoint_dir",
 ]

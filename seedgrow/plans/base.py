@@ -327,11 +327,12 @@ class Prepared:
 def prepare(est: _LoopParams, dataset: DataFrame, ws: Workspace, dedup: bool) -> Prepared:
     """Normalise the input once and write it as the loop's base table.
 
-    One pass over the caller's input writes ``(__id, __f, __label,
-    __first)`` partitioned by ``__pool`` and observes the counts and the
-    vector dimension range; the label domain is then read from the written
-    seed partition (one small aggregate over the label column only), so
-    the caller's pipeline is evaluated exactly once.
+    One pass over the caller's input writes ``(__id, __f, __label)``
+    partitioned by ``__pool`` and observes the counts and the vector
+    dimension range. Everything else reads those files: the check that ids
+    are unique, the first-copy flags (written once more for the pool, in
+    ``features`` mode) and the label domain. So the caller's pipeline is
+    evaluated exactly once, and generated ids are the same in every branch.
     """
     fcol, lcol, icol = est.getFeaturesCol(), est.getLabelCol(), est.getIdCol()
     for c in (fcol, lcol):
@@ -341,7 +342,7 @@ def prepare(est: _LoopParams, dataset: DataFrame, ws: Workspace, dedup: bool) ->
         raise TypeError(f"label column {lcol!r} must be numeric; index string labels with StringIndexer first")
     df = dataset
     if icol not in df.columns:
-        # Non-deterministic on recomputation, hence materialised right below.
+        # Not repeatable, so nothing but the write below may see it.
         df = df.withColumn(icol, F.monotonically_increasing_id())
     state = df.select(
         F.col(icol).alias(ID),
@@ -349,34 +350,40 @@ def prepare(est: _LoopParams, dataset: DataFrame, ws: Workspace, dedup: bool) ->
         F.col(lcol).cast("double").alias(LABEL),
         F.col(lcol).isNull().alias(POOL),
     )
-    if dedup:
-        pool = mark_first_copies(state.where(F.col(POOL)), ID, FEAT, FIRST)
-        seed = state.where(~F.col(POOL)).withColumn(FIRST, F.lit(True))
-        state = seed.unionByName(pool)
-    else:
-        state = state.withColumn(FIRST, F.lit(True))
     dim = vector_size(FEAT)
     pool_flag = F.col(POOL).cast("long")
     stats = ws.write(
         state,
-        "prep",
+        "input",
         partition_by=[POOL],
         metrics=[
             F.sum(F.lit(1) - pool_flag).alias("n_seed"),
             F.sum(pool_flag).alias("n_pool"),
-            F.sum(F.when(F.col(POOL) & F.col(FIRST), 1).otherwise(0)).alias("n_pool_first"),
+            F.sum(F.col(ID).isNull().cast("long")).alias("n_null_ids"),
             F.min(dim).alias("min_dim"),
             F.max(dim).alias("max_dim"),
-            # HyperLogLog sketch: mergeable, no shuffle, ~1 % relative error.
-            F.approx_count_distinct(ID, 0.01).alias("ids_est"),
         ],
     )
     if stats.get("min_dim") is not None and stats["min_dim"] != stats["max_dim"]:
         raise ValueError(f"feature vectors have different sizes ({stats['min_dim']}..{stats['max_dim']})")
-    n_rows = int(stats.get("n_seed") or 0) + int(stats.get("n_pool") or 0)
-    if n_rows and int(stats.get("ids_est") or 0) < 0.95 * n_rows:
-        raise ValueError(f"{icol!r} is not a unique row id (about {stats['ids_est']} distinct of {n_rows} rows)")
-    table = ws.read("prep", state.schema)
+    if stats.get("n_null_ids"):
+        raise ValueError(f"{icol!r} is null in {stats['n_null_ids']} rows")
+    table = ws.read("input", state.schema)
+    if icol in dataset.columns:
+        # Exact; ids alone are read and shuffled.
+        repeated = table.groupBy(ID).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).limit(1).collect()
+        if repeated:
+            raise ValueError(f"{icol!r} is not a unique row id: {repeated[0][ID]!r} occurs {repeated[0]['n']} times")
+    stats = dict(stats, n_pool_first=stats.get("n_pool"))
+    if dedup:
+        # From the written rows, so every branch sees the same ids.
+        pool = mark_first_copies(table.where(F.col(POOL)), ID, FEAT, FIRST)
+        first = ws.write(pool, "pool", partition_by=[POOL], metrics=[F.sum(F.col(FIRST).cast("long")).alias("n_pool_first")])
+        stats.update(first)
+        seed = table.where(~F.col(POOL)).withColumn(FIRST, F.lit(True))
+        table = seed.unionByName(ws.read("pool", pool.schema))
+    else:
+        table = table.withColumn(FIRST, F.lit(True))
     labels, identity = resolve_labels(table.where(~F.col(POOL)), LABEL, est.getOrDefault(est.maxClasses))
     if len(labels) < 2:
         raise ValueError(f"the labelled rows must cover at least two classes, found {labels}")

@@ -109,7 +109,7 @@ class HardEM(Estimator, _LoopParams, SemiSupervisedMarker):
                         if older is None:
                             return 0
                         both = _predict(cur, _predict(older, pool, "__old"), "__cur")
-                        changed = (F.abs(F.col("__cur") - F.col("__old")) > F.lit(0.01)).cast("long")
+                        changed = (F.col("__cur") != F.col("__old")).cast("long")
                         return int(both.agg(F.sum(changed).alias("n")).first()["n"] or 0)
 
                     def m_step():

@@ -44,16 +44,6 @@ def score_column(model, positive) -> F.Column:
     return probability_at(model.getProbabilityCol(), labels.index(float(positive)))
 
 
-def run_metrics(
-    predictions: DataFrame, label_col: str, score, positive, score_digits: int | None = 12
-) -> DataFrame:
-    """Long-form metric rows of one scored pool."""
-    s = predictions.select(F.col(label_col).alias("label"), F.col("prediction"), score.alias("score"))
-    if score_digits is not None:
-        s = s.withColumn("score", F.round("score", score_digits))
-    return metrics_of_scored(s, positive)
-
-
 def metrics_of_scored(s: DataFrame, positive) -> DataFrame:
     """Long-form metric rows of a ``(label, prediction, score)`` table."""
     wm = _long(weighted_metrics(s, "label", "prediction"), ["weighted_precision", "weighted_recall", "weighted_f1"])
@@ -95,6 +85,9 @@ def evaluate_all(
     runs = [(f, s, est, name) for f in fractions for s in fold_seeds for est, name in algorithms]
     ws = Workspace(spark, "evaluate")
     try:
+        # The caller's rows are evaluated once; every run reads the files.
+        ws.write(df, "input")
+        df = ws.read("input", df.schema)
 
         def one(i, fraction, seed, est, name):
             flag = labeled_flag(id_col, fraction, seed)

@@ -18,8 +18,6 @@ Loop-control numbers come back from the same write through an
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -39,24 +37,6 @@ def checkpoint_root(spark: SparkSession) -> str:
     return d
 
 
-def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
-    """Keep the session's checkpoint folder if it has one. Otherwise set one,
-    but only for a local-mode session (tests, single-machine runs); on a
-    cluster a missing setting is an error, never a machine-local folder."""
-    sc = spark.sparkContext
-    d = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if d:
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(d)
-        return sc.getCheckpointDir()
-    if not sc.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir is not set on a cluster session")
-    target = fallback or tempfile.mkdtemp(prefix="seedgrow-ckpt-")
-    os.makedirs(target, exist_ok=True)
-    sc.setCheckpointDir(target)
-    return sc.getCheckpointDir()
-
-
 class Workspace:
     """A private folder for one ``fit`` call, removed when the fit ends."""
 

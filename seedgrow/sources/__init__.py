@@ -9,7 +9,6 @@ from seedgrow.sources.tables import (
     part_lines,
     quality_samples,
     read_table,
-    with_seed_split,
 )
 from seedgrow.sources.text import good_lines, parse_labeled_lines, read_labeled_text, rejected_lines
 
@@ -24,7 +23,6 @@ __all__ = [
     "part_lines",
     "quality_samples",
     "read_table",
-    "with_seed_split",
     "good_lines",
     "parse_labeled_lines",
     "read_labeled_text",

@@ -32,8 +32,9 @@ from seedgrow.operators import dedup, indexing, metrics, pseudo, setops, splits
 from seedgrow.plans import CoTraining, HardEM, SelfTraining
 from seedgrow.plans.cotraining import default_views
 from seedgrow.plans.evaluate import evaluate_all, roc_for, score_column
+from seedgrow.plans.lineage import Workspace
 from seedgrow.plans.supervised import Supervised
-from seedgrow.sources import tables, text
+from seedgrow.sources import sinks, tables, text
 
 # Fixed values of the fixtures (shared with the SQL oracle).
 SEED = 42
@@ -48,9 +49,10 @@ DUP_SEED, DUP_FRACTION, DUP_ID_OFFSET = 7, 0.2, 1_000_000_000
 METRIC_SEED, METRIC_FRACTION = 42, 0.34
 HOLDOUT_FRACTION, HOLDOUT_SEEDS = 0.12, [42, 43, 44]
 HARNESS_FRACTION, HARNESS_FOLDS = 0.12, [42, 43]
-SWEEP_FRACTIONS = [0.12, 0.145, 0.195]
-HARNESS_ST_ITERS = 2
-DOC_THRESHOLD, DOC_ITERS = 0.95, 2
+SWEEP_FRACTIONS = splits.sweep_fractions()
+HARNESS_ST_ITERS = 3
+HARNESS_EM_TOL, HARNESS_EM_ITERS = 3.0, 7
+DOC_THRESHOLD, DOC_ITERS = 0.95, 3
 
 R6 = 6
 
@@ -65,6 +67,13 @@ def rf(seed: int = 7) -> RandomForestClassifier:
 
 # ------------------------------------------------------------------ fixtures
 
+def class_labels(labeled: DataFrame) -> list[int]:
+    """Class positions 0..k-1 of a learner fitted on the class indices in
+    ``labeled``, read from the data."""
+    top = labeled.agg(F.max("label").alias("m")).first()["m"]
+    return list(range(int(top) + 1))
+
+
 def loop_input(spark: SparkSession, sf: str) -> DataFrame:
     """``embeddings`` with labels hidden outside the 10 % seed."""
     return splits.semi_supervised_input(tables.embedding_samples(spark, sf), FRACTION, SEED)
@@ -130,7 +139,11 @@ def _scored_rows(model, df: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ sources
 
 def q_labeled_text_parse(spark, sf):
-    parsed = text.good_lines(text.parse_labeled_lines(tables.part_lines(spark, sf), keep_line=True))
+    return _parsed(text.parse_labeled_lines(tables.part_lines(spark, sf), keep_line=True))
+
+
+def _parsed(lines: DataFrame) -> DataFrame:
+    parsed = text.good_lines(lines)
     arr = as_array("features")
     return parsed.select(
         "line",
@@ -228,11 +241,11 @@ def q_feature_view_default(spark, sf):
 
 
 def q_view_scoring(spark, sf):
-    v1, _ = default_views(64)
+    seed, pool = seed_and_pool(spark, sf)
+    v1, _ = default_views(pseudo.feature_count(seed))
     model = seed_model(spark, sf, v1)
-    _, pool = seed_and_pool(spark, sf)
     pool = pool.withColumn("view", slice_vector("features", v1))
-    r = pseudo.reliable_pseudo_labels(model, pool, CT_THRESHOLD, list(range(10)), scoring_features_col="view")
+    r = pseudo.reliable_pseudo_labels(model, pool, CT_THRESHOLD, class_labels(seed), scoring_features_col="view")
     return r.select("row_id", "label", vector_size("features").alias("dims"))
 
 
@@ -277,13 +290,13 @@ def q_confidence_filter(spark, sf):
 def q_reliable_pseudo_labels(spark, sf):
     seed, pool = seed_and_pool(spark, sf)
     model = nb().fit(seed)
-    return pseudo.reliable_pseudo_labels(model, pool, ST_THRESHOLD, list(range(10))).select("row_id", "label")
+    return pseudo.reliable_pseudo_labels(model, pool, ST_THRESHOLD, class_labels(seed)).select("row_id", "label")
 
 
 def q_pseudo_label_all(spark, sf):
     seed, pool = seed_and_pool(spark, sf)
     model = nb().fit(seed)
-    return pseudo.pseudo_label_all(model, pool, list(range(10))).select("row_id", "label")
+    return pseudo.pseudo_label_all(model, pool, class_labels(seed)).select("row_id", "label")
 
 
 # ------------------------------------------------------------------ set operations
@@ -291,7 +304,7 @@ def q_pseudo_label_all(spark, sf):
 def _one_round(spark, sf):
     seed, pool = seed_and_pool(spark, sf)
     model = nb().fit(seed)
-    acc = pseudo.reliable_pseudo_labels(model, pool, ST_THRESHOLD, list(range(10)))
+    acc = pseudo.reliable_pseudo_labels(model, pool, ST_THRESHOLD, class_labels(seed))
     return seed, pool, model, acc
 
 
@@ -303,33 +316,33 @@ def q_grow_labeled(spark, sf):
 def q_mix_labeled_predicted(spark, sf):
     seed, pool = seed_and_pool(spark, sf)
     model = nb().fit(seed)
-    allp = pseudo.pseudo_label_all(model, pool, list(range(10)))
+    allp = pseudo.pseudo_label_all(model, pool, class_labels(seed))
     return setops.mix_labeled_predicted(seed.select("row_id", "label", "features"), allp).select("row_id", "label")
 
 
 def q_pool_except(spark, sf):
     seed, pool = duplicated_pool(spark, sf)
     model = nb().fit(seed)
-    acc = pseudo.reliable_pseudo_labels(model, pool, ST_THRESHOLD, list(range(10)))
+    acc = pseudo.reliable_pseudo_labels(model, pool, ST_THRESHOLD, class_labels(seed))
     return setops.pool_except(pool, acc).select("row_id")
 
 
 def q_pool_anti_by_id(spark, sf):
     seed, pool = duplicated_pool(spark, sf)
     model = nb().fit(seed)
-    acc = pseudo.reliable_pseudo_labels(model, pool, ST_THRESHOLD, list(range(10)))
+    acc = pseudo.reliable_pseudo_labels(model, pool, ST_THRESHOLD, class_labels(seed))
     return setops.pool_anti_by_id(pool, acc).select("row_id")
 
 
 def _exchange(spark, sf):
     seed, pool = seed_and_pool(spark, sf)
-    v1, v2 = default_views(64)
+    v1, v2 = default_views(pseudo.feature_count(seed))
     out = []
     for v in (v1, v2):
         m = nb().setFeaturesCol("view").fit(seed.withColumn("view", slice_vector("features", v)))
         out.append(
             pseudo.reliable_pseudo_labels(
-                m, pool.withColumn("view", slice_vector("features", v)), CT_THRESHOLD, list(range(10)),
+                m, pool.withColumn("view", slice_vector("features", v)), CT_THRESHOLD, class_labels(seed),
                 scoring_features_col="view",
             )
         )
@@ -411,11 +424,11 @@ def q_label_residual(spark, sf):
     on seed + all its pseudo-labels (EM's second residual)."""
     seed, pool = seed_and_pool(spark, sf)
     m0 = nb().fit(seed)
-    p0 = pseudo.pseudo_label_all(m0, pool, list(range(10)))
+    p0 = pseudo.pseudo_label_all(m0, pool, class_labels(seed))
     m1 = nb().fit(setops.mix_labeled_predicted(seed.select("row_id", "label", "features"), p0))
-    p1 = pseudo.pseudo_label_all(m1, pool, list(range(10)))
+    p1 = pseudo.pseudo_label_all(m1, pool, class_labels(seed))
     j = p0.select("row_id", F.col("label").alias("prev")).join(p1.select("row_id", F.col("label").alias("cur")), "row_id")
-    changed = (F.abs(F.col("prev") - F.col("cur")) > 0.01).cast("long")
+    changed = (F.col("prev") != F.col("cur")).cast("long")
     return j.agg(
         F.round(metrics.label_residual("prev", "cur"), R6).alias("residual_pct"),
         F.sum(changed).alias("n_changed"),
@@ -475,6 +488,14 @@ def _harness_algorithms():
     ]
 
 
+def _every_algorithm():
+    return [
+        *_harness_algorithms(),
+        (HardEM(nb(), tolPercent=HARNESS_EM_TOL, maxIter=HARNESS_EM_ITERS), "EM"),
+        (CoTraining(nb(), nb(), nb(), threshold=CT_THRESHOLD, maxIter=CT_ITERS), "CoTraining"),
+    ]
+
+
 def _round_results(df: DataFrame) -> DataFrame:
     return df.select(
         "name", "label_fraction", *[F.round(c, R6).alias(c) for c in ("weighted_precision", "weighted_recall", "weighted_f1", "auc", "auc_folded")]
@@ -483,7 +504,7 @@ def _round_results(df: DataFrame) -> DataFrame:
 
 def q_evaluate_all_metrics(spark, sf):
     b = tables.binary_embedding_samples(spark, sf)
-    return _round_results(evaluate_all(_harness_algorithms(), b, [HARNESS_FRACTION], HARNESS_FOLDS, 1.0, parallelism=4))
+    return _round_results(evaluate_all(_every_algorithm(), b, [HARNESS_FRACTION], HARNESS_FOLDS, 1.0, parallelism=4))
 
 
 def q_fraction_sweep(spark, sf):
@@ -499,6 +520,63 @@ def q_roc_evaluation(spark, sf):
     return r.select("threshold", F.round("fpr", 9).alias("fpr"), F.round("tpr", 9).alias("tpr"))
 
 
+def _written(spark, kind: str) -> str:
+    """A new folder under the checkpoint folder for a query that writes."""
+    return Workspace(spark, kind, keep=True).path("out")
+
+
+def q_text_file_round_trip(spark, sf):
+    """The text source on files: lines written as text, read by
+    ``spark.read.text``, parsed."""
+    path = _written(spark, "text")
+    tables.part_lines(spark, sf).write.text(path)
+    return _parsed(text.read_labeled_text(spark, path, keep_line=True))
+
+
+def q_results_read_back(spark, sf):
+    """The per-algorithm result sink, read back."""
+    b = tables.binary_embedding_samples(spark, sf)
+    path = _written(spark, "results")
+    sinks.write_results(evaluate_all(_harness_algorithms(), b, [HARNESS_FRACTION], [SEED], 1.0, parallelism=4), path)
+    return _round_results(spark.read.parquet(path))
+
+
+def q_roc_read_back(spark, sf):
+    """The ROC sink, read back."""
+    path = _written(spark, "roc")
+    sinks.write_roc(metrics.roc_curve(quality_scored(spark, sf), "label", "score", 1.0), path)
+    r = spark.read.parquet(path)
+    return r.select("threshold", F.round("fpr", 9).alias("fpr"), F.round("tpr", 9).alias("tpr"))
+
+
+def q_roc_one_class(spark, sf):
+    """ROC of input that holds positives only: rates over the absent class
+    are null."""
+    s = tables.read_table(spark, sf, "labels").where(F.col("quality").isNotNull())
+    s = s.select(F.lit(1.0).alias("label"), (F.col("quality").cast("double") / 2).alias("score"))
+    r = metrics.roc_curve(s, "label", "score", 1.0)
+    return r.select("threshold", F.round("fpr", 9).alias("fpr"), F.round("tpr", 9).alias("tpr"))
+
+
+def q_em_tolerance_history(spark, sf):
+    """EM with the original's settings: it may stop on the residual."""
+    m = HardEM(nb(), tolPercent=HARNESS_EM_TOL, maxIter=HARNESS_EM_ITERS).fit(loop_input(spark, sf))
+    return _history(m, em_cols())
+
+
+def q_custom_columns(spark, sf):
+    """Self-Training on renamed columns."""
+    rename = {"row_id": "key", "features": "x", "label": "y"}
+    est = SelfTraining(nb(), threshold=ST_THRESHOLD, maxIter=ST_ITERS, featuresCol="x", labelCol="y", idCol="key")
+    m = est.fit(loop_input(spark, sf).withColumnsRenamed(rename))
+    m.setPredictionCol("guess").setProbabilityCol("p").setRawPredictionCol("raw")
+    out = m.transform(tables.embedding_samples(spark, sf).withColumnsRenamed(rename))
+    return out.select(
+        F.col("key").alias("row_id"), F.col("guess").alias("prediction"),
+        F.round(max_probability("p"), R6).alias("confidence"),
+    )
+
+
 def q_duplicate_summary(spark, sf):
     """Rows and distinct vectors of the duplicated pool (the ``features``
     match mode's first-copy flag)."""
@@ -579,6 +657,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cross_teach": q_cross_teach,
     "agreement_intersect": q_agreement_intersect,
     "duplicate_summary": q_duplicate_summary,
+    "text_file_round_trip": q_text_file_round_trip,
+    "results_read_back": q_results_read_back,
+    "roc_read_back": q_roc_read_back,
+    "roc_one_class": q_roc_one_class,
+    "em_tolerance_history": q_em_tolerance_history,
+    "custom_columns": q_custom_columns,
     "selftraining_history": q_selftraining_history,
     "selftraining_predict": q_selftraining_predict,
     "selftraining_dedup_history": q_selftraining_dedup_history,

@@ -2,7 +2,8 @@
 
 import os
 
-from seedgrow.plans.lineage import Workspace, checkpoint_root, ensure_checkpoint_dir
+from seedgrow.plans.lineage import Workspace, checkpoint_root
+from seedgrow.session import ensure_checkpoint_dir
 
 
 def test_existing_checkpoint_dir_is_kept(spark):

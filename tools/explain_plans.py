@@ -43,7 +43,7 @@ def main():
     df, in_pool, accept, pred = replay(p, [model, m2], 0.95, True)
     rows, _ = tagged_rows(df, in_pool, accept, pred, True, keep_pool=False)
     show("loop pass: two models replayed, observation barrier, only accepted rows kept", rows)
-    show("quality fixture: spread scan, join labels (AQE may broadcast)", tables.quality_samples(spark, sf))
+    show("quality fixture: scan, join labels (AQE may broadcast)", tables.quality_samples(spark, sf))
 
 
 if __name__ == "__main__":
