@@ -68,9 +68,19 @@ class _SharedParams(HasFeaturesCol, HasLabelCol, HasPredictionCol, HasProbabilit
         typeConverter=TypeConverters.toString,
     )
 
+    maxClasses = Param(
+        Params._dummy(),
+        "maxClasses",
+        "largest accepted label domain, a guard against an id-like or continuous label column; raise it for more classes",
+        typeConverter=TypeConverters.toInt,
+    )
+
     def __init__(self) -> None:
         super().__init__()
-        self._setDefault(idCol="row_id")
+        self._setDefault(idCol="row_id", maxClasses=DEFAULT_MAX_CLASSES)
+
+    def setMaxClasses(self, value: int):
+        return self._set(maxClasses=value)
 
     def getIdCol(self) -> str:
         return self.getOrDefault(self.idCol)
@@ -101,7 +111,6 @@ class _LoopParams(_SharedParams, HasMaxIter):
         "'features': pool shrink and agreement by vector value with set semantics; 'id': by row id",
         typeConverter=TypeConverters.toString,
     )
-    maxClasses = Param(Params._dummy(), "maxClasses", "largest accepted label domain", typeConverter=TypeConverters.toInt)
     keepCheckpoints = Param(
         Params._dummy(), "keepCheckpoints", "keep the per-iteration tables after fit", typeConverter=TypeConverters.toBoolean
     )
@@ -116,7 +125,7 @@ class _LoopParams(_SharedParams, HasMaxIter):
 
     def __init__(self) -> None:
         super().__init__()
-        self._setDefault(maxIter=10, matchMode="features", maxClasses=DEFAULT_MAX_CLASSES, keepCheckpoints=False,
+        self._setDefault(maxIter=10, matchMode="features", keepCheckpoints=False,
                          verbose=False, compactRatio=0.5, maxChain=8)
 
     def setMaxIter(self, value: int):
@@ -125,9 +134,6 @@ class _LoopParams(_SharedParams, HasMaxIter):
     def setMatchMode(self, value: str):
         return self._set(matchMode=value)
 
-    def setMaxClasses(self, value: int):
-        return self._set(maxClasses=value)
-
     def setKeepCheckpoints(self, value: bool):
         return self._set(keepCheckpoints=value)
 

@@ -14,18 +14,21 @@ from pyspark.sql.types import NumericType
 
 from seedgrow.functions.labels import index_of_label
 from seedgrow.functions.vectors import dense
-from seedgrow.operators.indexing import DEFAULT_MAX_CLASSES, resolve_labels
+from seedgrow.operators.indexing import resolve_labels
 from seedgrow.plans.base import FEAT, Y, SemiSupervisedModel, _SharedParams, check_base, fit_learner
 
 HISTORY_SCHEMA = "iteration int"
 
 
 class Supervised(Estimator, _SharedParams):
-    def __init__(self, base, featuresCol: str = "features", labelCol: str = "label"):
+    def __init__(self, base, featuresCol: str = "features", labelCol: str = "label",
+                 maxClasses: int | None = None):
         super().__init__()
         check_base(base)
         self.base = base
         self._set(featuresCol=featuresCol, labelCol=labelCol)
+        if maxClasses is not None:
+            self._set(maxClasses=maxClasses)
 
     def copy(self, extra=None):
         that = super().copy(extra)
@@ -39,7 +42,7 @@ class Supervised(Estimator, _SharedParams):
         lab = dataset.where(F.col(lcol).isNotNull()).select(
             dense(self.getFeaturesCol()).alias(FEAT), F.col(lcol).cast("double").alias("__label")
         )
-        labels, identity = resolve_labels(lab, "__label", DEFAULT_MAX_CLASSES)
+        labels, identity = resolve_labels(lab, "__label", self.getOrDefault(self.maxClasses))
         if len(labels) < 2:
             raise ValueError(f"the labelled rows must cover at least two classes, found {labels}")
         y = F.col("__label") if identity else index_of_label("__label", labels)
