@@ -3,7 +3,8 @@
 Candidate spans come from strict patterns (the base: e-mail addresses, IPv4
 addresses, card numbers, phone numbers) and from loose ones (written-out
 e-mail addresses, national phone numbers, grouped card numbers, IPv6). Three
-labelers vote on every candidate or abstain: the strict pattern, a gazetteer
+labelers vote on every candidate or abstain: the strict pattern (which never
+votes against), a gazetteer
 (top-level domains, issuer digits, plausible number ranges) and the words
 just before it. Expectation-maximisation over the vote patterns estimates how
 reliable each labeler is; its posteriors are the soft labels of a final naive
@@ -160,7 +161,7 @@ def _describe(kind: str, strict: bool, text: Column, x: Column) -> Column:
     context = F.when(before.rlike(_AGAINST), F.lit(0)).when(before.rlike(_CONTEXT[kind]), F.lit(1)).otherwise(F.lit(-1))
     return F.struct(
         F.lit(KINDS.index(kind)).alias("k"), x["s"].alias("s"), x["e"].alias("e"),
-        F.lit(1 if strict else 0).alias("v1"),
+        F.lit(1 if strict else -1).alias("v1"),
         F.when(x["m"].rlike(_GAZETTEER[kind]), F.lit(1)).otherwise(F.lit(0)).alias("v2"),
         context.alias("v3"),
         _char_class(left).alias("f1"), _char_class(right).alias("f2"),
@@ -235,7 +236,7 @@ def _em(counts: list[tuple]) -> dict[tuple, float]:
 
 
 def train(docs: DataFrame) -> dict[str, float]:
-    """Log-odds of the span classifier by ``feature=value`` (and ``kind``)."""
+    """Log-odds of the span classifier by ``kind:feature=value``."""
     c = candidates(docs.select("text"))
     c = c.select(F.explode(F.concat("__sg_base", "__sg_loose")).alias("x"))
     names = ["k", "v1", "v2", "v3", "f1", "f2", "f3"]
@@ -253,12 +254,14 @@ def train(docs: DataFrame) -> dict[str, float]:
         t[0] += n * (1 - p)
         t[1] += n * p
         for f, v in (("v1", v1), ("v2", v2), ("v3", v3), ("f1", f1), ("f2", f2), ("f3", f3)):
-            if f == "v3" and v < 0:
+            if f in ("v1", "v3") and v < 0:
                 continue
             w = weight.setdefault(f"{k}:{f}={v}", [SMOOTHING, SMOOTHING])
             w[0] += n * (1 - p)
             w[1] += n * p
-    odds = {str(k): math.log(t[1] / t[0]) for k, t in total.items()}
+    # No prior: base spans are mostly personal data, which says nothing of
+    # how often loose candidates are. The evidence alone decides.
+    odds: dict[str, float] = {}
     for key, w in weight.items():
         t = total[int(key.split(":")[0])]
         odds[key] = math.log((w[1] / t[1]) / (w[0] / t[0]))
@@ -275,7 +278,7 @@ def detect(docs: DataFrame, model: dict[str, float] | None = None) -> DataFrame:
 
     def score(x):
         k = x["k"].cast("string")
-        total = F.coalesce(odds[k], F.lit(0.0))
+        total = F.lit(0.0)
         for f in ("v1", "v2", "v3", "f1", "f2", "f3"):
             total = total + F.coalesce(odds[F.concat(k, F.lit(f":{f}="), x[f].cast("string"))], F.lit(0.0))
         return total

@@ -69,24 +69,21 @@ def test_query_on_the_table(spark):
             sum(x.startswith(k) for x in want.split(",")) for k in ("email", "ip", "card", "phone")]
 
 
-def test_loose_spans_are_added_only_with_support_and_never_over_base(spark):
-    good = [f"call my phone: (415) 555-{i:04d} or mail a{i}@site.com" for i in range(40)]
-    base = [f"my phone: +1 (415) 555-{i:04d}" for i in range(40)]
-    odd = ["write to bob [at] site [dot] com", "order no 415-555-1234"]
-    d = spark.createDataFrame(list(enumerate(good + base + odd)), "doc_id long, text string")
+def test_loose_spans_with_support_are_added_and_never_overlap_base(spark):
+    base = [f"contact: a{i}@site.com" for i in range(40)]
+    loose = [f"contact: bob{i} [at] site [dot] com" for i in range(40)]
+    none = [f"see {i} [at] noon.x" for i in range(40)]
+    phones = [f"call +1 (415) 555-{i:04d}" for i in range(40)]
+    d = spark.createDataFrame(list(enumerate(base + loose + none + phones)), "doc_id long, text string")
     got = written(d)
-    assert got[80][1] == "email:9:32"
-    for i in range(80):
-        b, a = got[i]
-        spans = [tuple(map(int, x.split(":")[1:])) for x in filter(None, (b + "," + a).split(","))]
-        spans.sort()
-        assert all(x[1] <= y[0] for x, y in zip(spans, spans[1:]))
+    assert all(got[i][1].startswith("email:9:") for i in range(40, 80))
+    assert not any(got[i][1] for i in range(80, 160))  # (415) 555-... lies inside a base span
 
 
 def test_em_prefers_agreement():
-    counts = [(0, (1, 1, 1), 50), (0, (0, 0, 0), 50), (0, (1, 1, -1), 30), (0, (0, 1, 0), 5)]
+    counts = [(0, (1, 1, 1), 50), (0, (-1, 0, 0), 50), (0, (1, 1, -1), 30), (0, (-1, 1, 0), 5)]
     post = pii._em(counts)
-    assert post[(0, (1, 1, 1))] > 0.9 > 0.1 > post[(0, (0, 0, 0))]
+    assert post[(0, (1, 1, 1))] > 0.9 > 0.1 > post[(0, (-1, 0, 0))]
 
 
 def test_redaction_and_edge_cases(spark):
