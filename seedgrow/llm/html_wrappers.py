@@ -262,6 +262,9 @@ def align(wrapper: list[dict], page: list[dict]) -> list[dict]:
                  "size": x["size"] + y["size"], "pages": x["pages"] + y["pages"]}
             )
             i, j = i + 1, j + 1
+        elif j < len(b) and out and out[-1]["key"] == b[j] and best[i][j + 1] == best[i][j]:
+            out.append({**page[j], "opt": True})  # one more of the last slot: a repeated group
+            j += 1
         elif j == len(b) or (i < len(a) and best[i + 1][j] >= best[i][j + 1]):
             out.append({**wrapper[i], "opt": True})
             i += 1

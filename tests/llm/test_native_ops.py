@@ -1,7 +1,6 @@
 """Mixing, sharding, licence scan, fingerprints: SQL parity and edge cases."""
 
 import hashlib
-import re
 
 import duckdb
 import pytest
@@ -164,9 +163,8 @@ def test_sketches_merge(spark):
     texts = [" ".join(words[:200]), " ".join(words[196:]), " ".join(words), "too short"]
     d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     s = {r["doc_id"]: r["fingerprint_hashes"] for r in fracminhash.fingerprint(d).collect()}
-    both = spark.createDataFrame([(s[0], s[1])], "a array<string>, b array<string>")
+    both = spark.createDataFrame([(s[0], s[1])], "a array<bigint>, b array<bigint>")
     assert both.select(fracminhash.merge(F.col("a"), F.col("b"))).first()[0] == s[2]
     assert len(s[3]) == 1
-    want = {hashlib.md5(" ".join(words[i : i + 5]).encode()).hexdigest()[:16] for i in range(396)}
-    assert set(s[2]) == {h for h in want if h < "2"}
-    assert re.fullmatch("[0-9a-f]{16}", s[3][0])
+    want = {hashlib.md5(" ".join(words[i : i + 5]).encode()).hexdigest()[:15] for i in range(396)}
+    assert set(s[2]) == {int(h, 16) for h in want if h < "2"}
