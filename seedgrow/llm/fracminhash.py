@@ -1,6 +1,6 @@
 """Document fingerprints: a threshold-scaled sketch of word shingles.
 
-Every five-word shingle is hashed (64 bits of md5, as 16 hex digits); the
+Every five-word shingle is hashed (60 bits of md5); the
 sketch keeps each hash below a fixed fraction (1/8) of the hash space. What is
 kept depends on the shingle alone, so sketches of unequal documents are
 comparable: containment of one in the other is estimated on the smaller one,
@@ -8,7 +8,7 @@ and the sketch of a union is the union of the sketches. A text none of whose
 hashes is below the threshold keeps its smallest one; merging stays exact
 (``merge``: the hashes below the threshold, or else the smallest of all).
 
-The fingerprint is the sorted distinct hashes, concatenated.
+The fingerprint is the sorted distinct hashes, in hex, concatenated.
 
 Scale: a sketch is one projection. The comparison with the next document in
 descending id order never sorts texts: ids alone are range-partitioned, the
@@ -34,7 +34,7 @@ from seedgrow.llm.common import WORD, Scratch, read_table, text_or_empty
 # Words of a shingle, hex digits of a hash, and the threshold:
 # the leading hex digit is below '2', which is 1/8 of all hashes.
 WORDS = 5
-DIGITS = 16
+DIGITS = 15
 BELOW = "2"
 
 
@@ -51,23 +51,36 @@ def shingle_hashes(w: Column) -> Column:
     return F.when(F.size(w) > 0, every).otherwise(F.array().cast("array<string>"))
 
 
+def _number(h: Column) -> Column:
+    """The leading digits of a hash as a number (8 bytes instead of text)."""
+    return F.conv(F.substring(h, 1, DIGITS), 16, 10).cast("long")
+
+
 def below(hashes: Column) -> Column:
-    """The hashes below the threshold, in order, cut to their digits."""
-    return F.transform(F.filter(hashes, lambda h: h < BELOW), lambda h: F.substring(h, 1, DIGITS))
+    """The hashes below the threshold, in order, as numbers."""
+    return F.transform(F.filter(hashes, lambda h: h < BELOW), _number)
+
+
+def written(sketch: Column) -> Column:
+    """The fingerprint string of a sketch."""
+    return F.array_join(F.transform(sketch, lambda x: F.lpad(F.lower(F.hex(x)), DIGITS, F.lit("0"))), "")
 
 
 def retain(hashes: Column) -> Column:
-    """Hashes below the threshold, or else the smallest; sorted, distinct."""
+    """Hashes below the threshold, or else the smallest, as numbers; sorted,
+    distinct."""
     low = below(hashes)
-    least = F.transform(
-        F.filter(F.array(F.array_min(hashes)), lambda h: h.isNotNull()), lambda h: F.substring(h, 1, DIGITS)
-    )
+    least = F.transform(F.filter(F.array(F.array_min(hashes)), lambda h: h.isNotNull()), _number)
     return F.sort_array(F.array_distinct(F.when(F.size(low) > 0, low).otherwise(least)))
 
 
 def merge(a: Column, b: Column) -> Column:
     """The sketch of the union of two documents' shingles."""
-    return retain(F.array_union(a, b))
+    every = F.array_union(a, b)
+    limit = F.lit(int(BELOW, 16) << 4 * (DIGITS - 1))
+    low = F.filter(every, lambda x: x < limit)
+    least = F.filter(F.array(F.array_min(every)), lambda x: x.isNotNull())
+    return F.sort_array(F.when(F.size(low) > 0, low).otherwise(least))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -117,83 +130,95 @@ def previous_ids(ids: DataFrame, scratch: Scratch) -> DataFrame:
     return chain.select("id", "canon", prev["id"].alias("prev_id"), prev["need"].alias("prev_need"))
 
 
+def _stays() -> Column:
+    return F.expr("left(text, cast(length(text) - floor(length(text) / 3) as int))")
+
+
+def _complete(stay_words: Column, stays: Column) -> Column:
+    """Number of words that surely end within the part that stays."""
+    open_end = stays.rlike(r"[^\x20\x09-\x0D]\z")
+    return F.size(stay_words) - F.when(open_end, F.lit(1)).otherwise(F.lit(0))
+
+
 def kept_part(docs: DataFrame) -> DataFrame:
-    """``doc_id, text, kept`` plus what a later replacement of the last third
-    needs: the sketch is mergeable, so the part of the text that stays need
-    not be hashed again.
-
-    ``kept``: the hashes below the threshold in text order (or the smallest);
-    ``n_kept``: how many of them lie wholly in the complete words of the part
-    that stays; ``joint``: the end of that part, from its last four complete
-    words on; ``n_low``: how many of ``kept`` are below the threshold.
+    """``doc_id, text`` and the sketch in two parts, as a later replacement of
+    the text's last third leaves one of them unchanged (sketches merge).
+
+    ``kept_first``: the hashes below the threshold of shingles that lie wholly
+    in the complete words of the part that stays; ``kept_rest``: the others
+    (the smallest hash, if none is below the threshold).
     """
-    stays = F.expr("left(text, cast(length(text) - floor(length(text) / 3) as int))")
-    d = docs.select("doc_id", "text", words(F.col("text")).alias("w"), stays.alias("stays"))
-    d = d.withColumn("hashes", shingle_hashes(F.col("w"))).withColumn("sw", words(F.col("stays")))
-    open_end = F.col("stays").rlike(r"[^\x20\x09-\x0D]\z")
-    d = d.withColumns({
-        "complete": F.size("sw") - F.when(open_end, F.lit(1)).otherwise(F.lit(0)),
-        "low": below(F.col("hashes")),
-        "gap": F.when(open_end, F.lit("")).otherwise(F.lit(" ")),
-    })
-    valid = F.greatest(F.col("complete") - (WORDS - 1), F.lit(0))
-    in_valid = F.when(
-        valid > 0, F.size(F.filter(F.slice("hashes", F.lit(1), F.greatest(valid, F.lit(1))), lambda h: h < BELOW))
-    ).otherwise(F.lit(0))
-    first = F.greatest(F.col("complete") - (WORDS - 2), F.lit(1))
-    joint = F.concat(F.array_join(F.slice("sw", first, F.lit(WORDS)), " "), F.col("gap"))
+    none = F.array().cast("array<bigint>")
+    d = docs.select("doc_id", "text", words(F.col("text")).alias("w"), _stays().alias("stays"))
+    d = d.withColumn("hashes", shingle_hashes(F.col("w")))
+    d = d.withColumn("first", F.greatest(_complete(words(F.col("stays")), F.col("stays")) - (WORDS - 1), F.lit(0)))
+    low_first = F.when(F.col("first") > 0, below(F.slice("hashes", F.lit(1), F.greatest("first", F.lit(1))))).otherwise(none)
+    low_rest = below(F.slice("hashes", F.col("first") + 1, F.greatest(F.size("hashes"), F.lit(1))))
+    d = d.withColumns({"low_first": low_first, "low_rest": low_rest})
+    empty = F.size("low_first") + F.size("low_rest") == 0
     return d.select(
-        "doc_id", "text",
-        F.when(F.size("low") > 0, F.col("low")).otherwise(retain(F.col("hashes"))).alias("kept"),
-        F.size("low").alias("n_low"), in_valid.alias("n_kept"), joint.alias("joint"),
-        (F.col("complete") >= WORDS).alias("mergeable"),
+        "doc_id", "text", F.col("low_first").alias("kept_first"),
+        F.when(empty, retain(F.col("hashes"))).otherwise(F.col("low_rest")).alias("kept_rest"),
     )
 
 
+def _keyed(df: DataFrame, name: str) -> DataFrame:
+    """``df`` plus a join key without nulls for the id ``name``."""
+    return df.withColumns({"k": F.coalesce(F.col(name), F.lit(0).cast("long")), "k_null": F.col(name).isNull()})
+
+
 def with_next(docs: DataFrame) -> DataFrame:
-    """``doc_id, text, sketch``, the columns of ``kept_part``, ``head`` (of the
-    next document's text, as many code points as the last third of this text
-    has) and ``next_sketch``."""
+    """``doc_id, text, kept_first, sketch``, ``head`` (of the next document's
+    text, as many code points as the last third of this text has) and
+    ``next_sketch``."""
     scratch = Scratch(docs.sparkSession, "fingerprint")
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     ids = whole.groupBy(F.col("doc_id").alias("id")).agg(
         F.max(F.floor(F.length("text") / 3)).alias("need"), F.min(F.md5("text")).alias("canon")
     )
     prev = scratch.keep(previous_ids(ids, scratch), "previous")
-    base = kept_part(whole)
-    sent = base.join(prev, base["doc_id"].eqNullSafe(prev["id"]))
-    # Not a join key: both uses of ``base`` shall share one exchange by id.
+    # Both uses of ``base`` need the same columns keyed by id: one exchange
+    # of the corpus serves both.
+    base = _keyed(kept_part(whole), "doc_id").drop("doc_id")
+    sketch = F.sort_array(F.array_distinct(F.concat("kept_first", "kept_rest")))
+    sent = base.join(_keyed(prev, "id"), ["k", "k_null"]).drop("k", "k_null")
+    # Inside coalesce, so that it is no join key (which would change the exchange).
     sent = sent.where(F.coalesce(F.md5("text") == F.col("canon"), F.lit(False)))
     sent = sent.select(
-        "prev_id", F.struct(F.expr("left(text, cast(prev_need as int))").alias("head"), F.col("kept")).alias("next")
-    ).groupBy("prev_id").agg(F.first("next").alias("next"))
-    out = base.join(sent, base["doc_id"].eqNullSafe(sent["prev_id"]), "left")
-    tidy = lambda c: F.sort_array(F.array_distinct(c))
+        "prev_id", F.struct(F.expr("left(text, cast(prev_need as int))").alias("head"), sketch.alias("sketch")).alias("next")
+    )
+    sent = _keyed(sent, "prev_id").groupBy("k", "k_null").agg(F.first("next").alias("next"))
+    out = base.join(sent, ["k", "k_null"], "left")
     return out.select(
-        "doc_id", "text", "kept", "n_low", "n_kept", "joint", "mergeable", tidy("kept").alias("sketch"),
+        F.when(~F.col("k_null"), F.col("k")).alias("doc_id"), "text", "kept_first", sketch.alias("sketch"),
         F.expr("left(next.head, cast(floor(length(text) / 3) as int))").alias("head"),
-        tidy("next.kept").alias("next_sketch"),
+        F.col("next.sketch").alias("next_sketch"),
     )
 
 
 def edited_sketch(d: DataFrame) -> DataFrame:
     """``d`` (of ``with_next``) plus the edited text and its sketch: what stays
-    is merged with the hashes of the words from ``joint`` on. Only a text too
-    short, or with no hash below the threshold, is hashed anew."""
+    is merged with the hashes of the words from the last four complete ones
+    on. Only a text too short, or with no hash below the threshold, is hashed
+    anew."""
     none = F.array().cast("array<string>")
-    d = d.withColumn("edited", F.expr(
-        "concat(left(text, cast(length(text) - floor(length(text) / 3) as int)), head)"))
+    d = d.withColumns({"stays": _stays(), "edited": F.concat(_stays(), "head")})
     # Word arrays are columns of their own: inside a lambda they would be
     # computed again for every shingle.
-    d = d.withColumn("tail_words", F.when(F.col("mergeable"), words(F.concat("joint", "head"))).otherwise(none))
+    d = d.withColumn("stay_words", words(F.col("stays")))
+    d = d.withColumn("complete", _complete(F.col("stay_words"), F.col("stays")))
+    gap = F.when(F.col("complete") == F.size("stay_words"), F.lit(" ")).otherwise(F.lit(""))
+    last = F.slice("stay_words", F.greatest(F.col("complete") - (WORDS - 2), F.lit(1)), F.lit(WORDS))
+    tail = F.concat(F.array_join(last, " "), gap, "head")
+    d = d.withColumn("tail_words", F.when(F.col("complete") >= WORDS, words(tail)).otherwise(none))
     d = d.withColumn("tail_low", below(shingle_hashes(F.col("tail_words"))))
-    stays = F.when(F.col("n_kept") > 0, F.slice("kept", F.lit(1), F.greatest("n_kept", F.lit(1)))).otherwise(none)
-    d = d.withColumn("merged", F.when(F.col("mergeable"), F.concat(stays, "tail_low")).otherwise(none))
+    merged = F.concat("kept_first", "tail_low")
+    d = d.withColumn("merged", F.when(F.col("complete") >= WORDS, merged).otherwise(F.array().cast("array<bigint>")))
     d = d.withColumn("new_words", F.when(F.size("merged") == 0, words(F.col("edited"))).otherwise(none))
     d = d.withColumn("new_hashes", shingle_hashes(F.col("new_words")))
     merged = F.sort_array(F.array_distinct("merged"))
     d = d.withColumn("edited_sketch", F.when(F.size("merged") > 0, merged).otherwise(retain(F.col("new_hashes"))))
-    return d.drop("tail_words", "tail_low", "merged", "new_words", "new_hashes")
+    return d.drop("stays", "stay_words", "complete", "tail_words", "tail_low", "merged", "new_words", "new_hashes")
 
 
 def op8_fingerprint(spark, sf_dir: str) -> DataFrame:
@@ -201,7 +226,7 @@ def op8_fingerprint(spark, sf_dir: str) -> DataFrame:
     a, e, x = F.col("sketch"), F.col("edited_sketch"), F.col("next_sketch")
     return d.select(
         "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
-        F.array_join(a, "").alias("fingerprint"), F.array_join(e, "").alias("edited_fingerprint"),
+        written(a).alias("fingerprint"), written(e).alias("edited_fingerprint"),
         likeness(a, e).alias("near_edited"), likeness(a, x).alias("near_next"),
         containment(a, e).alias("contained_edited"), containment(a, x).alias("contained_next"),
     )

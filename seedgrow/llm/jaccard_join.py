@@ -341,7 +341,7 @@ def class_links(docs: DataFrame, classes: DataFrame, repeats: dict[int, int], sc
         pivots = rows.where("outside").withColumn("i", F.row_number().over(by_hash)).where(F.col("i") <= PIVOTS)
         pivots = scratch.keep(pivots.select("region", F.col("sig").alias("pivot")), "pivots")
         near = scratch.keep(_distances(rows.select("region", "sig", "outside"), pivots, sets), "distances")
-        found.append(near.where("linked & sig != pivot").select(F.col("sig").alias("a"), F.col("pivot").alias("b")))
+        found.append(near.where("linked AND sig != pivot").select(F.col("sig").alias("a"), F.col("pivot").alias("b")))
         home = near.groupBy("region", "sig").agg(F.min("d").alias("home"))
         cells = near.join(home, ["region", "sig"]).where(F.col("d") <= F.col("home") + F.lit(2 * EPS + 1e-9))
         cells = cells.where(F.col("sig") != F.col("pivot")).withColumn("region", F.xxhash64("region", "pivot"))
