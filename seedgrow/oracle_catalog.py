@@ -548,6 +548,39 @@ def pipeline_compose() -> str:
     return w.sql("SELECT id AS row_id, pred AS predicted_lang FROM fin")
 
 
+def _mnb_fit(w: O.With, name: str, rel: str) -> str:
+    """Multinomial naive Bayes (smoothing 1): ``(y, j, theta, pi)``."""
+    w.add(f"{name}_n", f"SELECT y, CAST(count(*) AS DOUBLE) AS n FROM {rel} q GROUP BY y")
+    w.add(f"{name}_s", f"SELECT y, j, sum(v[j]) AS s FROM {rel} q, range(1, {len(LETTERS) + 1}) t(j) GROUP BY y, j")
+    return w.add(
+        name,
+        f"SELECT s.y, j, ln(s + 1.0) - ln(sum(s) OVER (PARTITION BY s.y) + {len(LETTERS)}.0) AS theta, "
+        f"ln(n + 1.0) - ln((SELECT sum(n) + count(*) FROM {name}_n)) AS pi "
+        f"FROM {name}_s s JOIN {name}_n c ON c.y = s.y",
+    )
+
+
+def _mnb_score(w: O.With, name: str, model: str, rel: str) -> str:
+    """``(id, pred, conf)`` of every row of ``rel(id, v)``."""
+    w.add(f"{name}_r", f"SELECT id, y, any_value(pi) + sum(theta * v[j]) AS r FROM {rel} q, {model} GROUP BY id, y")
+    w.add(f"{name}_e", f"SELECT id, y, exp(r - max(r) OVER (PARTITION BY id)) AS e FROM {name}_r")
+    return w.add(name, f"SELECT id, arg_max(y, e) AS pred, max(e) / sum(e) AS conf FROM {name}_e GROUP BY id")
+
+
+def base_learner_swap() -> str:
+    w = O.With()
+    w.add("src", f"SELECT id, t, y, list_transform(v, lambda x : x * 100) AS v FROM ({_doc_rows()}) d")
+    m0 = _mnb_fit(w, "m0", "(SELECT y, v FROM src WHERE y IS NOT NULL)")
+    _mnb_score(w, "s0", m0, "(SELECT id, v FROM src WHERE y IS NULL)")
+    m1 = _mnb_fit(
+        w, "m1",
+        "(SELECT y, v FROM src WHERE y IS NOT NULL UNION ALL SELECT s0.pred AS y, src.v FROM src "
+        f"JOIN s0 ON s0.id = src.id WHERE s0.conf > {W.SWAP_THRESHOLD})",
+    )
+    _mnb_score(w, "s1", m1, "(SELECT id, v FROM src)")
+    return w.sql("SELECT id AS row_id, CAST(pred AS DOUBLE) AS prediction, round(conf, 6) AS confidence FROM s1")
+
+
 def custom_columns() -> str:
     return selftraining_predict()
 
@@ -573,6 +606,7 @@ def roc_read_back() -> str:
 
 
 SQL = {
+    "base_learner_swap": base_learner_swap,
     "roc_one_class": roc_one_class,
     "text_file_round_trip": text_file_round_trip,
     "results_read_back": results_read_back,

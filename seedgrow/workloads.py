@@ -20,8 +20,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression, NaiveBayes, RandomForestClassifier
+from pyspark.ml.classification import NaiveBayes, RandomForestClassifier
 from pyspark.ml.feature import IndexToString
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +54,7 @@ SWEEP_FRACTIONS = splits.sweep_fractions()
 HARNESS_ST_ITERS = 3
 HARNESS_EM_TOL, HARNESS_EM_ITERS = 3.0, 7
 DOC_THRESHOLD, DOC_ITERS = 0.95, 3
+SWAP_THRESHOLD = 0.95
 
 R6 = 6
 
@@ -600,7 +602,7 @@ def q_selftraining_id_history(spark, sf):
     return _history(m, ST_COLS)
 
 
-# ------------------------------------------------------------------ random forest and other learners (rows-only)
+# ------------------------------------------------------------------ random forest (rows-only) and another learner
 
 def _doc_predictions(spark, sf, est):
     docs, _ = documents_indexed(spark, sf)
@@ -626,7 +628,14 @@ def q_cotraining_rf(spark, sf):
 
 
 def q_base_learner_swap(spark, sf):
-    return _doc_predictions(spark, sf, SelfTraining(LogisticRegression(maxIter=50), threshold=0.95, maxIter=3))
+    """Self-Training around another learner: multinomial naive Bayes on
+    letters per hundred characters."""
+    docs, _ = documents_indexed(spark, sf)
+    per_hundred = F.transform(as_array("features"), lambda x: x * 100)
+    docs = docs.withColumn("features", array_to_vector(per_hundred))
+    est = SelfTraining(NaiveBayes(modelType="multinomial"), threshold=SWAP_THRESHOLD, maxIter=1, matchMode="id")
+    model = est.fit(splits.semi_supervised_input(docs, FRACTION, SEED))
+    return _scored_rows(model, docs)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
