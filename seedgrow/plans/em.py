@@ -45,7 +45,7 @@ from seedgrow.plans.lineage import Workspace
 HISTORY_SCHEMA = "iteration int, residual_pct double, n_changed long, n_labeled long, n_unlabeled long, step_s double"
 
 
-def _predict(model, df, out: str):
+def predict_with(model, df, out: str):
     return model.transform(
         df,
         {model.featuresCol: FEAT, model.predictionCol: out, model.probabilityCol: f"{out}_p",
@@ -93,7 +93,7 @@ class HardEM(Estimator, _LoopParams, SemiSupervisedMarker):
 
             def with_labels(model):
                 """L UNION ALL (pool labelled by ``model``), evaluated lazily."""
-                return seed.unionByName(_predict(model, pool, "__cur").select(FEAT, F.col("__cur").alias(Y)))
+                return seed.unionByName(predict_with(model, pool, "__cur").select(FEAT, F.col("__cur").alias(Y)))
 
             model = fit_learner(self.base, seed, num_classes=k)
             last = model
@@ -108,7 +108,7 @@ class HardEM(Estimator, _LoopParams, SemiSupervisedMarker):
                         # Change count of this E-step (previous vs current model, in-row).
                         if older is None:
                             return 0
-                        both = _predict(cur, _predict(older, pool, "__old"), "__cur")
+                        both = predict_with(cur, predict_with(older, pool, "__old"), "__cur")
                         changed = (F.col("__cur") != F.col("__old")).cast("long")
                         return int(both.agg(F.sum(changed).alias("n")).first()["n"] or 0)
 

@@ -31,7 +31,9 @@ from seedgrow.functions.labels import index_of_label, label_of_index
 from seedgrow.functions.vectors import as_array, max_probability, slice_vector, vector_size
 from seedgrow.operators import dedup, indexing, metrics, pseudo, setops, splits
 from seedgrow.plans import CoTraining, HardEM, SelfTraining
+from seedgrow.plans.base import FEAT
 from seedgrow.plans.cotraining import default_views
+from seedgrow.plans.em import predict_with
 from seedgrow.plans.evaluate import evaluate_all, roc_for, score_column
 from seedgrow.plans.lineage import Workspace
 from seedgrow.plans.supervised import Supervised
@@ -303,6 +305,14 @@ def q_pseudo_label_all(spark, sf):
 
 # ------------------------------------------------------------------ set operations
 
+def _written_once(df: DataFrame) -> DataFrame:
+    """``df`` written under the checkpoint folder and read back: accepted rows
+    that several branches use are scored once."""
+    ws = Workspace(df.sparkSession, "accepted", keep=True)
+    ws.write(df, "rows")
+    return ws.read("rows", df.schema)
+
+
 def _one_round(spark, sf):
     seed, pool = seed_and_pool(spark, sf)
     model = nb().fit(seed)
@@ -325,7 +335,7 @@ def q_mix_labeled_predicted(spark, sf):
 def q_pool_except(spark, sf):
     seed, pool = duplicated_pool(spark, sf)
     model = nb().fit(seed)
-    acc = pseudo.reliable_pseudo_labels(model, pool, ST_THRESHOLD, class_labels(seed))
+    acc = _written_once(pseudo.reliable_pseudo_labels(model, pool, ST_THRESHOLD, class_labels(seed)))
     return setops.pool_except(pool, acc).select("row_id")
 
 
@@ -342,12 +352,11 @@ def _exchange(spark, sf):
     out = []
     for v in (v1, v2):
         m = nb().setFeaturesCol("view").fit(seed.withColumn("view", slice_vector("features", v)))
-        out.append(
-            pseudo.reliable_pseudo_labels(
-                m, pool.withColumn("view", slice_vector("features", v)), CT_THRESHOLD, class_labels(seed),
-                scoring_features_col="view",
-            )
+        acc = pseudo.reliable_pseudo_labels(
+            m, pool.withColumn("view", slice_vector("features", v)), CT_THRESHOLD, class_labels(seed),
+            scoring_features_col="view",
         )
+        out.append(_written_once(acc))
     s = seed.select("row_id", "label", "features")
     return setops.cross_teach(s, s, pool, pool, out[0], out[1])
 
@@ -428,8 +437,8 @@ def q_label_residual(spark, sf):
     m0 = nb().fit(seed)
     p0 = pseudo.pseudo_label_all(m0, pool, class_labels(seed))
     m1 = nb().fit(setops.mix_labeled_predicted(seed.select("row_id", "label", "features"), p0))
-    p1 = pseudo.pseudo_label_all(m1, pool, class_labels(seed))
-    j = p0.select("row_id", F.col("label").alias("prev")).join(p1.select("row_id", F.col("label").alias("cur")), "row_id")
+    rows = pool.select(F.col("features").alias(FEAT))
+    j = predict_with(m1, predict_with(m0, rows, "prev"), "cur")  # both models on the same row
     changed = (F.col("prev") != F.col("cur")).cast("long")
     return j.agg(
         F.round(metrics.label_residual("prev", "cur"), R6).alias("residual_pct"),
