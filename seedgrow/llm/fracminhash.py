@@ -52,7 +52,7 @@ def shingle_hashes(w: Column) -> Column:
 
 
 def _number(h: Column) -> Column:
-    """The leading digits of a hash as a number (8 bytes instead of text)."""
+    """The leading digits of a hash as a number: 8 bytes in a shuffle, not 24."""
     return F.conv(F.substring(h, 1, DIGITS), 16, 10).cast("long")
 
 
