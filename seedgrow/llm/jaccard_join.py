@@ -23,8 +23,9 @@ documents link when 1 - J <= EPS = 0.25, tested on integers.
 
 Scale: the corpus is read three times (classes, prefixes, sets of the classes
 that share a prefix shingle) and the prefixes, a quarter of the shingles, are
-shuffled once. Copies collapse before the shuffle (per task) and again by
-class. Broadcast: one array of ``BUCKETS`` counts, a fixed size. Everything
+shuffled once; texts are never shuffled. Copies collapse before the shuffle
+(per task) and again by class. Broadcast: one array of ``BUCKETS`` counts and
+at most ``ID_BUCKETS`` bucket numbers, both of fixed size. Everything
 gathered in one task is bounded by ``REGION_SHINGLES`` and ``REGION_ROWS``.
 
 Shingles and sets are told apart by 64-bit hashes.
@@ -56,6 +57,8 @@ REGION_ROWS = 2000
 REGION_SHINGLES = 2_000_000
 PIVOTS = 8
 LEVELS = 3
+# Buckets of ids that are broadcast.
+ID_BUCKETS = 1 << 20
 # Rows handled at once inside an Arrow batch; shingles per counting window;
 # entries of the per-task memories.
 ROWS = 64
@@ -196,14 +199,24 @@ def _prefixes(repeats: dict[int, int]):
 
 
 def _sets(batches: Iterator) -> Iterator:
+    """The set of each class, once per task."""
     import pyarrow as pa
 
+    seen: set[int] = set()
     for b in batches:
         for k in range(0, b.num_rows, ROWS):
-            sets = [shingle_set(t) for t in b.column("text").slice(k, ROWS).to_pylist()]
+            sets, sigs = [], []
+            for t in b.column("text").slice(k, ROWS).to_pylist():
+                s = shingle_set(t)
+                if len(s) and (sig := class_hash(s)) not in seen:
+                    if len(seen) >= MEMO:
+                        seen.clear()
+                    seen.add(sig)
+                    sets.append(s)
+                    sigs.append(sig)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([class_hash(s) if len(s) else None for s in sets], pa.int64()),
+                    pa.array(sigs, pa.int64()),
                     pa.array([len(s) for s in sets], pa.int32()),
                     pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
                 ],
@@ -256,6 +269,28 @@ def _join_region(rows):
     return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
 
 
+def _join_small(rows):
+    """Links inside one whole region: its pivot is the class ``region``."""
+    import pandas as pd
+
+    rows = rows.drop_duplicates("sig")
+    at = (rows["sig"] == rows["region"]).to_numpy()
+    pivot = rows["items"].to_numpy()[at][0]
+    rows = rows[~at]
+    n = rows["n"].to_numpy(np.int64)
+    owner = np.repeat(np.arange(len(rows)), n)
+    common = np.bincount(owner, np.isin(np.concatenate(rows["items"].to_numpy()), pivot), len(rows)).astype(np.int64)
+    union = n + len(pivot) - common
+    linked = 100 * common >= PERCENT * union
+    rows = rows.assign(d=1 - common / union, outside=~linked)
+    links = pd.DataFrame({"a": rows["sig"].to_numpy()[linked], "b": rows["region"].to_numpy()[linked]})
+    if linked.all():
+        return links
+    # Inside the ball only those matter that may link to a member outside.
+    rows = rows[rows["d"] >= rows["d"][rows["outside"]].min() - EPS - 1e-9]
+    return pd.concat([links, _join_region(rows)]) if len(rows) > 1 else links
+
+
 def _distances(members: DataFrame, pivots: DataFrame, sets: DataFrame) -> DataFrame:
     """``members`` (region, sig) times the pivots of their region, with the
     distance and whether they link."""
@@ -318,8 +353,32 @@ def class_links(docs: DataFrame, classes: DataFrame, repeats: dict[int, int], sc
     runs = runs.withColumn("pivot", F.last("start", ignorenulls=True).over(w))
     members = runs.where(F.col("pivot") != F.col("sig")).select(F.col("pivot").alias("region"), "sig").distinct()
     members = scratch.keep(members, "members")
-    sets = scratch.keep(_needed_sets(docs, classes, members), "sets")
+    every = members.unionByName(members.select("region", F.col("region").alias("sig")).distinct())
+    size = every.join(classes.select("sig", "n"), "sig").groupBy("region").agg(
+        F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles")
+    )
+    small = (F.col("members") <= REGION_ROWS) & (F.col("shingles") <= REGION_SHINGLES)
+    size = scratch.keep(size.select("region", small.alias("small")), "sizes")
+    # Small regions: the members' sets go to the region's task, once.
+    rows = every.join(size.where("small").select("region"), "region")
+    rows = rows.join(_needed_sets(docs, classes, rows, scratch), "sig")
+    links = rows.groupBy("region").applyInPandas(_join_small, "a bigint, b bigint")
+    links = scratch.keep(links, "links")
+    large = size.where(~F.col("small")).select("region")
+    if large.isEmpty():
+        return links
+    return links.unionByName(_large_regions(docs, classes, members.join(large, "region"), scratch))
+
+
+def _large_regions(docs: DataFrame, classes: DataFrame, members: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links of regions that no single task should take."""
+    members = scratch.keep(members, "large")
     pivots = members.select("region").distinct().select("region", F.col("region").alias("pivot"))
+    needed = members.unionByName(pivots.withColumnRenamed("pivot", "sig"))
+    sets = _needed_sets(docs, classes, needed, scratch)
+    # A class comes up twice if its id is null or repeated, or by a copy in
+    # another task whose id falls into the same bucket.
+    sets = scratch.keep(sets.groupBy("sig").agg(F.first("n").alias("n"), F.first("items").alias("items")), "sets")
     near = scratch.keep(_distances(members, pivots, sets), "distances")
     found = [near.where("linked").select(F.col("sig").alias("a"), F.col("pivot").alias("b"))]
     rows = scratch.keep(_near_pivot(near.drop("pivot")), "outside")
@@ -352,19 +411,26 @@ def class_links(docs: DataFrame, classes: DataFrame, repeats: dict[int, int], sc
     return links
 
 
-def _needed_sets(docs: DataFrame, classes: DataFrame, members: DataFrame) -> DataFrame:
-    """``sig, n, items`` of every class in a region, from one document each."""
-    sigs = members.select("sig").union(members.select("region")).distinct()
-    ids = classes.join(sigs, "sig").select(
-        F.coalesce("first_id", F.lit(0).cast("long")).alias("k"), F.col("first_id").isNull().alias("k_null")
-    ).distinct()
-    d = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("k"),
-        F.col("doc_id").isNull().alias("k_null"), docs["text"].cast("string").alias("text"),
-    ).join(ids, ["k", "k_null"])
-    found = d.select("text").mapInArrow(_sets, "sig bigint, n int, items array<bigint>")
-    found = found.where(F.col("sig").isNotNull())
-    return found.groupBy("sig").agg(F.first("n").alias("n"), F.first("items").alias("items"))
+def _id_bucket(name: str):
+    return F.pmod(F.xxhash64(F.col(name).cast("long")), F.lit(ID_BUCKETS)).cast("int").alias("__sg_bucket")
+
+
+def _id_buckets(ids: DataFrame, scratch: Scratch) -> DataFrame:
+    """The hash buckets that hold an id of ``ids`` (column ``id``): at most
+    ID_BUCKETS numbers, to be broadcast. It lets most rows pass a test by id
+    where they are; only those in a bucket need a closer look."""
+    return F.broadcast(scratch.keep(ids.select(_id_bucket("id")).distinct(), "buckets"))
+
+
+def _needed_sets(docs: DataFrame, classes: DataFrame, members: DataFrame, scratch: Scratch) -> DataFrame:
+    """``sig, n, items`` of the classes of ``members`` (and of some more, or
+    the same again), each computed where its document lies; no text is
+    shuffled."""
+    ids = classes.join(members.select("sig").distinct(), "sig").select(F.col("first_id").alias("id"))
+    d = docs.select(_id_bucket("doc_id"), docs["text"].cast("string").alias("text"))
+    d = d.join(_id_buckets(ids, scratch), "__sg_bucket", "left_semi").select("text")
+    found = d.mapInArrow(_sets, "sig bigint, n int, items array<bigint>")
+    return found.where(F.col("sig").isNotNull())
 
 
 def _joined(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -381,7 +447,7 @@ def _joined(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     counted = kept.where(F.col("bucket").isNotNull()).groupBy("bucket").agg(F.sum("repeats").alias("n")).collect()
     repeats = {r["bucket"]: r["n"] for r in counted}
     classes = scratch.keep(
-        rows.where(F.col("n") > 0).groupBy("sig").agg(F.min("doc_id").alias("first_id")), "first"
+        rows.where(F.col("n") > 0).groupBy("sig").agg(F.min("doc_id").alias("first_id"), F.max("n").alias("n")), "first"
     )
     links = class_links(docs, classes, repeats, scratch)
     roots = components(links, scratch)
@@ -427,26 +493,35 @@ def first_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each component the
     row with the smallest id; rows without words all stay.
 
-    Ids that occur once (the rule) are kept by a semi join on the id. Rows
-    whose id is null or repeated are told apart by their class as well, and
-    one row of the kept class stays.
+    Ids that occur once (the rule) are kept or dropped by id. Rows whose id is
+    null or repeated are told apart by their class as well, and one row of the
+    kept class stays.
     """
     rows, of = _joined(docs)
     times = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("times"))
     best = rows.where(F.col("n") > 0).join(of, "sig")
     best = best.where((F.col("sig") == F.col("first_sig")) & F.col("doc_id").eqNullSafe(F.col("component_id")))
     stay = best.select("doc_id").unionByName(rows.where(F.col("n") == 0).select("doc_id"))
-    once = times.where((F.col("times") == 1) & F.col("doc_id").isNotNull()).select("doc_id")
     scratch = Scratch(docs.sparkSession, "jaccard")
-    ids = scratch.keep(stay.join(once, "doc_id", "left_semi"), "stay").select(F.col("doc_id").alias("__sg_id"))
-    out = docs.join(ids, docs["doc_id"] == ids["__sg_id"], "left_semi")
+    stay = scratch.keep(stay.select(F.col("doc_id").alias("id")), "stay")
     odd = scratch.keep(
-        times.where((F.col("times") > 1) | F.col("doc_id").isNull()).select(F.col("doc_id").alias("__sg_id")), "odd"
+        times.where((F.col("times") > 1) | F.col("doc_id").isNull()).select(F.col("doc_id").alias("id")), "odd"
     )
+    once = times.where((F.col("times") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("id"))
+    gone = once.join(stay, "id", "left_anti")
+    # Rows whose id falls into no bucket of a dropped or odd id stay where they
+    # are; the others are looked up by id.
+    buckets = _id_buckets(gone.unionByName(odd), scratch)
+    names = docs.columns
+    keyed = docs.withColumn("__sg_bucket", _id_bucket("doc_id"))
+    sure = keyed.join(buckets, "__sg_bucket", "left_anti").drop("__sg_bucket")
+    near = keyed.join(buckets, "__sg_bucket", "left_semi").drop("__sg_bucket")
+    ids = stay.join(odd, "id", "left_anti").select(F.col("id").alias("__sg_id"))
+    out = sure.unionByName(near.join(ids, near["doc_id"].cast("long") == ids["__sg_id"], "left_semi"))
     if odd.isEmpty():
         return out
-    names = docs.columns
-    odd = docs.join(odd, docs["doc_id"].cast("long").eqNullSafe(odd["__sg_id"]), "left_semi")
+    odd = odd.select(F.col("id").alias("__sg_id"))
+    odd = near.join(odd, near["doc_id"].cast("long").eqNullSafe(odd["__sg_id"]), "left_semi")
     schema = type(docs.schema)([*docs.schema.fields]).add("__sg_sig", "long")
     odd = scratch.keep(odd.mapInArrow(_with_sig(names), schema), "odd")
     best = best.select(F.col("sig").alias("__sg_best"), F.col("doc_id").alias("__sg_id")).distinct()
