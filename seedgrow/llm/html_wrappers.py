@@ -1,16 +1,22 @@
 """Main text of web pages by union-free wrapper inference.
 
-Pages of one host share a template. A bounded sample of each host's pages is
-turned into token streams (tags and texts); the first stream is the wrapper,
-and every further one is aligned with it. Mismatches generalise it without
-ever forming a union: differing texts become a text slot, tokens that one side
-lacks become an optional group, and neighbours of one shape become a repeated
-group. The finished wrapper tells the text slots of a host apart: slots in
-page furniture (by element, role or class), texts that stay the same on all
-pages (outside the article) and repeated groups of links are template; slots
-inside the article (or, where no page of the host has one, all others) are
-main text. Every page of the host is then read through its wrapper's slots. A
-slot the sample did not show is judged by the same structural rules.
+Pages of one host share a template. A page is a stream of tokens: slots (a path
+of block-level elements with its verdict, told apart by whether the page has
+an article) and their texts. The streams of a host are matched slot by slot
+without ever forming a union: differing texts make a text slot, a slot that
+some pages lack is optional, and one that a page has several times is a
+repeated group. Every block of a page is then kept or dropped by its slot:
+
+* page furniture by element, role or ``hidden`` is template;
+* a text that stands on nearly all pages of its slot is template, unless most
+  of the text repeats so (near copies);
+* a repeated group of links, or a short link, outside an article is template;
+* inside an article, or on a page without one, other slots are main text;
+  beside an article they are where they outweigh it (the article is a teaser);
+* slots that only the words of a class or id call furniture are template,
+  unless a host's pages have nothing else and the slot holds paragraphs.
+
+A slot that no page behind the wrapper showed is judged by its page alone.
 
 Blocks are the texts between block-level tags; inside one, white space becomes
 one space. Character references are decoded.
@@ -29,6 +35,7 @@ tag, script or comment) is read as far as it goes.
 
 from __future__ import annotations
 
+import hashlib
 import html as html_module
 import json
 import re
@@ -40,13 +47,16 @@ from pyspark.sql import functions as F
 
 from seedgrow.llm.common import Scratch, read_table
 
-# Pages per host that a wrapper is inferred from, tokens of a
-# page that inference looks at (extraction reads whole pages), salts of the
+# Pages per host that a wrapper is inferred from, salts of the
 # first cut, rows handled at once.
 SAMPLE = 12
-SAMPLE_TOKENS = 3000
 SALTS = 32
 ROWS = 64
+# A text is template if it stands on so many distinct pages, on
+# this share of the pages that have its slot and on this share of the host's.
+TEMPLATE_PAGES = 3
+TEMPLATE_SLOT = 0.8
+TEMPLATE_HOST = 0.05
 
 # Elements by their role in a page.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -122,7 +132,7 @@ def tokens(page: str) -> Iterator[tuple]:
 @lru_cache(maxsize=4096)
 def _signature(name: str, attributes: str) -> tuple[str, str]:
     """What identifies an element in a path, and its verdict: '' none, 'drop',
-    'article' or 'header'."""
+    'hint' (dropped for a word of its class or id), 'article' or 'header'."""
     found = {k.lower(): (a or b or c or "") for k, a, b, c in _ATTRIBUTE.findall(attributes)}
     cls = " ".join(sorted(re.sub(r"\d+", "#", found.get("class", "")).split()))
     ident = re.sub(r"\d+", "#", found.get("id", ""))
@@ -135,8 +145,10 @@ def _signature(name: str, attributes: str) -> tuple[str, str]:
         return sig, "drop" if hidden or (hinted and name != "main") else "article"
     if name in ("body", "html"):
         return sig, ""
-    if name in FURNITURE or role in ROLES or hidden or hinted:
+    if name in FURNITURE or role in ROLES or hidden:
         return sig, "drop"
+    if hinted:
+        return sig, "hint"
     if name == "header" or _HEADER_HINTS.search(found.get("class", "")) or _HEADER_HINTS.search(found.get("id", "")):
         return sig, "header"
     return sig, ""
@@ -153,7 +165,8 @@ def blocks(page: str) -> Iterator[tuple[str, str, str, float]]:
     """(path, verdict, text, share of the text inside links) of each block.
 
     The path names the enclosing block-level elements; the verdict is 'drop'
-    inside page furniture, 'article' inside an article, else ''.
+    inside page furniture, 'hint' inside what only its class or id calls so,
+    'article' inside an article, else ''.
     """
     stack: list[_Open] = []
     held: list[str] = []
@@ -176,6 +189,8 @@ def blocks(page: str) -> Iterator[tuple[str, str, str, float]]:
             seen_article = seen_article or o.verdict == "article"
             if o.verdict == "drop" or (o.verdict == "header" and not seen_article):
                 verdict = "drop"
+            elif o.verdict == "hint" and verdict != "drop":
+                verdict = "hint"
         return path, verdict, text, min(share, 1.0)
 
     for tok in tokens(page):
@@ -221,26 +236,36 @@ def blocks(page: str) -> Iterator[tuple[str, str, str, float]]:
 
 
 # -- wrapper inference -------------------------------------------------------
-# A wrapper is a list of items [key, literal, flags]: key names the slot (its
-# path); literal is the text all pages share there, or None for a text slot;
-# flags hold 'opt', 'rep' and the facts the verdict needs.
-
-
-def _stream(page: str) -> list[dict]:
-    """A page as wrapper items; neighbours of one shape form a repeated group."""
-    items: list[dict] = []
-    for i, (path, verdict, text, share) in enumerate(blocks(page)):
-        if i >= SAMPLE_TOKENS:
-            break
-        if items and items[-1]["key"] == path:
-            last = items[-1]
-            last.update(rep=True, text=None, n=last["n"] + 1, link=last["link"] + share, size=last["size"] + len(text))
-        else:
-            items.append(
-                {"key": path, "verdict": verdict, "text": text, "rep": False, "opt": False, "n": 1, "link": share,
-                 "size": len(text), "pages": 1}
-            )
-    return items
+# A slot is a path with its verdict, told apart by whether its page has an
+# article ('+'). The facts of a slot are sums over its blocks on the host's
+# distinct pages, so they do not depend on the order of alignment: ``align``
+# gives the order of the items, the sums give the verdicts.
+
+
+def slot_of(path: str, verdict: str, article: bool) -> str:
+    return ("+" if article else "") + (f"{verdict}|" if verdict else "") + path
+
+
+def _digest(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+def page_facts(page: str) -> list[tuple]:
+    """(slot, digest, blocks, size of one block, 1 with the first text of the
+    slot, per mille of link text, article text of the page) of each distinct
+    text of each slot; the last two go with the slot's first text."""
+    found = list(blocks(page))
+    inside = sum(len(text) for _, verdict, text, _ in found if verdict == "article")
+    facts: dict[tuple[str, int], list[int]] = {}
+    firsts: dict[str, list[int]] = {}
+    for path, verdict, text, share in found:
+        slot = slot_of(path, verdict, inside > 0)
+        fact = facts.setdefault((slot, _digest(text)), [0, len(text), 0, 0, 0])
+        fact[0] += 1
+        first = firsts.setdefault(slot, fact)
+        first[2], first[4] = 1, inside
+        first[3] += round(share * 1000)
+    return [(*key, *fact) for key, fact in facts.items()]
 
 
 def align(wrapper: list[dict], page: list[dict]) -> list[dict]:
@@ -283,22 +308,74 @@ def align(wrapper: list[dict], page: list[dict]) -> list[dict]:
     return merged
 
 
+def is_template(pages: int, slot_pages: int, host_pages: int) -> bool:
+    """Whether a text on ``pages`` pages is the same on nearly all of a slot's."""
+    return pages >= TEMPLATE_PAGES and pages >= TEMPLATE_SLOT * slot_pages and pages >= TEMPLATE_HOST * host_pages
+
+
+def judge(slots: dict[str, dict]) -> dict:
+    """Wrapper of a host from the facts of its slots: for each slot whether
+    its text is main text (``slots``), and the texts in it that are template
+    all the same (``texts``).
+
+    A slot's facts: ``pages``, ``n`` blocks, ``size`` and ``link`` (per mille)
+    summed over them, ``inside`` (article text of its pages), ``fixed``
+    (template texts as [digest, blocks, size]).
+    """
+    out: dict[str, bool] = {}
+    texts: dict[str, list[int]] = {}
+    for article in (False, True):
+        sign = "+" if article else ""
+        kind = {s: f for s, f in slots.items() if s.startswith("+") == article and not s.startswith(f"{sign}drop|")}
+        fixed = {s: sum(n * size for _, n, size in f["fixed"]) for s, f in kind.items()}
+        menu = {
+            s: f["link"] > 800 * f["n"] and (f["n"] > f["pages"] or f["size"] < 80 * f["n"]) for s, f in kind.items()
+        }
+
+        def of(verdict):
+            return {s for s in kind if s.startswith(f"{sign}{verdict}|")}
+
+        def chosen(names):
+            # Where most of the text repeats, the pages are near copies and
+            # repeating says nothing.
+            copies = 2 * sum(fixed[s] for s in names) > sum(kind[s]["size"] for s in names)
+            main = {s for s in names if copies or fixed[s] < kind[s]["size"]}
+            return main, set() if copies else main
+
+        plain = {s for s in kind.keys() - of("article") - of("hint") if not menu[s]}
+        if article:
+            # Text beside an article is main where it outweighs the article.
+            main, _ = chosen(of("article"))
+            beside, cut = chosen({s for s in plain if kind[s]["size"] - fixed[s] > kind[s]["inside"]})
+            main |= beside
+        else:
+            main, cut = chosen(plain)
+        if not main:
+            # Nothing but slots with the class words of furniture: the words
+            # mislead where texts of a paragraph's length vary.
+            main, cut = chosen({s for s in of("hint") if not menu[s] and kind[s]["size"] >= 80 * kind[s]["n"]})
+        out.update({s: s in main for s in kind})
+        texts.update({s: sorted(t for t, _, _ in kind[s]["fixed"]) for s in cut if kind[s]["fixed"]})
+    out.update({s: False for s in slots if s not in out})
+    return {"slots": out, "texts": texts}
+
+
 def infer(pages: list[str]) -> dict:
-    """Wrapper of a host: ``article`` (some page has one), and for each slot
-    path whether its text is main text."""
+    """Wrapper of a host from all the given pages."""
     distinct = sorted(set(p for p in pages if p))
-    wrapper: list[dict] = []
-    for k, page in enumerate(distinct):
-        stream = _stream(page)
-        wrapper = align(wrapper, stream) if k else stream
-    article = any(w["verdict"] == "article" for w in wrapper)
-    slots: dict[str, bool] = {}
-    for w in wrapper:
-        constant = w["text"] is not None and w["pages"] >= 3
-        menu = w["link"] / w["n"] > 0.8 and (w["rep"] or w["size"] / w["n"] < 80)
-        main = w["verdict"] == "article" or (not article and w["verdict"] == "" and not constant and not menu)
-        slots[w["key"]] = slots.get(w["key"], False) or main
-    return {"article": article, "slots": slots}
+    slots: dict[str, dict] = {}
+    seen: dict[tuple[str, int], list[int]] = {}
+    for page in distinct:
+        for slot, digest, n, size, first, link, inside in page_facts(page):
+            f = slots.setdefault(slot, {"pages": 0, "n": 0, "size": 0, "link": 0, "inside": 0, "fixed": []})
+            for k, v in (("pages", first), ("n", n), ("size", n * size), ("link", link), ("inside", inside)):
+                f[k] += v
+            t = seen.setdefault((slot, digest), [0, 0, size])
+            t[0], t[1] = t[0] + 1, t[1] + n
+    for (slot, digest), (on, n, size) in seen.items():
+        if is_template(on, slots[slot]["pages"], len(distinct)):
+            slots[slot]["fixed"].append([digest, n, size])
+    return judge(slots)
 
 
 def extract(page: str | None, wrapper: dict) -> str:
@@ -307,15 +384,15 @@ def extract(page: str | None, wrapper: dict) -> str:
         return ""
     found = list(blocks(page))
     article = any(v == "article" for _, v, _, _ in found)
-    slots = wrapper.get("slots", {})
+    slots, texts = wrapper.get("slots", {}), wrapper.get("texts", {})
     out = []
     for path, verdict, text, share in found:
-        if verdict == "drop":
-            continue
-        if article:
-            main = verdict == "article"
-        else:
-            main = slots.get(path, share <= 0.8) if not wrapper.get("article") else share <= 0.8
+        slot = slot_of(path, verdict, article)
+        main = slots.get(slot)
+        if main is None:
+            main = verdict == "article" if article else verdict == "" and share <= 0.8
+        elif main and slot in texts:
+            main = _digest(text) not in texts[slot]
         if main:
             out.append(text)
     return "\n".join(out)

@@ -54,6 +54,23 @@ def test_wrapper_tells_template_from_text():
     assert html_wrappers.extract(pages[2], w) == "Story 2 of many words\nmore\nmore"
 
 
+def test_wrapper_decides_on_article_and_class_slots():
+    """Where the wrapper is taken away, the text changes."""
+    story = "A long story, number {0}, of words that fill a paragraph of its page, told {0} times over and once more. " * 2
+    teaser = [f"<div class=c><p>{story.format(i)}</p></div><article><p>Teaser {i}</p></article>" for i in range(5)]
+    w = html_wrappers.infer(teaser)
+    assert html_wrappers.extract(teaser[1], {}) == "Teaser 1"
+    assert html_wrappers.extract(teaser[1], w) == f"{story.format(1).strip()}\nTeaser 1"
+    share = [f"<article><p>{story.format(i)}</p><div class=box>Tell a friend about us</div></article>" for i in range(5)]
+    assert html_wrappers.extract(share[1], {}) == f"{story.format(1).strip()}\nTell a friend about us"
+    assert html_wrappers.extract(share[1], html_wrappers.infer(share)) == story.format(1).strip()
+    hint = [f"<div class='page has-sidebar'><p>{story.format(i)}</p></div><footer>f</footer>" for i in range(5)]
+    assert html_wrappers.extract(hint[1], {}) == ""
+    assert html_wrappers.extract(hint[1], html_wrappers.infer(hint)) == story.format(1).strip()
+    odd = ["<div class='a|hint'><p>x</p></div><div class=ad>buy</div>"]
+    assert html_wrappers.extract(odd[0], html_wrappers.infer(odd)) == "x"
+
+
 def test_alignment_resolves_mismatches():
     item = lambda k, t="t": {"key": k, "verdict": "", "text": t, "rep": False, "opt": False, "n": 1, "link": 0.0, "size": 1, "pages": 1}
     w = html_wrappers.align([item("a"), item("b", "x"), item("c")], [item("a"), item("b", "y"), item("b", "z"), item("d")])
