@@ -16,16 +16,19 @@ repeated group. Every block of a page is then kept or dropped by its slot:
 * slots that only the words of a class or id call furniture are template,
   unless a host's pages have nothing else and the slot holds paragraphs.
 
-A slot that no page behind the wrapper showed is judged by its page alone.
+A slot that the wrapper does not know is judged by its page alone.
 
 Blocks are the texts between block-level tags; inside one, white space becomes
 one space. Character references are decoded.
 
-Scale: the sample of SAMPLE pages a host (by hash of the url and id) is cut
-with a two-step top-k, so a hot host does not gather in one task; inference
-sees at most SAMPLE pages per group; the wrappers, one row per host, are
-written and joined back by host (broadcast only if their true size is small,
-else a join that the planner may split on a hot host). Extraction is a map.
+Scale: the wrapper is made from all blocks of all distinct pages (told apart by
+a 64-bit hash of their html). A page gives one row of facts, digests in place of
+texts; copies of a page are dropped by host and hash; facts are summed by host,
+slot and text and then by host and slot, partially before each shuffle, so a hot
+host does not gather in one task. A host's slots, not its pages, are judged
+together. The wrappers, one row per host, are written and joined back by host
+(broadcast only if their true size is small, else a join that the planner may
+split on a hot host). Extraction is a map.
 
 Edge cases: null or empty html gives an empty text; a null url belongs to the
 host ''; repeated rows get equal results; a host with one page has a wrapper of
@@ -42,15 +45,12 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seedgrow.llm.common import Scratch, read_table
 
-# Pages per host that a wrapper is inferred from, salts of the
-# first cut, rows handled at once.
-SAMPLE = 12
-SALTS = 32
+# Fixed value: rows handled at once.
 ROWS = 64
 # A text is template if it stands on so many distinct pages, on
 # this share of the pages that have its slot and on this share of the host's.
@@ -398,32 +398,65 @@ def extract(page: str | None, wrapper: dict) -> str:
     return "\n".join(out)
 
 
-def host_wrappers(pages: DataFrame) -> DataFrame:
-    """``host, wrapper`` (JSON) from a bounded sample of each host's pages."""
-    p = pages.select(
-        host_of(F.col("url")).alias("host"), "html",
-        F.xxhash64(F.coalesce("url", F.lit("")), F.coalesce(F.col("page_id").cast("string"), F.lit(""))).alias("h"),
-    ).where(F.col("html").isNotNull())
-    # Top-k on hashes alone, first per salt; then the few pages' html.
-    top = p.select("host", "h").distinct()
-    for key in (["host", F.pmod("h", F.lit(SALTS))], ["host"]):
-        top = top.withColumn("i", F.row_number().over(Window.partitionBy(*key).orderBy("h"))).where(F.col("i") <= SAMPLE)
-    sample = p.join(top.select("host", "h"), ["host", "h"]).groupBy("host", "h").agg(F.min("html").alias("html"))
+_FACTS = "slot:string,digest:bigint,n:bigint,size:bigint,first:bigint,link:bigint,inside:bigint"
+
+
+def host_wrappers(pages: DataFrame, scratch: Scratch) -> DataFrame:
+    """``host, wrapper`` (JSON) from all distinct pages of each host."""
+    rows = pages.where(F.length("html") > 0).select(host_of(F.col("url")).alias("host"), "html")
+
+    def read(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        names = [x.split(":")[0] for x in _FACTS.split(",")]
+        fact = pa.struct([(n, pa.string() if n == "slot" else pa.int64()) for n in names])
+        schema = pa.schema([("host", pa.string()), ("page", pa.int64()), ("facts", pa.list_(fact))])
+        for b in batches:
+            for k in range(0, b.num_rows, ROWS):
+                part = b.slice(k, ROWS)
+                html = part.column("html").to_pylist()
+                facts = [[dict(zip(names, f)) for f in page_facts(p)] for p in html]
+                columns = [part.column("host"), pa.array(map(_digest, html), pa.int64()), pa.array(facts, schema.field("facts").type)]
+                yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(columns, schema.types)], schema=schema)
+
+    facts = rows.mapInArrow(read, f"host string, page bigint, facts array<struct<{_FACTS}>>")
+    # One row a page, with a slot of no name for the page itself.
+    facts = facts.dropDuplicates(["host", "page"]).select("host", F.explode(
+        F.concat("facts", F.array(F.struct(F.lit("").alias("slot"), *[F.lit(int(n == "first")).cast("long").alias(n) for n in
+                 ("digest", "n", "size", "first", "link", "inside")])))).alias("f")).select("host", "f.*")
+    key = ["host", "slot"]
+    texts = facts.groupBy(*key, "digest").agg(
+        F.count(F.lit(1)).alias("pages"), F.sum("n").alias("n"), F.max("size").alias("size"),
+        *[F.sum(c).alias(c) for c in ("first", "link", "inside")])
+    texts = scratch.keep(texts, "texts")
+    slots = scratch.keep(texts.groupBy(*key).agg(
+        F.sum("first").alias("pages"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("size")).alias("size"),
+        F.sum("link").alias("link"), F.sum("inside").alias("inside")), "slots")
+    # is_template, in columns; at most a few texts of a slot pass.
+    hosts = slots.where("slot = ''").select("host", F.col("pages").alias("host_pages"))
+    fixed = texts.where((F.col("pages") >= TEMPLATE_PAGES) & (F.col("slot") != ""))
+    fixed = fixed.join(slots.select(*key, F.col("pages").alias("slot_pages")), key).join(hosts, "host")
+    fixed = fixed.where((F.col("pages") >= TEMPLATE_SLOT * F.col("slot_pages").cast("double"))
+                        & (F.col("pages") >= TEMPLATE_HOST * F.col("host_pages").cast("double")))
+    fixed = fixed.groupBy(*key).agg(F.sort_array(F.collect_list(F.array("digest", "n", "size"))).alias("fixed"))
+    slots = slots.where("slot != ''").join(fixed, key, "left")
 
     def run(rows):
         import pandas as pd
 
-        w = infer(rows["html"].tolist())
-        return pd.DataFrame({"host": [rows["host"].iloc[0]], "wrapper": [json.dumps(w, ensure_ascii=False, sort_keys=True)]})
+        names = ["pages", "n", "size", "link", "inside"]
+        facts = {r["slot"]: {**{k: int(r[k]) for k in names}, "fixed": [[int(x) for x in f] for f in r["fixed"]] if r["fixed"] is not None else []}
+                 for r in rows.to_dict("records")}
+        return pd.DataFrame({"host": [rows["host"].iloc[0]], "wrapper": [json.dumps(judge(facts), ensure_ascii=False, sort_keys=True)]})
 
-    return sample.groupBy("host").applyInPandas(run, "host string, wrapper string")
+    return slots.groupBy("host").applyInPandas(run, "host string, wrapper string")
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """``page_id, url, text`` of every page."""
     scratch = Scratch(pages.sparkSession, "html")
     pages = pages.select("page_id", "url", "html")
-    wrappers = scratch.keep(host_wrappers(pages), "wrappers").withColumnRenamed("host", "of_host")
+    wrappers = scratch.keep(host_wrappers(pages, scratch), "wrappers").withColumnRenamed("host", "of_host")
     rows = pages.withColumn("host", host_of(F.col("url")))
     rows = rows.join(wrappers, rows["host"] == wrappers["of_host"], "left").select("page_id", "url", "html", "wrapper")
 

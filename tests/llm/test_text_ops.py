@@ -2,6 +2,7 @@
 
 import hashlib
 import html
+import json
 import random
 import re
 
@@ -71,6 +72,29 @@ def test_wrapper_decides_on_article_and_class_slots():
     assert html_wrappers.extract(odd[0], html_wrappers.infer(odd)) == "x"
 
 
+def test_wrapper_is_made_from_all_pages_and_blocks(spark):
+    """Many pages, several templates, copies, long pages, near copies."""
+    rows = []
+    for i in range(120):
+        k = i % 6  # a template each, with a notice of its own
+        lines = "".join(f"<p>line {j} of {i}</p>" for j in range(3500 if i == 7 else 2))
+        rows.append(f"<div class=t{'abcdef'[k]}><p>Notice of template {k}</p></div><div class=y>{lines}</div><div class=z>end</div>")
+    near = [f"<h1>Only story</h1><div class=y><p>Line one of it</p></div><div class=q>Advert {i}</div>" for i in range(40)]
+    data = [(i, "http://many/x", h) for i, h in enumerate(rows)] + [(900 + i, "http://near/x", h) for i, h in enumerate(near)]
+    data += [(2000 + i, "http://many/x", "<div class=w><p>copied</p></div>") for i in range(30)] + [(3000, "http://many/x", None)]
+    d = spark.createDataFrame(data, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"].split("\n") for r in html_wrappers.extract_pages(d).collect()}
+    for i in range(120):
+        assert got[i] == [f"line {j} of {i}" for j in range(3500 if i == 7 else 2)]
+    assert all(got[900 + i][:2] == ["Only story", "Line one of it"] for i in range(40))
+    assert got[2000] == ["copied"] and got[3000] == [""]
+    scratch = html_wrappers.Scratch(spark, "test")
+    wrappers = {r["host"]: json.loads(r["wrapper"]) for r in html_wrappers.host_wrappers(d, scratch).collect()}
+    for host in ("many", "near"):
+        want = html_wrappers.infer([h for _, u, h in data if host in u])
+        assert wrappers[host] == json.loads(json.dumps(want))
+
+
 def test_alignment_resolves_mismatches():
     item = lambda k, t="t": {"key": k, "verdict": "", "text": t, "rep": False, "opt": False, "n": 1, "link": 0.0, "size": 1, "pages": 1}
     w = html_wrappers.align([item("a"), item("b", "x"), item("c")], [item("a"), item("b", "y"), item("b", "z"), item("d")])
