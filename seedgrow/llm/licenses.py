@@ -2,13 +2,16 @@
 
 A unit of text is normalised (case, copyright lines, punctuation, equivalent
 spellings, white space) and digested; the digest is joined with the digests
-of known licence texts. Units are the document's entire text and each of its
-entire lines: a document may be a licence, or carry a licence statement.
+of known licence texts. Units are the document's entire text, each of its
+entire lines, and runs of up to STATEMENT_LINES lines: a document may be a
+licence, or carry a licence statement, wrapped or not. The names that fill
+places of the BSD texts are normalised in entire texts.
 
-Scale: every step is one projection; the known digests are a fixed table of
-a few dozen rows, broadcast, so no document is shuffled. The lines of a row
-are looked up in the same fixed table as a literal map, which keeps the row
-whole without exploding it and grouping it again.
+Scale: every step is one projection; the known digests are fixed tables of
+some hundred rows, broadcast, so no document is shuffled. A line is normalised
+once and the entire text is put together from its lines; runs of lines are
+looked up in a literal map, which keeps the row whole without exploding it and
+grouping it again.
 
 Edge cases: null and empty texts match nothing (the digest of nothing is not
 a licence); a text of copyright lines only normalises to nothing and matches
@@ -19,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from importlib import resources
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -113,11 +117,24 @@ _COPYRIGHT_LINE = r"^[\W_]*(copyright\b|©|\(c\)|all rights reserved).*$"
 _PUNCTUATION = r"[^0-9a-zß-ÿ]+"
 
 
-def canonical(text: Column) -> Column:
-    """The normalised form of a text (JVM expressions only)."""
-    t = F.lower(text)
-    t = F.regexp_replace(t, "(?m)" + _COPYRIGHT_LINE, "")
-    t = F.trim(F.regexp_replace(t, _PUNCTUATION, " "))
+# A copyright line beyond doubt: year or placeholder follows. Wrapped anew, a
+# line of a licence's own text may start with the word alone.
+_DATED_LINE = (
+    r"^[\W_]*(?:(?:(?:copyright|©|\(c\))\W*)+(?:\d{4}|y{4}|year)\b|all rights reserved).*$"
+)
+_BREAK = "\r\n|[\n\r\u0085\u2028\u2029]"
+# Names that fill the places of a licence text, in canonical form.
+_NAMES = [
+    (r"neither the names? of .{1,120}? nor the names of (?:its|their|his|her|any|other)? ?contributors",
+     "neither the name of the copyright holder nor the names of its contributors"),
+    (r"software is provided by .{1,120}? as is and any express", "software is provided by the copyright holders and contributors as is and any express"),
+    (r"in no event shall .{1,120}? be liable for any direct", "in no event shall the copyright holder or contributors be liable for any direct"),
+]
+
+
+def _normal(text: Column) -> Column:
+    """The normalised form, copyright lines included (JVM expressions only)."""
+    t = F.trim(F.regexp_replace(F.lower(text), _PUNCTUATION, " "))
     # Padded, with doubled blanks, so that neighbouring words both match.
     t = F.concat(F.lit(" "), F.replace(t, F.lit(" "), F.lit("  ")), F.lit(" "))
     for a, b in SPELLINGS:
@@ -126,10 +143,8 @@ def canonical(text: Column) -> Column:
     return F.trim(F.replace(t, F.lit("  "), F.lit(" ")))
 
 
-def canonical_py(text: str) -> str:
-    """The same form for the fixed licence texts (and the tests)."""
-    t = re.sub(_COPYRIGHT_LINE, "", text.lower(), flags=re.M | re.A)
-    t = re.sub(_PUNCTUATION, " ", t).strip(" ")
+def _normal_py(text: str) -> str:
+    t = re.sub(_PUNCTUATION, " ", text.lower()).strip(" ")
     t = " " + t.replace(" ", "  ") + " "
     for a, b in SPELLINGS:
         if a != b:
@@ -137,30 +152,139 @@ def canonical_py(text: str) -> str:
     return t.replace("  ", " ").strip(" ")
 
 
+def canonical_py(text: str) -> str:
+    """The normalised form without copyright lines, of the fixed texts."""
+    return _normal_py(re.sub(_COPYRIGHT_LINE, "", text.lower(), flags=re.M | re.A))
+
+
+def _named(t: Column) -> Column:
+    out = t
+    for a, b in _NAMES:
+        out = F.regexp_replace(out, a, b)
+    return F.when(t.contains("software is provided by"), out).otherwise(t)
+
+
+def _named_py(t: str) -> str:
+    if "software is provided by" in t:
+        for a, b in _NAMES:
+            t = re.sub(a, b, t)
+    return t
+
+
 def known_digests() -> dict[str, str]:
-    """sha256 of the canonical form -> SPDX name."""
+    """sha256 of the canonical form -> SPDX name, of KNOWN."""
     return {hashlib.sha256(canonical_py(t).encode()).hexdigest(): name for name, t in KNOWN}
 
 
+# Titles that whole texts come with.
+_TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "License: MIT"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)"],
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD", "0BSD"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", "The 2-Clause BSD License", "Simplified BSD License",
+                     'BSD 2-Clause "Simplified" License', "BSD License", "The BSD License", "FreeBSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", "The 3-Clause BSD License", "New BSD License",
+                     "The New BSD License", 'BSD 3-Clause "New" or "Revised" License', "Revised BSD License",
+                     "Modified BSD License", "BSD License", "The BSD License"],
+}
+
+
+def whole_texts() -> list[tuple[str, str]]:
+    """(SPDX name, text) of whole licences, in their usual variants: as
+    shipped in ``license_texts``, without the title and address above the
+    first rule, without the appendix; short ones under each title and without,
+    with numbers, letters or bullets."""
+    out = []
+    for f in sorted(resources.files("seedgrow.llm").joinpath("license_texts").iterdir(), key=lambda f: f.name):
+        if f.name.endswith(".txt"):
+            name = f.name.removesuffix(".txt").removesuffix(".spdx")
+            out.append((name, f.read_text(encoding="utf-8")))
+    out += [(name, t.split("\n", 1)[1]) for name, t in KNOWN if name in _TITLES and "<holder>" in t]
+    texts = []
+    for name, t in out:
+        cuts = {t}
+        for mark in (r"END OF TERMS AND CONDITIONS", r"APPENDIX: How to apply", r"How to Apply These Terms", r"Exhibit A - Source Code Form"):
+            for x in list(cuts):
+                # The mark stands at a line's start, and may stay itself.
+                if m := re.search(rf"^[ \t]*{mark}.*$", x, re.M):
+                    cuts |= {x[: m.start()], x[: m.end()]}
+        if m := re.search(r"^\s*(?:Preamble|TERMS AND CONDITIONS FOR USE|1\. Definitions|Statement of Purpose)", t, re.M):
+            head = [x for x in t[: m.start()].strip().splitlines() if x.strip()]
+            cuts |= {"\n".join([*head[:n], x[m.start():]]) for x in list(cuts) for n in range(len(head)) if len(x) > m.start()}
+        if name in _TITLES:
+            # Items under numbers, letters, bullets.
+            for marks in (("", "", ""), ("a. ", "b. ", "c. ")):
+                items = iter(marks)
+                cuts.add(re.sub(r"^[ \t]*[1-3]\. ", lambda m: next(items), t, flags=re.M))
+            cuts |= {f"{title}\n{x}" for x in list(cuts) for title in _TITLES[name]}
+        texts += [(name, x) for x in sorted(cuts)]
+    return texts
+
+
+def whole_digests() -> dict[str, str]:
+    """sha256 of a whole text's forms -> SPDX name. A text has two forms:
+    without any copyright line, and without those that bear a year."""
+    out = {}
+    for name, t in [*KNOWN, *whole_texts()]:
+        for form in (canonical_py(t), _normal_py(re.sub(_DATED_LINE, "", t.lower(), flags=re.M | re.A))):
+            out.setdefault(hashlib.sha256(_named_py(form).encode()).hexdigest(), name)
+    return out
+
+
+# Fixed value: lines that a statement may be wrapped over.
+STATEMENT_LINES = 4
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """``docs`` plus ``license`` (the whole text is this licence, else null),
-    ``line_licenses`` (sorted licences stated by whole lines, comma-joined)
-    and ``n_license_lines``."""
+    ``line_licenses`` (sorted licences stated by whole lines, or runs of
+    lines, comma-joined) and ``n_license_lines`` (such statements; a wrapped
+    one counts once)."""
     spark = docs.sparkSession
-    table = known_digests()
-    known = spark.createDataFrame(sorted(table.items()), "__sg_known string, license string")
-    rows = docs.drop("license").withColumn("__sg_digest", F.sha2(canonical(text_or_empty()), 256))
-    rows = rows.join(F.broadcast(known), rows["__sg_digest"] == known["__sg_known"], "left")
-    names = F.create_map(*[F.lit(x) for kv in sorted(table.items()) for x in kv])
-    lines = F.split(text_or_empty(), "\n")
-    found = F.filter(F.transform(lines, lambda x: names[F.sha2(canonical(x), 256)]), lambda x: x.isNotNull())
-    rows = rows.withColumn("__sg_found", found)
-    return rows.withColumns(
+    wholes = sorted(whole_digests().items())
+    rows = docs.drop("license")
+    lines = F.split(text_or_empty(), _BREAK)
+    line = F.transform(lines, lambda x: F.struct(
+        _normal(x).alias("t"), F.lower(x).rlike(_COPYRIGHT_LINE).alias("c"), F.lower(x).rlike(_DATED_LINE).alias("d")))
+    rows = rows.withColumn("__sg_lines", line)
+
+    def joined(dropped):
+        kept = F.filter("__sg_lines", lambda x: ~x[dropped] & (x["t"] != ""))
+        return F.sha2(_named(F.array_join(F.transform(kept, lambda x: x["t"]), " ")), 256)
+
+    rows = rows.withColumns(
+        {"__sg_loose": joined("c"), "__sg_dated": joined("d"),
+         "__sg_lines": F.transform("__sg_lines", lambda x: F.when(x["c"], "").otherwise(x["t"]))}
+    )
+    for key in ("loose", "dated"):
+        known = spark.createDataFrame(wholes, f"__sg_k{key} string, __sg_l{key} string")
+        rows = rows.join(F.broadcast(known), rows[f"__sg_{key}"] == known[f"__sg_k{key}"], "left")
+    # Only a run of lines as long as a known statement is digested.
+    names = F.create_map(*[F.lit(x) for kv in sorted(known_digests().items()) for x in kv])
+    sizes = sorted({len(canonical_py(t)) for _, t in KNOWN})
+    rows = rows.withColumn("__sg_sizes", F.transform("__sg_lines", F.length))
+
+    def stated(n: int) -> Column:
+        def at(size, i):
+            each = [size] + [F.get("__sg_sizes", i + k) for k in range(1, n)]
+            fits = sum(each[1:], each[0]) + F.lit(n - 1)
+            run = F.array_join(F.slice("__sg_lines", i + 1, F.lit(n)), " ")
+            whole = fits.isin(sizes)
+            for e in each:
+                whole = whole & (e > 0)
+            return F.when(whole, names[F.sha2(run, 256)])
+
+        return F.transform("__sg_sizes", at)
+
+    found = F.filter(F.concat(*[stated(n) for n in range(1, STATEMENT_LINES + 1)]), lambda x: x.isNotNull())
+    rows = rows.withColumn("__sg_found", found).withColumns(
         {
+            "license": F.coalesce("__sg_lloose", "__sg_ldated"),
             "line_licenses": F.array_join(F.sort_array(F.array_distinct("__sg_found")), ","),
             "n_license_lines": F.size("__sg_found").cast("long"),
         }
-    ).drop("__sg_digest", "__sg_known", "__sg_found")
+    )
+    return rows.drop(*[c for c in rows.columns if c.startswith("__sg_")])
 
 
 def op6_license(spark, sf_dir: str) -> DataFrame:

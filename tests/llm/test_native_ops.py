@@ -1,6 +1,9 @@
 """Mixing, sharding, licence scan, fingerprints: SQL parity and edge cases."""
 
 import hashlib
+import pathlib
+import re
+import textwrap
 
 import duckdb
 import pytest
@@ -147,6 +150,28 @@ def test_full_licence_texts_and_lines(spark):
     assert got[1][0] == "MIT" and got[2] == (None, "CC-BY-NC-4.0,MIT", 2)
 
 
+def test_whole_documents_of_each_licence(spark):
+    """Shipped texts, filled in and wrapped anew; statements over two lines."""
+    texts = {}
+    for f in sorted((pathlib.Path(licenses.__file__).parent / "license_texts").glob("*.txt")):
+        texts[f.name] = (f.name.removesuffix(".txt").removesuffix(".spdx"), f.read_text())
+    bsd3 = texts["BSD-3-Clause.txt"][1].split("\n", 2)[2]
+    mit = next(t for _, t in licenses.KNOWN if t.startswith("MIT License"))
+    cases = [*texts.values(), ("MIT", mit.split("\n", 2)[2]), ("MIT", "The MIT License (MIT)\n\n" + mit.split("\n", 1)[1])]
+    for name, t in texts.values():
+        paragraphs = [x if re.search(r"copyright \(c\)|copyright ©", x[:300], re.I) else textwrap.fill(x, 61) for x in re.split(r"\n\s*\n", t)]
+        cases.append((name, "\n\n".join(paragraphs)))
+    acme = bsd3.replace("the University", "Acme Inc.").replace("THE REGENTS AND CONTRIBUTORS", "ACME INC. AND OTHERS")
+    cases += [("BSD-3-Clause", "Copyright (c) 2020 Acme\n" + acme), ("BSD-3-Clause", "BSD 3-Clause License\nCopyright 2020, A\n" + bsd3)]
+    cases += [("Apache-2.0", texts["Apache-2.0.txt"][1].split("APPENDIX")[0]), (None, bsd3.replace("binary", "source")), (None, bsd3 + " and more")]
+    d = spark.createDataFrame([(i, t, None, None, None) for i, (_, t) in enumerate(cases)], DOCS)
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(d).collect()}
+    assert [(i, got[i]) for i in range(len(cases))] == [(i, n) for i, (n, _) in enumerate(cases)]
+    wrapped = "Tale.\nThis project is licensed\r\nunder the\nMIT License.\nReleased under the MIT\n\nLicense.\nCopyright 2020 me\nLicensed under CC BY 4.0."
+    r = licenses.scan(spark.createDataFrame([(1, wrapped, None, None, None)], DOCS)).first()
+    assert (r["license"], r["line_licenses"], r["n_license_lines"]) == (None, "CC-BY-4.0,MIT", 2)
+
+
 def test_license_lines_of_the_table(spark):
     t = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").toPandas()
     known = licenses.known_digests()
