@@ -375,10 +375,7 @@ def _large_regions(docs: DataFrame, classes: DataFrame, members: DataFrame, scra
     members = scratch.keep(members, "large")
     pivots = members.select("region").distinct().select("region", F.col("region").alias("pivot"))
     needed = members.unionByName(pivots.withColumnRenamed("pivot", "sig"))
-    sets = _needed_sets(docs, classes, needed, scratch)
-    # A class comes up twice if its id is null or repeated, or by a copy in
-    # another task whose id falls into the same bucket.
-    sets = scratch.keep(sets.groupBy("sig").agg(F.first("n").alias("n"), F.first("items").alias("items")), "sets")
+    sets = scratch.keep(_needed_sets(docs, classes, needed, scratch), "sets")
     near = scratch.keep(_distances(members, pivots, sets), "distances")
     found = [near.where("linked").select(F.col("sig").alias("a"), F.col("pivot").alias("b"))]
     rows = scratch.keep(_near_pivot(near.drop("pivot")), "outside")
@@ -423,14 +420,16 @@ def _id_buckets(ids: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def _needed_sets(docs: DataFrame, classes: DataFrame, members: DataFrame, scratch: Scratch) -> DataFrame:
-    """``sig, n, items`` of the classes of ``members`` (and of some more, or
-    the same again), each computed where its document lies; no text is
-    shuffled."""
+    """``sig, n, items`` of the classes of ``members`` (and of some more),
+    once each, computed where its document lies; no text is shuffled."""
     ids = classes.join(members.select("sig").distinct(), "sig").select(F.col("first_id").alias("id"))
     d = docs.select(_id_bucket("doc_id"), docs["text"].cast("string").alias("text"))
     d = d.join(_id_buckets(ids, scratch), "__sg_bucket", "left_semi").select("text")
-    found = d.mapInArrow(_sets, "sig bigint, n int, items array<bigint>")
-    return found.where(F.col("sig").isNotNull())
+    found = d.mapInArrow(_sets, "sig bigint, n int, items array<bigint>").where(F.col("sig").isNotNull())
+    # A class comes up twice if its id is null or repeated, or by a copy in
+    # another task whose id falls into the same bucket. The join by sig that
+    # follows needs the same exchange.
+    return found.groupBy("sig").agg(F.first("n").alias("n"), F.first("items").alias("items"))
 
 
 def _joined(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -93,6 +93,23 @@ ODD = [(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "A B C D E F G"), (None,
        (None, "lonely text of null id"), (7, "one  two"), (8, "long " * 40000)]
 
 
+def test_small_regions_get_each_set_once(spark, monkeypatch):
+    """Copies in many tasks do not multiply what a region's task holds."""
+    join = jaccard_join._join_small
+
+    def once(rows):
+        assert not rows["sig"].duplicated().any(), "a set came twice"
+        return join(rows)
+
+    monkeypatch.setattr(jaccard_join, "_join_small", once)
+    words = [f"w{i}" for i in range(200)]
+    texts = [" ".join(words), " ".join([*words[:-1], "x"]), " ".join([*words[:-1], "y"])]
+    rows = [(i, t) for _ in range(8) for i, t in enumerate(texts)]
+    d = spark.createDataFrame(spark.sparkContext.parallelize(rows, 8), "doc_id long, text string")
+    docs, classes = jaccard_join._joined(d)
+    assert docs.count() == 24 and classes.select("component_id").distinct().count() == 1
+
+
 def test_odd_rows(spark):
     d = spark.createDataFrame([(i, t, "x") for i, t in ODD], "doc_id long, text string, component_id string")
     got = sorted(((r["doc_id"] or 0, r["n_shingles"], r["component_id"]) for r in jaccard_join.join_classes(d).collect()), key=repr)
