@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from seedgrow.llm import bpe, embedding_dedup, fracminhash, html_wrappers, jaccard_join, langid, licenses, mixing, pii, sharding
+from seedgrow.llm import bpe, embedding_dedup, fracminhash, html_wrappers, jaccard_join, langid, licenses, mixing, pii, runs, sharding
 
 QUERIES = {
     "op1_html": html_wrappers.op1_html,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_fingerprint": fracminhash.op8_fingerprint,
     "op9_pii": pii.op9_pii,
     "op10_bpe": bpe.op10_bpe,
+    "op13_runs": runs.op13_runs,
 }
 
 
