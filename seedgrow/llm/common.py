@@ -35,8 +35,11 @@ class Scratch:
         self.root = f"{checkpoint_root(spark).rstrip('/')}/seedgrow-{kind}-{uuid.uuid4().hex[:12]}"
         self._n = 0
 
-    def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
+    def keep(self, df: DataFrame, name: str = "t", partition_by: str | None = None) -> DataFrame:
         self._n += 1
         path = f"{self.root}/{self._n:03d}-{name}"
-        df.write.parquet(path)
+        w = df.write
+        if partition_by is not None:
+            w = w.partitionBy(partition_by)
+        w.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)

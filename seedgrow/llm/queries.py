@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from seedgrow.llm import bpe, embedding_dedup, fracminhash, hard_negatives, html_wrappers, jaccard_join, langid, licenses, mixing, pii, runs, sharding
+from seedgrow.llm import bpe, embedding_dedup, fracminhash, hard_negatives, html_wrappers, jaccard_join, langid, licenses, mixing, pii, pitman_yor, runs, sharding
 
 QUERIES = {
     "op1_html": html_wrappers.op1_html,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_fingerprint": fracminhash.op8_fingerprint,
     "op9_pii": pii.op9_pii,
     "op10_bpe": bpe.op10_bpe,
+    "op11_pitman_yor": pitman_yor.op11_pitman_yor,
     "op12_negatives": hard_negatives.op12_negatives,
     "op13_runs": runs.op13_runs,
 }
@@ -25,5 +26,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_mix": mixing.op2_sql(),
         "op3_shard": sharding.op3_sql(),
         "op8_fingerprint": fracminhash.op8_sql(),
-        "op12_negatives": hard_negatives.op12_sql(),
+        "op11_pitman_yor": pitman_yor.op11_pitman_yor,
+    "op12_negatives": hard_negatives.op12_sql(),
     }
