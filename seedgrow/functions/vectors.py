@@ -67,3 +67,25 @@ def max_probability(c: str | Column) -> Column:
 def probability_at(c: str | Column, index: int) -> Column:
     """Probability of the class with internal index ``index``."""
     return _to_array(_col(c)).getItem(int(index))
+
+
+DIGEST = ["__d1", "__d2"]
+
+
+def vector_digest(arr: Column) -> list[Column]:
+    """A 128-bit digest of an ``array<double>`` as two longs, ``DIGEST``: 16
+    bytes that stand for the vector as a shuffle key. Equal vectors have equal
+    digests (-0.0 counts as 0.0); the reverse is checked where it is used."""
+    plain = F.transform(arr, lambda x: x + F.lit(0.0))
+    return [F.xxhash64(F.lit(seed), plain).alias(name) for seed, name in enumerate(DIGEST, 1)]
+
+
+def one_vector(low: Column, high: Column) -> Column:
+    """``low``, the only vector of its digest; the job fails where two
+    different vectors share one (``low`` and ``high`` are the extremes)."""
+    return F.when(low.eqNullSafe(high), low).otherwise(F.raise_error(F.lit("two vectors share a 128-bit digest")))
+
+
+def same_vector(a: Column, b: Column) -> Column:
+    """Equality of two arrays that the planner does not take for a join key."""
+    return (a <= b) & (a >= b)

@@ -8,38 +8,40 @@
 * exact AUC (rank-sum with mean ranks for ties) and the ROC curve.
 
 AUC and ROC need, for every distinct score, the counts of positives and
-negatives with a smaller score. A window ordered over the whole table would
-put every row in one task, so the prefix sums are computed in two levels:
-
-1. ``groupBy(score)`` collapses ties (partial aggregation);
-2. the distinct scores, written once, are cut into ranges of about
-   ``SCORES_PER_BUCKET`` at approximate quantiles;
-3. per-range totals (one row per range) get their prefix sums by a window
-   over that small table, and are broadcast back: a row of five numbers per
-   million distinct scores;
-4. within a bucket a window partitioned by bucket adds the rest.
-
-Every step is distributed; the result is exact whatever the quantile error
-(the cut points only balance the buckets).
+negatives with a smaller score: ``groupBy(score)`` collapses ties (partial
+aggregation), and ``prefix.running_sums`` adds up the distinct scores in two
+levels. Every step is distributed and the result is exact.
+
+``metrics_by`` gives all metrics of many models at once: their scores stand in
+one long table, and every step above is grouped by the model's columns, so the
+number of jobs does not depend on the number of models.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+from typing import TYPE_CHECKING
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Distinct scores that one window task takes, about.
-SCORES_PER_BUCKET = 1_000_000
+from seedgrow.operators.prefix import running_sums
 
+if TYPE_CHECKING:  # plans import this module
+    from seedgrow.plans.lineage import Workspace
 
-def confusion_counts(df: DataFrame, label_col: str = "label", prediction_col: str = "prediction") -> DataFrame:
+
+def confusion_counts(
+    df: DataFrame, label_col: str = "label", prediction_col: str = "prediction", by: Sequence[str] = ()
+) -> DataFrame:
     return df.groupBy(
-        F.col(label_col).cast("double").alias("label"), F.col(prediction_col).cast("double").alias("prediction")
+        *by, F.col(label_col).cast("double").alias("label"), F.col(prediction_col).cast("double").alias("prediction")
     ).agg(F.count(F.lit(1)).alias("n"))
 
 
-def per_class_counts(df: DataFrame, label_col: str = "label", prediction_col: str = "prediction") -> DataFrame:
+def per_class_counts(
+    df: DataFrame, label_col: str = "label", prediction_col: str = "prediction", by: Sequence[str] = ()
+) -> DataFrame:
     """``(label, n_true, tp, n_pred)`` per class seen as a label or a prediction.
 
     Each confusion cell feeds two classes (its label and its prediction), so
@@ -47,7 +49,7 @@ def per_class_counts(df: DataFrame, label_col: str = "label", prediction_col: st
     join, hence no filter the optimizer could infer and push below the
     (possibly expensive) prediction column.
     """
-    cm = confusion_counts(df, label_col, prediction_col)
+    cm = confusion_counts(df, label_col, prediction_col, by)
     hit = F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(F.lit(0))
     roles = F.explode(
         F.array(
@@ -56,25 +58,27 @@ def per_class_counts(df: DataFrame, label_col: str = "label", prediction_col: st
         )
     ).alias("r")
     return (
-        cm.select(roles)
-        .groupBy(F.col("r.cls").alias("label"))
+        cm.select(*by, roles)
+        .groupBy(*by, F.col("r.cls").alias("label"))
         .agg(F.sum("r.t").alias("n_true"), F.sum("r.tp").alias("tp"), F.sum("r.p").alias("n_pred"))
     )
 
 
-def weighted_metrics(df: DataFrame, label_col: str = "label", prediction_col: str = "prediction") -> DataFrame:
-    """One row: ``weighted_precision, weighted_recall, weighted_f1, accuracy, n``.
+def weighted_metrics(
+    df: DataFrame, label_col: str = "label", prediction_col: str = "prediction", by: Sequence[str] = ()
+) -> DataFrame:
+    """One row (a group of ``by``): ``weighted_precision, weighted_recall, weighted_f1, accuracy, n``.
 
     Classes are the true labels (a class only ever predicted has weight 0);
     the precision of a class never predicted is 0.
     """
-    pc = per_class_counts(df, label_col, prediction_col)
+    pc = per_class_counts(df, label_col, prediction_col, by)
     precision = F.when(F.col("n_pred") > 0, F.col("tp") / F.col("n_pred")).otherwise(F.lit(0.0))
     recall = F.when(F.col("n_true") > 0, F.col("tp") / F.col("n_true")).otherwise(F.lit(0.0))
-    pc = pc.select("n_true", "tp", precision.alias("p"), recall.alias("r"))
+    pc = pc.select(*by, "n_true", "tp", precision.alias("p"), recall.alias("r"))
     f1 = F.when(F.col("p") + F.col("r") > 0, 2 * F.col("p") * F.col("r") / (F.col("p") + F.col("r"))).otherwise(F.lit(0.0))
     total = F.sum("n_true")
-    return pc.agg(
+    return pc.groupBy(*by).agg(
         (F.sum(F.col("p") * F.col("n_true")) / total).alias("weighted_precision"),
         (F.sum(F.col("r") * F.col("n_true")) / total).alias("weighted_recall"),
         (F.sum(f1 * F.col("n_true")) / total).alias("weighted_f1"),
@@ -83,7 +87,7 @@ def weighted_metrics(df: DataFrame, label_col: str = "label", prediction_col: st
     )
 
 
-def _score_groups(df: DataFrame, label_col: str, score_col: str, positive) -> DataFrame:
+def _score_groups(df: DataFrame, label_col: str, score_col: str, positive, by: Sequence[str] = ()) -> DataFrame:
     """``(score, pos, neg)`` per distinct score. Rows with a null label or a
     null or NaN score count as neither (conditional sums rather than a
     filter, which the optimizer would push below the scoring projection)."""
@@ -91,91 +95,53 @@ def _score_groups(df: DataFrame, label_col: str, score_col: str, positive) -> Da
     score = F.when(~F.isnan(score), score)
     valid = score.isNotNull() & F.col(label_col).isNotNull()
     is_pos = F.col(label_col) == F.lit(positive)
-    return df.groupBy(score.alias("score")).agg(
+    return df.groupBy(*by, score.alias("score")).agg(
         F.sum(F.when(valid & is_pos, 1).otherwise(0)).cast("long").alias("pos"),
         F.sum(F.when(valid & ~is_pos, 1).otherwise(0)).cast("long").alias("neg"),
     )
 
 
-def _bucket_bounds(groups: DataFrame, buckets: int | None) -> list[float]:
-    """Cut points of the ranges, from the written groups. Their number
-    follows the data unless given; the result does not depend on it."""
-    if buckets is None:
-        buckets = max(int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions")),
-                      -(-groups.count() // SCORES_PER_BUCKET))
-    if buckets <= 1:
-        return []
-    probs = [i / buckets for i in range(1, buckets)]
-    qs = groups.approxQuantile("score", probs, 1.0 / (4 * buckets))
-    return sorted(set(q for q in qs if q is not None))
-
-
 def score_prefix_counts(
     df: DataFrame,
     label_col: str = "label",
     score_col: str = "score",
     positive=1.0,
     buckets: int | None = None,
+    by: Sequence[str] = (),
+    ws: Workspace | None = None,
 ) -> DataFrame:
-    """Per distinct score: ``score, pos, neg, pos_below, neg_below,
-    pos_total, neg_total`` where ``*_below`` count rows with a strictly
-    smaller score.
+    """Per distinct score (of each group of ``by``): ``score, pos, neg,
+    pos_below, neg_below, pos_total, neg_total`` where ``*_below`` count rows with
+    a strictly smaller score.
 
-    The groups are written under ``spark.checkpoint.dir`` once, so the
-    caller's rows are evaluated once; the files are read again by the cut
-    points and by the result, and stay with the checkpoint folder.
+    ``buckets`` fixes the number of ranges, for tests. The caller's rows are
+    evaluated once; the written scores stay in ``ws``, or
+    in a workspace of their own until it is released (``lineage.release``).
     """
-    from seedgrow.plans.lineage import Workspace  # plans import this module
-
-    g = _score_groups(df, label_col, score_col, positive)
-    ws = Workspace(df.sparkSession, "scores", keep=True)
-    ws.write(g, "groups")
-    g = ws.read("groups", g.schema)
-    bounds = _bucket_bounds(g, buckets)
-    if bounds:
-        splits = [float("-inf")] + bounds + [float("inf")]
-        g = Bucketizer(splits=splits, inputCol="score", outputCol="bucket").transform(g)
-    else:
-        g = g.withColumn("bucket", F.lit(0.0))
-    totals = g.groupBy("bucket").agg(F.sum("pos").alias("bp"), F.sum("neg").alias("bn"))
-    wb = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    wall = Window.partitionBy()
-    offsets = totals.select(
-        "bucket",
-        F.coalesce(F.sum("bp").over(wb), F.lit(0)).alias("pos_off"),
-        F.coalesce(F.sum("bn").over(wb), F.lit(0)).alias("neg_off"),
-        F.sum("bp").over(wall).alias("pos_total"),
-        F.sum("bn").over(wall).alias("neg_total"),
-    )
-    # ``offsets`` has one row per range: a few bytes per million scores. A left
-    # join keeps the optimizer from inferring a not-null filter on ``g``.
-    g = g.join(F.broadcast(offsets), "bucket", "left")
-    wi = Window.partitionBy("bucket").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    return g.select(
-        "score",
-        "pos",
-        "neg",
-        (F.col("pos_off") + F.coalesce(F.sum("pos").over(wi), F.lit(0))).alias("pos_below"),
-        (F.col("neg_off") + F.coalesce(F.sum("neg").over(wi), F.lit(0))).alias("neg_below"),
-        "pos_total",
-        "neg_total",
-    )
+    from seedgrow.plans.lineage import Workspace
+
+    g = _score_groups(df, label_col, score_col, positive, by)
+    ws = ws or Workspace(df.sparkSession, "scores", keep=True)
+    c = running_sums(g, ws, "scores", ["score"], ["pos", "neg"], by, (), buckets)
+    return c.withColumnsRenamed({"pos_before": "pos_below", "neg_before": "neg_below"})
 
 
 def auc(
-    df: DataFrame, label_col: str = "label", score_col: str = "score", positive=1.0, buckets: int | None = None
+    df: DataFrame, label_col: str = "label", score_col: str = "score", positive=1.0, buckets: int | None = None,
+    by: Sequence[str] = (), ws: Workspace | None = None,
 ) -> DataFrame:
-    """One row ``(auc, auc_folded, n_pos, n_neg)``; ``auc`` is null when a
-    class is missing. ``auc_folded = max(auc, 1 - auc)`` is the original's
-    report."""
-    c = score_prefix_counts(df, label_col, score_col, positive, buckets)
-    s = c.agg(
+    """One row (a group of ``by``): ``(auc, auc_folded, n_pos, n_neg)``; ``auc``
+    is null when a class is missing. ``auc_folded = max(auc, 1 - auc)`` is the
+    original's report."""
+    c = score_prefix_counts(df, label_col, score_col, positive, buckets, by, ws)
+    s = c.groupBy(*by).agg(
         F.sum(F.col("pos") * (F.col("neg_below") + 0.5 * F.col("neg"))).alias("u"),
         F.sum("pos").alias("n_pos"),
         F.sum("neg").alias("n_neg"),
     )
     a = F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col("u") / (F.col("n_pos") * F.col("n_neg")))
     return s.select(
+        *by,
         a.alias("auc"),
         F.greatest(a, 1 - a).alias("auc_folded"),
         F.coalesce(F.col("n_pos"), F.lit(0)).cast("long").alias("n_pos"),
@@ -183,6 +149,19 @@ def auc(
     )
 
 
+def metrics_by(df: DataFrame, by: Sequence[str], ws: Workspace, positive=1.0) -> DataFrame:
+    """Weighted metrics and AUC of every group of ``by`` over a table ``(*by,
+    label, prediction, score)``, in one grouped job each."""
+    w = weighted_metrics(df, "label", "prediction", by)
+    a = auc(df, "label", "score", positive, None, by, ws)
+    on = F.lit(True)
+    for k in by:
+        on = on & w[k].eqNullSafe(a[k])
+    return w.join(a, on, "left").select(
+        *[w[k] for k in by], "weighted_precision", "weighted_recall", "weighted_f1", "accuracy", "n", "auc", "auc_folded", "n_pos", "n_neg"
+    )
+
+
 def roc_curve(
     df: DataFrame, label_col: str = "label", score_col: str = "score", positive=1.0, buckets: int | None = None
 ) -> DataFrame:

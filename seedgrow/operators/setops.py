@@ -6,7 +6,9 @@ Two matching modes:
   (``except``/``intersect`` on vectors). Both sides are reduced with a
   ``groupBy`` first: its map-side partial aggregation collapses a hot
   vector (one value holding a third of the rows) before the shuffle, so the
-  following anti/semi join sees distinct keys only.
+  following anti/semi join sees distinct keys only. Shuffle keys are 128-bit
+  digests of the vectors; the vectors themselves are compared inside equal
+  digests, so the result is exact.
 * ``id`` — anti/semi joins on the 8-byte row id; unique keys, no skew.
 
 Vectors are compared as ``array<double>`` of their dense values, so a
@@ -15,11 +17,13 @@ sparse and a dense copy of the same values match.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seedgrow.functions.vectors import as_array
+from seedgrow.functions.vectors import DIGEST, as_array, one_vector, same_vector, vector_digest
 
 
 def grow_labeled(labeled: DataFrame, accepted: DataFrame) -> DataFrame:
@@ -32,10 +36,23 @@ def mix_labeled_predicted(labeled: DataFrame, predicted: DataFrame) -> DataFrame
     return labeled.unionByName(predicted.select(*labeled.columns))
 
 
-def distinct_vectors(df: DataFrame, id_col: str = "row_id", features_col: str = "features") -> DataFrame:
-    """``(rep_id, vec)``: one row per distinct vector, represented by its
-    smallest id. Partial aggregation makes duplicates cheap."""
-    return df.groupBy(as_array(features_col).alias("vec")).agg(F.min(id_col).alias("rep_id"))
+def distinct_vectors(df: DataFrame, id_col: str = "row_id", features_col: str = "features", keys: Sequence[str] = ()) -> DataFrame:
+    """``(*keys, __d1, __d2, vec, rep_id)``: one row per distinct vector (and
+    ``keys``), represented by its smallest id. The vector's digest is the shuffle
+    key; partial aggregation makes duplicates cheap."""
+    vec = as_array(features_col)
+    rows = df.select(*keys, *vector_digest(vec), vec.alias("vec"), F.col(id_col).alias("__id") if id_col in df.columns else F.lit(None).alias("__id"))
+    g = rows.groupBy(*keys, *DIGEST).agg(F.min("vec").alias("vec"), F.max("vec").alias("__high"), F.min("__id").alias("rep_id"))
+    return g.select(*keys, *DIGEST, one_vector(F.col("vec"), F.col("__high")).alias("vec"), "rep_id")
+
+
+def _matched(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Semi or anti join of distinct vectors on their digests; the vectors
+    are compared only inside equal digests."""
+    on = same_vector(left["vec"], right["vec"])
+    for k in [*keys, *DIGEST]:
+        on = on & (left[k] == right[k])
+    return left.join(right, on, how)
 
 
 def pool_except(
@@ -46,9 +63,7 @@ def pool_except(
     Returns ``(row_id, features)`` of the surviving distinct vectors, each
     represented by its smallest id.
     """
-    left = distinct_vectors(pool, id_col, features_col)
-    right = accepted.select(as_array(features_col).alias("vec")).distinct()
-    kept = left.join(right, "vec", "left_anti")
+    kept = _matched(distinct_vectors(pool, id_col, features_col), distinct_vectors(accepted, id_col, features_col), (), "left_anti")
     return kept.select(F.col("rep_id").alias(id_col), array_to_vector("vec").alias(features_col))
 
 
@@ -96,9 +111,9 @@ def agreement(
     output ``(id, label, features)``.
     """
     if match == "features":
-        a = labeled1.select(F.col(label_col), as_array(features_col).alias("vec")).distinct()
-        b = labeled2.select(F.col(label_col), as_array(features_col).alias("vec")).distinct()
-        both = a.join(b, [label_col, "vec"], "left_semi")
+        a = distinct_vectors(labeled1, id_col, features_col, [label_col])
+        b = distinct_vectors(labeled2, id_col, features_col, [label_col])
+        both = _matched(a, b, [label_col], "left_semi")
         return both.select(F.col(label_col), array_to_vector("vec").alias(features_col))
     a = labeled1.select(id_col, label_col, features_col).dropDuplicates([id_col, label_col])
     b = labeled2.select(id_col, label_col).distinct()

@@ -480,7 +480,7 @@ def _binary_rows(fraction: float, seed: int) -> str:
     return O.embeddings_rows(fraction, seed, binary=True)
 
 
-def _harness(fractions, seeds, every: bool = False) -> str:
+def _harness(fractions, seeds) -> str:
     w = O.With()
     longs = []
     for fi, frac in enumerate(fractions):
@@ -490,9 +490,8 @@ def _harness(fractions, seeds, every: bool = False) -> str:
             sup = O.gnb_fit(w, f"{p}nb", f"(SELECT y, v FROM {p}seed)")
             _, stf = O.selftraining(w, W.ST_THRESHOLD, W.HARNESS_ST_ITERS, True, p)
             models = [(sup, "NaiveBayes"), (stf, "SelfTraining")]
-            if every:
-                models.append((O.hard_em(w, W.HARNESS_EM_ITERS, p, W.HARNESS_EM_TOL)[1], "EM"))
-                models.append((O.cotraining(w, W.CT_THRESHOLD, W.CT_ITERS, V1, V2, True, p)[1], "CoTraining"))
+            models.append((O.hard_em(w, W.HARNESS_EM_ITERS, p, W.HARNESS_EM_TOL)[1], "EM"))
+            models.append((O.cotraining(w, W.CT_THRESHOLD, W.CT_ITERS, V1, V2, True, p)[1], "CoTraining"))
             for model, name in models:
                 s = O.gnb_score(w, f"{p}{name}_s", model, f"{p}pool0", pos=1.0)
                 r = w.add(
@@ -518,7 +517,7 @@ def _harness(fractions, seeds, every: bool = False) -> str:
 
 
 def evaluate_all_metrics() -> str:
-    return _harness([W.HARNESS_FRACTION], W.HARNESS_FOLDS, True)
+    return _harness([W.HARNESS_FRACTION], W.HARNESS_FOLDS)
 
 
 def fraction_sweep() -> str:
@@ -568,17 +567,19 @@ def _mnb_score(w: O.With, name: str, model: str, rel: str) -> str:
 
 
 def base_learner_swap() -> str:
+    """The loop unrolled: each pass fits on the seed and all rows accepted so
+    far, and accepts confident rows still in the pool; a last fit on all."""
     w = O.With()
     w.add("src", f"SELECT id, t, y, list_transform(v, lambda x : x * 100) AS v FROM ({_doc_rows()}) d")
-    m0 = _mnb_fit(w, "m0", "(SELECT y, v FROM src WHERE y IS NOT NULL)")
-    _mnb_score(w, "s0", m0, "(SELECT id, v FROM src WHERE y IS NULL)")
-    m1 = _mnb_fit(
-        w, "m1",
-        "(SELECT y, v FROM src WHERE y IS NOT NULL UNION ALL SELECT s0.pred AS y, src.v FROM src "
-        f"JOIN s0 ON s0.id = src.id WHERE s0.conf > {W.SWAP_THRESHOLD})",
-    )
-    _mnb_score(w, "s1", m1, "(SELECT id, v FROM src)")
-    return w.sql("SELECT id AS row_id, CAST(pred AS DOUBLE) AS prediction, round(conf, 6) AS confidence FROM s1")
+    w.add("acc0", "SELECT id, y FROM src WHERE false")
+    train = "(SELECT y, v FROM src WHERE y IS NOT NULL UNION ALL SELECT a.y, src.v FROM src JOIN acc{k} a ON a.id = src.id)"
+    for k in range(W.SWAP_ITERS):
+        m = _mnb_fit(w, f"m{k}", train.format(k=k))
+        _mnb_score(w, f"s{k}", m, f"(SELECT id, v FROM src WHERE y IS NULL AND id NOT IN (SELECT id FROM acc{k}))")
+        w.add(f"acc{k + 1}", f"SELECT id, y FROM acc{k} UNION ALL SELECT id, pred AS y FROM s{k} WHERE conf > {W.SWAP_THRESHOLD}")
+    m = _mnb_fit(w, "last", train.format(k=W.SWAP_ITERS))
+    _mnb_score(w, "fin", m, "(SELECT id, v FROM src)")
+    return w.sql("SELECT id AS row_id, CAST(pred AS DOUBLE) AS prediction, round(conf, 6) AS confidence FROM fin")
 
 
 def custom_columns() -> str:
@@ -601,6 +602,10 @@ def results_read_back() -> str:
     return _harness([W.HARNESS_FRACTION], [W.SEED])
 
 
+def overwrite_read_back() -> str:
+    return "SELECT lang AS name, count(*) * 10 AS n FROM documents WHERE lang <> 'en' GROUP BY lang"
+
+
 def roc_read_back() -> str:
     return roc_curve()
 
@@ -610,6 +615,7 @@ SQL = {
     "roc_one_class": roc_one_class,
     "text_file_round_trip": text_file_round_trip,
     "results_read_back": results_read_back,
+    "overwrite_read_back": overwrite_read_back,
     "roc_read_back": roc_read_back,
     "custom_columns": custom_columns,
     "labeled_text_parse": labeled_text_parse,

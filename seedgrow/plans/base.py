@@ -24,6 +24,7 @@ import time
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import SparkContext
 from pyspark.ml import Model
 from pyspark.ml.classification import ProbabilisticClassifier
 from pyspark.ml.param import Param, Params, TypeConverters
@@ -177,7 +178,16 @@ def with_class_count(df: DataFrame, label_col: str, num_classes: int) -> DataFra
 def fit_learner(learner, df: DataFrame, features_col: str = FEAT, label_col: str = Y, num_classes: int | None = None):
     if num_classes is not None:
         df = with_class_count(df, label_col, num_classes)
-    return learner.fit(df, {learner.featuresCol: features_col, learner.labelCol: label_col})
+    return without_summary(learner.fit(df, {learner.featuresCol: features_col, learner.labelCol: label_col}))
+
+
+def without_summary(model):
+    """Drop a fitted model's training summary. It holds the session, which
+    cannot be shipped to tasks once the session has observed a query, and a
+    plan over the training rows, which are removed when the fit ends."""
+    if getattr(model, "hasSummary", False):
+        model._java_obj.setSummary(SparkContext._active_spark_context._jvm.scala.Option.empty())
+    return model
 
 
 def outcome_metrics():
@@ -330,15 +340,14 @@ class Prepared:
         return self.table.where(F.col(POOL)).select(ID, FEAT, FIRST)
 
 
-def prepare(est: _LoopParams, dataset: DataFrame, ws: Workspace, dedup: bool) -> Prepared:
-    """Normalise the input once and write it as the loop's base table.
+def write_samples(est: _SharedParams, dataset: DataFrame, ws: Workspace,
+                  partition_by: list[str] | None = None) -> tuple[DataFrame, dict]:
+    """The sample table of one fit: ``(__id, __f, __label, __pool)`` of every
+    row of ``dataset``, written in one pass, and what that pass observed.
 
-    One pass over the caller's input writes ``(__id, __f, __label)``
-    partitioned by ``__pool`` and observes the counts and the vector
-    dimension range. Everything else reads those files: the check that ids
-    are unique, the first-copy flags (written once more for the pool, in
-    ``features`` mode) and the label domain. So the caller's pipeline is
-    evaluated exactly once, and generated ids are the same in every branch.
+    Whatever derives the features (text functions, joins) is evaluated here
+    and nowhere else; a learner makes several passes, and all of them read
+    the written rows. ``__id`` is null where the input has no id column.
     """
     fcol, lcol, icol = est.getFeaturesCol(), est.getLabelCol(), est.getIdCol()
     for c in (fcol, lcol):
@@ -346,12 +355,8 @@ def prepare(est: _LoopParams, dataset: DataFrame, ws: Workspace, dedup: bool) ->
             raise ValueError(f"input has no column {c!r}")
     if not isinstance(dataset.schema[lcol].dataType, NumericType):
         raise TypeError(f"label column {lcol!r} must be numeric; index string labels with StringIndexer first")
-    df = dataset
-    if icol not in df.columns:
-        # Not repeatable, so nothing but the write below may see it.
-        df = df.withColumn(icol, F.monotonically_increasing_id())
-    state = df.select(
-        F.col(icol).alias(ID),
+    state = dataset.select(
+        (F.col(icol) if icol in dataset.columns else F.lit(None).cast("long")).alias(ID),
         dense(fcol).alias(FEAT),
         F.col(lcol).cast("double").alias(LABEL),
         F.col(lcol).isNull().alias(POOL),
@@ -361,7 +366,7 @@ def prepare(est: _LoopParams, dataset: DataFrame, ws: Workspace, dedup: bool) ->
     stats = ws.write(
         state,
         "input",
-        partition_by=[POOL],
+        partition_by=partition_by,
         metrics=[
             F.sum(F.lit(1) - pool_flag).alias("n_seed"),
             F.sum(pool_flag).alias("n_pool"),
@@ -372,9 +377,27 @@ def prepare(est: _LoopParams, dataset: DataFrame, ws: Workspace, dedup: bool) ->
     )
     if stats.get("min_dim") is not None and stats["min_dim"] != stats["max_dim"]:
         raise ValueError(f"feature vectors have different sizes ({stats['min_dim']}..{stats['max_dim']})")
+    return ws.read("input", state.schema), stats
+
+
+def prepare(est: _LoopParams, dataset: DataFrame, ws: Workspace, dedup: bool) -> Prepared:
+    """Normalise the input once and write it as the loop's base table.
+
+    One pass over the caller's input writes ``(__id, __f, __label)``
+    partitioned by ``__pool`` and observes the counts and the vector
+    dimension range. Everything else reads those files: the check that ids
+    are unique, the first-copy flags (written once more for the pool, in
+    ``features`` mode) and the label domain. So the caller's pipeline is
+    evaluated exactly once, and generated ids are the same in every branch.
+    """
+    icol = est.getIdCol()
+    df = dataset
+    if icol not in df.columns:
+        # Not repeatable, so nothing but the write below may see it.
+        df = df.withColumn(icol, F.monotonically_increasing_id())
+    table, stats = write_samples(est, df, ws, partition_by=[POOL])
     if stats.get("n_null_ids"):
         raise ValueError(f"{icol!r} is null in {stats['n_null_ids']} rows")
-    table = ws.read("input", state.schema)
     if icol in dataset.columns:
         # Exact; ids alone are read and shuffled.
         repeated = table.groupBy(ID).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).limit(1).collect()

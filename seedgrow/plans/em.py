@@ -14,12 +14,11 @@
 Hard assignments, no weights, no threshold; ``L`` stays the original
 labelled rows and every E-step relabels the whole pool.
 
-Nothing is written per iteration: the E-step labels are a projection of the
-written base table (the current model applied on the fly inside the M-step
-fit), and the change count is one aggregate pass that evaluates the
-previous and the current model side by side in each row — no join, no
-driver arrays, no positional matching. The change count and the M-step
-fit only need the current model, so they run concurrently.
+Each E-step is one pass: it scores every pool row once, writes its label beside
+its features and, reading the labels of the E-step before from the same rows,
+counts the changed ones through an observation — no join, no driver arrays, no
+positional matching. All passes of the M-step's learner read the written
+labels. The table of the E-step before is removed once the next is written.
 """
 
 from __future__ import annotations
@@ -38,7 +37,6 @@ from seedgrow.plans.base import (
     fit_learner,
     make_model,
     prepare,
-    run_parallel,
 )
 from seedgrow.plans.lineage import Workspace
 
@@ -86,38 +84,33 @@ class HardEM(Estimator, _LoopParams, SemiSupervisedMarker):
         ws = Workspace(spark, "em", self.getOrDefault(self.keepCheckpoints))
         try:
             prep = prepare(self, dataset, ws, dedup=False)
-            seed, pool = prep.seed, prep.pool.select(FEAT)
+            seed = prep.seed
             k = prep.num_classes
             n_pool = prep.n_pool
             history: list[dict] = []
-
-            def with_labels(model):
-                """L UNION ALL (pool labelled by ``model``), evaluated lazily."""
-                return seed.unionByName(predict_with(model, pool, "__cur").select(FEAT, F.col("__cur").alias(Y)))
+            scored: list[int] = []
+            unlabeled = prep.pool.select(FEAT, F.lit(None).cast("double").alias(Y))
+
+            def e_step(model, rows, step: int):
+                """Label ``rows`` with ``model``; ``(labelled rows, changed)``."""
+                cur = predict_with(model, rows, "__cur")
+                changed = F.when(F.col(Y).isNotNull() & (F.col(Y) != F.col("__cur")), 1).otherwise(0).cast("long")
+                both = cur.select(FEAT, F.col("__cur").cast("double").alias(Y), changed.alias("__changed"))
+                m = ws.write(both, f"e/step={step}", metrics=[F.sum("__changed").alias("changed"), F.count(F.lit(1)).alias("n")])
+                scored.append(int(m["n"]))
+                if step:
+                    ws.delete(f"e/step={step - 1}")
+                return ws.read(f"e/step={step}", both.schema).select(FEAT, Y), int(m.get("changed") or 0)
 
             model = fit_learner(self.base, seed, num_classes=k)
             last = model
             if n_pool > 0:
-                prev = None
+                rows = unlabeled
                 it, residual = 0, 100.0
                 while it < self.getMaxIter() and residual > tol:
                     clock = Timer()
-                    cur, older = model, prev
-
-                    def count_changed() -> int:
-                        # Change count of this E-step (previous vs current model, in-row).
-                        if older is None:
-                            return 0
-                        both = predict_with(cur, predict_with(older, pool, "__old"), "__cur")
-                        changed = (F.col("__cur") != F.col("__old")).cast("long")
-                        return int(both.agg(F.sum(changed).alias("n")).first()["n"] or 0)
-
-                    def m_step():
-                        return fit_learner(self.base, with_labels(cur), num_classes=k)
-
-                    # Independent jobs: submitted from two driver threads.
-                    n_changed, nxt = run_parallel([count_changed, m_step], 2)
-                    prev, model = cur, nxt
+                    rows, n_changed = e_step(model, rows, it)
+                    model = fit_learner(self.base, seed.unionByName(rows), num_classes=k)
                     missed = n_pool if it == 0 else n_changed
                     residual = 100.0 * missed / n_pool
                     it += 1
@@ -125,10 +118,13 @@ class HardEM(Estimator, _LoopParams, SemiSupervisedMarker):
                                         n_labeled=prep.n_seed, n_unlabeled=n_pool, step_s=clock.lap()))
                     self.log_iteration(history[-1])
                 last = model
-                model = fit_learner(self.base, with_labels(model), num_classes=k)
+                rows, _ = e_step(model, rows, it)
+                model = fit_learner(self.base, seed.unionByName(rows), num_classes=k)
         finally:
             ws.close()
         out = make_model(self, model, prep, history, HISTORY_SCHEMA)
         # The model whose E-step produced the final training set's pseudo-labels.
         out.loopModel = last
+        # Rows scored by each E-step.
+        out.scoredRows = scored
         return out

@@ -3,9 +3,8 @@
 For every (labelled fraction, fold seed, algorithm) the harness fits on the
 labelled part (semi-supervised estimators also get the pool, labels
 hidden), scores the pool once (transductive evaluation, as the original)
-and builds the metrics as DataFrame aggregates over the written scores.
-The per-run metric rows are kept in long form ``(name, label_fraction,
-fold_seed, metric, value)``, unioned and pivoted once; only that bounded
+and builds the metrics as DataFrame aggregates over the written scores of
+all runs, grouped by (name, label_fraction, fold_seed); only the bounded
 result table (one row per algorithm and fraction) and the learning times
 reach the driver.
 """
@@ -21,7 +20,7 @@ from pyspark.sql import functions as F
 
 from seedgrow.functions.hashing import unit_hash
 from seedgrow.functions.vectors import probability_at
-from seedgrow.operators.metrics import auc, roc_curve, weighted_metrics
+from seedgrow.operators.metrics import metrics_by, roc_curve
 from seedgrow.operators.splits import labeled_flag
 from seedgrow.plans.base import SemiSupervisedMarker, run_parallel
 from seedgrow.plans.lineage import Workspace
@@ -30,25 +29,32 @@ from seedgrow.sources.sinks import write_roc
 METRICS = ["weighted_precision", "weighted_recall", "weighted_f1", "auc", "auc_folded"]
 
 
-def _long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """One-row metric frame -> ``(metric, value)`` rows."""
-    pairs = F.explode(F.map_from_arrays(F.array(*[F.lit(c) for c in cols]), F.array(*[F.col(c).cast("double") for c in cols])))
-    return df.select(pairs.alias("metric", "value"))
+def _class_of(model, positive) -> int:
+    """Position of ``positive`` in a fitted model's probability vector."""
+    labels = [float(v) for v in model.labels]
+    if float(positive) not in labels:
+        raise ValueError(f"positive label {positive} is not among the model's labels {labels}")
+    return labels.index(float(positive))
 
 
 def score_column(model, positive) -> F.Column:
     """Probability of ``positive`` from a fitted model's probability vector."""
-    labels = [float(v) for v in model.labels]
-    if float(positive) not in labels:
-        raise ValueError(f"positive label {positive} is not among the model's labels {labels}")
-    return probability_at(model.getProbabilityCol(), labels.index(float(positive)))
+    return probability_at(model.getProbabilityCol(), _class_of(model, positive))
 
 
-def metrics_of_scored(s: DataFrame, positive) -> DataFrame:
-    """Long-form metric rows of a ``(label, prediction, score)`` table."""
-    wm = _long(weighted_metrics(s, "label", "prediction"), ["weighted_precision", "weighted_recall", "weighted_f1"])
-    au = _long(auc(s, "label", "score", positive), ["auc", "auc_folded"])
-    return wm.unionByName(au)
+def score_models(models: Sequence[tuple[object, str]], rows: DataFrame, label_col: str, positive) -> DataFrame:
+    """``(name, label, prediction, score)`` of every row under every fitted
+    model: one scan of ``rows`` evaluates all models side by side, then stacks
+    one row a model."""
+    df = rows.select(F.col(label_col).cast("double").alias("__true"), "*")
+    stacked = []
+    for i, (model, name) in enumerate(models):
+        pred, prob, raw = f"__m{i}_prediction", f"__m{i}_probability", f"__m{i}_raw"
+        df = model.transform(df, {model.predictionCol: pred, model.probabilityCol: prob, model.rawPredictionCol: raw})
+        score = F.round(probability_at(prob, _class_of(model, positive)), 12)
+        stacked.append(F.struct(F.lit(name).alias("name"), F.col(pred).cast("double").alias("prediction"), score.alias("score")))
+    rows = df.select(F.col("__true").alias("label"), F.explode(F.array(*stacked)).alias("__m"))
+    return rows.select("__m.name", "label", "__m.prediction", "__m.score")
 
 
 def evaluate_all(
@@ -73,64 +79,62 @@ def evaluate_all(
     Columns: ``name, label_fraction, weighted_precision, weighted_recall,
     weighted_f1, auc, auc_folded`` (+ ``learning_time_s``).
 
-    Each run scores its pool once and writes the narrow ``(label,
-    prediction, score)`` table to the workspace; every metric then reads
-    those 24 bytes per row instead of re-scoring the vectors. The result
-    (one row per algorithm and fraction) is small and bounded, so it is
-    collected before the workspace is removed, the form of the original's
-    result table. With ``parallelism > 1`` independent runs are submitted
-    from that many driver threads (timings then include the contention).
+    For every fraction and fold all algorithms are fitted, then one scan
+    scores the pool with all of them and writes the narrow ``(name, label,
+    prediction, score)`` rows. One grouped job over all written rows then gives
+    every metric of every run, so the number of metric jobs depends neither on
+    the algorithms nor on the fractions. The result (one row per algorithm and
+    fraction) is small and bounded, so it is collected before the workspace is
+    removed, the form of the original's result table. With ``parallelism > 1``
+    independent fits are submitted from that many driver threads (timings then
+    include the contention). With timing, each model also makes the full pass of
+    its own that the original times.
     """
     spark = df.sparkSession
-    runs = [(f, s, est, name) for f in fractions for s in fold_seeds for est, name in algorithms]
     ws = Workspace(spark, "evaluate")
     try:
         # The caller's rows are evaluated once; every run reads the files.
         ws.write(df, "input")
         df = ws.read("input", df.schema)
+        timings = []
 
-        def one(i, fraction, seed, est, name):
+        def parts(fraction, seed):
             flag = labeled_flag(id_col, fraction, seed)
+            if test_fraction is None:
+                return flag, df, df.where(~flag)
+            held = ~flag & (unit_hash(id_col, seed + 7919) < F.lit(float(test_fraction)))
+            return flag, df.where(~held), df.where(held)
+
+        def fit(fraction, seed, est, name):
+            flag, data, scored_rows = parts(fraction, seed)
             t0 = time.perf_counter()
-            data, scored_rows = df, df.where(~flag)
-            if test_fraction is not None:
-                held = ~flag & (unit_hash(id_col, seed + 7919) < F.lit(float(test_fraction)))
-                data, scored_rows = df.where(~held), df.where(held)
             if isinstance(est, SemiSupervisedMarker):
                 train = data.withColumn(label_col, F.when(flag, F.col(label_col)))
             else:
                 train = data.where(flag)
             model = est.fit(train)
-            pred = model.transform(scored_rows)
-            scored = pred.select(
-                F.col(label_col).cast("double").alias("label"),
-                F.col("prediction").cast("double").alias("prediction"),
-                F.round(score_column(model, positive), 12).alias("score"),
-            )
-            # The write is the full pass of the learning time (fit + transform + pass).
-            ws.write(scored, f"runs/r={i}")
-            timing = (name, float(fraction), int(seed), "learning_time_s", time.perf_counter() - t0)
-            m = metrics_of_scored(ws.read(f"runs/r={i}"), positive)
-            part = m.select(
-                F.lit(name).alias("name"),
-                F.lit(float(fraction)).alias("label_fraction"),
-                F.lit(int(seed)).alias("fold_seed"),
-                "metric",
-                "value",
-            )
-            return part, timing
-
-        results = run_parallel([lambda i=i, r=r: one(i, *r) for i, r in enumerate(runs)], parallelism)
-        parts = [p for p, _ in results]
+            if with_timing:
+                model.transform(scored_rows).select("prediction").write.format("noop").mode("overwrite").save()
+                timings.append((name, float(fraction), int(seed), time.perf_counter() - t0))
+            return model, name
+
+        def score(i, fraction, seed, models):
+            rows = score_models(models, parts(fraction, seed)[2], label_col, positive)
+            ws.write(rows.withColumn("label_fraction", F.lit(float(fraction))).withColumn("fold_seed", F.lit(int(seed))), f"runs/r={i}")
+
+        folds = [(f, s) for f in fractions for s in fold_seeds]
+        jobs = [(f, s, est, name) for f, s in folds for est, name in algorithms]
+        fitted = run_parallel([lambda j=j: fit(*j) for j in jobs], parallelism)
+        k = len(algorithms)
+        run_parallel([lambda i=i, f=f: score(i, *f, fitted[i * k : (i + 1) * k]) for i, f in enumerate(folds)], parallelism)
+        runs = ws.read("runs").drop("r")
+        table = metrics_by(runs, ["name", "label_fraction", "fold_seed"], ws, positive)
         names = list(METRICS)
         if with_timing:
-            timings = [t for _, t in results]
-            parts.append(spark.createDataFrame(timings, "name string, label_fraction double, fold_seed int, metric string, value double"))
+            times = spark.createDataFrame(timings, "name string, label_fraction double, fold_seed int, learning_time_s double")
+            table = table.join(times, ["name", "label_fraction", "fold_seed"], "left")
             names.append("learning_time_s")
-        allrows = parts[0]
-        for p in parts[1:]:
-            allrows = allrows.unionByName(p)
-        table = allrows.groupBy("name", "label_fraction").pivot("metric", names).agg(F.avg("value"))
+        table = table.groupBy("name", "label_fraction").agg(*[F.avg(m).alias(m) for m in names])
         rows = table.collect()
         schema = table.schema
     finally:

@@ -56,7 +56,7 @@ SWEEP_FRACTIONS = splits.sweep_fractions()
 HARNESS_ST_ITERS = 3
 HARNESS_EM_TOL, HARNESS_EM_ITERS = 3.0, 7
 DOC_THRESHOLD, DOC_ITERS = 0.95, 3
-SWAP_THRESHOLD = 0.95
+SWAP_THRESHOLD, SWAP_ITERS = 0.95, 3
 
 R6 = 6
 
@@ -492,16 +492,10 @@ def q_pipeline_compose(spark, sf):
     return model.transform(docs).select("row_id", "predicted_lang")
 
 
-def _harness_algorithms():
+def _every_algorithm():
     return [
         (Supervised(nb()), "NaiveBayes"),
         (SelfTraining(nb(), threshold=ST_THRESHOLD, maxIter=HARNESS_ST_ITERS), "SelfTraining"),
-    ]
-
-
-def _every_algorithm():
-    return [
-        *_harness_algorithms(),
         (HardEM(nb(), tolPercent=HARNESS_EM_TOL, maxIter=HARNESS_EM_ITERS), "EM"),
         (CoTraining(nb(), nb(), nb(), threshold=CT_THRESHOLD, maxIter=CT_ITERS), "CoTraining"),
     ]
@@ -520,7 +514,7 @@ def q_evaluate_all_metrics(spark, sf):
 
 def q_fraction_sweep(spark, sf):
     b = tables.binary_embedding_samples(spark, sf)
-    return _round_results(evaluate_all(_harness_algorithms(), b, SWEEP_FRACTIONS, [SEED], 1.0, parallelism=4))
+    return _round_results(evaluate_all(_every_algorithm(), b, SWEEP_FRACTIONS, [SEED], 1.0, parallelism=4))
 
 
 def q_roc_evaluation(spark, sf):
@@ -548,10 +542,21 @@ def q_results_read_back(spark, sf):
     """The per-algorithm result sink, read back."""
     b = tables.binary_embedding_samples(spark, sf)
     path = _written(spark, "results")
-    sinks.write_results(evaluate_all(_harness_algorithms(), b, [HARNESS_FRACTION], [SEED], 1.0, parallelism=4), path)
+    sinks.write_results(evaluate_all(_every_algorithm(), b, [HARNESS_FRACTION], [SEED], 1.0, parallelism=4), path)
     return _round_results(spark.read.parquet(path))
 
 
+def q_overwrite_read_back(spark, sf):
+    """The result sink writes two tables to one place; the second is read."""
+    path = _written(spark, "overwrite")
+    counts = tables.document_samples(spark, sf).groupBy(F.col("label").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    sinks.write_results(counts, path)
+    before = spark.read.parquet(path)
+    # The second write reads the table that it replaces.
+    sinks.write_results(before.where(F.col("name") != "en").withColumn("n", F.col("n") * 10), path)
+    return spark.read.parquet(path).select("name", "n")
+
+
 def q_roc_read_back(spark, sf):
     """The ROC sink, read back."""
     path = _written(spark, "roc")
@@ -642,7 +647,7 @@ def q_base_learner_swap(spark, sf):
     docs, _ = documents_indexed(spark, sf)
     per_hundred = F.transform(as_array("features"), lambda x: x * 100)
     docs = docs.withColumn("features", array_to_vector(per_hundred))
-    est = SelfTraining(NaiveBayes(modelType="multinomial"), threshold=SWAP_THRESHOLD, maxIter=1, matchMode="id")
+    est = SelfTraining(NaiveBayes(modelType="multinomial"), threshold=SWAP_THRESHOLD, maxIter=SWAP_ITERS, matchMode="id")
     model = est.fit(splits.semi_supervised_input(docs, FRACTION, SEED))
     return _scored_rows(model, docs)
 
@@ -677,6 +682,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "duplicate_summary": q_duplicate_summary,
     "text_file_round_trip": q_text_file_round_trip,
     "results_read_back": q_results_read_back,
+    "overwrite_read_back": q_overwrite_read_back,
     "roc_read_back": q_roc_read_back,
     "roc_one_class": q_roc_one_class,
     "em_tolerance_history": q_em_tolerance_history,
