@@ -480,39 +480,44 @@ def _binary_rows(fraction: float, seed: int) -> str:
     return O.embeddings_rows(fraction, seed, binary=True)
 
 
-def _harness(fractions, seeds) -> str:
+def _harness_run(frac, seed) -> str:
+    """The metrics of all algorithms at one fraction and fold. A statement of
+    its own, as the engine limits the depth of one WITH list."""
     w = O.With()
     longs = []
-    for fi, frac in enumerate(fractions):
-        for seed in seeds:
-            p = f"h{fi}_{seed}_"
-            O.add_source(w, _binary_rows(frac, seed), True, p)
-            sup = O.gnb_fit(w, f"{p}nb", f"(SELECT y, v FROM {p}seed)")
-            _, stf = O.selftraining(w, W.ST_THRESHOLD, W.HARNESS_ST_ITERS, True, p)
-            models = [(sup, "NaiveBayes"), (stf, "SelfTraining")]
-            models.append((O.hard_em(w, W.HARNESS_EM_ITERS, p, W.HARNESS_EM_TOL)[1], "EM"))
-            models.append((O.cotraining(w, W.CT_THRESHOLD, W.CT_ITERS, V1, V2, True, p)[1], "CoTraining"))
-            for model, name in models:
-                s = O.gnb_score(w, f"{p}{name}_s", model, f"{p}pool0", pos=1.0)
-                r = w.add(
-                    f"{p}{name}_r",
-                    f"SELECT src.t AS label, CAST(s.pred AS DOUBLE) AS prediction, round(s.ppos, 12) AS score "
-                    f"FROM {s} s JOIN {p}src src ON src.id = s.id",
-                )
-                wm = w.add(f"{p}{name}_wm", weighted_sql(r))
-                au = w.add(f"{p}{name}_au", auc_sql(r))
-                longs.append(
-                    f"SELECT '{name}' AS name, CAST({float(frac)} AS DOUBLE) AS label_fraction, "
-                    f"(SELECT weighted_precision FROM {wm}) AS weighted_precision, "
-                    f"(SELECT weighted_recall FROM {wm}) AS weighted_recall, "
-                    f"(SELECT weighted_f1 FROM {wm}) AS weighted_f1, (SELECT auc FROM {au}) AS auc, "
-                    f"(SELECT greatest(auc, 1 - auc) FROM {au}) AS auc_folded"
-                )
-    w.add("runs", " UNION ALL ".join(longs))
-    return w.sql(
+    O.add_source(w, _binary_rows(frac, seed), True)
+    sup = O.gnb_fit(w, "nb", "(SELECT y, v FROM seed)")
+    models = [
+        (sup, "NaiveBayes"),
+        (O.selftraining(w, W.ST_THRESHOLD, W.HARNESS_ST_ITERS, True)[1], "SelfTraining"),
+        (O.hard_em(w, W.HARNESS_EM_ITERS, "", W.HARNESS_EM_TOL)[1], "EM"),
+        (O.cotraining(w, W.CT_THRESHOLD, W.CT_ITERS, V1, V2, True)[1], "CoTraining"),
+    ]
+    for model, name in models:
+        s = O.gnb_score(w, f"{name}_s", model, "pool0", pos=1.0)
+        r = w.add(
+            f"{name}_r",
+            f"SELECT src.t AS label, CAST(s.pred AS DOUBLE) AS prediction, round(s.ppos, 12) AS score "
+            f"FROM {s} s JOIN src ON src.id = s.id",
+        )
+        wm = w.add(f"{name}_wm", weighted_sql(r))
+        au = w.add(f"{name}_au", auc_sql(r))
+        longs.append(
+            f"SELECT '{name}' AS name, CAST({float(frac)} AS DOUBLE) AS label_fraction, "
+            f"(SELECT weighted_precision FROM {wm}) AS weighted_precision, "
+            f"(SELECT weighted_recall FROM {wm}) AS weighted_recall, "
+            f"(SELECT weighted_f1 FROM {wm}) AS weighted_f1, (SELECT auc FROM {au}) AS auc, "
+            f"(SELECT greatest(auc, 1 - auc) FROM {au}) AS auc_folded"
+        )
+    return w.sql(" UNION ALL ".join(longs))
+
+
+def _harness(fractions, seeds) -> str:
+    runs = " UNION ALL ".join(f"SELECT * FROM ({_harness_run(f, s)})" for f in fractions for s in seeds)
+    return (
         "SELECT name, label_fraction, round(avg(weighted_precision), 6) AS weighted_precision, "
         "round(avg(weighted_recall), 6) AS weighted_recall, round(avg(weighted_f1), 6) AS weighted_f1, "
-        "round(avg(auc), 6) AS auc, round(avg(auc_folded), 6) AS auc_folded FROM runs GROUP BY name, label_fraction"
+        f"round(avg(auc), 6) AS auc, round(avg(auc_folded), 6) AS auc_folded FROM ({runs}) runs GROUP BY name, label_fraction"
     )
 
 
