@@ -1,16 +1,26 @@
 """Label indexing (string-indexer semantics) without leaving the JVM.
 
-The label domain is found with one distributed ``groupBy(label).count()``;
-only the per-class rows (bounded by ``max_classes``, checked) reach the
-driver. Index order is descending frequency, ties broken by the label's
-string form ascending — the order ``StringIndexer`` uses.
+The label domain is found with one distributed ``groupBy(label).count()``.
+Index order is descending frequency, ties broken by the label's string form
+ascending — the order ``StringIndexer`` uses. As a table (``label_index_table``)
+the dictionary may have any size and is joined in both directions
+(``with_label_index``, ``with_label``). A learner needs the list of its classes on
+the driver, where its parameters for each class are too (``frequency_labels``;
+``max_classes`` guards against an id-like label column).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from typing import TYPE_CHECKING
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seedgrow.operators.prefix import positions
+
+if TYPE_CHECKING:  # plans import this module
+    from seedgrow.plans.lineage import Workspace
+
 DEFAULT_MAX_CLASSES = 10_000
 
 
@@ -51,18 +61,36 @@ def resolve_labels(df: DataFrame, label_col: str, max_classes: int = DEFAULT_MAX
     return labels, False
 
 
-def label_index_table(df: DataFrame, label_col: str, max_classes: int = DEFAULT_MAX_CLASSES) -> DataFrame:
-    """``(label, label_index, n)``: the fitted index as a table.
+def label_index_table(df: DataFrame, label_col: str, ws: Workspace | None = None) -> DataFrame:
+    """``(label, label_index, n)``: the fitted index as a table, of any size.
 
-    The window runs over the per-class aggregate (one row per class, at most
-    ``max_classes`` — checked first), not over the data.
+    Positions are found over ordered ranges of the per-class counts
+    (``prefix.positions``), so no task holds all labels and none pass through
+    the driver. The written table stays in ``ws``, or until it is released.
     """
-    frequency_labels(df, label_col, max_classes)
+    from seedgrow.plans.lineage import Workspace
+
     lab = F.col(label_col)
     counts = df.where(lab.isNotNull()).groupBy(lab.alias("label")).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy(F.col("n").desc(), F.col("label").cast("string").asc())
-    return counts.select(
-        "label",
-        (F.row_number().over(w) - 1).cast("double").alias("label_index"),
-        "n",
-    )
+    counts = counts.withColumn("__text", F.col("label").cast("string"))
+    ws = ws or Workspace(df.sparkSession, "labels", keep=True)
+    placed = positions(counts, ws, "labels", ["n", "__text"], ["n"], "label_index")
+    placed = placed.select("label", F.col("label_index").cast("double").alias("label_index"), "n")
+    ws.write(placed, "dictionary")
+    return ws.read("dictionary", placed.schema)
+
+
+def with_label_index(df: DataFrame, dictionary: DataFrame, label_col: str, out: str = "label_index") -> DataFrame:
+    """``df`` with the class index of its label (null for null and unknown
+    labels). The planner broadcasts the dictionary where its written size allows
+    it; a hot label is then no hot key, and otherwise the adaptive planner splits it."""
+    d = dictionary.select(F.col("label").alias("__label"), F.col("label_index").alias("__index"))
+    j = df.join(d, df[label_col] == d["__label"], "left")
+    return j.withColumn(out, F.col("__index")).drop("__label", "__index")
+
+
+def with_label(df: DataFrame, dictionary: DataFrame, index_col: str, out: str = "label") -> DataFrame:
+    """``df`` with the label of its class index (null for null and unknown)."""
+    d = dictionary.select(F.col("label").alias("__label"), F.col("label_index").alias("__index"))
+    j = df.join(d, df[index_col] == d["__index"], "left")
+    return j.withColumn(out, F.col("__label")).drop("__label", "__index")

@@ -19,6 +19,7 @@ shuffle besides the learner's own.
 from __future__ import annotations
 
 import importlib
+import json
 import logging
 import time
 from collections.abc import Callable, Sequence
@@ -39,13 +40,13 @@ from pyspark.ml.param.shared import (
 )
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
+from pyspark.sql.types import NumericType, StructType
 
 from seedgrow.functions.labels import index_of_label, label_of_index
 from seedgrow.functions.vectors import dense, max_probability, vector_size
 from seedgrow.operators.dedup import mark_first_copies
 from seedgrow.operators.indexing import DEFAULT_MAX_CLASSES, resolve_labels
-from seedgrow.plans.lineage import Workspace
+from seedgrow.plans.lineage import Run, Workspace
 
 ID, FEAT, Y, FIRST, POOL, PS, IT, STATE = "__id", "__f", "__y", "__first", "__pool", "__ps", "it", "state"
 ACCEPTED, IN_POOL, GONE = "acc", "pool", "gone"
@@ -115,6 +116,11 @@ class _LoopParams(_SharedParams, HasMaxIter):
     keepCheckpoints = Param(
         Params._dummy(), "keepCheckpoints", "keep the per-iteration tables after fit", typeConverter=TypeConverters.toBoolean
     )
+    runName = Param(
+        Params._dummy(), "runName",
+        "names the fit's folder under the checkpoint folder; a fit that finds a manifest of that name there goes on from its "
+        "last complete iteration, on the rows already written", typeConverter=TypeConverters.toString,
+    )
     verbose = Param(Params._dummy(), "verbose", "log each iteration's counts", typeConverter=TypeConverters.toBoolean)
     compactRatio = Param(
         Params._dummy(), "compactRatio",
@@ -138,6 +144,18 @@ class _LoopParams(_SharedParams, HasMaxIter):
     def setKeepCheckpoints(self, value: bool):
         return self._set(keepCheckpoints=value)
 
+    def setRunName(self, value: str):
+        return self._set(runName=value)
+
+    def open_run(self, spark: SparkSession, kind: str) -> tuple[Workspace, Run]:
+        """The fit's folder and its manifest. The state of a named run that
+        fails stays; it goes when the run ends."""
+        name = self.getOrDefault(self.runName) if self.isDefined(self.runName) else None
+        ws = Workspace(spark, kind, self.getOrDefault(self.keepCheckpoints), name)
+        skip = {"runName", "keepCheckpoints", "verbose", "maxIter"}
+        settings = {p.name: self.getOrDefault(p) for p in self.params if p.name not in skip and self.isDefined(p)}
+        return ws, Run(ws, json.loads(json.dumps(settings, sort_keys=True)), name is not None)
+
     def setVerbose(self, value: bool):
         return self._set(verbose=value)
 
@@ -271,6 +289,16 @@ class ReplayPool:
         self.ratio, self.max_chain = ratio, max_chain
         self.features_col, self.view = features_col, view
         self.chain: list = []
+        self.compacted = False
+
+    def restore(self, past: Sequence[tuple], reread) -> None:
+        """Rebuild the state after the iterations ``past``: ``(folder, rows
+        left, compacted, model)`` each."""
+        for rel, left, compacted, model in past:
+            self.chain.append(model())
+            self.n_left = left
+            if compacted:
+                self.base, self.base_n, self.chain = reread(rel).where(F.col(STATE) == IN_POOL).select(ID, FEAT, FIRST), left, []
 
     def step(self, model, ws: Workspace, rel: str, reread) -> int:
         """Run one pass with ``model`` appended to the chain; write under
@@ -289,6 +317,7 @@ class ReplayPool:
             ws.write(rows.drop(STATE), f"{rel}/{STATE}={ACCEPTED}")
         m = obs.get
         new, self.n_left = int(m.get("n_new") or 0), int(m.get("n_left") or 0)
+        self.compacted = compact
         if compact:
             self.base = reread(rel).where(F.col(STATE) == IN_POOL).select(ID, FEAT, FIRST)
             self.base_n, self.chain = self.n_left, []
@@ -309,8 +338,10 @@ class Prepared:
     """Result of :func:`prepare`: the base table, the label domain and the
     observed counts."""
 
-    def __init__(self, table: DataFrame, labels: list, identity: bool, stats: dict):
+    def __init__(self, table: DataFrame, labels: list, identity: bool, stats: dict, tables: Sequence[DataFrame] = ()):
         self.table = table
+        self.tables = list(tables)
+        self.stats = dict(stats)
         self.labels = labels
         self.identity = identity
         self.n_seed = int(stats.get("n_seed") or 0)
@@ -380,6 +411,27 @@ def write_samples(est: _SharedParams, dataset: DataFrame, ws: Workspace,
     return ws.read("input", state.schema), stats
 
 
+def prepare_run(est: _LoopParams, dataset: DataFrame, ws: Workspace, run: Run, dedup: bool) -> Prepared:
+    """``prepare``, or what a named run prepared before it was interrupted."""
+    old = run.prepared
+    if old is None:
+        prep = prepare(est, dataset, ws, dedup)
+        run.set_prepared({"labels": prep.labels, "identity": prep.identity, "stats": prep.stats,
+                          "schemas": [t.schema.json() for t in prep.tables]})
+        return prep
+    schemas = [StructType.fromJson(json.loads(x)) for x in old["schemas"]]
+    return Prepared(_base_table([ws.read(rel, x) for rel, x in zip(("input", "pool"), schemas)]), old["labels"], old["identity"], old["stats"])
+
+
+def _base_table(tables: list[DataFrame]) -> DataFrame:
+    """The loop's rows: the written input, or its seed and the written pool
+    with first-copy flags."""
+    if len(tables) == 1:
+        return tables[0].withColumn(FIRST, F.lit(True))
+    seed = tables[0].where(~F.col(POOL)).withColumn(FIRST, F.lit(True))
+    return seed.unionByName(tables[1])
+
+
 def prepare(est: _LoopParams, dataset: DataFrame, ws: Workspace, dedup: bool) -> Prepared:
     """Normalise the input once and write it as the loop's base table.
 
@@ -409,14 +461,14 @@ def prepare(est: _LoopParams, dataset: DataFrame, ws: Workspace, dedup: bool) ->
         pool = mark_first_copies(table.where(F.col(POOL)), ID, FEAT, FIRST)
         first = ws.write(pool, "pool", partition_by=[POOL], metrics=[F.sum(F.col(FIRST).cast("long")).alias("n_pool_first")])
         stats.update(first)
-        seed = table.where(~F.col(POOL)).withColumn(FIRST, F.lit(True))
-        table = seed.unionByName(ws.read("pool", pool.schema))
+        tables = [table, ws.read("pool", pool.schema)]
     else:
-        table = table.withColumn(FIRST, F.lit(True))
+        tables = [table]
+    table = _base_table(tables)
     labels, identity = resolve_labels(table.where(~F.col(POOL)), LABEL, est.getOrDefault(est.maxClasses))
     if len(labels) < 2:
         raise ValueError(f"the labelled rows must cover at least two classes, found {labels}")
-    return Prepared(table, labels, identity, stats)
+    return Prepared(table, labels, identity, stats, tables)
 
 
 class SemiSupervisedModel(Model, _SharedParams, MLWritable, MLReadable):

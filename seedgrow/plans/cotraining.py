@@ -48,10 +48,9 @@ from seedgrow.plans.base import (
     check_base,
     fit_learner,
     make_model,
-    prepare,
+    prepare_run,
     run_parallel,
 )
-from seedgrow.plans.lineage import Workspace
 
 VIEW = "__view"
 LEARNER = "learner"
@@ -150,9 +149,9 @@ class CoTraining(Estimator, _LoopParams, SemiSupervisedMarker):
         par = self.getOrDefault(self.parallelism)
         track = self.getOrDefault(self.trackAgreement)
         spark = dataset.sparkSession
-        ws = Workspace(spark, "cotraining", self.getOrDefault(self.keepCheckpoints))
-        try:
-            prep = prepare(self, dataset, ws, dedup)
+        ws, run = self.open_run(spark, "cotraining")
+        with ws.ending(run.named):
+            prep = prepare_run(self, dataset, ws, run, dedup)
             v1, v2 = self._views(int(prep.max_dim or 0))
             views = {1: v1, 2: v2}
             learners = {1: self.base1, 2: self.base2}
@@ -191,14 +190,27 @@ class CoTraining(Estimator, _LoopParams, SemiSupervisedMarker):
             def step(k: int, it: int) -> int:
                 train = labeled(k, it - 1).withColumn(VIEW, slice_vector(FEAT, views[k]))
                 model = fit_learner(learners[k], train, VIEW, Y, k_classes)
+                fitted[k] = model
                 return pools[k].step(
                     model, ws, f"ct/{LEARNER}={k}/{IT}={it}",
                     lambda rel: written().where((F.col(LEARNER) == k) & (F.col(IT) == it)),
                 )
 
+            fitted: dict = {}
             lab1 = lab2 = prep.n_seed
             history: list[dict] = []
             it, new = 1, 1
+            past = run.iterations
+            if past:
+                history = [p["history"] for p in past]
+                it, new = len(past) + 1, history[-1]["n_new1"] + history[-1]["n_new2"]
+                lab1, lab2 = history[-1]["n_labeled1"], history[-1]["n_labeled2"]
+                for k in (1, 2):
+                    pools[k].restore(
+                        [(f"{i}", p["history"][f"n_unlabeled{k}"], p["compacted"][k - 1], lambda i=i, k=k: run.model(i, f"model/{k}/{i}"))
+                         for i, p in enumerate(past, 1)],
+                        lambda i, k=k: written().where((F.col(LEARNER) == k) & (F.col(IT) == int(i))),
+                    )
             while it <= self.getMaxIter() and pools[1].n_left > 0 and pools[2].n_left > 0 and new > 0:
                 clock = Timer()
                 a1, a2 = run_parallel([lambda: step(1, it), lambda: step(2, it)], par)
@@ -210,6 +222,8 @@ class CoTraining(Estimator, _LoopParams, SemiSupervisedMarker):
                 history.append(dict(iteration=it, n_new1=a1, n_new2=a2, n_labeled1=lab1, n_labeled2=lab2,
                                     n_unlabeled1=pools[1].n_left, n_unlabeled2=pools[2].n_left,
                                     n_agreement=n_agree, step_s=clock.lap()))
+                run.complete(history[-1], {f"model/{k}/{it}": fitted[k] for k in (1, 2)},
+                             compacted=[pools[1].compacted, pools[2].compacted])
                 self.log_iteration(history[-1])
                 it += 1
             done = it - 1
@@ -218,8 +232,6 @@ class CoTraining(Estimator, _LoopParams, SemiSupervisedMarker):
             # several passes over their input before caching it.
             ws.write(agree.select(FEAT, Y), "agree")
             final = fit_learner(self.final, ws.read("agree"), num_classes=k_classes)
-        finally:
-            ws.close()
         model = make_model(self, final, prep, history, HISTORY_SCHEMA)
         model.views = (v1, v2)
         return model

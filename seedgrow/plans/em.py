@@ -18,7 +18,7 @@ Each E-step is one pass: it scores every pool row once, writes its label beside
 its features and, reading the labels of the E-step before from the same rows,
 counts the changed ones through an observation — no join, no driver arrays, no
 positional matching. All passes of the M-step's learner read the written
-labels. The table of the E-step before is removed once the next is written.
+labels. Only the tables of the last two E-steps stay.
 """
 
 from __future__ import annotations
@@ -36,9 +36,8 @@ from seedgrow.plans.base import (
     check_base,
     fit_learner,
     make_model,
-    prepare,
+    prepare_run,
 )
-from seedgrow.plans.lineage import Workspace
 
 HISTORY_SCHEMA = "iteration int, residual_pct double, n_changed long, n_labeled long, n_unlabeled long, step_s double"
 
@@ -81,9 +80,9 @@ class HardEM(Estimator, _LoopParams, SemiSupervisedMarker):
     def _fit(self, dataset):
         tol = self.getTolPercent()
         spark = dataset.sparkSession
-        ws = Workspace(spark, "em", self.getOrDefault(self.keepCheckpoints))
-        try:
-            prep = prepare(self, dataset, ws, dedup=False)
+        ws, run = self.open_run(spark, "em")
+        with ws.ending(run.named):
+            prep = prepare_run(self, dataset, ws, run, dedup=False)
             seed = prep.seed
             k = prep.num_classes
             n_pool = prep.n_pool
@@ -98,15 +97,21 @@ class HardEM(Estimator, _LoopParams, SemiSupervisedMarker):
                 both = cur.select(FEAT, F.col("__cur").cast("double").alias(Y), changed.alias("__changed"))
                 m = ws.write(both, f"e/step={step}", metrics=[F.sum("__changed").alias("changed"), F.count(F.lit(1)).alias("n")])
                 scored.append(int(m["n"]))
-                if step:
-                    ws.delete(f"e/step={step - 1}")
+                if step > 1:
+                    # The one before is read until this step is complete.
+                    ws.delete(f"e/step={step - 2}")
                 return ws.read(f"e/step={step}", both.schema).select(FEAT, Y), int(m.get("changed") or 0)
 
-            model = fit_learner(self.base, seed, num_classes=k)
+            rows, it, residual = unlabeled, len(run.iterations), 100.0
+            if it:
+                history = [p["history"] for p in run.iterations]
+                residual = history[-1]["residual_pct"]
+                model = run.model(it, f"model/{it}")
+                rows = ws.read(f"e/step={it - 1}", prep.pool.select(FEAT).schema.add(Y, "double"))
+            else:
+                model = fit_learner(self.base, seed, num_classes=k)
             last = model
             if n_pool > 0:
-                rows = unlabeled
-                it, residual = 0, 100.0
                 while it < self.getMaxIter() and residual > tol:
                     clock = Timer()
                     rows, n_changed = e_step(model, rows, it)
@@ -116,12 +121,11 @@ class HardEM(Estimator, _LoopParams, SemiSupervisedMarker):
                     it += 1
                     history.append(dict(iteration=it, residual_pct=residual, n_changed=n_changed,
                                         n_labeled=prep.n_seed, n_unlabeled=n_pool, step_s=clock.lap()))
+                    run.complete(history[-1], {f"model/{it}": model})
                     self.log_iteration(history[-1])
                 last = model
                 rows, _ = e_step(model, rows, it)
                 model = fit_learner(self.base, seed.unionByName(rows), num_classes=k)
-        finally:
-            ws.close()
         out = make_model(self, model, prep, history, HISTORY_SCHEMA)
         # The model whose E-step produced the final training set's pseudo-labels.
         out.loopModel = last

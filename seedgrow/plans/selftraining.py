@@ -47,9 +47,8 @@ from seedgrow.plans.base import (
     check_base,
     fit_learner,
     make_model,
-    prepare,
+    prepare_run,
 )
-from seedgrow.plans.lineage import Workspace
 
 HISTORY_SCHEMA = "iteration int, n_labeled long, n_unlabeled long, n_new long, fit_s double, score_s double"
 
@@ -86,9 +85,9 @@ class SelfTraining(Estimator, _LoopParams, SemiSupervisedMarker):
             raise ValueError("threshold must be in [0, 1]")
         dedup = self.getMatchMode() == "features"
         spark = dataset.sparkSession
-        ws = Workspace(spark, "selftraining", self.getOrDefault(self.keepCheckpoints))
-        try:
-            prep = prepare(self, dataset, ws, dedup)
+        ws, run = self.open_run(spark, "selftraining")
+        with ws.ending(run.named):
+            prep = prepare_run(self, dataset, ws, run, dedup)
             seed = prep.seed
             schema = (
                 prep.table.select(ID, FEAT, FIRST).schema.add(PS, DoubleType()).add(IT, IntegerType())
@@ -98,18 +97,28 @@ class SelfTraining(Estimator, _LoopParams, SemiSupervisedMarker):
             def written():
                 return ws.read("st", schema)
 
-            def accepted():
-                return written().where(F.col(STATE) == ACCEPTED).select(FEAT, F.col(PS).alias(Y))
+            def accepted(done: int):
+                # Bounded, as an interrupted run may have left a part of the next one.
+                return written().where((F.col(STATE) == ACCEPTED) & (F.col(IT) <= done)).select(FEAT, F.col(PS).alias(Y))
 
             pool = ReplayPool(prep.pool, prep.n_pool, t, dedup, self.getOrDefault(self.compactRatio),
                               self.getOrDefault(self.maxChain))
             n_lab = prep.n_seed
             history: list[dict] = []
             it, new = 0, 1
+            past = run.iterations
+            if past:
+                history = [p["history"] for p in past]
+                it, new, n_lab = len(past), history[-1]["n_new"], history[-1]["n_labeled"]
+                pool.restore(
+                    [(f"st/{IT}={k}", p["history"]["n_unlabeled"], p["compacted"], lambda k=k: run.model(k, f"model/{k}"))
+                     for k, p in enumerate(past, 1)],
+                    lambda rel: written().where(F.col(IT) == int(rel.rsplit("=", 1)[1])),
+                )
             while it < self.getMaxIter() and pool.n_left > 0 and new > 0:
                 it += 1
                 clock = Timer()
-                train = seed if it == 1 else seed.unionByName(accepted())
+                train = seed if it == 1 else seed.unionByName(accepted(it - 1))
                 model = fit_learner(self.base, train, num_classes=prep.num_classes)
                 fit_s = clock.lap()
                 k = it
@@ -117,9 +126,8 @@ class SelfTraining(Estimator, _LoopParams, SemiSupervisedMarker):
                 n_lab += new
                 history.append(dict(iteration=it, n_labeled=n_lab, n_unlabeled=pool.n_left, n_new=new,
                                     fit_s=fit_s, score_s=clock.lap()))
+                run.complete(history[-1], {f"model/{it}": model}, compacted=pool.compacted)
                 self.log_iteration(history[-1])
-            final_train = seed if it == 0 else seed.unionByName(accepted())
+            final_train = seed if it == 0 else seed.unionByName(accepted(it))
             final = fit_learner(self.base, final_train, num_classes=prep.num_classes)
-        finally:
-            ws.close()
         return make_model(self, final, prep, history, HISTORY_SCHEMA)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seedgrow.functions.hashing import unit_hash
-from seedgrow.functions.labels import index_of_label, label_of_index
+from seedgrow.functions.labels import index_of_label
 from seedgrow.functions.vectors import as_array, max_probability, slice_vector, vector_size
 from seedgrow.operators import dedup, indexing, metrics, pseudo, setops, splits
 from seedgrow.plans import CoTraining, HardEM, SelfTraining
@@ -202,12 +202,11 @@ def q_label_index(spark, sf):
 
 
 def q_label_roundtrip(spark, sf):
-    d = tables.document_samples(spark, sf)
-    langs = indexing.frequency_labels(d, "label")
-    idx = index_of_label("label", langs)
-    return d.select(
-        "row_id", "label", idx.alias("label_index"), label_of_index(idx, langs).alias("label_back")
-    )
+    """Labels to indices and back, through the dictionary table."""
+    d = tables.document_samples(spark, sf).select("row_id", "label")
+    dictionary = indexing.label_index_table(d, "label")
+    there = indexing.with_label_index(d, dictionary, "label")
+    return indexing.with_label(there, dictionary, "label_index", "label_back")
 
 
 # ------------------------------------------------------------------ splits
