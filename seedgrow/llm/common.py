@@ -9,7 +9,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seedgrow.plans.lineage import checkpoint_root
+from seedgrow.plans.lineage import checkpoint_root, keep_until_released
 
 # Fixed value: a word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -49,12 +49,14 @@ class Scratch:
     A written table cuts the lineage on storage that all executors share, and
     gives the planner its true size, so that it broadcasts a side only when
     that side is known to be below ``autoBroadcastJoinThreshold``. The files
-    stay with the checkpoint folder: a returned DataFrame may still read them.
+    stay until they are released (``plans.lineage.release``): a returned DataFrame
+    may still read them.
     """
 
     def __init__(self, spark: SparkSession, kind: str):
         self.spark = spark
         self.root = f"{checkpoint_root(spark).rstrip('/')}/seedgrow-{kind}-{uuid.uuid4().hex[:12]}"
+        keep_until_released(self.root)
         self._n = 0
         self._at: dict[str, str] = {}
 
