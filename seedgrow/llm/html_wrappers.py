@@ -9,11 +9,11 @@ repeated group. Every block of a page is then kept or dropped by its slot:
 
 * page furniture by element, role or ``hidden`` is template;
 * a text that stands on nearly all pages of its slot is template, unless most
-  of the text repeats so (near copies);
+  of the text repeats so (near copies) or it is a heading inside an article;
 * a repeated group of links, or a short link, outside an article is template;
 * inside an article, or on a page without one, other slots are main text;
   beside an article they are where they outweigh it (the article is a teaser);
-* slots that only the words of a class or id call furniture are template,
+* slots that only a whole token of a class or id calls furniture are template,
   unless a host's pages have nothing else and the slot holds paragraphs.
 
 A slot that the wrapper does not know is judged by its page alone.
@@ -33,7 +33,8 @@ split on a hot host). Extraction is a map.
 Edge cases: null or empty html gives an empty text; a null url belongs to the
 host ''; repeated rows get equal results; a host with one page has a wrapper of
 that page; broken markup (unclosed elements, stray '<', a page cut off inside a
-tag, script or comment) is read as far as it goes.
+tag, script or comment) is read as far as it goes; an unclosed raw element other
+than script or style is empty, so is ``<svg/>``; the text of math and object stays.
 """
 
 from __future__ import annotations
@@ -60,7 +61,10 @@ TEMPLATE_HOST = 0.05
 
 # Elements by their role in a page.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style textarea title noscript iframe template svg math object select".split())
+RAW = set("script style textarea title noscript iframe template svg select".split())
+# Of these, what may hold itself, and what runs to the end of the page unclosed.
+NESTED = {"svg", "template"}
+TO_THE_END = {"script", "style"}
 BLOCK = set(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer "
     "form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section "
@@ -75,15 +79,39 @@ CLOSED_BY = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"},
     "th": {"td", "th", "tr"}, "option": {"option"}, "head": {"body"},
 }
-# Words of classes and ids that mark page furniture.
-_HINTS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adv|advert\w*|adsense|sponsor\w*|promo\w*|banner|sidebar|side|nav\w*|menu|breadcrumbs?|foot|"
-    r"footer|masthead|topbar|site-?header|page-?header|cookies?|consent|gdpr|notices?|notification|alert|newsletter|"
-    r"subscri\w*|signup|sign-up|popup|modal|overlay|share|sharing|social|related|recommend\w*|comments?|commentlist|reply|"
-    r"replies|respond|discussion|disqus|pagination|pager|toolbar|widget|login|search|skip|tags|copyright|legal)(?:$|[\s_-])",
-    re.I,
+# Inline elements that implied ends do not reach out of.
+SCOPES = {"button", "object"}
+# Words of classes and ids that mark page furniture, words that
+# may stand beside them in one token ("related-posts"), whole tokens, words of
+# a page's own header, and tokens that mark an article element as none.
+_HINT_WORD = re.compile(
+    r"ads?|adv|advert\w*|adsense|sponsor\w*|promo\w*|banner|sidebar|side|nav\w*|menu|breadcrumbs?|foot|footer|masthead|"
+    r"topbar|cookies?|consent|gdpr|notices?|notification|alert|newsletter|subscri\w*|signup|popup|modal|overlay|share|"
+    r"sharing|social|related|recommend\w*|comments?|commentlist|reply|replies|respond|discussion|disqus|pagination|pager|"
+    r"toolbar|widget|login|search|skip|tags|copyright|legal"
 )
-_HEADER_HINTS = re.compile(r"(?:^|[\s_-])(?:header|head)(?:$|[\s_-])", re.I)
+_BESIDE = set(
+    "area bar block body bottom box btn button buttons col container footer form global group has header icon icons inner "
+    "item items left link links list main media message outer page panel policy post posts primary right row secondary "
+    "section site slot stories text thread title top unit wrap wrapper".split()
+)
+_HINT_TOKEN = re.compile(r"site-?header|page-?header|sign-?up|join-us|follow-us|you-may-also-like|read-more")
+_HEADER_WORDS = set("header head".split())
+_NO_ARTICLE = re.compile(r"ads?|advert\w*|sponsored|promo\w*|comments?(?:-\w+)?|reply|replies|related(?:-\w+)?")
+_HEADING = re.compile(r"(?:^|[>|+])h[1-6](?:[.@%][^>]*)?$")
+
+
+def _hinted(value: str, words=_HINT_WORD.fullmatch) -> bool:
+    """Whether a whole token of a class or id names page furniture: every word
+    of it is such a word or one that goes with them, and one is."""
+    for token in value.lower().replace("_", "-").split():
+        if words == _HINT_WORD.fullmatch and _HINT_TOKEN.fullmatch(token):
+            return True
+        parts = [w for w in re.sub(r"\d+", "", token).split("-") if w]
+        if any(map(words, parts)) and all(words(w) or w in _BESIDE for w in parts):
+            return True
+    return False
+
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -102,9 +130,28 @@ def host_of(url):
     return F.coalesce(h, F.lit(""))
 
 
+def _raw_ends(page: str, name: str) -> dict[int, int]:
+    """Where each element that may hold itself ends, by the end of its start tag."""
+    ends: dict[int, int] = {}
+    open_at: list[int] = []
+    for m in re.finditer(rf"<(/?){re.escape(name)}(?=[\s/>])((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>", page, re.I):
+        if not m[1]:
+            if not m[2].rstrip().endswith("/"):
+                open_at.append(m.end())
+        elif open_at:
+            ends[open_at.pop()] = m.end()
+    return ends
+
+
 def tokens(page: str) -> Iterator[tuple]:
-    """('open', name, attributes), ('close', name) and ('text', text)."""
+    """('open', name, attributes), ('close', name) and ('text', text).
+
+    The content of a raw element is skipped: up to its own end tag, counting
+    nested svg and template. ``<svg/>`` and an unclosed element are empty, but
+    an unclosed script or style runs to the end of the page."""
     at, n = 0, len(page)
+    nested: dict[str, dict[int, int]] = {}
+    unclosed: set[str] = set()
     while at < n:
         m = _TOKEN.search(page, at)
         if m is None:
@@ -122,9 +169,16 @@ def tokens(page: str) -> Iterator[tuple]:
             continue
         attributes = m[3] or m[6] or ""
         if name in RAW:
-            # Raw content ends at its own end tag alone.
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            at = end.end() if end else n
+            if name in NESTED:
+                if name not in nested:
+                    nested[name] = _raw_ends(page, name)
+                if not attributes.rstrip().endswith("/"):
+                    at = nested[name].get(at, at)
+                continue
+            end = None if name in unclosed else re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+            if end is None:
+                unclosed.add(name)
+            at = end.end() if end else n if name in TO_THE_END else at
             continue
         yield "open", name, attributes
 
@@ -140,16 +194,19 @@ def _signature(name: str, attributes: str) -> tuple[str, str]:
     sig = name + (f".{cls}" if cls else "") + (f"@{ident}" if ident else "") + (f"%{role}" if role else "")
     hidden = "hidden" in found or found.get("aria-hidden") == "true" or re.search(
         r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I)
-    hinted = _HINTS.search(found.get("class", "")) or _HINTS.search(found.get("id", ""))
+    named = [found.get("class", ""), found.get("id", "")]
     if name in ARTICLE or role in ("main", "article"):
-        return sig, "drop" if hidden or (hinted and name != "main") else "article"
+        # The class of an article tells of its theme and subject, not its role.
+        if name == "article" and any(_NO_ARTICLE.fullmatch(t) for t in named[0].lower().replace("_", "-").split()):
+            return sig, "hint"
+        return sig, "drop" if hidden else "article"
     if name in ("body", "html"):
         return sig, ""
     if name in FURNITURE or role in ROLES or hidden:
         return sig, "drop"
-    if hinted:
+    if any(map(_hinted, named)):
         return sig, "hint"
-    if name == "header" or _HEADER_HINTS.search(found.get("class", "")) or _HEADER_HINTS.search(found.get("id", "")):
+    if name == "header" or any(_hinted(v, _HEADER_WORDS.__contains__) for v in named):
         return sig, "header"
     return sig, ""
 
@@ -166,12 +223,22 @@ def blocks(page: str) -> Iterator[tuple[str, str, str, float]]:
 
     The path names the enclosing block-level elements; the verdict is 'drop'
     inside page furniture, 'hint' inside what only its class or id calls so,
-    'article' inside an article, else ''.
+    'article' inside an article, else ''. Text inside inline furniture (a
+    button, a label, something hidden) is left out of its block.
     """
     stack: list[_Open] = []
     held: list[str] = []
+    around: list[_Open] = []  # what was open at the block's first text
     linked = 0
     links = 0
+    cut = 0  # open inline furniture
+
+    def close(i):
+        nonlocal links, cut
+        for o in stack[i:]:
+            links -= o.name == "a"
+            cut -= o.verdict == "drop" and o.name not in BLOCK
+        del stack[i:]
 
     def flush():
         nonlocal linked
@@ -186,6 +253,8 @@ def blocks(page: str) -> Iterator[tuple[str, str, str, float]]:
         verdict = "article" if inside else ""
         seen_article = False
         for o in stack:
+            if o.name not in BLOCK and not any(o is x for x in around):
+                continue  # began inside the block
             seen_article = seen_article or o.verdict == "article"
             if o.verdict == "drop" or (o.verdict == "header" and not seen_article):
                 verdict = "drop"
@@ -195,7 +264,11 @@ def blocks(page: str) -> Iterator[tuple[str, str, str, float]]:
 
     for tok in tokens(page):
         if tok[0] == "text":
+            if cut:
+                continue
             t = html_module.unescape(tok[1])
+            if not held:
+                around = [o for o in stack if o.verdict and o.name not in BLOCK]
             held.append(t)
             if links:
                 linked += len(" ".join(t.split()))
@@ -208,16 +281,19 @@ def blocks(page: str) -> Iterator[tuple[str, str, str, float]]:
                 # Implied ends, up to the innermost element that can hold them.
                 for i in range(len(stack) - 1, -1, -1):
                     if name in CLOSED_BY.get(stack[i].name, ()):
-                        links -= sum(o.name == "a" for o in stack[i:])
-                        del stack[i:]
+                        close(i)
                         break
-                    if stack[i].name in BLOCK and stack[i].name != "p" and stack[i].name not in CLOSED_BY:
+                    if stack[i].name in SCOPES or (
+                        stack[i].name in BLOCK and stack[i].name != "p" and stack[i].name not in CLOSED_BY
+                    ):
                         break
             elif name == "br":
                 held.append(" ")
             if name not in VOID:
-                stack.append(_Open(name, *_signature(name, tok[2])))
+                o = _Open(name, *_signature(name, tok[2]))
+                stack.append(o)
                 links += name == "a"
+                cut += o.verdict == "drop" and name not in BLOCK
         else:
             if name in BLOCK and (b := flush()) is not None:
                 yield b
@@ -225,8 +301,7 @@ def blocks(page: str) -> Iterator[tuple[str, str, str, float]]:
                 held.append(" ")
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i].name == name:
-                    links -= sum(o.name == "a" for o in stack[i:])
-                    del stack[i:]
+                    close(i)
                     break
                 # An inline end tag does not reach out of its block.
                 if name not in BLOCK and stack[i].name in BLOCK:
@@ -327,6 +402,8 @@ def judge(slots: dict[str, dict]) -> dict:
     for article in (False, True):
         sign = "+" if article else ""
         kind = {s: f for s, f in slots.items() if s.startswith("+") == article and not s.startswith(f"{sign}drop|")}
+        # The heading of a series stands on all its pages and is main text.
+        kind = {s: {**f, "fixed": []} if s.startswith("+article|") and _HEADING.search(s) else f for s, f in kind.items()}
         fixed = {s: sum(n * size for _, n, size in f["fixed"]) for s, f in kind.items()}
         menu = {
             s: f["link"] > 800 * f["n"] and (f["n"] > f["pages"] or f["size"] < 80 * f["n"]) for s, f in kind.items()

@@ -230,3 +230,52 @@ def test_query_and_decode(spark, own, library):
     empty = hashlib.sha256(b"").hexdigest()
     assert {(r["ids_sha256"], r["decoded_sha256"]) for r in bpe.digests(odd).where("doc_id < 3").collect()} == {(empty, empty)}
     assert bpe.digests(odd.limit(0)).count() == 0
+
+
+# -- HTML: classes of articles, raw elements, inline furniture, repeated headings --
+
+@pytest.mark.parametrize("cls", ["post category-legal hentry", "has-sidebar", "post with-comments", "side-menu search"])
+def test_an_article_is_not_dropped_for_its_class(cls):
+    page = f'<body><nav>n</nav><article class="{cls}"><p>Main text</p></article><aside>x</aside></body>'
+    assert html_wrappers.extract(page, {}) == "Main text"
+    assert html_wrappers.extract(page, html_wrappers.infer([page])) == "Main text"
+
+
+def test_class_words_match_whole_tokens():
+    kept = '<article><section id="search-engines"><p>a</p></section><div class="side-effects">b</div>'
+    gone = ('<div class="related-posts">c</div><div id="comments"><p>d</p></div><div class="ad_slot-2">e</div>'
+            '<article class="comment-body"><p>f</p></article></article>')
+    assert html_wrappers.extract(kept + gone, {}) == "a\nb"
+    assert html_wrappers.extract('<div class="article-header"><h1>T</h1></div><p>x</p><div class="site-header">s</div>', {}) == "T\nx"
+
+
+@pytest.mark.parametrize("page,want", [
+    ("<p>a <svg/> b</p><p>c</p>", "a b\nc"),
+    ("<p>a <svg><svg><text>x</text></svg><text>y</text></svg> b</p><p>c</p>", "a b\nc"),
+    ("<p>a</p><template><template>x</template>y</template><p>b</p>", "a\nb"),
+    ("<p>a</p><iframe src=x><p>b</p>", "a\nb"),
+    ("<p>a</p><svg><p>b</p>", "a\nb"),
+    ("<p>a <math><mi>x</mi><mo>=</mo></math> b <object data=o>seen</object></p>", "a x= b seen"),
+    ("<p>a</p><script>x<p>b</p>", "a"),
+    ("<p>a</p><iframe>x</iframe><p>b</p>", "a\nb"),
+])
+def test_raw_elements(page, want):
+    assert html_wrappers.extract(page, {}) == want
+
+
+def test_inline_furniture_is_left_out_of_its_block():
+    page = ("<article><p>One <button>Subscribe</button>two <label>Name</label><span hidden>no</span> three"
+            "<span style='display:none'>no <b>no</b></span> four</p><p>five <button>x<div>y</div></button> six</p>"
+            "<p>seven <button>no</p><p>eight</p></article>")
+    assert html_wrappers.extract(page, {}) == "One two three four\nfive\nsix\nseven\neight"
+
+
+def test_a_heading_on_all_pages_of_a_series_stays():
+    pages = [f"<article><h2 class='s'>The series</h2><p>Part {i} of many, told at some length.</p><div>Tell a friend</div></article>"
+             for i in range(10)]
+    w = html_wrappers.infer(pages)
+    assert html_wrappers.extract(pages[3], w) == "The series\nPart 3 of many, told at some length."
+
+
+def test_many_unclosed_raw_elements_take_linear_time():
+    assert html_wrappers.extract("<svg><iframe><template>" * 30000 + "<p>x", {}) == "x"
