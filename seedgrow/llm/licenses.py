@@ -3,15 +3,18 @@
 A unit of text is normalised (case, copyright lines, punctuation, equivalent
 spellings, white space) and digested; the digest is joined with the digests
 of known licence texts. Units are the document's entire text, each of its
-entire lines, and runs of up to STATEMENT_LINES lines: a document may be a
-licence, or carry a licence statement, wrapped or not. The names that fill
-places of the BSD texts are normalised in entire texts.
+entire lines, and runs of neighbouring lines: a document may be a licence, or
+carry a licence statement, wrapped over any number of lines or not. Statements
+are derived from templates and a table of licence names. The names that fill
+places of the BSD texts are normalised in entire texts, whatever their length.
 
 Scale: every step is one projection; the known digests are fixed tables of
 some hundred rows, broadcast, so no document is shuffled. A line is normalised
-once and the entire text is put together from its lines; runs of lines are
-looked up in a literal map, which keeps the row whole without exploding it and
-grouping it again.
+once and the entire text is put together from its lines; runs of lines that
+read like a known statement are found by one pattern (all statements as a tree
+of words, tried at line starts only) and looked up by digest in a literal map,
+which keeps the row whole without exploding it and grouping it again. The
+patterns are possessive or start at line starts only: linear on any text.
 
 Edge cases: null and empty texts match nothing (the digest of nothing is not
 a licence); a text of copyright lines only normalises to nothing and matches
@@ -112,6 +115,54 @@ KNOWN = [
     ("0BSD", "BSD Zero Clause License\nCopyright (c) <year> <holder>\n" + _ISC_GRANT + ".\n" + _ISC_WARRANTY),
 ]
 
+# Licences by their SPDX names, and what statements call them.
+LICENSE_NAMES = {
+    "MIT": ["MIT License", "MIT"],
+    "Apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License", "Apache 2.0", "Apache License v2.0"],
+    "GPL-2.0-only": ["GNU General Public License, version 2", "GNU General Public License v2.0", "GNU GPL v2", "GPL v2", "GPLv2"],
+    "GPL-2.0-or-later": ["GNU General Public License, version 2 or later", "GPL v2 or later", "GPLv2+ or later"],
+    "GPL-3.0-only": ["GNU General Public License, version 3", "GNU General Public License v3.0", "GNU GPL v3", "GPL v3", "GPLv3"],
+    "GPL-3.0-or-later": ["GNU General Public License, version 3 or later", "GPL v3 or later"],
+    "LGPL-2.1-only": ["GNU Lesser General Public License, version 2.1", "GNU Lesser General Public License v2.1", "LGPL v2.1", "LGPLv2.1"],
+    "LGPL-2.1-or-later": ["GNU Lesser General Public License, version 2.1 or later", "LGPL v2.1 or later"],
+    "LGPL-3.0-only": ["GNU Lesser General Public License, version 3", "GNU Lesser General Public License v3.0", "LGPL v3", "LGPLv3"],
+    "LGPL-3.0-or-later": ["GNU Lesser General Public License, version 3 or later", "LGPL v3 or later"],
+    "AGPL-3.0-only": ["GNU Affero General Public License, version 3", "GNU Affero General Public License v3.0", "AGPL v3", "AGPLv3"],
+    "AGPL-3.0-or-later": ["GNU Affero General Public License, version 3 or later", "AGPL v3 or later"],
+    "MPL-2.0": ["Mozilla Public License, v. 2.0", "Mozilla Public License 2.0", "Mozilla Public License, version 2.0", "MPL 2.0"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "2-Clause BSD License", "Simplified BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "3-Clause BSD License", "New BSD License", "Revised BSD License"],
+    "ISC": ["ISC License", "ISC"],
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD License", "0BSD License"],
+    "Unlicense": ["Unlicense"],
+    "Zlib": ["zlib License"],
+    "BSL-1.0": ["Boost Software License 1.0", "Boost Software License, Version 1.0"],
+    "EPL-2.0": ["Eclipse Public License 2.0", "Eclipse Public License, version 2.0", "Eclipse Public License v2.0"],
+    "CC0-1.0": ["CC0 1.0", "CC0 1.0 Universal", "Creative Commons Zero 1.0"],
+    "CC-BY-4.0": ["CC BY 4.0", "Creative Commons Attribution 4.0 International License"],
+    "CC-BY-SA-4.0": ["CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0 International License"],
+    "CC-BY-NC-4.0": ["CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0 International License"],
+    "CC-BY-ND-4.0": ["CC BY-ND 4.0", "Creative Commons Attribution-NoDerivatives 4.0 International License"],
+    "CC-BY-NC-SA-4.0": ["CC BY-NC-SA 4.0", "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"],
+    "CC-BY-NC-ND-4.0": ["CC BY-NC-ND 4.0", "Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"],
+}
+# Older identifiers.
+_OLD_IDS = {"GPL-2.0": "GPL-2.0-only", "GPL-3.0": "GPL-3.0-only", "LGPL-2.1": "LGPL-2.1-only", "LGPL-3.0": "LGPL-3.0-only", "AGPL-3.0": "AGPL-3.0-only"}
+# How statements begin.
+_SUBJECTS = ["", *(f"{a} {b} is " for a in ("This", "The") for b in ("project", "program", "work", "software", "file", "code", "library", "package"))]
+_VERBS = ["licensed under", "released under", "distributed under"]
+
+
+def statements() -> list[tuple[str, str]]:
+    """(SPDX name, statement) from the templates and the names."""
+    out = [(i, f"SPDX-License-Identifier: {i}") for i in LICENSE_NAMES]
+    out += [(i, f"SPDX-License-Identifier: {old}") for old, i in _OLD_IDS.items()]
+    for i, names in LICENSE_NAMES.items():
+        out += [(i, f"{who}{verb} {the}{n}") for n in names for who in _SUBJECTS for verb in _VERBS
+                for the in (("", "the ") if "icense" in n else ("",))]
+    return out
+
+
 # A copyright line: its first word or sign claims copyright.
 _COPYRIGHT_LINE = r"^[\W_]*(copyright\b|©|\(c\)|all rights reserved).*$"
 _PUNCTUATION = r"[^0-9a-zß-ÿ]+"
@@ -125,10 +176,12 @@ _DATED_LINE = (
 _BREAK = "\r\n|[\n\r\u0085\u2028\u2029]"
 # Names that fill the places of a licence text, in canonical form.
 _NAMES = [
-    (r"neither the names? of .{1,120}? nor the names of (?:its|their|his|her|any|other)? ?contributors",
+    (r"neither the names? of (?:(?! nor the names of | neither the name).)++ nor the names of (?:its|their|his|her|any|other)? ?contributors",
      "neither the name of the copyright holder nor the names of its contributors"),
-    (r"software is provided by .{1,120}? as is and any express", "software is provided by the copyright holders and contributors as is and any express"),
-    (r"in no event shall .{1,120}? be liable for any direct", "in no event shall the copyright holder or contributors be liable for any direct"),
+    (r"software is provided by (?:(?! as is and any express| software is provided by ).)++ as is and any express",
+     "software is provided by the copyright holders and contributors as is and any express"),
+    (r"in no event shall (?:(?! be liable for any direct| in no event shall ).)++ be liable for any direct",
+     "in no event shall the copyright holder or contributors be liable for any direct"),
 ]
 
 
@@ -172,8 +225,37 @@ def _named_py(t: str) -> str:
 
 
 def known_digests() -> dict[str, str]:
-    """sha256 of the canonical form -> SPDX name, of KNOWN."""
-    return {hashlib.sha256(canonical_py(t).encode()).hexdigest(): name for name, t in KNOWN}
+    """sha256 of the canonical form -> SPDX name, of KNOWN and the statements."""
+    out = {hashlib.sha256(canonical_py(t).encode()).hexdigest(): name for name, t in KNOWN}
+    for name, t in statements():
+        out.setdefault(hashlib.sha256(canonical_py(t).encode()).hexdigest(), name)
+    return out
+
+
+def _tree(texts: list[list[str]]) -> str:
+    """Pattern of the given word lists, longest first, words being parted by a
+    blank or one line break, up to the end of a line."""
+    prefix: list[str] = []
+    while texts and all(t and t[0] == texts[0][0] for t in texts):
+        prefix.append(texts[0][0])
+        texts = [t[1:] for t in texts]
+    heads: dict[str, list[list[str]]] = {}
+    for t in texts:
+        if t:
+            heads.setdefault(t[0], []).append(t)
+    ways = [_tree(heads[h]) for h in sorted(heads)]
+    gap = "[ \n]" if prefix else ""
+    if not all(texts):
+        rest = f"(?:{gap}(?:{'|'.join(ways)})|$)" if ways else "$"
+    else:
+        rest = f"{gap}(?:{'|'.join(ways)})"
+    return "[ \n]".join(prefix) + rest
+
+
+def statement_pattern() -> str:
+    """What finds every known statement of whole lines, wrapped or not."""
+    texts = {canonical_py(t) for _, t in [*KNOWN, *statements()]}
+    return "(?m)^(?:" + _tree([t.split(" ") for t in sorted(texts)]) + ")"
 
 
 # Titles that whole texts come with.
@@ -225,16 +307,12 @@ def whole_digests() -> dict[str, str]:
     """sha256 of a whole text's forms -> SPDX name. A text has two forms:
     without any copyright line, and without those that bear a year."""
     out = {}
-    for name, t in [*KNOWN, *whole_texts()]:
+    for name, t in [*KNOWN, *whole_texts(), *statements()]:
         for form in (canonical_py(t), _normal_py(re.sub(_DATED_LINE, "", t.lower(), flags=re.M | re.A))):
             out.setdefault(hashlib.sha256(_named_py(form).encode()).hexdigest(), name)
     return out
 
 
-# Fixed value: lines that a statement may be wrapped over.
-STATEMENT_LINES = 4
-
-
 def scan(docs: DataFrame) -> DataFrame:
     """``docs`` plus ``license`` (the whole text is this licence, else null),
     ``line_licenses`` (sorted licences stated by whole lines, or runs of
@@ -259,24 +337,10 @@ def scan(docs: DataFrame) -> DataFrame:
     for key in ("loose", "dated"):
         known = spark.createDataFrame(wholes, f"__sg_k{key} string, __sg_l{key} string")
         rows = rows.join(F.broadcast(known), rows[f"__sg_{key}"] == known[f"__sg_k{key}"], "left")
-    # Only a run of lines as long as a known statement is digested.
     names = F.create_map(*[F.lit(x) for kv in sorted(known_digests().items()) for x in kv])
-    sizes = sorted({len(canonical_py(t)) for _, t in KNOWN})
-    rows = rows.withColumn("__sg_sizes", F.transform("__sg_lines", F.length))
-
-    def stated(n: int) -> Column:
-        def at(size, i):
-            each = [size] + [F.get("__sg_sizes", i + k) for k in range(1, n)]
-            fits = sum(each[1:], each[0]) + F.lit(n - 1)
-            run = F.array_join(F.slice("__sg_lines", i + 1, F.lit(n)), " ")
-            whole = fits.isin(sizes)
-            for e in each:
-                whole = whole & (e > 0)
-            return F.when(whole, names[F.sha2(run, 256)])
-
-        return F.transform("__sg_sizes", at)
-
-    found = F.filter(F.concat(*[stated(n) for n in range(1, STATEMENT_LINES + 1)]), lambda x: x.isNotNull())
+    runs = F.regexp_extract_all(F.array_join("__sg_lines", "\n"), F.lit(statement_pattern()), F.lit(0))
+    found = F.transform(runs, lambda x: names[F.sha2(F.translate(x, "\n", " "), 256)])
+    found = F.filter(found, lambda x: x.isNotNull())
     rows = rows.withColumn("__sg_found", found).withColumns(
         {
             "license": F.coalesce("__sg_lloose", "__sg_ldated"),

@@ -2,6 +2,7 @@
 
 import hashlib
 import pathlib
+import random
 import re
 import textwrap
 
@@ -193,3 +194,51 @@ def test_sketches_merge(spark):
     assert len(s[3]) == 1
     want = {hashlib.md5(" ".join(words[i : i + 5]).encode()).hexdigest()[:15] for i in range(396)}
     assert set(s[2]) == {int(h, 16) for h in want if h < "2"}
+
+
+def test_licences_without_limits(spark):
+    """Long holders, statements over many lines, identifiers and names by table."""
+    body = (pathlib.Path(licenses.__file__).parent / "license_texts" / "BSD-3-Clause.txt").read_text().split("\n", 2)[2]
+    holder = "the very long named institute of " + "many words and " * 60 + "others"
+    long_name = body.replace("the University", holder).replace("THE REGENTS AND CONTRIBUTORS", holder.upper())
+    whole = {
+        "Licensed under the GNU General Public License, version 2.": "GPL-2.0-only", "SPDX-License-Identifier: LGPL-2.1-only": "LGPL-2.1-only",
+        "This program is licensed under the MIT license": "MIT", "The software is released under the Mozilla Public Licence 2.0": "MPL-2.0",
+        long_name: "BSD-3-Clause", "SPDX-License-Identifier: nothing": None, "we are licensed under the MIT license": None,
+    }
+    d = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(whole)], DOCS)
+    assert [r["license"] for r in licenses.scan(d).orderBy("doc_id").collect()] == list(whole.values())
+    one = next(t for n, t in licenses.KNOWN if n == "Apache-2.0" and "compliance" in t)
+    lines = {
+        "\n".join("This work is licensed under the GNU General Public License , version 3".replace(" ,", ",").split()): ("GPL-3.0-only", 1),
+        "tale\n" + "\n".join(one.split()) + "\nend": ("Apache-2.0", 1),
+        "This\nwork\n\nis licensed under CC0 1.0": ("", 0), "x Licensed under\nCC BY 4.0": ("", 0), "Licensed under\nCC BY 4.0 x": ("", 0),
+        "Licensed under CC BY 4.0\nLicensed\nunder CC BY-SA\n4.0\nSPDX-License-Identifier: MIT": ("CC-BY-4.0,CC-BY-SA-4.0,MIT", 3),
+        "in no event shall " * 20000 + "software is provided by " * 20000: ("", 0), "licensed under\n" * 50000: ("", 0),
+    }
+    d = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(lines)], DOCS)
+    got = [(r["line_licenses"], r["n_license_lines"]) for r in licenses.scan(d).orderBy("doc_id").collect()]
+    assert got == list(lines.values())
+
+
+def test_statement_pattern_finds_what_line_runs_hold(spark):
+    """Against a plain search of all runs of lines."""
+    rng = random.Random(11)
+    known = {licenses.canonical_py(t): n for n, t in [*licenses.KNOWN, *licenses.statements()]}
+    some = [t for t in sorted(known) if len(t) < 90]
+    texts = []
+    for _ in range(150):
+        words = []
+        for t in rng.sample(some, 3):
+            words += [w + rng.choice([" ", " ", " ", "\n"]) for w in t.split()] + [rng.choice(["\n", "\n", "\n\n", " x "])]
+        texts.append("".join(words))
+    d = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DOCS)
+    got = [r["line_licenses"] for r in licenses.scan(d).orderBy("doc_id").collect()]
+    for text, found in zip(texts, got):
+        lines, want, i = [" ".join(x.split()) for x in text.split("\n")], set(), 0
+        while i < len(lines):
+            ends = [j for j in range(i + 1, len(lines) + 1) if all(lines[i:j]) and " ".join(lines[i:j]) in known]
+            if ends:
+                want.add(known[" ".join(lines[i : max(ends)])])
+            i = max(ends) if ends else i + 1
+        assert found == ",".join(sorted(want))
