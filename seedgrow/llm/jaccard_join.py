@@ -10,23 +10,32 @@ documents link when 1 - J <= EPS = 0.25, tested on integers.
    passages out of the keys). Classes that share such a shingle, cut into runs
    of compatible sizes, fall to one pivot, the run's first class. The regions
    of all pivots together hold every linked pair.
-3. In a region all distances to the pivot are computed. Members within EPS
-   link to the pivot and need no comparison among themselves. What is left are
-   pairs with a member outside that ball, and of these only pairs whose
-   distances to the pivot differ by at most EPS.
-4. A region that still holds more than one task should take is split by
-   further pivots: each member goes to its nearest pivot's cell and is
-   replicated into every cell within 2 EPS of that, so that each linked pair
-   meets; the cells are treated like regions, recursively. After ``LEVELS``
-   rounds, what is still too large is joined exactly in pairs of blocks.
-5. Components of the links give each document its class.
-
-Scale: the corpus is read three times (classes, prefixes, sets of the classes
-that share a prefix shingle) and the prefixes, a quarter of the shingles, are
-shuffled once; texts are never shuffled. Copies collapse before the shuffle
-(per task) and again by class. Broadcast: one array of ``BUCKETS`` counts and
-at most ``ID_BUCKETS`` bucket numbers, both of fixed size. Everything
-gathered in one task is bounded by ``REGION_SHINGLES`` and ``REGION_ROWS``.
+3. Every class is compared with one pivot: of those that may link by their
+   sketches (see ``sketch``), the one of its largest region. The components of
+   these links are the classes' roots; pairs of one root need no comparison.
+4. Regions with members of several roots are left. A member stays where some
+   member of another root may link to it by their sketches, and only the sets
+   of those that stay are sent. In a region all distances to a pivot are
+   computed, and only pairs of different roots whose distances to the pivot
+   differ by at most EPS are compared.
+5. A region that holds more than one task should take is split by further
+   pivots. Members linked to a pivot take its root; the outsiders are those not
+   of the region's commonest root, and every pair to compare has one. An
+   outsider goes to its nearest pivot's cell; a member is replicated into every
+   cell whose farthest outsider is at most EPS nearer to the pivot than it is
+   (and which is within 2 EPS of its own), so that each linked pair meets; the
+   cells are treated like regions, recursively. After ``LEVELS`` rounds, what
+   is still too large is joined exactly in pairs of blocks.
+6. Components of the links give each document its class.
+
+Scale: the corpus is read for the classes and the prefixes, then for the sets
+of the classes that may link to a pivot, and once more for those of step 4.
+The prefixes, a quarter of the shingles, are shuffled once; texts are never
+shuffled. Copies collapse before the shuffle (per task) and again by class.
+Broadcast: one array of ``BUCKETS`` counts and at most ``ID_BUCKETS`` bucket
+numbers, both of fixed size. Everything gathered in one task is bounded by
+``REGION_SHINGLES`` and ``REGION_ROWS``; the classes of one pivot are dealt
+over as many tasks as they need.
 
 Shingles and sets are told apart by 64-bit hashes.
 
@@ -105,6 +114,33 @@ def class_hash(s: np.ndarray) -> int:
     return h - (1 << 64) if h >= 1 << 63 else h
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """How many hashes of a set fall into each of B equal ranges, in two bits
+    (3: three or more); B is the power of two above the set's size.
+
+    Two sets share at most the sum of the lesser counts, plus the lesser of
+    what the two sets hold beyond their counts: an upper bound that never
+    rejects a linked pair, at about a twentieth of a set's size."""
+    bits = max(6, len(s).bit_length())
+    c = np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 3)
+    return (c.reshape(-1, 4) << np.array([0, 2, 4, 6])).sum(1).astype(np.uint8).tobytes()
+
+
+def _counts(packed: bytes, size: int | None = None) -> np.ndarray:
+    """The counts of a sketch over ``size`` ranges (its own, or fewer)."""
+    c = ((np.frombuffer(packed, np.uint8)[:, None] >> np.array([0, 2, 4, 6], np.uint8)) & 3).ravel()
+    if size is not None and size < len(c):
+        c = np.minimum(c.reshape(size, -1).sum(1), 3).astype(np.uint8)
+    return c
+
+
+def _may_link(m: np.ndarray, n: np.ndarray, over: np.ndarray, c: np.ndarray, k: int) -> np.ndarray:
+    """Which rows of counts ``m`` (sizes ``n``, rest ``over``) may link to a set
+    of size ``k`` with counts ``c``."""
+    most = np.minimum(m, c).sum(1, dtype=np.int64) + np.minimum(over, k - int(c.sum(dtype=np.int64)))
+    return 100 * most >= PERCENT * (n + k - most)
+
+
 def _texts(batch) -> Iterator[tuple[int, str | None]]:
     for k in range(0, batch.num_rows, ROWS):
         yield from enumerate(batch.column("text").slice(k, ROWS).to_pylist(), k)
@@ -132,6 +168,7 @@ def _classify(batches: Iterator) -> Iterator:
     for b in batches:
         sizes = np.zeros(b.num_rows, np.int32)
         sigs: list[int | None] = [None] * b.num_rows
+        sketches: list[bytes | None] = [None] * b.num_rows
         for i, t in _texts(b):
             s = shingle_set(t)
             if len(s):
@@ -140,6 +177,7 @@ def _classify(batches: Iterator) -> Iterator:
                     if len(seen) >= MEMO:
                         seen.clear()
                     seen.add(sigs[i])
+                    sketches[i] = sketch(s)
                     window.append(s)
                     held += len(s)
                     if held >= WINDOW:
@@ -147,15 +185,17 @@ def _classify(batches: Iterator) -> Iterator:
                         held = 0
         none = pa.nulls(b.num_rows, pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), pa.array(sizes), pa.array(sigs, pa.int64()), none.cast(pa.int32()), none],
-            ["doc_id", "n", "sig", "bucket", "repeats"],
+            [b.column("doc_id"), pa.array(sizes), pa.array(sigs, pa.int64()), pa.array(sketches, pa.binary()),
+             none.cast(pa.int32()), none],
+            ["doc_id", "n", "sig", "sketch", "bucket", "repeats"],
         )
     count()
     at = np.flatnonzero(total)
     none = pa.nulls(len(at), pa.int64())
     yield pa.RecordBatch.from_arrays(
-        [none, pa.array(np.zeros(len(at), np.int32)), none, pa.array(at.astype(np.int32)), pa.array(total[at])],
-        ["doc_id", "n", "sig", "bucket", "repeats"],
+        [none, pa.array(np.zeros(len(at), np.int32)), none, pa.nulls(len(at), pa.binary()), pa.array(at.astype(np.int32)),
+         pa.array(total[at])],
+        ["doc_id", "n", "sig", "sketch", "bucket", "repeats"],
     )
 
 
@@ -224,76 +264,174 @@ def _sets(batches: Iterator) -> Iterator:
             )
 
 
-def _join_region(rows):
-    """Links inside one region (a pandas frame of its members), exactly.
+def _lists(column) -> list[np.ndarray]:
+    """The sets of an Arrow column, without copying."""
+    values, at = column.values.to_numpy().view(np.uint64), column.offsets.to_numpy()
+    return [values[i:j] for i, j in zip(at[:-1], at[1:])]
+
+
+def _regions(batches: Iterator) -> Iterator[dict]:
+    """The columns of each region of rows that come sorted by region."""
+    held, current = [], None
+
+    def joined():
+        out = {}
+        for name in held[0].schema.names:
+            parts = [b.column(name) for b in held]
+            if name == "items":
+                out[name] = [x for p in parts for x in _lists(p)]
+            elif name == "sketch":
+                out[name] = [x for p in parts for x in p.to_pylist()]
+            else:
+                out[name] = np.concatenate([p.to_numpy(zero_copy_only=False) for p in parts])
+        return out
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        r = b.column("region").to_numpy()
+        cuts = np.concatenate(([0], np.flatnonzero(r[1:] != r[:-1]) + 1, [len(r)]))
+        for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            if held and r[i] != current:
+                yield joined()
+                held = []
+            held.append(b.slice(i, j - i))
+            current = r[i]
+    if held:
+        yield joined()
+
+
+def _by_region(rows: DataFrame, fn, schema: str) -> DataFrame:
+    """``fn`` over the batches of rows that are dealt and sorted by region."""
+    return rows.repartition("region").sortWithinPartitions("region").mapInArrow(fn, schema)
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """Shared elements of two sets."""
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    return int(np.count_nonzero(b[at] == a))
+
+
+def _pairs_that_may_link(batches: Iterator) -> Iterator:
+    """Of the pairs of a class and a pivot those that may link."""
+    import pyarrow as pa
+
+    for b in batches:
+        n, pn = b.column("n").to_numpy(), b.column("pn").to_numpy()
+        may = np.zeros(b.num_rows, bool)
+        for i, (x, y) in enumerate(zip(b.column("sketch").to_pylist(), b.column("psketch").to_pylist())):
+            size = 4 * min(len(x), len(y))
+            c = _counts(x, size)[None]
+            k = n[i : i + 1].astype(np.int64)
+            may[i] = _may_link(c, k, k - c.sum(dtype=np.int64), _counts(y, size), int(pn[i]))[0]
+        yield b.select(["region", "sig"]).filter(pa.array(may))
+
+
+def _to_pivot(batches: Iterator) -> Iterator:
+    """Links of classes to the pivot that comes before them."""
+    import pyarrow as pa
+
+    pivot = np.empty(0, np.uint64)
+    for b in batches:
+        is_pivot, sig = b.column("is_pivot").to_pylist(), b.column("sig").to_numpy()
+        linked = np.zeros(b.num_rows, bool)
+        for i, s in enumerate(_lists(b.column("items"))):
+            if is_pivot[i]:
+                pivot = s.copy()
+            else:
+                common = _common(s, pivot)
+                linked[i] = 100 * common >= PERCENT * (len(s) + len(pivot) - common)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(sig[linked]), pa.array(b.column("region").to_numpy()[linked])], ["a", "b"]
+        )
+
 
-    Columns ``sig, n, d, items``; ``d`` is the distance to the region's pivot.
-    Pairs inside the pivot's ball are linked through it already. Emits a
-    spanning forest of the links.
+def _outsiders(root: np.ndarray) -> np.ndarray:
+    """Members not of the commonest root; every pair to compare has one."""
+    roots, n = np.unique(root, return_counts=True)
+    return root != roots[np.argmax(n)]
+
+
+def _survivors(batches: Iterator) -> Iterator:
+    """Members of each region that may link to a member of another root."""
+    import pyarrow as pa
+
+    for r in _regions(batches):
+        n, root = r["n"].astype(np.int64), r["root"]
+        outside = np.flatnonzero(_outsiders(root))
+        size = 4 * min(map(len, r["sketch"]))
+        m = np.stack([_counts(x, size) for x in r["sketch"]])
+        over = n - m.sum(1, dtype=np.int64)
+        stays = np.zeros(len(n), bool)
+        for i in outside:
+            near = _may_link(m, n, over, m[i], int(n[i])) & (root != root[i])
+            if near.any():
+                stays |= near
+                stays[i] = True
+        if stays.any():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(r[c][stays]) for c in ("region", "sig", "root")], ["region", "sig", "root"]
+            )
+
+
+def _join_region(batches: Iterator) -> Iterator:
+    """Links inside each region between members of different roots, exactly.
+
+    ``d`` is the distance to the region's pivot where it is known already; else
+    the first member by size is the pivot. Emits a spanning forest.
     """
-    import pandas as pd
-
-    rows = rows.drop_duplicates("sig").sort_values(["d", "sig"]).reset_index(drop=True)
-    m = len(rows)
-    n, d, sig = rows["n"].to_numpy(np.int64), rows["d"].to_numpy(), rows["sig"].to_numpy()
-    outside = rows["outside"].to_numpy()
-    items = np.concatenate(rows["items"].to_numpy())
-    owner = np.repeat(np.arange(m), n)
-    by_item = np.argsort(items, kind="stable")
-    sorted_items, sorted_owner = items[by_item], owner[by_item]
-    parent = list(range(m))
-
-    def find(i):
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    links = []
-    ends = np.cumsum(n)
-    for i in np.flatnonzero(outside):
-        mine = items[ends[i] - n[i] : ends[i]]
-        lo = np.searchsorted(sorted_items, mine, "left")
-        hi = np.searchsorted(sorted_items, mine, "right")
-        lengths = hi - lo
-        at = np.repeat(lo - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths) + np.arange(lengths.sum())
-        common = np.bincount(sorted_owner[at], minlength=m)
-        near = 100 * common >= PERCENT * (n + n[i] - common)
-        near &= np.abs(d - d[i]) <= EPS + 1e-9
-        near[i] = False
-        for j in np.flatnonzero(near):
-            a, b = find(i), find(int(j))
-            if a != b:
-                parent[a] = b
-                links.append((sig[i], sig[j]))
-    return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
-
-
-def _join_small(rows):
-    """Links inside one whole region: its pivot is the class ``region``."""
-    import pandas as pd
-
-    rows = rows.drop_duplicates("sig")
-    at = (rows["sig"] == rows["region"]).to_numpy()
-    pivot = rows["items"].to_numpy()[at][0]
-    rows = rows[~at]
-    n = rows["n"].to_numpy(np.int64)
-    owner = np.repeat(np.arange(len(rows)), n)
-    common = np.bincount(owner, np.isin(np.concatenate(rows["items"].to_numpy()), pivot), len(rows)).astype(np.int64)
-    union = n + len(pivot) - common
-    linked = 100 * common >= PERCENT * union
-    rows = rows.assign(d=1 - common / union, outside=~linked)
-    links = pd.DataFrame({"a": rows["sig"].to_numpy()[linked], "b": rows["region"].to_numpy()[linked]})
-    if linked.all():
-        return links
-    # Inside the ball only those matter that may link to a member outside.
-    rows = rows[rows["d"] >= rows["d"][rows["outside"]].min() - EPS - 1e-9]
-    return pd.concat([links, _join_region(rows)]) if len(rows) > 1 else links
+    import pyarrow as pa
+
+    for r in _regions(batches):
+        order = np.lexsort((r["sig"], r["n"]))
+        n, sig, root = r["n"][order].astype(np.int64), r["sig"][order], r["root"][order]
+        sets = [r["items"][i] for i in order]
+        m = len(sets)
+        items = np.concatenate(sets)
+        owner = np.repeat(np.arange(m), n)
+        by_item = np.argsort(items, kind="stable")
+        sorted_items, sorted_owner = items[by_item], owner[by_item]
+
+        def common_with(i):
+            lo = np.searchsorted(sorted_items, sets[i], "left")
+            lengths = np.searchsorted(sorted_items, sets[i], "right") - lo
+            at = np.repeat(lo - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths) + np.arange(lengths.sum())
+            return np.bincount(sorted_owner[at], minlength=m)
+
+        if "d" in r:
+            d = r["d"][order]
+        else:
+            common = common_with(0)
+            d = 1 - common / (n + n[0] - common)
+        first: dict[int, int] = {}
+        parent = [first.setdefault(x, i) for i, x in enumerate(root.tolist())]
+
+        def find(i):
+            while parent[i] != i:
+                parent[i] = parent[parent[i]]
+                i = parent[i]
+            return i
+
+        links = []
+        for i in np.flatnonzero(_outsiders(root)).tolist():
+            common = common_with(i)
+            near = 100 * common >= PERCENT * (n + n[i] - common)
+            near &= (np.abs(d - d[i]) <= EPS + 1e-9) & (root != root[i])
+            for j in np.flatnonzero(near).tolist():
+                a, b = find(i), find(j)
+                if a != b:
+                    parent[a] = b
+                    links.append((sig[i], sig[j]))
+        if links:
+            a, b = zip(*links)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
 def _distances(members: DataFrame, pivots: DataFrame, sets: DataFrame) -> DataFrame:
-    """``members`` (region, sig) times the pivots of their region, with the
-    distance and whether they link."""
+    """``members`` (region, sig, root) times the pivots (region, pivot, proot)
+    of their region, with the distance; members linked to a pivot take its root."""
     x = members.join(sets.select("sig", "n", "items"), "sig")
     p = pivots.join(
         sets.select(F.col("sig").alias("pivot"), F.col("n").alias("pn"), F.col("items").alias("pitems")), "pivot"
@@ -302,18 +440,31 @@ def _distances(members: DataFrame, pivots: DataFrame, sets: DataFrame) -> DataFr
     common = F.size(F.array_intersect("items", "pitems"))
     j = j.withColumn("common", common)
     union = F.col("n") + F.col("pn") - F.col("common")
+    j = j.withColumn("linked", F.col("common") * 100 >= union * PERCENT)
     return j.select(
-        "region", "sig", "n", "pivot", (1 - F.col("common") / union).alias("d"),
-        (F.col("common") * 100 >= union * PERCENT).alias("linked"),
+        "region", "sig", "n", "pivot", (1 - F.col("common") / union).alias("d"), "linked",
+        F.when(F.col("linked"), F.col("proot")).otherwise(F.col("root")).alias("root"),
     )
 
 
+def _marked(near: DataFrame) -> DataFrame:
+    """The rows of regions with several roots, with ``outside``: not of the
+    commonest root."""
+    times = near.groupBy("region", "root").agg(F.count(F.lit(1)).alias("k"))
+    most = times.groupBy("region").agg(F.max(F.struct("k", "root")).alias("most"), F.count(F.lit(1)).alias("roots"))
+    most = most.where(F.col("roots") > 1).select("region", F.col("most.root").alias("most"))
+    return near.join(most, "region").withColumn("outside", F.col("root") != F.col("most")).drop("most")
+
+
 def _near_pivot(near: DataFrame) -> DataFrame:
-    """Members that still matter: those outside the pivot's ball, and those
-    inside that may link to one outside (by the triangle inequality)."""
-    least = near.where(~F.col("linked")).groupBy("region").agg(F.min("d").alias("least"))
-    rows = near.join(least, "region").where(F.col("d") >= F.col("least") - F.lit(EPS + 1e-9))
-    return rows.withColumn("outside", ~F.col("linked")).drop("least", "linked")
+    """Members that still matter: outsiders, and those that may link to one by
+    their distances to the pivot (triangle inequality)."""
+    rows = _marked(near)
+    of = F.when(F.col("outside"), F.col("d"))
+    reach = rows.groupBy("region").agg(F.min(of).alias("least"), F.max(of).alias("most"))
+    far = F.lit(EPS + 1e-9)
+    near = (F.col("d") >= F.col("least") - far) & (F.col("d") <= F.col("most") + far)
+    return rows.join(reach, "region").where(near).drop("least", "most", "linked")
 
 
 def _sized(rows: DataFrame) -> DataFrame:
@@ -327,9 +478,7 @@ def _sized(rows: DataFrame) -> DataFrame:
 
 def _local_links(rows: DataFrame, sets: DataFrame) -> DataFrame:
     rows = rows.join(sets.select("sig", "items"), "sig")
-    return rows.select("region", "sig", "n", "d", "outside", "items").groupBy("region").applyInPandas(
-        _join_region, "a bigint, b bigint"
-    )
+    return _by_region(rows.select("region", "sig", "n", "d", "root", "items"), _join_region, "a bigint, b bigint")
 
 
 def _blocks(rows: DataFrame, size: DataFrame) -> DataFrame:
@@ -342,6 +491,30 @@ def _blocks(rows: DataFrame, size: DataFrame) -> DataFrame:
     return rows.withColumn("region", F.xxhash64("region", pair)).drop("parts", "block", "other")
 
 
+def _pivot_links(docs: DataFrame, classes: DataFrame, members: DataFrame, size: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links of each class to one pivot: of those it may link to, the one of
+    the largest region."""
+    s = classes.select("sig", "n", "sketch")
+    pairs = members.join(s, "sig").join(
+        s.select(F.col("sig").alias("region"), F.col("n").alias("pn"), F.col("sketch").alias("psketch")), "region"
+    )
+    pairs = pairs.mapInArrow(_pairs_that_may_link, "region bigint, sig bigint")
+    best = pairs.join(size.select("region", "members"), "region").groupBy("sig").agg(
+        F.max(F.struct("members", "region")).alias("best")
+    )
+    best = scratch.keep(best.select(F.col("best.region").alias("region"), "sig"), "best")
+    # The classes of one pivot in parts that a task takes; the pivot goes to each.
+    parts = F.ceil(F.count(F.lit(1)) / REGION_ROWS).cast("int")
+    parts = scratch.keep(best.groupBy("region").agg(parts.alias("parts")), "parts")
+    part = F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int").alias("part")
+    to = best.join(parts, "region").select("region", part, F.lit(False).alias("is_pivot"), "sig")
+    part = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    to = to.unionByName(parts.select("region", part, F.lit(True).alias("is_pivot"), F.col("region").alias("sig")))
+    rows = to.join(_needed_sets(docs, classes, to, scratch), "sig").select("region", "part", "is_pivot", "sig", "items")
+    rows = rows.repartition("region", "part").sortWithinPartitions("region", "part", F.desc("is_pivot"))
+    return scratch.keep(rows.mapInArrow(_to_pivot, "a bigint, b bigint"), "stars")
+
+
 def class_links(docs: DataFrame, classes: DataFrame, repeats: dict[int, int], scratch: Scratch) -> DataFrame:
     """Links ``a, b`` between classes; their components are those of all links."""
     texts = docs.select(docs["text"].cast("string").alias("text"))
@@ -358,26 +531,33 @@ def class_links(docs: DataFrame, classes: DataFrame, repeats: dict[int, int], sc
         F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles")
     )
     small = (F.col("members") <= REGION_ROWS) & (F.col("shingles") <= REGION_SHINGLES)
-    size = scratch.keep(size.select("region", small.alias("small")), "sizes")
-    # Small regions: the members' sets go to the region's task, once.
-    rows = every.join(size.where("small").select("region"), "region")
-    rows = rows.join(_needed_sets(docs, classes, rows, scratch), "sig")
-    links = rows.groupBy("region").applyInPandas(_join_small, "a bigint, b bigint")
-    links = scratch.keep(links, "links")
-    large = size.where(~F.col("small")).select("region")
+    size = scratch.keep(size.select("region", "members", small.alias("small")), "sizes")
+    stars = _pivot_links(docs, classes, members, size, scratch)
+    roots = components(stars, scratch)
+    # Regions whose members are not all joined yet.
+    labelled = every.join(roots, every["sig"] == roots["node"], "left").select(
+        "region", "sig", F.coalesce("root", "sig").alias("root")
+    )
+    mixed = labelled.groupBy("region").agg((F.min("root") != F.max("root")).alias("mixed"))
+    mixed = mixed.where("mixed").join(size, "region").select("region", "small")
+    rest = scratch.keep(labelled.join(mixed, "region"), "rest")
+    near = rest.where("small").join(classes.select("sig", "n", "sketch"), "sig").drop("small")
+    near = scratch.keep(_by_region(near, _survivors, "region bigint, sig bigint, root bigint"), "near")
+    rows = near.join(_needed_sets(docs, classes, near, scratch), "sig")
+    links = scratch.keep(_by_region(rows, _join_region, "a bigint, b bigint"), "links")
+    links = stars.unionByName(links)
+    large = rest.where(~F.col("small")).select("region", "sig", "root")
     if large.isEmpty():
         return links
-    return links.unionByName(_large_regions(docs, classes, members.join(large, "region"), scratch))
+    return links.unionByName(_large_regions(docs, classes, large, scratch))
 
 
 def _large_regions(docs: DataFrame, classes: DataFrame, members: DataFrame, scratch: Scratch) -> DataFrame:
     """Links of regions that no single task should take."""
-    members = scratch.keep(members, "large")
-    pivots = members.select("region").distinct().select("region", F.col("region").alias("pivot"))
-    needed = members.unionByName(pivots.withColumnRenamed("pivot", "sig"))
-    sets = scratch.keep(_needed_sets(docs, classes, needed, scratch), "sets")
+    pivots = members.where("sig = region").select("region", F.col("sig").alias("pivot"), F.col("root").alias("proot"))
+    sets = scratch.keep(_needed_sets(docs, classes, members, scratch), "sets")
     near = scratch.keep(_distances(members, pivots, sets), "distances")
-    found = [near.where("linked").select(F.col("sig").alias("a"), F.col("pivot").alias("b"))]
+    found = [near.where("linked AND sig != pivot").select(F.col("sig").alias("a"), F.col("pivot").alias("b"))]
     rows = scratch.keep(_near_pivot(near.drop("pivot")), "outside")
     for level in range(LEVELS + 1):
         size = scratch.keep(_sized(rows), "sizes")
@@ -395,13 +575,21 @@ def _large_regions(docs: DataFrame, classes: DataFrame, members: DataFrame, scra
         # Pivots of the next level: the outsiders first in hash order.
         by_hash = Window.partitionBy("region").orderBy(F.xxhash64("sig", F.lit(level)))
         pivots = rows.where("outside").withColumn("i", F.row_number().over(by_hash)).where(F.col("i") <= PIVOTS)
-        pivots = scratch.keep(pivots.select("region", F.col("sig").alias("pivot")), "pivots")
-        near = scratch.keep(_distances(rows.select("region", "sig", "outside"), pivots, sets), "distances")
+        pivots = scratch.keep(
+            pivots.select("region", F.col("sig").alias("pivot"), F.col("root").alias("proot")), "pivots"
+        )
+        near = _distances(rows.select("region", "sig", "root"), pivots, sets)
+        # A cell's root is the pivot's only inside its ball; outsiders stay those of the region.
+        near = scratch.keep(near.join(rows.select("region", "sig", "outside"), ["region", "sig"]), "distances")
         found.append(near.where("linked AND sig != pivot").select(F.col("sig").alias("a"), F.col("pivot").alias("b")))
-        home = near.groupBy("region", "sig").agg(F.min("d").alias("home"))
-        cells = near.join(home, ["region", "sig"]).where(F.col("d") <= F.col("home") + F.lit(2 * EPS + 1e-9))
+        home = near.groupBy("region", "sig").agg(F.min(F.struct("d", "pivot")).alias("h"))
+        cells = near.join(home.select("region", "sig", "h.*").toDF("region", "sig", "hd", "hp"), ["region", "sig"])
+        at_home = F.col("outside") & (F.col("pivot") == F.col("hp"))
+        radius = cells.where(at_home).groupBy("region", "pivot").agg(F.max("d").alias("radius"))
+        reached = (F.col("d") <= F.col("radius") + F.lit(EPS + 1e-9)) & (F.col("d") <= F.col("hd") + F.lit(2 * EPS + 1e-9))
+        cells = cells.join(radius, ["region", "pivot"]).where(at_home | reached)
         cells = cells.where(F.col("sig") != F.col("pivot")).withColumn("region", F.xxhash64("region", "pivot"))
-        rows = scratch.keep(_near_pivot(cells.drop("pivot", "home")), "outside")
+        rows = scratch.keep(_near_pivot(cells.drop("pivot", "hd", "hp", "radius", "outside")), "outside")
     links = found[0]
     for f in found[1:]:
         links = links.unionByName(f)
@@ -439,14 +627,17 @@ def _joined(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     scratch = Scratch(docs.sparkSession, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     kept = scratch.keep(
-        docs.mapInArrow(_classify, "doc_id bigint, n int, sig bigint, bucket int, repeats bigint"), "classes"
+        docs.mapInArrow(_classify, "doc_id bigint, n int, sig bigint, sketch binary, bucket int, repeats bigint"), "classes"
     )
-    rows = kept.where(F.col("bucket").isNull()).select("doc_id", "n", "sig")
+    one = kept.where(F.col("bucket").isNull())
+    rows = one.select("doc_id", "n", "sig")
     # At most BUCKETS rows.
     counted = kept.where(F.col("bucket").isNotNull()).groupBy("bucket").agg(F.sum("repeats").alias("n")).collect()
     repeats = {r["bucket"]: r["n"] for r in counted}
     classes = scratch.keep(
-        rows.where(F.col("n") > 0).groupBy("sig").agg(F.min("doc_id").alias("first_id"), F.max("n").alias("n")), "first"
+        one.where(F.col("n") > 0).groupBy("sig").agg(
+            F.min("doc_id").alias("first_id"), F.max("n").alias("n"), F.first("sketch", ignorenulls=True).alias("sketch")
+        ), "first"
     )
     links = class_links(docs, classes, repeats, scratch)
     roots = components(links, scratch)

@@ -95,13 +95,25 @@ ODD = [(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "A B C D E F G"), (None,
 
 def test_small_regions_get_each_set_once(spark, monkeypatch):
     """Copies in many tasks do not multiply what a region's task holds."""
-    join = jaccard_join._join_small
 
-    def once(rows):
-        assert not rows["sig"].duplicated().any(), "a set came twice"
-        return join(rows)
+    def checked(join):
+        def once(batches):
+            seen = set()
 
-    monkeypatch.setattr(jaccard_join, "_join_small", once)
+            def watched():
+                for b in batches:
+                    for r in b.drop_columns("items").to_pylist():
+                        key = (r["region"], r.get("part"), r["sig"])
+                        assert key not in seen, "a set came twice"
+                        seen.add(key)
+                    yield b
+
+            yield from join(watched())
+
+        return once
+
+    for name in ("_to_pivot", "_join_region"):
+        monkeypatch.setattr(jaccard_join, name, checked(getattr(jaccard_join, name)))
     words = [f"w{i}" for i in range(200)]
     texts = [" ".join(words), " ".join([*words[:-1], "x"]), " ".join([*words[:-1], "y"])]
     rows = [(i, t) for _ in range(8) for i, t in enumerate(texts)]
@@ -110,6 +122,25 @@ def test_small_regions_get_each_set_once(spark, monkeypatch):
     assert docs.count() == 24 and classes.select("component_id").distinct().count() == 1
 
 
+def test_sketches_never_reject_a_linked_pair():
+    rng = np.random.default_rng(4)
+    linked = rejected = 0
+    for _ in range(3000):
+        n = int(rng.integers(1, 400))
+        x = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64, endpoint=False))
+        part = rng.choice([0.0, 0.5, 0.75, 0.86, 0.95])
+        y = np.unique(np.concatenate([x[rng.random(len(x)) < part], rng.integers(0, 1 << 64, max(1, int(n * (1 - part))), dtype=np.uint64)]))
+        size = 4 * min(len(jaccard_join.sketch(x)), len(jaccard_join.sketch(y)))
+        c = jaccard_join._counts(jaccard_join.sketch(x), size)[None]
+        k = np.array([len(x)])
+        may = jaccard_join._may_link(c, k, k - c.sum(), jaccard_join._counts(jaccard_join.sketch(y), size), len(y))[0]
+        common = len(np.intersect1d(x, y))
+        is_linked = 100 * common >= 75 * (len(x) + len(y) - common)
+        assert may or not is_linked
+        linked, rejected = linked + is_linked, rejected + (not may)
+    assert linked > 300 and rejected > 1000
+
+
 def test_odd_rows(spark):
     d = spark.createDataFrame([(i, t, "x") for i, t in ODD], "doc_id long, text string, component_id string")
     got = sorted(((r["doc_id"] or 0, r["n_shingles"], r["component_id"]) for r in jaccard_join.join_classes(d).collect()), key=repr)
