@@ -61,5 +61,5 @@ def test_stages_on_an_empty_table(spark):
 
 def test_registered_queries():
     names = [k for k in __spark_entry__.queries() if k.startswith("op") or k == "pipeline"]
-    assert sorted(int(k[2:].split("_")[0]) for k in names if k != "pipeline") == list(range(1, 11)) and "pipeline" in names
+    assert sorted(int(k[2:].split("_")[0]) for k in names if k != "pipeline") == list(range(1, 14)) and "pipeline" in names
     assert set(queries.oracle_sql()) <= set(names)
