@@ -11,8 +11,8 @@ documents link when 1 - J <= EPS = 0.25, tested on integers.
    of compatible sizes, fall to one pivot, the run's first class. The regions
    of all pivots together hold every linked pair.
 3. Every class is compared with one pivot: of those that may link by their
-   sketches (see ``sketch``), the one of its largest region. The components of
-   these links are the classes' roots; pairs of one root need no comparison.
+   sketches (see ``sketch``), the one of its largest region. Where these
+   links lead to is a class's root; pairs of one root need no comparison.
 4. Regions with members of several roots are left. A member stays where some
    member of another root may link to it by their sketches, and only the sets
    of those that stay are sent. In a region all distances to a pivot are
@@ -515,6 +515,18 @@ def _pivot_links(docs: DataFrame, classes: DataFrame, members: DataFrame, size:
     return scratch.keep(rows.mapInArrow(_to_pivot, "a bigint, b bigint"), "stars")
 
 
+def _roots(stars: DataFrame, scratch: Scratch) -> DataFrame:
+    """``node, root`` of the classes that link to a pivot: the pivot, or the
+    one that is reached from it by at most three more links. Equal roots are
+    connected, which is all that is asked of them; the components come last."""
+    at = stars.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    for _ in range(2):
+        on = at.select(F.col("node").alias("root"), F.col("root").alias("further"))
+        at = at.join(on, "root", "left").select("node", F.coalesce("further", "root").alias("root"))
+        at = scratch.keep(at, "roots")
+    return at
+
+
 def class_links(docs: DataFrame, classes: DataFrame, repeats: dict[int, int], scratch: Scratch) -> DataFrame:
     """Links ``a, b`` between classes; their components are those of all links."""
     texts = docs.select(docs["text"].cast("string").alias("text"))
@@ -533,7 +545,7 @@ def class_links(docs: DataFrame, classes: DataFrame, repeats: dict[int, int], sc
     small = (F.col("members") <= REGION_ROWS) & (F.col("shingles") <= REGION_SHINGLES)
     size = scratch.keep(size.select("region", "members", small.alias("small")), "sizes")
     stars = _pivot_links(docs, classes, members, size, scratch)
-    roots = components(stars, scratch)
+    roots = _roots(stars, scratch)
     # Regions whose members are not all joined yet.
     labelled = every.join(roots, every["sig"] == roots["node"], "left").select(
         "region", "sig", F.coalesce("root", "sig").alias("root")
