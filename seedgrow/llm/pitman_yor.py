@@ -29,9 +29,11 @@ with their training counts, to buckets by context; the bucket adds up the counts
 and answers every batch. Dishes with two or more customers go to buckets by word
 for the sweeps. Word numbers come back to each batch by a join, and the batch
 scores its documents. Words of at least 1 / ``HEAVY`` of all training tokens (so at
-most that many) are spread over the buckets of their other word; the parent's
-probability in their draws is that of one table a dish. All of the corpus is
-used; state between steps is written under ``spark.checkpoint.dir``.
+most that many) are spread over the buckets of their other word. Their customers
+are added up over the buckets after each sweep, one small job a sweep, and given
+to the next, so that which words are spread, and how many buckets there are, has
+no effect on any result. All of the corpus is used; state between steps is
+written under ``spark.checkpoint.dir``.
 
 Words are told apart by 64-bit hashes. Discounts come from the counts of words
 and pairs that occur once and twice.
@@ -305,7 +307,7 @@ def _bucket(key: np.ndarray, other: np.ndarray, n: int, heavy: np.ndarray) -> np
 
 
 _PARTS = "kind int, batch bigint, bucket int, a array<bigint>, b array<bigint>, c array<bigint>, d array<bigint>"
-_ANSWER, _CONTEXT, _DISH, _SINGLE, _SPREAD = range(5)
+_ANSWER, _CONTEXT, _DISH, _SINGLE, _SPREAD, _OFTEN = range(6)
 
 
 def _frame(rows: list):
@@ -340,7 +342,8 @@ def _send(batches: Iterator, n: int, heavy: np.ndarray) -> Iterator:
 def _count(frame, n: int, heavy: np.ndarray):
     """Adds up a bucket's pairs: the answer to every batch; contexts with
     their dishes and customers; dishes of two or more customers and the number
-    of single ones by word bucket; dishes of spread words."""
+    of single ones by word bucket, those of spread words apart; dishes of spread
+    words."""
     frame = frame.sort_values("batch")
     lengths = [len(x) for x in frame["c"]]
     u = np.repeat(np.concatenate(frame["a"].to_list()), np.concatenate(frame["b"].to_list()))
@@ -363,29 +366,55 @@ def _count(frame, n: int, heavy: np.ndarray):
         out.append((_CONTEXT, 0, 0, pu[first], dishes, np.add.reduceat(c, first), None))
         around = np.repeat(dishes, dishes)
         to = _bucket(pw, pu, n, heavy)
-        many, one = np.flatnonzero(c > 1), np.flatnonzero(c == 1)
-        many, one = many[np.argsort(to[many], kind="stable")], one[np.argsort(to[one], kind="stable")]
-        for at, kind in ((many, _DISH), (one, _SINGLE)):
+        often = np.isin(pw, heavy)
+        for at, kind in ((~often & (c > 1), _DISH), (often & (c > 1), _OFTEN), (c == 1, _SINGLE)):
+            at = np.flatnonzero(at)
+            at = at[np.argsort(to[at], kind="stable")]
             ks, starts = np.unique(to[at], return_index=True)
             for k, part in zip(ks.tolist(), np.split(at, starts[1:])):
-                if kind == _DISH:
-                    out.append((_DISH, 0, k, pu[part], pw[part], c[part], around[part]))
+                if kind != _SINGLE:
+                    out.append((kind, 0, k, pu[part], pw[part], c[part], around[part]))
                 else:
                     words, times = np.unique(pw[part], return_counts=True)
                     out.append((_SINGLE, 0, k, words, None, times, None))
-        words, times = np.unique(pw[np.isin(pw, heavy)], return_counts=True)
+        words, times = np.unique(pw[often], return_counts=True)
         if len(words):
             out.append((_SPREAD, 0, 0, words, None, times, None))
     return _frame(out)
 
 
-def _seat(frame, model: Model, heavy: np.ndarray, heavy_context: np.ndarray, heavy_word: np.ndarray):
+def _around(u, around, heavy: np.ndarray, heavy_context: np.ndarray) -> np.ndarray:
+    """Dishes of the contexts; of spread ones over all buckets."""
+    spread = np.isin(u, heavy)
+    if spread.any():
+        around[spread] = heavy_context[np.searchsorted(heavy, u[spread])]
+    return around
+
+
+def _sweep_spread(batches: Iterator, sweep: int, model: Model, heavy: np.ndarray, heavy_context: np.ndarray,
+                  given: np.ndarray) -> Iterator:
+    """Tables beyond one a dish of the spread words in a sweep, whose draws
+    go by ``given`` customers."""
+    import pyarrow as pa
+
+    more = np.zeros(len(heavy), np.int64)
+    for b in batches:
+        u, w, c, around = (b.column(k).flatten().to_numpy(zero_copy_only=False).copy() for k in "abcd")
+        at = np.searchsorted(heavy, w)
+        t = model.pair_tables(sweep, u, w, c, _around(u, around, heavy, heavy_context), given[at])
+        more += np.bincount(at, weights=t - 1, minlength=len(heavy)).astype(np.int64)
+    some = np.flatnonzero(more)
+    yield pa.RecordBatch.from_arrays([pa.array(heavy[some]), pa.array(more[some])], ["key", "n"])
+
+
+def _seat(frame, model: Model, heavy: np.ndarray, heavy_context: np.ndarray, heavy_given: np.ndarray):
     """The sweeps over a word bucket. A row a word: its tokens and its
     customers before the first kept sweep and after each. A row a context: its
-    tables beyond one a dish, in each kept sweep."""
+    tables beyond one a dish, in each kept sweep. ``heavy_given`` holds, by sweep,
+    the customers of the spread words over all buckets."""
     import pandas as pd
 
-    dish, one = frame[frame["kind"] == _DISH], frame[frame["kind"] == _SINGLE]
+    dish, one = frame[frame["kind"].isin([_DISH, _OFTEN])], frame[frame["kind"] == _SINGLE]
 
     def flat(rows, column):
         return np.concatenate([np.empty(0, np.int64), *rows[column].to_list()]).astype(np.int64)
@@ -395,16 +424,14 @@ def _seat(frame, model: Model, heavy: np.ndarray, heavy_context: np.ndarray, hea
     words, at = np.unique(np.concatenate([w, single]), return_inverse=True)
     at, ones = at[: len(w)], np.bincount(at[len(w) :], weights=times, minlength=len(words)).astype(np.int64)
     tokens = ones + np.bincount(at, weights=c, minlength=len(words)).astype(np.int64)
-    spread = np.isin(u, heavy)
-    if spread.any():
-        around[spread] = heavy_context[np.searchsorted(heavy, u[spread])]
+    around = _around(u, around, heavy, heavy_context)
     customers = ones + np.bincount(at, minlength=len(words))
     contexts, of = np.unique(u, return_inverse=True)
     steps, extra = [], []
     for sweep in range(BURN + SAMPLES):
         if sweep == BURN:
             steps.append(customers)
-        t = model.pair_tables(sweep, u, w, c, around, _given(words, customers, heavy, heavy_word)[at])
+        t = model.pair_tables(sweep, u, w, c, around, _given(words, customers, heavy, heavy_given[sweep])[at])
         customers = ones + np.bincount(at, weights=t, minlength=len(words)).astype(np.int64)
         if sweep >= BURN:
             steps.append(customers)
@@ -420,11 +447,11 @@ def _seat(frame, model: Model, heavy: np.ndarray, heavy_context: np.ndarray, hea
     return pd.DataFrame(rows)
 
 
-def _given(words, customers, heavy, heavy_word) -> np.ndarray:
-    """Customers that a sweep goes by: of spread words, one a dish."""
+def _given(words, customers, heavy, everywhere) -> np.ndarray:
+    """Customers that a sweep goes by: of spread words, those of all buckets."""
     given, spread = customers.copy(), np.isin(words, heavy)
     if spread.any():
-        given[spread] = heavy_word[np.searchsorted(heavy, words[spread])]
+        given[spread] = everywhere[np.searchsorted(heavy, words[spread])]
     return given
 
 
@@ -465,7 +492,7 @@ def _gather(batches: Iterator) -> Iterator:
         )
 
 
-def _score(batch, numbers, model: Model, n: int, heavy: np.ndarray, heavy_word: np.ndarray, columns: list[str]):
+def _score(batch, numbers, model: Model, n: int, heavy: np.ndarray, columns: list[str]):
     """Scores of one batch's documents. ``numbers`` holds the buckets'
     answers (``bucket`` >= 0) and the numbers of the batch's words."""
     import pandas as pd
@@ -496,9 +523,8 @@ def _score(batch, numbers, model: Model, n: int, heavy: np.ndarray, heavy_word:
         after = word[f"step{s + 1}"]
         parent = model.word(s, after, model.word_tables(s, pairs.words, after))[w]
         t = np.zeros(len(c), np.int64)
-        given = _given(pairs.words, word[f"step{s}"], heavy, heavy_word)
         t[some] = model.pair_tables(BURN + s, pairs.words[u[some]], pairs.words[w[some]], c[some], word["du"][u[some]],
-                                    given[w[some]])
+                                    word[f"step{s}"][w[some]])
         rest = STRENGTH + model.d2 * (word["du"][u] + word[f"extra{s}"][u])
         p += (c - model.d2 * t + rest * parent) / (STRENGTH + word["cu"][u])
     log = np.log10(p / SAMPLES)[pairs.of_token]
@@ -552,10 +578,11 @@ def score_documents(docs: DataFrame) -> DataFrame:
     )
     contexts = _exploded(parts.where(F.col("kind") == _CONTEXT), "abc", "key", "du", "cu")
     twice = F.filter("c", lambda x: x == 2)
-    sums = parts.where(F.col("kind").isin(_CONTEXT, _DISH, _SINGLE)).agg(
+    dishes = [_DISH, _OFTEN, _SINGLE]
+    sums = parts.where(F.col("kind").isin(_CONTEXT, *dishes)).agg(
         F.sum(F.when(F.col("kind") == _CONTEXT, F.aggregate("b", F.lit(0).cast("long"), lambda x, y: x + y))).alias("pairs"),
         F.sum(F.when(F.col("kind") == _SINGLE, F.aggregate("c", F.lit(0).cast("long"), lambda x, y: x + y))).alias("once"),
-        F.sum(F.when(F.col("kind") == _DISH, F.size(twice)).cast("long")).alias("twice"),
+        F.sum(F.when(F.col("kind").isin(_DISH, _OFTEN), F.size(twice)).cast("long")).alias("twice"),
     ).first()
     model = Model(n_train, int(sums["pairs"] or 0), discount(int(sums["once"] or 0), int(sums["twice"] or 0)))
     # Dishes of the spread words, as contexts and as words (at most HEAVY rows).
@@ -564,12 +591,13 @@ def score_documents(docs: DataFrame) -> DataFrame:
     of_word = dict(spread_dishes.collect())
     heavy_context = np.array([of_context.get(k, 0) for k in heavy.tolist()], np.int64)
     heavy_word = np.array([of_word.get(k, 0) for k in heavy.tolist()], np.int64)
+    heavy_given = _spread_customers(parts, model, heavy, heavy_context, heavy_word)
     seats = scratch.keep(
-        parts.where(F.col("kind").isin(_DISH, _SINGLE)).groupBy("bucket").applyInPandas(
-            lambda f: _seat(f, model, heavy, heavy_context, heavy_word), ", ".join(f"{k} bigint" for k in SEATS)), "seats"
+        parts.where(F.col("kind").isin(dishes)).groupBy("bucket").applyInPandas(
+            lambda f: _seat(f, model, heavy, heavy_context, heavy_given), ", ".join(f"{k} bigint" for k in SEATS)), "seats"
     )
     each = scratch.keep(_word_numbers(contexts, seats), "numbers")
-    for kind in (_CONTEXT, _DISH, _SINGLE, _SPREAD):
+    for kind in (_CONTEXT, *dishes, _SPREAD):
         scratch.drop("parts", f"kind={kind}")
     scratch.drop("seats")
     answers = parts.where(F.col("kind") == _ANSWER).select(F.col("batch").alias("to"), "bucket", "c")
@@ -594,11 +622,27 @@ def score_documents(docs: DataFrame) -> DataFrame:
     columns = schema.names
     batches = streams.select("batch", "ids", "held", "sizes", "tokens", "words").groupBy("batch")
     scored = batches.cogroup(numbers.groupBy("to")).applyInPandas(
-        lambda b, k: _score(b, k, model, n_buckets, heavy, heavy_word, columns), schema
+        lambda b, k: _score(b, k, model, n_buckets, heavy, columns), schema
     )
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def _spread_customers(parts: DataFrame, model: Model, heavy: np.ndarray, heavy_context: np.ndarray,
+                      heavy_word: np.ndarray) -> np.ndarray:
+    """The customers of the spread words that each sweep goes by: one a dish
+    at first, then those after the sweep before (at most HEAVY numbers a sweep)."""
+    given = np.tile(heavy_word, (BURN + SAMPLES, 1))
+    often = parts.where(F.col("kind") == _OFTEN).select("a", "b", "c", "d")
+    for sweep in range(BURN + SAMPLES - 1 if len(heavy) else 0):
+        before = given[sweep]
+        more = often.mapInArrow(
+            lambda it, s=sweep, g=before: _sweep_spread(it, s, model, heavy, heavy_context, g), "key bigint, n bigint"
+        )
+        for key, n in more.groupBy("key").agg(F.sum("n").alias("n")).collect():
+            given[sweep + 1, np.searchsorted(heavy, key)] += n
+    return given
+
+
 def _word_numbers(contexts: DataFrame, seats: DataFrame) -> DataFrame:
     """One row a word with the columns ``WORD``; tokens as context and dishes
     as context are differences to the column before, customers to the tokens or to

@@ -161,6 +161,18 @@ def test_spread_words_change_little(spark, monkeypatch):
     assert sum(spread.values()) == pytest.approx(sum(plain.values()), rel=0.02)
 
 
+def test_spread_words_change_no_score(spark, monkeypatch):
+    """Whether a word is spread over several buckets, which depends on the
+    size of the input, has no effect on the rows."""
+    rows = corpus() * 3
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    monkeypatch.setattr(P, "BUCKET", 90)
+    monkeypatch.setattr(P, "BATCH", 60)
+    for least in (1, 20):
+        monkeypatch.setattr(P, "SPREAD_LEAST", least)
+        check([tuple(r) for r in P.score_documents(docs).collect()], plain_rows(rows))
+
+
 def test_model_beats_single_words_on_held_out_texts(spark):
     rows = [r for r in P.op11_pitman_yor(spark, "/root/testdata/sf0.001").collect() if r["held_out"]]
     assert sum(r["score"] for r in rows) > 0.9 * sum(r["base_score"] for r in rows)
