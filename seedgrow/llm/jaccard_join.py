@@ -24,8 +24,11 @@ documents link when 1 - J <= EPS = 0.25, tested on integers.
    outsider goes to its nearest pivot's cell; a member is replicated into every
    cell whose farthest outsider is at most EPS nearer to the pivot than it is
    (and which is within 2 EPS of its own), so that each linked pair meets; the
-   cells are treated like regions, recursively. After ``LEVELS`` rounds, what
-   is still too large is joined exactly in pairs of blocks.
+   cells are treated like regions, recursively. A region whose cells would
+   take no fewer rows than its own pairs of blocks (members that are all about
+   as far from one another fall into every cell), or that is still too large
+   after ``LEVELS`` rounds, is joined exactly in pairs of blocks, where again
+   only the sets of those members are sent that may link by their sketches.
 6. Components of the links give each document its class.
 
 Scale: the corpus is read for the classes and the prefixes, then for the sets
@@ -476,6 +479,21 @@ def _sized(rows: DataFrame) -> DataFrame:
     return size.withColumn("small", (F.col("members") <= REGION_ROWS) & (F.col("shingles") <= REGION_SHINGLES))
 
 
+def _parts():
+    """Blocks of a too large region, two of which fit one task."""
+    return F.ceil(2 * F.greatest(F.col("members") / REGION_ROWS, F.col("shingles") / REGION_SHINGLES)).cast("int")
+
+
+def _worth(large: DataFrame, rows: DataFrame) -> DataFrame:
+    """The regions of ``large`` whose cells (``rows``, by ``parent``) take fewer rows
+    than the region in pairs of blocks."""
+    sent = F.when(F.col("small"), F.col("members")).otherwise(F.col("members") * _parts())
+    parent = rows.groupBy("region").agg(F.first("parent").alias("parent"))
+    cells = _sized(rows).join(parent, "region").groupBy("parent").agg(F.sum(sent).alias("sent"))
+    both = large.join(cells, large["region"] == cells["parent"], "left")
+    return both.where(F.coalesce("sent", F.lit(0)) < F.col("members") * _parts()).select("region")
+
+
 def _local_links(rows: DataFrame, sets: DataFrame) -> DataFrame:
     rows = rows.join(sets.select("sig", "items"), "sig")
     return _by_region(rows.select("region", "sig", "n", "d", "root", "items"), _join_region, "a bigint, b bigint")
@@ -483,14 +501,21 @@ def _local_links(rows: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _blocks(rows: DataFrame, size: DataFrame) -> DataFrame:
     """Too large regions as all pairs of blocks that fit one task."""
-    parts = F.ceil(2 * F.greatest(F.col("members") / REGION_ROWS, F.col("shingles") / REGION_SHINGLES)).cast("int")
-    rows = rows.join(size.select("region", parts.alias("parts")), "region")
+    rows = rows.join(size.select("region", _parts().alias("parts")), "region")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     pair = F.concat_ws("-", F.least("block", "other").cast("string"), F.greatest("block", "other").cast("string"))
     return rows.withColumn("region", F.xxhash64("region", pair)).drop("parts", "block", "other")
 
 
+def _block_links(rows: DataFrame, size: DataFrame, classes: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links of too large regions, in pairs of blocks."""
+    rows = _blocks(rows.select("region", "sig", "root"), size).join(classes.select("sig", "n", "sketch"), "sig")
+    near = scratch.keep(_by_region(rows, _survivors, "region bigint, sig bigint, root bigint"), "near")
+    rows = near.join(sets.select("sig", "n", "items"), "sig")
+    return scratch.keep(_by_region(rows, _join_region, "a bigint, b bigint"), "links")
+
+
 def _pivot_links(docs: DataFrame, classes: DataFrame, members: DataFrame, size: DataFrame, scratch: Scratch) -> DataFrame:
     """Links of each class to one pivot: of those it may link to, the one of
     the largest region."""
@@ -582,7 +607,7 @@ def _large_regions(docs: DataFrame, classes: DataFrame, members: DataFrame, scra
             break
         rows = rows.join(large.select("region"), "region")
         if level == LEVELS:
-            found.append(scratch.keep(_local_links(_blocks(rows, large), sets), "links"))
+            found.append(_block_links(rows, large, classes, sets, scratch))
             break
         # Pivots of the next level: the outsiders first in hash order.
         by_hash = Window.partitionBy("region").orderBy(F.xxhash64("sig", F.lit(level)))
@@ -600,8 +625,14 @@ def _large_regions(docs: DataFrame, classes: DataFrame, members: DataFrame, scra
         radius = cells.where(at_home).groupBy("region", "pivot").agg(F.max("d").alias("radius"))
         reached = (F.col("d") <= F.col("radius") + F.lit(EPS + 1e-9)) & (F.col("d") <= F.col("hd") + F.lit(2 * EPS + 1e-9))
         cells = cells.join(radius, ["region", "pivot"]).where(at_home | reached)
-        cells = cells.where(F.col("sig") != F.col("pivot")).withColumn("region", F.xxhash64("region", "pivot"))
-        rows = scratch.keep(_near_pivot(cells.drop("pivot", "hd", "hp", "radius", "outside")), "outside")
+        cells = cells.where(F.col("sig") != F.col("pivot")).withColumn("parent", F.col("region"))
+        cells = cells.withColumn("region", F.xxhash64("region", "pivot"))
+        cells = scratch.keep(_near_pivot(cells.drop("pivot", "hd", "hp", "radius", "outside")), "outside")
+        worth = scratch.keep(_worth(large, cells), "worth")
+        rest = large.join(worth, "region", "left_anti")
+        if not rest.isEmpty():
+            found.append(_block_links(rows.join(rest.select("region"), "region"), rest, classes, sets, scratch))
+        rows = cells.join(worth.select(F.col("region").alias("parent")), "parent").drop("parent")
     links = found[0]
     for f in found[1:]:
         links = links.unionByName(f)

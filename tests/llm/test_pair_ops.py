@@ -88,6 +88,32 @@ def test_large_regions_are_exact(spark, monkeypatch, limit):
     assert result(jaccard_join.join_classes(d)) == brute_join(rows)
 
 
+def test_members_of_one_distance_are_not_copied_again_and_again(spark, monkeypatch):
+    """Where all members are about as far from one another, cells split
+    nothing; the region goes to pairs of blocks, not to cells of cells."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        # Runs of edits at the end leave the front in common; links are rare.
+        for k in rng.sample(range(12, 60, 6), 2):
+            w[k] = f"e{rng.randrange(40)}x{k}"
+        rows.append((i, " ".join(w)))
+    monkeypatch.setattr(jaccard_join, "REGION_ROWS", 40)
+    kept, keep = {}, Scratch.keep
+
+    def counting(self, df, name="t", partition_by=None):
+        out = keep(self, df, name, partition_by)
+        kept.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(Scratch, "keep", counting)
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert result(jaccard_join.join_classes(d)) == brute_join(rows)
+    assert max(kept["distances"]) <= (jaccard_join.PIVOTS + 1) * max(kept["sets"])
+
+
 ODD = [(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "A B C D E F G"), (None, "x y z q r s"), (None, "x y z q r s"),
        (3, None), (4, ""), (4, ""), (5, "x y z q r s"), (6, "one two"), (6, "other words here"),
        (None, "lonely text of null id"), (7, "one  two"), (8, "long " * 40000)]
