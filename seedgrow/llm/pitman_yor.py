@@ -108,26 +108,45 @@ def draw_tables(c: np.ndarray, others: np.ndarray, p: np.ndarray, d: float, unif
     dish with probability ``p``. All arguments but ``d`` are arrays."""
     t = np.minimum(c, 1).astype(np.int64)
     logs = stirling(d)
-    order = np.argsort(c, kind="stable")
-    sizes, first = np.unique(c[order], return_index=True)
+    small = np.minimum(c, EXACT + 1).astype(np.uint16)
+    order = np.argsort(small, kind="stable")
+    sizes, first = np.unique(small[order], return_index=True)
     ends = np.append(first[1:], len(c))
     for size, lo, hi in zip(sizes.tolist(), first.tolist(), ends.tolist()):
         if size < 2 or size > EXACT:
             continue
-        for k in range(lo, hi, 1 << 16):
-            at = order[k : min(hi, k + (1 << 16))]
-            tables = np.arange(size)
-            # log of the product over k < t of (strength + d (others + k)) p
-            grow = np.cumsum(np.log((STRENGTH + d * (others[at][:, None] + tables)) * p[at][:, None]), axis=1)
-            weight = logs[size, 1 : size + 1] + grow
-            weight = np.cumsum(np.exp(weight - weight.max(axis=1, keepdims=True)), axis=1)
-            t[at] = 1 + (weight < uniform[at][:, None] * weight[:, -1:]).sum(axis=1)
+        for k in range(lo, hi, 1 << 14):
+            at = order[k : min(hi, k + (1 << 14))]
+            t[at] = _draw_small(size, others[at], p[at], d, uniform[at], logs[size])
     large = np.flatnonzero(c > EXACT)
     if len(large):
         t[large] = _draw_large(c[large], others[large], p[large], d, uniform[large])
     return np.clip(t, np.minimum(c, 1), c)
 
 
+def _draw_small(size: int, others, p, d, uniform, logs) -> np.ndarray:
+    """Tables of dishes with ``size`` customers from their exact conditional:
+    t tables weigh S_d(size, t) times the product over k < t of
+    (strength + d (others + k)) p, here as multiples of the weight of one."""
+    first, more = (STRENGTH + d * others) * p, d * p
+    steps = np.exp(logs[2 : size + 1] - logs[1:size])
+    weight = np.ones(len(p))
+    below = np.ones((size, len(p)))
+    with np.errstate(over="ignore"):
+        for k, step in enumerate(steps.tolist(), 1):
+            weight *= step * (first + k * more)
+            np.add(below[k - 1], weight, out=below[k])
+    t = 1 + np.count_nonzero(below < uniform * below[-1], axis=0)
+    far = np.flatnonzero(~np.isfinite(below[-1]))
+    if len(far):
+        tables = np.arange(size)
+        grow = np.cumsum(np.log((STRENGTH + d * (others[far][:, None] + tables)) * p[far][:, None]), axis=1)
+        weight = logs[1 : size + 1] + grow
+        weight = np.cumsum(np.exp(weight - weight.max(axis=1, keepdims=True)), axis=1)
+        t[far] = 1 + (weight < uniform[far][:, None] * weight[:, -1:]).sum(axis=1)
+    return t
+
+
 def _draw_large(c, others, p, d, uniform) -> np.ndarray:
     """Tables of dishes with many customers. For c much larger than t,
     S_d(c, t) ~ F^(t - 1) / (t - 1)! with F = (1 - (e^gamma c)^-d) / d, so t - 1 is
@@ -293,8 +312,12 @@ class Pairs:
     def buckets(self, n: int, heavy: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Order of the pairs by bucket, the buckets present and where each
         one's pairs begin in that order."""
-        of = _bucket(self.words[self.left], self.words[self.right], n, heavy)
-        order = np.argsort(of, kind="stable")
+        h = _mix(self.words)
+        spread = np.flatnonzero(np.isin(self.words, heavy)[self.left])
+        of = h[self.left]
+        of[spread] = _mix(of[spread] + h[self.right[spread]])
+        of = (of % np.uint64(n)).astype(np.int64)
+        order = np.argsort(of.astype(np.uint16) if n <= 1 << 16 else of, kind="stable")
         which, first = np.unique(of[order], return_index=True)
         return order, which, first
 
@@ -518,18 +541,19 @@ def _score(batch, numbers, model: Model, n: int, heavy: np.ndarray, columns: lis
         word[f"step{s}"] += word[f"step{s - 1}"]
     u, w = pairs.left, pairs.right
     p = np.zeros(len(c))
-    some = np.flatnonzero(c > 0)
+    # Dishes of one customer have one table; the others are drawn.
+    some = np.flatnonzero(c > 1)
+    un, wn = pairs.words[u[some]], pairs.words[w[some]]
     for s in range(SAMPLES):
         after = word[f"step{s + 1}"]
         parent = model.word(s, after, model.word_tables(s, pairs.words, after))[w]
-        t = np.zeros(len(c), np.int64)
-        t[some] = model.pair_tables(BURN + s, pairs.words[u[some]], pairs.words[w[some]], c[some], word["du"][u[some]],
-                                    word[f"step{s}"][w[some]])
-        rest = STRENGTH + model.d2 * (word["du"][u] + word[f"extra{s}"][u])
-        p += (c - model.d2 * t + rest * parent) / (STRENGTH + word["cu"][u])
+        t = np.minimum(c, 1)
+        t[some] = model.pair_tables(BURN + s, un, wn, c[some], word["du"][u[some]], word[f"step{s}"][w[some]])
+        rest = (STRENGTH + model.d2 * (word["du"] + word[f"extra{s}"]))[u]
+        p += (c - model.d2 * t + rest * parent) / (STRENGTH + word["cu"])[u]
     log = np.log10(p / SAMPLES)[pairs.of_token]
     seen = word["cw"][pairs.tokens]
-    base = np.log10((seen + 1) / (model.n + model.v + 1))
+    base = np.log10((word["cw"] + 1) / (model.n + model.v + 1))[pairs.tokens]
     out = {
         columns[0]: list(row["ids"]), "held_out": list(row["held"]), "n_tokens": pairs.sizes,
         "n_known": np.add.reduceat((seen > 0).astype(np.int64), pairs.starts),
