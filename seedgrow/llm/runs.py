@@ -37,6 +37,7 @@ empty table gives no rows. Only ``doc_id`` and ``text`` are read.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -66,7 +67,6 @@ class _Sequence:
     """Words as numbers, with hashes of every stretch."""
 
     def __init__(self, words: np.ndarray):
-        self.words = words
         n = len(words)
         self.sums, self.powers = [], []
         for p, b in zip(_P, _B):
@@ -88,10 +88,9 @@ class _Sequence:
             ok &= a == (s[i + q + length] - s[i + q]) % p
         return ok
 
-    def extend(self, i: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def extend(self, i: np.ndarray, q: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Largest [a, b) around each i in which words equal those q later
-        (a = b = i where even word i differs)."""
-        n = len(self.words)
+        (a = b = i where even word i differs), among the first n words."""
         right = np.zeros(len(i), np.int64)
         room = n - q - i
         left = np.zeros(len(i), np.int64)
@@ -194,18 +193,30 @@ def _touching(words: np.ndarray, regions: tuple, tau: int) -> tuple[np.ndarray,
     return np.concatenate(i_out), np.concatenate(q_out)
 
 
-def _exact(words: np.ndarray, i: int, a: int, b: int, q: int) -> tuple[int, int]:
-    """[a, b) as compared word by word."""
+def _exact(words: np.ndarray, a: int, b: int, q: int, at: np.ndarray) -> list[tuple[int, int]]:
+    """[a, b), proposed from the places ``at``, as compared word by word."""
     n = len(words)
     if np.array_equal(words[a:b], words[a + q : b + q]) and (a == 0 or words[a - 1] != words[a - 1 + q]) and (
         b + q == n or words[b] != words[b + q]
     ):
-        return a, b
+        return [(a, b)]
     differ = np.flatnonzero(words[: n - q] != words[q:])
-    k = int(np.searchsorted(differ, i))
-    if k < len(differ) and differ[k] == i:
-        return i, i
-    return (int(differ[k - 1]) + 1 if k else 0), (int(differ[k]) if k < len(differ) else n - q)
+    found = set()
+    for i in at.tolist():
+        k = int(np.searchsorted(differ, i))
+        if k == len(differ) or differ[k] != i:
+            found.add((int(differ[k - 1]) + 1 if k else 0, int(differ[k]) if k < len(differ) else n - q))
+    return sorted(found)
+
+
+def _proposed(i: np.ndarray, a: np.ndarray, b: np.ndarray, q: np.ndarray) -> Iterator:
+    """Each distinct ``a, b, q`` with the places it was proposed from."""
+    order = np.lexsort((q, b, a))
+    i, a, b, q = i[order], a[order], b[order], q[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (q[1:] != q[:-1])
+    first = np.flatnonzero(new)
+    yield from zip(a[first].tolist(), b[first].tolist(), q[first].tolist(), np.split(i, first[1:]))
 
 
 def find_runs(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -219,6 +230,7 @@ def find_runs(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndar
     tau = FIRST_SCALE
     h = _mix(words.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
     width = 1
+    seq = None
     while True:
         # Documents too short for two periods of this scale take no part.
         n = int((sizes[sizes >= 6 * tau] + 1).sum())
@@ -237,16 +249,16 @@ def find_runs(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndar
         j, r = _touching(part, tuple(c[mine] for c in known), tau)
         i, q = np.concatenate([i, j]), np.concatenate([q, r])
         if len(i):
-            # Only the part long enough for this scale is extended.
-            seq = _Sequence(part)
-            a, b = seq.extend(i, q)
+            # Only the part long enough for this scale is extended; the parts of
+            # later scales are shorter, so one set of sums serves them all.
+            seq = seq or _Sequence(part)
+            a, b = seq.extend(i, q, n)
             ok = b - a >= q
-            one = np.unique(np.stack([a[ok], b[ok], q[ok], np.maximum(a[ok], np.minimum(i[ok], b[ok] - 1))]), axis=1)
+            i, a, b, q = i[ok], a[ok], b[ok], q[ok]
             new = set()
-            for a1, b1, q1, i1 in one.T.tolist():
-                a1, b1 = _exact(part, i1, a1, b1, q1)
-                if b1 - a1 >= q1:
-                    new.add((a1, b1 + q1, q1))
+            # All places inside one run lead to it; it is compared once.
+            for a1, b1, q1, from_ in _proposed(np.maximum(a, np.minimum(i, b - 1)), a, b, q):
+                new.update((x, y + q1, q1) for x, y in _exact(part, a1, b1, q1, from_) if y - x >= q1)
             if new:
                 regions.append(tuple(np.array(c, np.int64) for c in zip(*new)))
         tau *= 2
@@ -279,13 +291,14 @@ def runs_of(documents: list[list]) -> list[list[tuple[int, int, int]]]:
             k += 1
         if total < MIN_LENGTH:
             break
-        number: dict = {}
+        number: defaultdict = defaultdict()
+        number.default_factory = number.__len__
         seq = np.empty(total + len(take), np.int64)
         sizes = np.array([len(documents[d]) for d in take], np.int64)
         offsets = np.concatenate(([0], np.cumsum(sizes + 1)))
         for x, d in enumerate(take):
             o = int(offsets[x])
-            seq[o : o + len(documents[d])] = [number.setdefault(w, len(number)) for w in documents[d]]
+            seq[o : o + len(documents[d])] = np.fromiter(map(number.__getitem__, documents[d]), np.int64, len(documents[d]))
             seq[o + len(documents[d])] = -1
         marks = seq < 0
         seq[marks] = len(number) + np.arange(len(take))

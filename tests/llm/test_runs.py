@@ -127,3 +127,25 @@ def test_batches_do_not_change_results(spark, monkeypatch):
     got = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
     rows = {r["doc_id"]: [tuple(x) for x in r["runs"]] for r in runs.detect_runs(got.repartition(3)).select("doc_id", F.col("runs")).collect()}
     assert [rows[i] for i in range(len(docs))] == whole
+
+
+def test_a_run_is_compared_once(monkeypatch):
+    """Not once for each of the members inside it."""
+    rng = random.Random(4)
+    block = [str(rng.random()) for _ in range(40)]
+    compared = []
+    exact = runs._exact
+    monkeypatch.setattr(runs, "_exact", lambda *a: (compared.append(a), exact(*a))[1])
+    assert runs.runs_of([block * 60]) == [[(0, 2400, 40)]]
+    assert len(compared) < 10
+
+
+def test_misleading_hashes_change_nothing(monkeypatch):
+    rng = random.Random(6)
+    docs = [nested(rng, "abcdefgh", 6, 5) for _ in range(20)]
+    block = [str(rng.random()) for _ in range(30)]
+    docs.append(block * 3 + ["x"] + block * 2)
+    whole = runs.runs_of(docs)
+    assert whole == [brute(d) for d in docs]
+    monkeypatch.setattr(runs._Sequence, "equal", lambda self, i, q, length: np.ones(len(i), bool))
+    assert runs.runs_of(docs) == whole
