@@ -28,6 +28,7 @@ import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 from pyspark.sql import DataFrame
@@ -209,6 +210,16 @@ class Tokenizer:
                 self.encode_plain(part, out)
         return out
 
+    @contextmanager
+    def task(self):
+        """The words kept for a task go with it: a worker lives on for other
+        stages, which need its memory."""
+        try:
+            yield self
+        finally:
+            self.cache.clear()
+            self.known.clear()
+
     def decode(self, ids: list[int]) -> str:
         """The file names no decoder: the tokens, joined by blanks."""
         return " ".join(map(self.token_of.__getitem__, ids))
@@ -226,14 +237,14 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        tok = load(path)
-        for b in batches:
-            for k in range(0, b.num_rows, ROWS):
-                part = b.slice(k, ROWS)
-                ids = [tok.encode(t or "") for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"]
-                )
+        with load(path).task() as tok:
+            for b in batches:
+                for k in range(0, b.num_rows, ROWS):
+                    part = b.slice(k, ROWS)
+                    ids = [tok.encode(t or "") for t in part.column("text").to_pylist()]
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"]
+                    )
 
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", docs["text"].cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, ids array<int>")
@@ -268,21 +279,21 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        tok = load(path)
         sha = lambda s: hashlib.sha256(s.encode("utf-8")).hexdigest()
-        for b in batches:
-            counts, ids_sha, text_sha = [], [], []
-            for k in range(0, b.num_rows, ROWS):
-                for t in b.column("text").slice(k, ROWS).to_pylist():
-                    ids = tok.encode(t or "")
-                    counts.append(len(ids))
-                    ids_sha.append(sha(" ".join(map(tok.written.__getitem__, ids))))
-                    text_sha.append(sha(tok.decode(ids)))
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()),
-                 pa.array(text_sha, pa.string())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+        with load(path).task() as tok:
+            for b in batches:
+                counts, ids_sha, text_sha = [], [], []
+                for k in range(0, b.num_rows, ROWS):
+                    for t in b.column("text").slice(k, ROWS).to_pylist():
+                        ids = tok.encode(t or "")
+                        counts.append(len(ids))
+                        ids_sha.append(sha(" ".join(map(tok.written.__getitem__, ids))))
+                        text_sha.append(sha(tok.decode(ids)))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()),
+                     pa.array(text_sha, pa.string())],
+                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                )
 
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", docs["text"].cast("string").alias("text")).mapInArrow(

@@ -80,27 +80,30 @@ MEMO = 500_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
+# Bytes that end a word.
+_BLANK = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
 
-        if len(self) >= MEMO:
-            self.clear()
-        h = xxhash.xxh64_intdigest(word)
-        if len(word) <= 64:
-            self[word] = h
-        return h
 
-
-_hashes = _WordHashes()
+def _word_hashes(text: bytes) -> np.ndarray:
+    """64-bit hashes of the words of a text, in order: the sum of a mixed value
+    of each byte and its place in the word. No word is kept as an object."""
+    x = np.frombuffer(text, np.uint8)
+    at = np.flatnonzero(~_BLANK[x])
+    if not len(at):
+        return np.empty(0, np.uint64)
+    first = np.flatnonzero(np.append(True, np.diff(at) != 1))
+    place = at - np.repeat(at[first], np.diff(np.append(first, len(at))))
+    v = (place.astype(np.uint64) << np.uint64(8) | x[at]) + _MULTIPLIER
+    v = (v ^ (v >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    v = (v ^ (v >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return np.add.reduceat(v ^ (v >> np.uint64(31)), first)
 
 
 def shingle_set(text: str | None) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's shingles."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
+    h = _word_hashes((text or "").encode("utf-8", "surrogatepass").lower())
+    if not len(h):
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
     n = min(WORDS, len(h))
     acc = np.full(len(h) - n + 1, n, np.uint64)
     for k in range(n):
@@ -164,9 +167,13 @@ def _classify(batches: Iterator) -> Iterator:
 
     def count():
         if window:
-            u, n = np.unique(np.concatenate(window), return_counts=True)
-            np.add.at(total, _bucket(u[n > 1]), n[n > 1])
+            x = np.concatenate(window)
             window.clear()
+            x.sort()
+            same = x[1:] == x[:-1]
+            # Shingles that come twice or more, as often as they come.
+            again = np.append(False, same) | np.append(same, False)
+            np.add.at(total, _bucket(x[again]), 1)
 
     for b in batches:
         sizes = np.zeros(b.num_rows, np.int32)

@@ -103,39 +103,48 @@ def train(docs: DataFrame, top: int = PROFILE) -> dict[str, list[int]]:
     """Profiles by language, from all rows of ``docs`` with a lang and a text."""
 
     def count(batches: Iterator) -> Iterator:
-        import pandas as pd
+        import pyarrow as pa
 
         held: dict[str, list] = {}
 
-        def flush():
+        def merge():
+            """Distinct n-grams of each language, one language at a time."""
             for lang, parts in held.items():
-                k = np.concatenate([p[0] for p in parts])
-                n = np.concatenate([p[1] for p in parts])
-                u, i = np.unique(k, return_inverse=True)
-                yield pd.DataFrame({"lang": lang, "gram": u, "n": np.bincount(i, n).astype(np.int64)})
+                k, n = (np.concatenate(x) for x in zip(*parts))
+                parts.clear()
+                order = np.argsort(k, kind="stable")
+                k, n = k[order], n[order]
+                first = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+                parts.append((k[first], np.add.reduceat(n, first)))
+            return sum(len(parts[0][0]) for parts in held.values())
+
+        def flush():
+            merge()
+            for lang, [(k, n)] in held.items():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(k), pa.string()), pa.array(k), pa.array(n)], ["lang", "gram", "n"]
+                )
             held.clear()
 
         size = 0
         for b in batches:
-            for lang, text in zip(b["lang"], b["text"]):
-                k, n = ngram_counts(text)
-                if len(k):
-                    held.setdefault(lang, []).append((k, n))
-                    size += len(k)
-                    if size >= FLUSH * 10:
-                        # Merge first: flush only what stays large.
-                        size = 0
-                        for la, parts in held.items():
-                            u, i = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-                            held[la] = [(u, np.bincount(i, np.concatenate([p[1] for p in parts])).astype(np.int64))]
-                            size += len(u)
-                        if size >= FLUSH:
-                            yield from flush()
-                            size = 0
+            for at in range(0, b.num_rows, ROWS):
+                part = b.slice(at, ROWS)
+                for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist()):
+                    k, n = ngram_counts(text)
+                    if len(k):
+                        held.setdefault(lang, []).append((k, n))
+                        size += len(k)
+                        if size >= FLUSH * 3:
+                            # Merge first: flush only what stays large.
+                            size = merge()
+                            if size >= FLUSH:
+                                yield from flush()
+                                size = 0
         yield from flush()
 
     rows = docs.select("lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    grams = rows.mapInPandas(count, "lang string, gram bigint, n bigint")
+    grams = rows.mapInArrow(count, "lang string, gram bigint, n bigint")
     grams = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     salt = F.pmod(F.xxhash64("gram"), F.lit(SALTS))
     order = [F.desc("n"), F.asc("gram")]

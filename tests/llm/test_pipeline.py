@@ -63,3 +63,57 @@ def test_registered_queries():
     names = [k for k in __spark_entry__.queries() if k.startswith("op") or k == "pipeline"]
     assert sorted(int(k[2:].split("_")[0]) for k in names if k != "pipeline") == list(range(1, 14)) and "pipeline" in names
     assert set(queries.oracle_sql()) <= set(names)
+
+
+def test_workers_keep_no_words(monkeypatch):
+    """What a task remembers of its words goes with it: a worker's memory is
+    needed by the stages that follow."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from seedgrow.llm import bpe, jaccard_join
+
+    text = " ".join(f"w{i}" for i in range(100_000))
+    jaccard_join.shingle_set("one two three")
+    tracemalloc.start()
+    s = jaccard_join.shingle_set(text)
+    held = tracemalloc.get_traced_memory()[0] - s.nbytes
+    tracemalloc.stop()
+    assert len(s) == 99_996 and held < 1_000_000
+
+    class Docs:
+        dtypes = [("doc_id", "bigint"), ("text", "string")]
+
+        def __getitem__(self, name):
+            return F.col(name)
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, fn, schema):
+            self.fn = fn
+            return self
+
+    monkeypatch.setattr(F, "col", lambda name: type("C", (), {"cast": lambda c, t: c, "alias": lambda c, n: c})())
+    batch = pa.RecordBatch.from_pydict({"doc_id": np.arange(3), "text": ["some words here", None, "unseenword"]})
+    for fn in (bpe.digests, bpe.encode):
+        out = list(fn(Docs()).fn(iter([batch])))
+        assert sum(b.num_rows for b in out) == 3
+        tok = bpe.load(bpe.default_path())
+        assert not tok.known and not tok.cache
+
+
+def test_word_hashes_tell_words_apart():
+    from seedgrow.llm import jaccard_join
+
+    texts = ["", " ", "a", " ab  A\tb\x0bB\x0cab\r\nÜ ü \x1c \x85 x", "ab ba aab aba baa a\x00 a\x00\x00 " + "a" * 700 + " " + "a" * 701]
+    seen = {}
+    for t in texts:
+        words = t.encode().lower().split()
+        h = jaccard_join._word_hashes(t.encode().lower()).tolist()
+        assert len(h) == len(words)
+        for w, x in zip(words, h):
+            assert seen.setdefault(w, x) == x
+    assert len(set(seen.values())) == len(seen)
