@@ -329,36 +329,60 @@ def _bucket(key: np.ndarray, other: np.ndarray, n: int, heavy: np.ndarray) -> np
     return (h % np.uint64(n)).astype(np.int64)
 
 
-_PARTS = "kind int, batch bigint, bucket int, a array<bigint>, b array<bigint>, c array<bigint>, d array<bigint>"
+# Numbers travel packed (``_pack``). ``n``: what a part adds to the corpus' sums.
+_PARTS = "kind int, batch bigint, bucket int, a binary, b binary, c binary, d binary, n bigint"
+_SENT = "kind int, batch bigint, bucket int, a binary, b binary, c binary, d binary, e binary"
 _ANSWER, _CONTEXT, _DISH, _SINGLE, _SPREAD, _OFTEN = range(6)
 
 
 def _frame(rows: list):
     import pandas as pd
 
-    return pd.DataFrame(rows, columns=["kind", "batch", "bucket", "a", "b", "c", "d"])
+    return pd.DataFrame(rows, columns=["kind", "batch", "bucket", "a", "b", "c", "d", "n"])
+
+
+_WIDTHS = [np.int8, np.int16, np.int32, np.int64]
+
+
+def _pack(x: np.ndarray) -> bytes:
+    """Whole numbers in the least width that holds them all, told by the
+    first byte."""
+    lo, hi = (int(x.min()), int(x.max())) if len(x) else (0, 0)
+    k = next(k for k, t in enumerate(_WIDTHS) if np.iinfo(t).min <= lo and hi <= np.iinfo(t).max)
+    return bytes([k]) + x.astype(_WIDTHS[k]).tobytes()
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, _WIDTHS[packed[0]], offset=1).astype(np.int64)
+
+
+def _unpacked(column) -> np.ndarray:
+    """All numbers of a column of packed ones."""
+    return np.concatenate([np.empty(0, np.int64), *map(_unpack, column)])
 
 
 def _send(batches: Iterator, n: int, heavy: np.ndarray) -> Iterator:
     """A batch's pairs by bucket: contexts ``a`` with ``b`` pairs each, the
-    words ``c`` and training counts ``d``."""
+    distinct words ``c``, the pairs' training counts ``d`` and words ``e``, by
+    place among the distinct ones."""
     import pyarrow as pa
 
-    longs = pa.list_(pa.int64())
     for b in batches:
         for i in range(b.num_rows):
             sizes, held, words = (b.column(k)[i].values.to_numpy(zero_copy_only=False) for k in ("sizes", "held", "words"))
             pairs = Pairs(sizes, held, b.column("tokens")[i].as_py(), words)
             order, which, first = pairs.buckets(n, heavy)
-            u, w, c = pairs.words[pairs.left][order], pairs.words[pairs.right][order], pairs.counts[order]
+            u, w, c = pairs.left[order], pairs.right[order], pairs.counts[order]
             out = []
             for k, lo, hi in zip(which.tolist(), first.tolist(), [*first[1:].tolist(), len(order)]):
                 new = np.flatnonzero(np.append(True, u[lo + 1 : hi] != u[lo : hi - 1]))
-                out.append((k, u[lo:hi][new], np.diff(np.append(new, hi - lo)), w[lo:hi], c[lo:hi]))
+                words, place = np.unique(w[lo:hi], return_inverse=True)
+                out.append((k, _pack(pairs.words[u[lo:hi][new]]), _pack(np.diff(np.append(new, hi - lo))), _pack(pairs.words[words]),
+                            _pack(c[lo:hi]), _pack(place)))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([0] * len(out), pa.int32()), pa.array([b.column("batch")[i].as_py()] * len(out), pa.int64()),
-                 pa.array([r[0] for r in out], pa.int32()), *[pa.array([r[k] for r in out], longs) for k in (1, 2, 3, 4)]],
-                ["kind", "batch", "bucket", "a", "b", "c", "d"],
+                 pa.array([r[0] for r in out], pa.int32()), *[pa.array([r[k] for r in out], pa.binary()) for k in (1, 2, 3, 4, 5)]],
+                ["kind", "batch", "bucket", "a", "b", "c", "d", "e"],
             )
 
 
@@ -368,9 +392,10 @@ def _count(frame, n: int, heavy: np.ndarray):
     of single ones by word bucket, those of spread words apart; dishes of spread
     words."""
     frame = frame.sort_values("batch")
-    lengths = [len(x) for x in frame["c"]]
-    u = np.repeat(np.concatenate(frame["a"].to_list()), np.concatenate(frame["b"].to_list()))
-    w, got = np.concatenate(frame["c"].to_list()), np.concatenate(frame["d"].to_list())
+    parts = [_unpack(x) for x in frame["d"]]
+    lengths, got = [len(x) for x in parts], np.concatenate(parts)
+    u = np.repeat(_unpacked(frame["a"]), _unpacked(frame["b"]))
+    w = np.concatenate([_unpack(c)[_unpack(e)] for c, e in zip(frame["c"], frame["e"])])
     order = np.lexsort((w, u))
     new = np.append(True, (u[order][1:] != u[order][:-1]) | (w[order][1:] != w[order][:-1]))
     which = np.empty(len(order), np.int64)
@@ -381,12 +406,12 @@ def _count(frame, n: int, heavy: np.ndarray):
     answers = np.split(c[which], np.cumsum(lengths)[:-1])
     bucket = int(frame["bucket"].iloc[0])
     for batch, a in zip(frame["batch"].tolist(), answers):
-        out.append((_ANSWER, batch, bucket, None, None, a, None))
+        out.append((_ANSWER, batch, bucket, None, None, _pack(a), None, 0))
     pu, pw, c = pu[c > 0], pw[c > 0], c[c > 0]
     if len(c):
         first = np.flatnonzero(np.append(True, pu[1:] != pu[:-1]))
         dishes = np.diff(np.append(first, len(pu)))
-        out.append((_CONTEXT, 0, 0, pu[first], dishes, np.add.reduceat(c, first), None))
+        out.append((_CONTEXT, 0, 0, _pack(pu[first]), _pack(dishes), _pack(np.add.reduceat(c, first)), None, len(c)))
         around = np.repeat(dishes, dishes)
         to = _bucket(pw, pu, n, heavy)
         often = np.isin(pw, heavy)
@@ -396,13 +421,14 @@ def _count(frame, n: int, heavy: np.ndarray):
             ks, starts = np.unique(to[at], return_index=True)
             for k, part in zip(ks.tolist(), np.split(at, starts[1:])):
                 if kind != _SINGLE:
-                    out.append((kind, 0, k, pu[part], pw[part], c[part], around[part]))
+                    twice = int(np.count_nonzero(c[part] == 2))
+                    out.append((kind, 0, k, _pack(pu[part]), _pack(pw[part]), _pack(c[part]), _pack(around[part]), twice))
                 else:
                     words, times = np.unique(pw[part], return_counts=True)
-                    out.append((_SINGLE, 0, k, words, None, times, None))
+                    out.append((_SINGLE, 0, k, _pack(words), None, _pack(times), None, len(part)))
         words, times = np.unique(pw[often], return_counts=True)
         if len(words):
-            out.append((_SPREAD, 0, 0, words, None, times, None))
+            out.append((_SPREAD, 0, 0, _pack(words), None, _pack(times), None, 0))
     return _frame(out)
 
 
@@ -422,7 +448,7 @@ def _sweep_spread(batches: Iterator, sweep: int, model: Model, heavy: np.ndarray
 
     more = np.zeros(len(heavy), np.int64)
     for b in batches:
-        u, w, c, around = (b.column(k).flatten().to_numpy(zero_copy_only=False).copy() for k in "abcd")
+        u, w, c, around = (_unpacked(b.column(k).to_pylist()) for k in "abcd")
         at = np.searchsorted(heavy, w)
         t = model.pair_tables(sweep, u, w, c, _around(u, around, heavy, heavy_context), given[at])
         more += np.bincount(at, weights=t - 1, minlength=len(heavy)).astype(np.int64)
@@ -439,11 +465,8 @@ def _seat(frame, model: Model, heavy: np.ndarray, heavy_context: np.ndarray, hea
 
     dish, one = frame[frame["kind"].isin([_DISH, _OFTEN])], frame[frame["kind"] == _SINGLE]
 
-    def flat(rows, column):
-        return np.concatenate([np.empty(0, np.int64), *rows[column].to_list()]).astype(np.int64)
-
-    u, w, c, around = (flat(dish, k) for k in "abcd")
-    single, times = flat(one, "a"), flat(one, "c")
+    u, w, c, around = (_unpacked(dish[k]) for k in "abcd")
+    single, times = _unpacked(one["a"]), _unpacked(one["c"])
     words, at = np.unique(np.concatenate([w, single]), return_inverse=True)
     at, ones = at[: len(w)], np.bincount(at[len(w) :], weights=times, minlength=len(words)).astype(np.int64)
     tokens = ones + np.bincount(at, weights=c, minlength=len(words)).astype(np.int64)
@@ -494,11 +517,11 @@ def _table_sums(batches: Iterator, model: Model) -> Iterator:
         yield pa.RecordBatch.from_arrays([pa.array([int(x)], pa.int64()) for x in t], [f"t{s}" for s in range(SAMPLES)])
 
 
-_GATHERED = "to bigint, bucket int, pos array<int>, c array<bigint>"
+_GATHERED = "to bigint, bucket int, pos binary, c binary"
 
 
 def _gather(batches: Iterator) -> Iterator:
-    """Word rows that go to one batch, as arrays: their places and all their
+    """Word rows that go to one batch, packed: their places and all their
     numbers (``c``, one column of ``WORD`` after the other)."""
     import pyarrow as pa
 
@@ -509,8 +532,8 @@ def _gather(batches: Iterator) -> Iterator:
         pos = np.split(b.column("pos").to_numpy(zero_copy_only=False)[order], first[1:])
         numbers = np.split(np.stack([b.column(k).to_numpy(zero_copy_only=False)[order] for k in WORD]), first[1:], axis=1)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(which, pa.int64()), pa.array([-1] * len(which), pa.int32()), pa.array(pos, pa.list_(pa.int32())),
-             pa.array([x.ravel() for x in numbers], pa.list_(pa.int64()))],
+            [pa.array(which, pa.int64()), pa.array([-1] * len(which), pa.int32()), pa.array(map(_pack, pos), pa.binary()),
+             pa.array([_pack(x.ravel()) for x in numbers], pa.binary())],
             ["to", "bucket", "pos", "c"],
         )
 
@@ -528,12 +551,13 @@ def _score(batch, numbers, model: Model, n: int, heavy: np.ndarray, columns: lis
     order, which, _ = pairs.buckets(n, heavy)
     answers = numbers[numbers["bucket"] >= 0].sort_values("bucket")
     c = np.empty(len(order), np.int64)
-    c[order] = np.concatenate(answers["c"].to_list())
+    c[order] = _unpacked(answers["c"])
     by_word = numbers[numbers["bucket"] < 0]
     word = {k: np.zeros(len(pairs.words), np.int64) for k in WORD}
     for pos, got in zip(by_word["pos"], by_word["c"]):
-        for k, x in zip(WORD, got.reshape(len(WORD), -1)):
-            word[k][pos] = x
+        at = _unpack(pos)
+        for k, x in zip(WORD, _unpack(got).reshape(len(WORD), -1)):
+            word[k][at] = x
     word["cu"] += word["cw"]
     word["du"] += word["cu"]
     word["step0"] += word["cw"]
@@ -574,6 +598,18 @@ def _exploded(parts: DataFrame, columns: str, *names: str) -> DataFrame:
     return parts.select(z).select(*[F.col(f"z.{c}").alias(n) for c, n in zip(columns, names)])
 
 
+def _unpacked_rows(parts: DataFrame, columns: str, *names: str) -> DataFrame:
+    """One row per number of the packed columns named by letter."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_unpacked(b.column(c).to_pylist())) for c in columns], list(names))
+
+    return parts.select(*columns).mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
+
+
 def score_documents(docs: DataFrame) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score,
     score`` of every row of ``docs``."""
@@ -596,22 +632,21 @@ def score_documents(docs: DataFrame) -> DataFrame:
     spread = scratch.keep(frequent.where(F.col("n") >= max(n_train // HEAVY + 1, SPREAD_LEAST)).select("key"), "spread")
     heavy = np.array(sorted(r["key"] for r in spread.collect()), np.int64)
     n_buckets = max(1, -(-max(n_train, 1) // BUCKET))
-    sent = streams.select("batch", "sizes", "held", "tokens", "words").mapInArrow(lambda it: _send(it, n_buckets, heavy), _PARTS)
+    sent = streams.select("batch", "sizes", "held", "tokens", "words").mapInArrow(lambda it: _send(it, n_buckets, heavy), _SENT)
     parts = scratch.keep(
         sent.groupBy("bucket").applyInPandas(lambda f: _count(f, n_buckets, heavy), _PARTS), "parts", partition_by="kind"
     )
-    contexts = _exploded(parts.where(F.col("kind") == _CONTEXT), "abc", "key", "du", "cu")
-    twice = F.filter("c", lambda x: x == 2)
+    contexts = _unpacked_rows(parts.where(F.col("kind") == _CONTEXT), "abc", "key", "du", "cu")
     dishes = [_DISH, _OFTEN, _SINGLE]
-    sums = parts.where(F.col("kind").isin(_CONTEXT, *dishes)).agg(
-        F.sum(F.when(F.col("kind") == _CONTEXT, F.aggregate("b", F.lit(0).cast("long"), lambda x, y: x + y))).alias("pairs"),
-        F.sum(F.when(F.col("kind") == _SINGLE, F.aggregate("c", F.lit(0).cast("long"), lambda x, y: x + y))).alias("once"),
-        F.sum(F.when(F.col("kind").isin(_DISH, _OFTEN), F.size(twice)).cast("long")).alias("twice"),
+    sums = parts.agg(
+        F.sum(F.when(F.col("kind") == _CONTEXT, F.col("n"))).alias("pairs"),
+        F.sum(F.when(F.col("kind") == _SINGLE, F.col("n"))).alias("once"),
+        F.sum(F.when(F.col("kind").isin(_DISH, _OFTEN), F.col("n"))).alias("twice"),
     ).first()
     model = Model(n_train, int(sums["pairs"] or 0), discount(int(sums["once"] or 0), int(sums["twice"] or 0)))
     # Dishes of the spread words, as contexts and as words (at most HEAVY rows).
     of_context = dict(contexts.join(spread, "key").groupBy("key").agg(F.sum("du").alias("n")).collect())
-    spread_dishes = _exploded(parts.where(F.col("kind") == _SPREAD), "ac", "key", "n").groupBy("key").agg(F.sum("n").alias("n"))
+    spread_dishes = _unpacked_rows(parts.where(F.col("kind") == _SPREAD), "ac", "key", "n").groupBy("key").agg(F.sum("n").alias("n"))
     of_word = dict(spread_dishes.collect())
     heavy_context = np.array([of_context.get(k, 0) for k in heavy.tolist()], np.int64)
     heavy_word = np.array([of_word.get(k, 0) for k in heavy.tolist()], np.int64)
@@ -638,7 +673,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     asked = streams.select(F.col("batch").alias("to"), F.posexplode("words").alias("pos", "key")).join(each, "key").drop("key")
     asked = scratch.keep(asked.select("to", "pos", *WORD).mapInArrow(_gather, _GATHERED), "asked")
     scratch.drop("numbers")
-    numbers = asked.unionByName(answers.withColumn("pos", F.lit(None).cast("array<int>")))
+    numbers = asked.unionByName(answers.withColumn("pos", F.lit(None).cast("binary")))
     schema = T.StructType([
         T.StructField("doc_id", id_type), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()),
         T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType()),

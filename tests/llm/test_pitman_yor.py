@@ -184,3 +184,33 @@ def test_nothing_learned_and_empty_table(spark):
     rows = P.score_documents(d).collect()
     assert {(r["n_tokens"], r["n_known"], r["train_tokens"], r["score"]) for r in rows} == {(4, 0, 0, 0.0)}
     assert P.score_documents(d.limit(0)).count() == 0
+
+
+def test_numbers_travel_packed():
+    """Pairs go to the buckets at far less than 8 bytes a number, and whole."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+    import pyspark
+
+    for x in ([], [0], [-1, 127], [128], [-40_000, 3], [2**31], [-(2**63), 2**63 - 1]):
+        assert P._unpack(P._pack(np.array(x, np.int64))).tolist() == x
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 300, 2000)) for _ in range(5)]
+    rows = pa.RecordBatch.from_pydict({"doc_id": list(range(5)), "held": [False] * 4 + [True], "text": texts})
+    of = pyspark.TaskContext.get
+    pyspark.TaskContext.get = staticmethod(lambda: SimpleNamespace(partitionId=lambda: 0))
+    try:
+        batches = list(P._batches(iter([rows]), 1 << 20))
+    finally:
+        pyspark.TaskContext.get = of
+    sent = list(P._send(iter(batches), 3, np.empty(0, np.int64)))
+    learned = {}
+    for b in sent:
+        for r in b.to_pylist():
+            a, times, words, counts, place = (P._unpack(r[k]) for k in "abcde")
+            for u, w, c in zip(np.repeat(a, times).tolist(), words[place].tolist(), counts.tolist()):
+                learned[u, w] = learned.get((u, w), 0) + c
+    assert sum(learned.values()) == 4 * 2001
+    size = sum(len(r[k]) for b in sent for r in b.to_pylist() for k in "abcde")
+    assert size < 16 * len(learned) / 2
